@@ -1,10 +1,11 @@
 """The six page layouts (X1-X6) as one Spark plan.
 
-A layout says two things: which elements of a page may be records (`items`, an
-array of structs worked out inside the page row) and how an item becomes record
-columns (`record`). ``extract_items`` routes every page to its source's layout
-with CASE expressions, so pages of all layouts share one scan, one tree step
-and one explode, and no page text is ever shuffled.
+A layout turns the tree of a page into its `candidates`: an array of structs,
+one per possible record, worked out inside the page row. ``extract_items``
+routes every page to its source's layout with one CASE, explodes the arrays and
+reads dates, times, places and links from the texts a candidate carries. Pages
+of all layouts share one scan, one tree step and one explode, and no page text
+is ever shuffled.
 """
 
 from __future__ import annotations
@@ -28,37 +29,58 @@ from eventmill.functions.urls import resolve_url, srcset_first, url_path
 from eventmill.operators import shape
 from eventmill.schema import LAYOUTS, ORDER, RECORD_FIELDS, Options
 
-ITEM_TEXTS = ["title", "date", "block", "before", "after", "image"]
+# What a candidate tells: the words of its date, the text that names times and
+# place, the text whose second date ends the event, and the description.
+CANDIDATE_TEXTS = ["title", "image", "date_text", "details", "end_text", "describe"]
 
 
-def item(node_id: Column, href: Column | None = None, **texts: Column) -> Column:
-    """One candidate; texts it has no use for are blank, no link is NULL."""
+def candidate(node_id: Column, href: Column | None = None, **texts: Column) -> Column:
+    """One possible record; texts it does not have are blank, no link is NULL."""
     no_link = F.lit(None).cast("string")
     return F.struct(
         node_id.alias("node_id"),
         (no_link if href is None else href).alias("href"),
-        *[F.coalesce(texts.get(t, F.lit("")), F.lit("")).alias(t) for t in ITEM_TEXTS],
+        *[F.coalesce(texts.get(t, F.lit("")), F.lit("")).alias(t) for t in CANDIDATE_TEXTS],
     )
 
 
 @dataclass(frozen=True)
 class Layout:
-    """items(opts) -> array of `item`; record(opts) -> dict of columns.
-
-    The dict names `keep` (is the item a record), `date_text`, `describe` and
-    `limit` (description text and its length limit), and optionally `title`,
-    `details` (the text that names times and place), `times`, `end_text` (text
-    whose second date ends the event) and `fallback_date`.
+    """How pages of one layout become records.
+
+    candidates  opts -> array of ``candidate``, without those that cannot be
+                records
+    kind        record kind where the source names none
+    limit       length limit of descriptions
+    times       opts -> whether clock times are read
+    needs_date  drop candidates whose date words are no real day
+    run_date    a candidate without date words happens on the run date;
+                without this it is dropped
     """
 
-    items: Callable[[Options], Column]
-    record: Callable[[Options], dict]
+    candidates: Callable[[Options], Column]
     kind: str = "event"
+    limit: int = 700
+    times: Callable[[Options], bool] = lambda opts: False
+    needs_date: bool = False
+    run_date: bool = False
+
+
+def _each(found: Column, raw: Callable[[Column], Column], finish: Callable[[Column], Column]):
+    """Per element: gather `raw` texts once, then finish them to a candidate."""
+    return F.transform(F.transform(found, raw), finish)
+
+
+def _text_headings() -> Column:
+    return F.filter(shape.nodes(), lambda n: shape.is_heading(n) & (n["run_n"] > 0))
 
 
 # -- X1 ---------------------------------------------------------------------
-def _event_items(opts: Options) -> Column:
-    def one(n: Column, event: Column) -> Column:
+def _events(opts: Options) -> Column:
+    def raw(n: Column) -> Column:
+        return shape.let(shape.enclosing_event(n), lambda event: texts(n, event))
+
+    def texts(n: Column, event: Column) -> Column:
         is_card = event.isNotNull()
         around = shape.siblings_after(n, 12)
         href = shape.first_link(n)
@@ -67,73 +89,74 @@ def _event_items(opts: Options) -> Column:
                 blank_to_null(href),
                 F.when(is_card, shape.first_link(event)).otherwise(shape.first_link_in(around)),
             )
-        before = shape.previous_text(n, 80) if opts.date_from_previous else F.lit("")
-        return item(
-            n["node_id"],
-            title=shape.text(n),
-            href=href,
-            block=F.when(is_card, shape.text(event)).otherwise(shape.block_text(n)),
-            before=before,
-            image=F.when(is_card, shape.image_source(event, opts.lazy_images)).otherwise(
-                shape.first_image(around, opts.lazy_images)
-            ),
+        return F.struct(
+            n["node_id"].alias("node_id"),
+            shape.text(n).alias("title"),
+            href.alias("href"),
+            F.when(is_card, shape.text(event)).otherwise(shape.block_text(n)).alias("block"),
+            F.when(is_card, shape.image_source(event, opts.lazy_images))
+            .otherwise(shape.first_image(around, opts.lazy_images))
+            .alias("image"),
+            (shape.previous_text(n, 80) if opts.date_from_previous else F.lit("")).alias("before"),
         )
 
-    found = F.filter(shape.nodes(), lambda n: shape.is_heading(n) & (n["run_n"] > 0))
-    return F.transform(found, lambda n: shape.let(shape.enclosing_event(n), lambda e: one(n, e)))
-
-
-def _event_record(opts: Options) -> dict:
-    title, block = F.col("title"), F.col("block")
-    keep = (title != "") & ~is_stop_title(title, "squarespace_events")
-    if opts.title_limit:
-        keep &= F.char_length(title) <= opts.title_limit
-    date_text = dates.long_date_first(block, opts.any_case_dates)
-    if opts.date_from_previous:
-        earlier = dates.long_date_first(F.trim(F.col("before")), opts.any_case_dates)
-        date_text = F.coalesce(blank_to_null(date_text), earlier)
-    return {
-        "keep": keep,
-        "date_text": date_text,
-        "details": block,
-        "times": True,
-        "end_text": block,
-        "describe": drop_calendar_noise(block, opts.trim_arrow),
-        "limit": 700,
-    }
+    def finish(t: Column) -> Column:
+        date_text = dates.long_date_first(t["block"], opts.any_case_dates)
+        if opts.date_from_previous:
+            earlier = dates.long_date_first(F.trim(t["before"]), opts.any_case_dates)
+            date_text = F.coalesce(blank_to_null(date_text), earlier)
+        return candidate(
+            t["node_id"],
+            t["href"],
+            title=t["title"],
+            image=t["image"],
+            date_text=date_text,
+            details=t["block"],
+            end_text=t["block"],
+            describe=drop_calendar_noise(t["block"], opts.trim_arrow),
+        )
+
+    def is_title(t: Column) -> Column:
+        good = ~is_stop_title(t["title"], "squarespace_events")
+        return good & (F.char_length(t["title"]) <= opts.title_limit) if opts.title_limit else good
+
+    return F.transform(F.filter(F.transform(_text_headings(), raw), is_title), finish)
 
 
 # -- X2 ---------------------------------------------------------------------
-def _dated_list_items(opts: Options) -> Column:
+def _dated_list(opts: Options) -> Column:
     """Headings under the dated element before them.
 
     A dated element sets the date for the headings up to the next dated one,
     so each of these stretches is read once.
     """
-    pattern = lambda n: dates.long_date_first(shape.text(n), opts.any_case_dates)
+    tokens = F.filter(
+        shape.nodes(),
+        lambda n: n["tag"].isin("h2", "h3", "p", "li", "div") & (n["run_n"] > 0),
+    )
     dated = F.filter(
         F.transform(
-            F.filter(
-                shape.nodes(),
-                lambda n: n["tag"].isin("h2", "h3", "p", "li", "div") & (n["run_n"] > 0),
+            tokens,
+            lambda n: F.struct(
+                n["node_id"].alias("at"),
+                dates.long_date_first(shape.text(n), opts.any_case_dates).alias("date"),
             ),
-            lambda n: F.struct(n["node_id"].alias("at"), pattern(n).alias("date")),
         ),
         lambda d: d["date"] != "",
     )
 
     def one(n: Column, date: Column) -> Column:
-        around = shape.siblings_after(n, 12)
-        return item(
+        block = shape.block_text(n)
+        own_image = shape.image_source(n, opts.lazy_images)
+        near_image = shape.first_image(shape.siblings_after(n, 12), opts.lazy_images)
+        return candidate(
             n["node_id"],
+            shape.first_link(n),
             title=shape.text(n),
-            href=shape.first_link(n),
-            date=date,
-            block=shape.block_text(n),
-            image=F.coalesce(
-                blank_to_null(shape.image_source(n, opts.lazy_images)),
-                shape.first_image(around, opts.lazy_images),
-            ),
+            image=F.coalesce(blank_to_null(own_image), near_image),
+            date_text=date,
+            details=block,
+            describe=block,
         )
 
     def stretch(d: Column, end: Column) -> Column:
@@ -142,66 +165,60 @@ def _dated_list_items(opts: Options) -> Column:
         return F.transform(listed, lambda n: one(n, d["date"]))
 
     page_end = F.size(shape.nodes()) + 1
-    return shape.let(
+    under_dates = shape.let(
         dated,
-        lambda ds: F.flatten(
-            F.transform(
-                ds, lambda d, i: stretch(d, F.coalesce(F.get(ds, i + 1)["at"], page_end))
-            )
+        lambda ds: F.transform(
+            ds, lambda d, i: stretch(d, F.coalesce(F.get(ds, i + 1)["at"], page_end))
         ),
     )
+    return F.filter(
+        F.flatten(under_dates), lambda c: ~is_stop_title(c["title"], "heading_date_events")
+    )
 
 
-def _dated_list_record(opts: Options) -> dict:
-    return {
-        "keep": ~is_stop_title(F.col("title"), "heading_date_events"),
-        "needs_date": True,  # a date that is no real day leaves headings undated
-        "date_text": F.col("date"),
-        "details": F.col("block"),
-        "times": opts.listing_times,
-        "describe": F.col("block"),
-        "limit": 700,
-    }
+# -- X3, X4 -----------------------------------------------------------------
+def _post_texts(n: Column, opts: Options, before: int, after: int) -> Column:
+    own_image = shape.image_source(n, opts.lazy_images)
+    near_image = shape.first_image(shape.siblings_after(n, 12), opts.lazy_images)
+    return F.struct(
+        n["node_id"].alias("node_id"),
+        shape.text(n).alias("title"),
+        shape.first_link(n).alias("href"),
+        F.trim(shape.previous_text(n, before) if before else F.lit("")).alias("before"),
+        F.trim(shape.following_text(n, after)).alias("after"),
+        F.coalesce(blank_to_null(own_image), near_image).alias("image"),
+    )
 
 
-# -- X3, X4 -----------------------------------------------------------------
-def _post_items(opts: Options, before: int, after: int) -> Column:
-    def one(n: Column) -> Column:
-        return item(
-            n["node_id"],
-            title=shape.text(n),
-            href=shape.first_link(n),
-            before=shape.previous_text(n, before) if before else F.lit(""),
-            after=shape.following_text(n, after),
-            image=F.coalesce(
-                blank_to_null(shape.image_source(n, opts.lazy_images)),
-                shape.first_image(shape.siblings_after(n, 12), opts.lazy_images),
-            ),
+def _blog(opts: Options) -> Column:
+    def finish(t: Column) -> Column:
+        near = joined(t["before"], F.trim(F.substring(t["after"], 1, opts.blog_span)))
+        return candidate(
+            t["node_id"],
+            t["href"],
+            title=t["title"],
+            image=t["image"],
+            date_text=dates.post_date(near, opts.any_case_dates, opts.long_numeric_years),
+            describe=t["after"],
         )
 
-    found = F.filter(shape.nodes(), lambda n: shape.is_heading(n) & (n["run_n"] > 0))
-    return F.transform(found, one)
+    found = _each(_text_headings(), lambda n: _post_texts(n, opts, 180, 500), finish)
+    return F.filter(found, lambda c: ~is_stop_title(c["title"], "squarespace_blog"))
 
 
-def _blog_record(opts: Options) -> dict:
-    title, after = F.col("title"), F.col("after")
-    near = joined(F.trim(F.col("before")), F.trim(F.substring(after, 1, opts.blog_span)))
-    return {
-        "keep": (title != "") & ~is_stop_title(title, "squarespace_blog"),
-        "date_text": dates.post_date(near, opts.any_case_dates, opts.long_numeric_years),
-        "describe": after,
-        "limit": 500,
-    }
-
+def _posts(opts: Options) -> Column:
+    def finish(t: Column) -> Column:
+        return candidate(
+            t["node_id"],
+            t["href"],
+            title=t["title"],
+            image=t["image"],
+            date_text=dates.long_date_last(t["after"], opts.any_case_dates),
+            describe=dates.drop_first_long_date(t["after"], opts.any_case_dates),
+        )
 
-def _post_record(opts: Options) -> dict:
-    title, after = F.col("title"), F.trim(F.col("after"))
-    return {
-        "keep": (title != "") & ~is_stop_title(title, "wordpress_posts"),
-        "date_text": dates.long_date_last(after, opts.any_case_dates),
-        "describe": dates.drop_first_long_date(after, opts.any_case_dates),
-        "limit": 500,
-    }
+    found = _each(_text_headings(), lambda n: _post_texts(n, opts, 0, 700), finish)
+    return F.filter(found, lambda c: ~is_stop_title(c["title"], "wordpress_posts"))
 
 
 # -- X5 ---------------------------------------------------------------------
@@ -209,43 +226,57 @@ def _is_link(n: Column) -> Column:
     return (n["tag"] == "a") & shape.has_attr(n, "href")
 
 
-def _link_items(opts: Options) -> Column:
-    def one(n: Column) -> Column:
-        return item(
-            n["node_id"],
-            title=shape.text(n),
-            href=shape.attr(n, "href"),
-            after=shape.following_text(n, 180) if opts.link_context else F.lit(""),
-            image=shape.image_source(n, opts.lazy_images),
+def _links(opts: Options) -> Column:
+    def raw(n: Column) -> Column:
+        text = shape.text(n)
+        context = joined(text, F.trim(shape.following_text(n, 180)))
+        return F.struct(
+            n["node_id"].alias("node_id"),
+            text.alias("text"),
+            (context if opts.link_context else text).alias("context"),
+            shape.attr(n, "href").alias("href"),
+            shape.image_source(n, opts.lazy_images).alias("image"),
         )
 
-    return F.transform(F.filter(shape.nodes(), lambda n: _is_link(n) & (n["run_n"] > 0)), one)
-
-
-def _link_record(opts: Options) -> dict:
-    text = F.col("title")
-    context = joined(text, F.trim(F.col("after")))
-    date_text = dates.post_date(context, opts.any_case_dates, opts.long_numeric_years)
-    if opts.strip_all_dates:
-        title = dates.drop_all_dates(text)
-    else:
-        at = F.position(date_text, text)
-        rest = F.concat(
-            F.substring(text, F.lit(1), at - 1),
-            F.substring(text, at + F.char_length(date_text), F.char_length(text)),
+    def finish(t: Column) -> Column:
+        found = dates.post_date(t["context"], opts.any_case_dates, opts.long_numeric_years)
+        return shape.let(found, lambda date_text: dated(t, date_text))
+
+    def dated(t: Column, date_text: Column) -> Column:
+        text = t["text"]
+        if opts.strip_all_dates:
+            title = dates.drop_all_dates(text)
+        else:
+            at = F.position(date_text, text)
+            rest = F.concat(
+                F.substring(text, F.lit(1), at - 1),
+                F.substring(text, at + F.char_length(date_text), F.char_length(text)),
+            )
+            title = F.coalesce(blank_to_null(clean_text(F.when(at > 0, rest))), text)
+        return F.when(
+            date_text != "",
+            candidate(
+                t["node_id"],
+                t["href"],
+                title=title,
+                image=t["image"],
+                date_text=date_text,
+                describe=t["context"],
+            ),
         )
-        title = F.coalesce(blank_to_null(clean_text(F.when(at > 0, rest))), text)
-    return {
-        "keep": text != "",
-        "title": title,
-        "date_text": date_text,
-        "describe": context,
-        "limit": 400,
-    }
+
+    found = F.filter(shape.nodes(), lambda n: _is_link(n) & (n["run_n"] > 0))
+    return F.array_compact(_each(found, raw, finish))
 
 
 # -- X6 ---------------------------------------------------------------------
-def _card_items(opts: Options) -> Column:
+# Raw-text lookups for a link outside any card.
+NEAR_ALT = r"""(?i)\balt=["']([^"']+)["']"""
+NEAR_BLURB = r"""(?is)<div\b[^>]*class=["'][^"']*\bcard-description\b[^"']*["'][^>]*>(.*?)</div>"""
+NEAR_IMAGE = r"(?i)<img\b[^>]*>"
+
+
+def _cards(opts: Options) -> Column:
     """The first link to each article under the blog's own path.
 
     The first link takes the address even where it has no usable title, so
@@ -267,41 +298,54 @@ def _card_items(opts: Options) -> Column:
         lambda ls: F.filter(ls, lambda x, i: (i == 0) | (F.get(ls, i - 1)["url"] != x["url"])),
     )
 
-    def one(n: Column, card: Column) -> Column:
-        title = shape.card_title(n, card)
-        blurb = shape.card_description(card)
+    def raw(link: Column) -> Column:
+        return shape.let(
+            shape.node(link["at"]),
+            lambda n: shape.let(shape.enclosing_card(n), lambda card: texts(n, card)),
+        )
+
+    def texts(n: Column, card: Column) -> Column:
+        title, blurb = shape.card_title(n, card), shape.card_description(card)
         image = F.when(card.isNotNull(), shape.image_source(card, opts.lazy_images)).otherwise(
             shape.image_source(n, opts.lazy_images)
         )
         if opts.nearby_context:
-            near = shape.nearby(F.col("html"), n, 1200)
-            alone = card.isNull()
-            title = F.coalesce(
-                blank_to_null(title),
-                F.when(alone, clean_text(F.regexp_extract(near, NEAR_ALT, 1))),
-            )
-            blurb = F.when(
-                alone,
-                clean_text(
-                    F.regexp_replace(F.regexp_extract(near, NEAR_BLURB, 1), "<[^>]*>", " ")
-                ),
-            ).otherwise(blurb)
+            near, alone = shape.nearby(F.col("html"), n, 1200), card.isNull()
+            near_title = clean_text(F.regexp_extract(near, NEAR_ALT, 1))
+            title = F.coalesce(blank_to_null(title), F.when(alone, near_title))
+            blurb = F.when(alone, _near_blurb(near)).otherwise(blurb)
             image = F.when(alone, _near_image(near)).otherwise(image)
-        return item(n["node_id"], title=title, href=shape.attr(n, "href"), block=blurb, image=image)
+        return F.struct(
+            n["node_id"].alias("node_id"),
+            shape.attr(n, "href").alias("href"),
+            F.coalesce(title, F.lit("")).alias("title"),
+            blurb.alias("blurb"),
+            image.alias("image"),
+        )
 
-    return F.transform(
-        firsts,
-        lambda link: shape.let(
-            shape.node(link["at"]),
-            lambda n: shape.let(shape.enclosing_card(n), lambda card: one(n, card)),
-        ),
+    def finish(t: Column) -> Column:
+        title, blurb = t["title"], t["blurb"]
+        words = F.concat_ws(" ", title, blurb)
+        found = dates.post_date(words, opts.any_case_dates, opts.long_numeric_years)
+        return candidate(
+            t["node_id"],
+            t["href"],
+            title=title,
+            image=t["image"],
+            date_text=F.coalesce(blank_to_null(found), dates.month_year(title)),
+            details=blurb,
+            describe=F.coalesce(blank_to_null(blurb), title),
+        )
+
+    return F.filter(
+        _each(firsts, raw, finish),
+        lambda c: (c["title"] != "") & ~is_stop_title(c["title"], "shopify_blog_events"),
     )
 
 
-# Raw-text lookups for a link outside any card.
-NEAR_ALT = r"""(?i)\balt=["']([^"']+)["']"""
-NEAR_BLURB = r"""(?is)<div\b[^>]*class=["'][^"']*\bcard-description\b[^"']*["'][^>]*>(.*?)</div>"""
-NEAR_IMAGE = r"(?i)<img\b[^>]*>"
+def _near_blurb(near: Column) -> Column:
+    inner = F.regexp_extract(near, NEAR_BLURB, 1)
+    return clean_text(F.regexp_replace(inner, F.lit("<[^>]*>"), F.lit(" ")))
 
 
 def _near_image(near: Column) -> Column:
@@ -317,33 +361,15 @@ def _near_image(near: Column) -> Column:
     )
 
 
-def _card_record(opts: Options) -> dict:
-    title, blurb = F.col("title"), F.col("block")
-    found = dates.post_date(
-        F.concat_ws(" ", title, blurb), opts.any_case_dates, opts.long_numeric_years
-    )
-    return {
-        "keep": (title != "") & ~is_stop_title(title, "shopify_blog_events"),
-        "date_text": F.coalesce(blank_to_null(found), dates.month_year(title)),
-        "run_date": True,
-        "details": blurb,
-        "times": True,
-        "describe": F.coalesce(blank_to_null(blurb), title),
-        "limit": 700,
-    }
-
-
 EXTRACTORS: dict[str, Layout] = {
-    "squarespace_events": Layout(_event_items, _event_record),
-    "heading_date_events": Layout(_dated_list_items, _dated_list_record),
-    "squarespace_blog": Layout(
-        lambda o: _post_items(o, before=180, after=500), _blog_record, kind="announcement"
+    "squarespace_events": Layout(_events, times=lambda opts: True),
+    "heading_date_events": Layout(
+        _dated_list, times=lambda opts: opts.listing_times, needs_date=True
     ),
-    "wordpress_posts": Layout(
-        lambda o: _post_items(o, before=0, after=700), _post_record, kind="announcement"
-    ),
-    "generic_links": Layout(_link_items, _link_record),
-    "shopify_blog_events": Layout(_card_items, _card_record),
+    "squarespace_blog": Layout(_blog, kind="announcement", limit=500),
+    "wordpress_posts": Layout(_posts, kind="announcement", limit=500),
+    "generic_links": Layout(_links, limit=400),
+    "shopify_blog_events": Layout(_cards, times=lambda opts: True, run_date=True),
 }
 assert list(EXTRACTORS) == LAYOUTS
 
@@ -353,10 +379,10 @@ def register_extractor(name: str, layout: Layout) -> None:
     EXTRACTORS[name] = layout
 
 
-def _route(choices: dict[str, Column], default: Column) -> Column:
-    """The column of the row's own layout."""
+def _by_layout(values: dict[str, Column], default: Column) -> Column:
+    """The value of the row's own layout."""
     routed = None
-    for name, value in choices.items():
+    for name, value in values.items():
         test = F.col("parser") == name
         routed = F.when(test, value) if routed is None else routed.when(test, value)
     return default if routed is None else routed.otherwise(default)
@@ -371,77 +397,54 @@ def extract_items(
     layouts in `layouts` (default: all) take part in the plan.
     """
     chosen = {k: EXTRACTORS[k] for k in layouts or EXTRACTORS}
-    source = ["source_ord", "page_id", "partner", "source_url", "parser", "kind", "base"]
-    listed = _route({k: v.items(opts) for k, v in chosen.items()}, F.lit(None))
+
+    def those(test: Callable[[Layout], bool]) -> Column:
+        names = [k for k, v in chosen.items() if test(v)]
+        return F.col("parser").isin(names) if names else F.lit(False)
+
     # A page that could not be read goes through as one row that says so.
     failed = F.col("error").isNotNull()
-    listed = F.when(failed, F.array(item(F.lit(0)))).otherwise(listed)
-    items = trees.select(*source, "error", F.inline(listed))
-
-    rules = {k: v.record(opts) for k, v in chosen.items()}
-
-    def pick(name: str, default) -> Column:
-        default = default if isinstance(default, Column) else F.lit(default)
-        own = {
-            k: (r[name] if isinstance(r[name], Column) else F.lit(r[name]))
-            for k, r in rules.items()
-            if name in r
-        }
-        return _route(own, default)
-
-    # Three steps, so that no regular expression is written out twice: the words
-    # of the date first, then the texts the columns are read from, then the columns.
-    run_date = scraped_at[:10]
-    worded = (
-        items.filter(failed | pick("keep", False))
-        .withColumn("date_text", pick("date_text", ""))
-        .filter(failed | (F.col("date_text") != "") | pick("run_date", False))
+    listed = F.when(failed, F.array(candidate(F.lit(0)))).otherwise(
+        _by_layout({k: v.candidates(opts) for k, v in chosen.items()}, F.lit(None))
+    )
+    source = ["source_ord", "page_id", "partner", "source_url", "parser", "kind", "base"]
+    run_date = those(lambda v: v.run_date)
+    own_date = dates.normalize_date(F.col("date_text"), opts.base_date)
+    items = (
+        trees.select(*source, "error", F.inline(listed))
+        .filter(failed | (F.col("date_text") != "") | run_date)
+        .withColumn("own_date", own_date)
+        .filter(failed | (F.col("own_date") != "") | ~those(lambda v: v.needs_date))
     )
-    read = worded.select(
-        *ORDER,
-        "partner",
-        "source_url",
-        "base",
-        "href",
-        "image",
-        "parser",
-        "error",
-        pick("title", F.col("title")).alias("title"),
-        dates.normalize_date(F.col("date_text"), opts.base_date).alias("own_date"),
-        (F.col("date_text") == "").alias("undated"),
-        pick("details", "").alias("details"),
-        pick("end_text", "").alias("end_text"),
-        pick("describe", "").alias("describe"),
-        F.coalesce(F.col("kind"), _route({k: F.lit(v.kind) for k, v in chosen.items()}, F.lit("event"))).alias("kind"),
-    ).filter(failed | (F.col("own_date") != "") | ~pick("needs_date", False))
-    if opts.run_date_if_unparsed:
-        lacks_date = pick("run_date", False) & (F.col("own_date") == "")
-    else:
-        lacks_date = F.col("undated")
+    lacks = F.col("own_date") if opts.run_date_if_unparsed else F.col("date_text")
+    start = F.when(run_date & (lacks == ""), F.lit(scraped_at[:10])).otherwise(F.col("own_date"))
+    timed = those(lambda v: v.times(opts))
     start_time, end_time = places.time_range(F.col("details"), opts.wide_dashes)
-    timed = pick("times", False)
-    start = F.when(lacks_date, F.lit(run_date)).otherwise(F.col("own_date"))
+
+    def unless_blank(name: str, value: Column) -> Column:
+        return F.when(F.col(name) == "", F.lit("")).otherwise(value)
+
     columns = {
-        "partner": F.col("partner"),
-        "title": F.col("title"),
         "start_date": start,
-        "end_date": F.when(F.col("end_text") == "", F.lit("")).otherwise(
-            dates.end_date(F.col("end_text"), start, opts)
-        ),
+        "end_date": unless_blank("end_text", dates.end_date(F.col("end_text"), start, opts)),
         "start_time": F.when(timed, start_time).otherwise(F.lit("")),
         "end_time": F.when(timed, end_time).otherwise(F.lit("")),
-        "location": F.when(F.col("details") == "", F.lit("")).otherwise(
-            places.location(F.col("details"), opts.location_to_state)
+        "location": unless_blank(
+            "details", places.location(F.col("details"), opts.location_to_state)
         ),
-        "description": shorten(F.col("describe"), pick("limit", 700)),
-        "image_url": F.when(F.col("image") == "", F.lit("")).otherwise(
-            resolve_url(F.col("image"), F.col("base"))
+        "description": shorten(
+            F.col("describe"),
+            _by_layout({k: F.lit(v.limit) for k, v in chosen.items()}, F.lit(700)),
         ),
+        "image_url": unless_blank("image", resolve_url(F.col("image"), F.col("base"))),
         "url": F.when(F.col("href").isNull(), F.col("source_url")).otherwise(
             resolve_url(F.col("href"), F.col("base"))
         ),
-        "source_url": F.col("source_url"),
-        "kind": F.col("kind"),
+        "kind": F.coalesce(
+            F.col("kind"),
+            _by_layout({k: F.lit(v.kind) for k, v in chosen.items()}, F.lit("event")),
+        ),
         "scraped_at": F.lit(scraped_at),
     }
-    return read.select(*ORDER, "parser", "error", *[columns[c].alias(c) for c in RECORD_FIELDS])
+    fields = [columns.get(c, F.col(c)).alias(c) for c in RECORD_FIELDS]
+    return items.select(*ORDER, "parser", "error", *fields)
