@@ -21,6 +21,8 @@ def local_session(cores: str | int = "*", **extra: str) -> SparkSession:
     """A session for tests and benchmarks on one machine."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName("eventmill")
     builder = builder.config("spark.ui.enabled", "false")
+    # Building large expressions is twice as fast without call-site capture.
+    builder = builder.config("spark.python.sql.dataFrameDebugging.enabled", "false")
     for key, value in {**SETTINGS, "spark.sql.shuffle.partitions": "8", **extra}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()

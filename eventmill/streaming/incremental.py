@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from eventmill.operators.records import new_records, to_records
 from eventmill.plans.scrape import records_of, scrape
-from eventmill.schema import RECORD_FIELDS, Options
+from eventmill.schema import ORDER, RECORD_FIELDS, Options
 from eventmill.session import checkpointed
 
 PAGES_SCHEMA = T.StructType(
@@ -41,9 +41,10 @@ def upsert(records: DataFrame, target: str, batch_id: int) -> DataFrame:
     again writes the same rows to the same place.
     """
     spark = records.sparkSession
-    batch = checkpointed(to_records(records))
+    place = [c for c in ORDER if c in records.columns]
+    batch = checkpointed(records.select(*place, *RECORD_FIELDS))
     known = read_target(spark, target).filter(F.col("batch_id") != batch_id)
-    fresh = new_records(batch, known)
+    fresh = to_records(new_records(batch, known))
     fresh.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
     written = spark.read.parquet(f"{target}/batch_id={batch_id}")
     return batch.agg(F.count("*").alias("n")).crossJoin(
