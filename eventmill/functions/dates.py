@@ -130,8 +130,3 @@ def _year_ahead(month_day: Column, base: date) -> Column:
 
 def _is_leap(year: int) -> bool:
     return year % 4 == 0 and (year % 100 != 0 or year % 400 == 0)
-
-
-def end_date(c: Column, start: Column, opts) -> Column:
-    end = normalize_date(long_date_second(c, opts.any_case_dates), opts.base_date)
-    return end if opts.keep_equal_end else F.when(end == start, F.lit("")).otherwise(end)

@@ -16,6 +16,11 @@ PLACE_TO_PERIOD = [r"(?iU)Location:\s*([^.]+)", r"(?iU)Meeting Place:\s*([^.]+)"
 PLACE_TO_PUNCTUATION = r"(?iU)\b(?:Location|Meeting Place):\s*([^.;]+)"
 
 
+def time_words(c: Column, wide_dashes: bool = True) -> Column:
+    """The first two clock times that stand together, with what is between."""
+    return F.regexp_extract(c, TIME_RANGE_WIDE if wide_dashes else TIME_RANGE, 0)
+
+
 def time_range(c: Column, wide_dashes: bool = True) -> tuple[Column, Column]:
     """Upper-cased start and end; both blank unless two times stand together."""
     pattern = TIME_RANGE_WIDE if wide_dashes else TIME_RANGE

@@ -36,11 +36,15 @@ def joined(*parts: Column) -> Column:
     return F.concat_ws(" ", *[blank_to_null(p) for p in parts])
 
 
-def shorten(c: Column, limit: Column | int) -> Column:
+def cut(c: Column, limit: Column | int) -> Column:
+    """A clean text, ended with dots where it is longer than `limit`."""
     limit = F.lit(limit) if isinstance(limit, int) else limit
-    text = clean_text(c)
-    cut = F.rtrim(F.substring(text, F.lit(1), limit - 3))
-    return F.when(F.char_length(text) <= limit, text).otherwise(F.concat(cut, F.lit("...")))
+    short = F.concat(F.rtrim(F.substring(c, F.lit(1), limit - 3)), F.lit("..."))
+    return F.when(F.char_length(c) <= limit, c).otherwise(short)
+
+
+def shorten(c: Column, limit: Column | int) -> Column:
+    return cut(clean_text(c), limit)
 
 
 def is_stop_title(title: Column, layout: str) -> Column:

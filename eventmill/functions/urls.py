@@ -9,6 +9,8 @@ from eventmill.functions.text import blank_to_null
 
 SCHEME = r"^([A-Za-z][A-Za-z0-9+.-]*):"
 # scheme, //host, path, query, fragment of an address
+ALL_PARTS = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(//[^/?#]*)?([^?#]*)(\?[^#]*)?(#.*)?$"
+SPLIT = "\uffff"  # no character, so in no address
 PARTS = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(//[^/?#]*)?([^?#]*)(\?[^#]*)?(#.*)?$"
 
 
@@ -50,25 +52,33 @@ def _tidy_path(path: Column, relative: Column) -> Column:
     return F.when(path.rlike(r"//|/\.|^\."), rooted).otherwise(path)
 
 
-def resolve_url(href: Column, base: Column) -> Column:
-    """Absolute form of `href` on the page whose `url_parts` are `base`."""
+def link_parts(href: Column) -> Column:
+    """[scheme, //host, path, ?query, #fragment] of a link as written."""
     link = F.regexp_replace(
         F.regexp_replace(href, F.lit(r"^[\x00-\x20]+"), F.lit("")), F.lit(r"[\t\r\n]"), F.lit("")
     )
-    scheme = F.lower(F.regexp_extract(link, SCHEME, 1))
-    host, path = _part(link, 1), _part(link, 2)
-    query = blank_to_null(F.nullif(_part(link, 3), F.lit("?")))
-    fragment = F.coalesce(F.nullif(_part(link, 4), F.lit("#")), F.lit(""))
+    groups = SPLIT.join(f"${i}" for i in range(1, 6))
+    return F.split(F.regexp_replace(link, F.lit(ALL_PARTS), F.lit(groups)), SPLIT, -1)
+
+
+def resolve_parts(href: Column, parts: Column, base: Column) -> Column:
+    """Absolute form of `href`, whose ``link_parts`` are `parts`, on the page
+    whose ``url_parts`` are `base`."""
+    scheme, host, path, query, fragment = (F.get(parts, F.lit(i)) for i in range(5))
+    scheme = F.lower(scheme)
+    # An empty query or fragment is none.
+    query, fragment = F.nullif(query, F.lit("?")), F.nullif(fragment, F.lit("#"))
+    query, fragment = blank_to_null(query), F.coalesce(fragment, F.lit(""))
     own_query = F.coalesce(query, F.lit(""))
     home = F.concat(base["scheme"], F.lit(":"), base["host"])
     rooted = F.when(path.startswith("/"), path).otherwise(F.concat(base["folder"], path))
     return (
-        F.when(link == "", base["url"])
-        .when((scheme != "") & (scheme != base["scheme"]), href)
+        F.when((scheme != "") & (scheme != base["scheme"]), href)
         .when(
-            _part(link, 1).startswith("//") & (F.char_length(host) > 2),
+            F.char_length(host) > 2,
             F.concat(base["scheme"], F.lit(":"), host, path, own_query, fragment),
         )
+        .when(F.array_join(parts, "") == "", base["url"])
         .when(path == "", F.concat(home, base["path"], F.coalesce(query, base["query"]), fragment))
         .otherwise(
             F.concat(home, _tidy_path(rooted, ~path.startswith("/")), own_query, fragment)
@@ -76,6 +86,14 @@ def resolve_url(href: Column, base: Column) -> Column:
     )
 
 
+def resolve_url(href: Column, base: Column) -> Column:
+    """``resolve_parts`` where there is no column to keep the parts in."""
+    resolved = F.transform(
+        F.array(link_parts(href)), lambda parts: resolve_parts(href, parts, base)
+    )
+    return F.get(resolved, F.lit(0))
+
+
 def url_path(url: Column) -> Column:
     return _part(url, 2)
 

@@ -20,18 +20,18 @@ from eventmill.functions import dates, places
 from eventmill.functions.text import (
     blank_to_null,
     clean_text,
+    cut,
     drop_calendar_noise,
     is_stop_title,
     joined,
-    shorten,
 )
-from eventmill.functions.urls import resolve_url, srcset_first, url_path
+from eventmill.functions.urls import link_parts, resolve_parts, resolve_url, srcset_first, url_path
 from eventmill.operators import shape
 from eventmill.schema import LAYOUTS, ORDER, RECORD_FIELDS, Options
 
-# What a candidate tells: the words of its date, the text that names times and
-# place, the text whose second date ends the event, and the description.
-CANDIDATE_TEXTS = ["title", "image", "date_text", "details", "end_text", "describe"]
+# What a candidate tells: the words of its dates, the text that names times and
+# place, and the description. All come with single blanks only.
+CANDIDATE_TEXTS = ["title", "image", "date_text", "end_text", "details", "describe"]
 
 
 def candidate(node_id: Column, href: Column | None = None, **texts: Column) -> Column:
@@ -112,7 +112,7 @@ def _events(opts: Options) -> Column:
             image=t["image"],
             date_text=date_text,
             details=t["block"],
-            end_text=t["block"],
+            end_text=dates.long_date_second(t["block"], opts.any_case_dates),
             describe=drop_calendar_noise(t["block"], opts.trim_arrow),
         )
 
@@ -409,36 +409,46 @@ def extract_items(
     )
     source = ["source_ord", "page_id", "partner", "source_url", "parser", "kind", "base"]
     run_date = those(lambda v: v.run_date)
-    own_date = dates.normalize_date(F.col("date_text"), opts.base_date)
+    # What several expressions below look at is a column of its own, so that it
+    # is worked out once per row.
     items = (
         trees.select(*source, "error", F.inline(listed))
         .filter(failed | (F.col("date_text") != "") | run_date)
-        .withColumn("own_date", own_date)
+        .withColumns(
+            {
+                "own_date": dates.normalize_date(F.col("date_text"), opts.base_date),
+                "end": dates.normalize_date(F.col("end_text"), opts.base_date),
+                "clocks": places.time_words(F.col("details"), opts.wide_dashes),
+                "link_parts": link_parts(F.col("href")),
+                "image_parts": link_parts(F.col("image")),
+            }
+        )
         .filter(failed | (F.col("own_date") != "") | ~those(lambda v: v.needs_date))
     )
     lacks = F.col("own_date") if opts.run_date_if_unparsed else F.col("date_text")
     start = F.when(run_date & (lacks == ""), F.lit(scraped_at[:10])).otherwise(F.col("own_date"))
+    end = F.col("end")
     timed = those(lambda v: v.times(opts))
-    start_time, end_time = places.time_range(F.col("details"), opts.wide_dashes)
+    start_time, end_time = places.time_range(F.col("clocks"), opts.wide_dashes)
 
     def unless_blank(name: str, value: Column) -> Column:
         return F.when(F.col(name) == "", F.lit("")).otherwise(value)
 
     columns = {
         "start_date": start,
-        "end_date": unless_blank("end_text", dates.end_date(F.col("end_text"), start, opts)),
+        "end_date": end if opts.keep_equal_end else F.when(end != start, end).otherwise(""),
         "start_time": F.when(timed, start_time).otherwise(F.lit("")),
         "end_time": F.when(timed, end_time).otherwise(F.lit("")),
         "location": unless_blank(
             "details", places.location(F.col("details"), opts.location_to_state)
         ),
-        "description": shorten(
+        "description": cut(
             F.col("describe"),
             _by_layout({k: F.lit(v.limit) for k, v in chosen.items()}, F.lit(700)),
         ),
-        "image_url": unless_blank("image", resolve_url(F.col("image"), F.col("base"))),
+        "image_url": unless_blank("image", resolve_parts(F.col("image"), F.col("image_parts"), F.col("base"))),
         "url": F.when(F.col("href").isNull(), F.col("source_url")).otherwise(
-            resolve_url(F.col("href"), F.col("base"))
+            resolve_parts(F.col("href"), F.col("link_parts"), F.col("base"))
         ),
         "kind": F.coalesce(
             F.col("kind"),

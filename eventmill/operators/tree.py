@@ -9,6 +9,7 @@ filled in when an element closes.
 
 from __future__ import annotations
 
+import gc
 import html as html_lib
 import re
 from html.entities import html5
@@ -38,6 +39,8 @@ CARD = re.compile(r"\bcard\b")
 BLURB = re.compile(r"\bcard-description\b")
 BODY = re.compile(r"\b(?:content-main|rte)\b")
 LINK, IMAGE, ALT, BLURB_MARK = range(len(FIRST))
+NO_POINTERS = (0, 0, 0, 0)
+NO_ATTRS: dict[str, str] = {}
 
 
 class _Open:
@@ -50,22 +53,31 @@ class _Open:
         self.row = row  # index into the batch columns, -1 for root and muted
         self.node_id = node_id
         self.inner = inner  # the `up` pointers its children inherit
-        self.first = [0, 0, 0, 0]
+        self.first = NO_POINTERS
         self.kids = []
         self.depth = depth
 
 
+# Tags written plainly, which are most: read here, all others by the library.
+PLAIN_START = re.compile(r'<([a-z][a-z0-9]*)((?:\s[a-z-]+="[^"<>&]*")*)>')
+PLAIN_ATTR = re.compile(r'\s([a-z-]+)="([^"]*)"')
+PLAIN_END = re.compile(r"</([a-z][a-z0-9]*)>")
+
+# Places of the values in an element's row.
+ROW = [*NODE_INTS, "tag", "up", "first"]
+END_ID, RUN_LO, RUN_N = ROW.index("end_id"), ROW.index("run_lo"), ROW.index("run_n")
+KID_POS, SEC_LO, SEC_END = ROW.index("kid_pos"), ROW.index("sec_lo"), ROW.index("sec_end")
+TAG, FIRST_IN = ROW.index("tag"), ROW.index("first")
+
+
 class TreeBatch(HTMLParser):
-    """Columns of the trees of one Arrow batch of pages."""
+    """The trees of one Arrow batch of pages."""
 
     def __init__(self):
-        self.ints = {name: [] for name in NODE_INTS}
-        self.tags: list[str] = []
+        self.rows: list[list] = []  # one per element, in the order of ROW
         self.attr_keys: list[str] = []
         self.attr_values: list[str] = []
         self.attr_ends = [0]
-        self.up: list[tuple] = []
-        self.first: list[list] = []
         self.runs: list[str] = []
         self.kids: list[int] = []
         self.node_ends, self.run_ends, self.kid_ends = [0], [0], [0]
@@ -79,12 +91,12 @@ class TreeBatch(HTMLParser):
         self.muted = self.aside = 0
         self.open_count: dict[str, int] = {}
         self.stack = [_Open("", -1, 0, (0, 0, 0, 0), 0)]
-        self.node_base, self.run_base, self.kid_base = len(self.tags), len(self.runs), len(self.kids)
-        self.line_starts = None
+        self.node_base, self.run_base, self.kid_base = len(self.rows), len(self.runs), len(self.kids)
         error = None
         if text is None:
             error = "page has no html"
         else:
+            self.page_size = len(text)
             try:
                 self.feed(text)
                 self.close()
@@ -96,15 +108,13 @@ class TreeBatch(HTMLParser):
         if error:
             self._forget_page()
         self.errors.append(error)
-        self.node_ends.append(len(self.tags))
+        self.node_ends.append(len(self.rows))
         self.run_ends.append(len(self.runs))
         self.kid_ends.append(len(self.kids))
 
     def _forget_page(self) -> None:
-        base = self.node_base
-        for column in (*self.ints.values(), self.tags, self.up, self.first):
-            del column[base:]
-        del self.attr_ends[base + 1 :]
+        del self.rows[self.node_base :]
+        del self.attr_ends[self.node_base + 1 :]
         del self.attr_keys[self.attr_ends[-1] :]
         del self.attr_values[self.attr_ends[-1] :]
         del self.runs[self.run_base :]
@@ -142,48 +152,80 @@ class TreeBatch(HTMLParser):
                 self.runs.append(text)
 
     # -- tags ---------------------------------------------------------------
+    def updatepos(self, i, j):
+        return j  # lines are not counted, see _position
+
+    def parse_starttag(self, i):
+        self.tag_at = i
+        plain = PLAIN_START.match(self.rawdata, i)
+        if plain is None or plain[1] in self.CDATA_CONTENT_ELEMENTS:
+            return super().parse_starttag(i)
+        self.handle_starttag(plain[1], PLAIN_ATTR.findall(plain[2]) if plain[2] else ())
+        return plain.end()
+
+    def parse_endtag(self, i):
+        plain = None if self.cdata_elem else PLAIN_END.match(self.rawdata, i)
+        if plain is None:
+            return super().parse_endtag(i)
+        self.handle_endtag(plain[1])
+        return plain.end()
+
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
             self.handle_endtag(tag)
 
     def handle_starttag(self, tag, attrs):
-        self._flush()
+        if self.buf:
+            self._flush()
         parent = self.stack[-1]
         if self.muted or tag in IGNORED:
             if tag not in VOID:
                 self.muted += 1
                 self._push(_Open(tag, -1, 0, parent.inner, 0))
             return
-        kept = {k: v or "" for k, v in attrs if k in KEPT_ATTRS}
-        row = len(self.tags)
+        kept = {k: v or "" for k, v in attrs if k in KEPT_ATTRS} if attrs else NO_ATTRS
+        row = len(self.rows)
         node_id = row - self.node_base + 1
-        parent.kids.append(row)
-        ints = self.ints
-        ints["node_id"].append(node_id)
-        ints["end_id"].append(node_id)
-        ints["parent_id"].append(parent.node_id)
-        ints["sib_ord"].append(len(parent.kids))
-        ints["depth"].append(parent.depth + 1)
-        ints["run_lo"].append(len(self.runs) - self.run_base + 1)
-        ints["run_n"].append(0)
-        ints["kid_pos"].append(0)
-        ints["sec_lo"].append(0)
-        ints["sec_end"].append(0)
-        ints["html_pos"].append(self._position() if tag == "a" else 0)
-        self.tags.append(tag)
-        self.attr_keys.extend(kept)
-        self.attr_values.extend(kept.values())
+        kids = parent.kids
+        kids.append(row)
+        depth = parent.depth + 1
+        # The zeros are filled in when the element or its parent closes.
+        self.rows.append(
+            [
+                node_id,
+                node_id,
+                parent.node_id,
+                len(kids),
+                depth,
+                len(self.runs) - self.run_base + 1,
+                0,
+                0,
+                0,
+                0,
+                self._position() if tag == "a" else 0,
+                tag,
+                parent.inner,
+                NO_POINTERS,
+            ]
+        )
+        if kept:
+            self.attr_keys.extend(kept)
+            self.attr_values.extend(kept.values())
+            self._mark(tag, kept, node_id)
+        elif tag == "img":
+            self._mark(tag, kept, node_id)
         self.attr_ends.append(len(self.attr_keys))
-        self.up.append(parent.inner)
-        self.first.append((0, 0, 0, 0))
-        self._mark(tag, kept, node_id)
         if tag not in VOID:
-            inner = self._enclosing(tag, kept.get("class"), node_id, parent.inner)
-            self._push(_Open(tag, row, node_id, inner, parent.depth + 1))
+            inner = parent.inner
+            css = kept.get("class")
+            if css or tag == "article":
+                inner = self._enclosing(tag, css, node_id, inner)
+            self._push(_Open(tag, row, node_id, inner, depth))
 
     def handle_endtag(self, tag):
-        self._flush()
+        if self.buf:
+            self._flush()
         if self.open_count.get(tag):
             while True:
                 top = self.stack.pop()
@@ -202,12 +244,12 @@ class TreeBatch(HTMLParser):
     def _shut(self, element):
         if element.tag in SIDE_TEXT:
             self.aside -= 1
-        row = element.row
-        ints = self.ints
-        if row >= 0:
-            ints["end_id"][row] = len(self.tags) - self.node_base
-            ints["run_n"][row] = len(self.runs) - self.run_base - ints["run_lo"][row] + 1
-            self.first[row] = tuple(element.first)
+        if element.row >= 0:
+            row = self.rows[element.row]
+            row[END_ID] = len(self.rows) - self.node_base
+            row[RUN_N] = len(self.runs) - self.run_base - row[RUN_LO] + 1
+            if element.first is not NO_POINTERS:
+                row[FIRST_IN] = element.first
         elif element.tag:
             self.muted -= 1
         if element.kids:
@@ -216,20 +258,19 @@ class TreeBatch(HTMLParser):
     def _seat(self, family):
         """Give the children of one parent their places and section bounds."""
         place = lo = len(self.kids) - self.kid_base + 1
-        pos, sec_lo, sec_end = (self.ints[n] for n in ("kid_pos", "sec_lo", "sec_end"))
-        for row in family:
-            pos[row] = place
-            sec_lo[row] = lo
+        rows = [self.rows[r] for r in family]
+        for row in rows:
+            row[KID_POS] = place
+            row[SEC_LO] = lo
             place += 1
-            if self.tags[row] in HEADINGS:
+            if row[TAG] in HEADINGS:
                 lo = place
         end = place
-        for row in reversed(family):
-            sec_end[row] = end
-            if self.tags[row] in HEADINGS:
-                end = pos[row]
-        base = self.node_base - 1
-        self.kids.extend([row - base for row in family])
+        for row in reversed(rows):
+            row[SEC_END] = end
+            if row[TAG] in HEADINGS:
+                end = row[KID_POS]
+        self.kids.extend([row[0] for row in rows])
 
     def _mark(self, tag, kept, node_id):
         if tag == "a":
@@ -246,6 +287,8 @@ class TreeBatch(HTMLParser):
             for element in reversed(self.stack):
                 if element.first[mark]:
                     break
+                if element.first is NO_POINTERS:
+                    element.first = [0, 0, 0, 0]
                 element.first[mark] = node_id
 
     @staticmethod
@@ -265,12 +308,7 @@ class TreeBatch(HTMLParser):
 
     def _position(self):
         """1-based character position of the current tag in the page."""
-        line, column = self.getpos()
-        if line == 1:
-            return column + 1
-        if self.line_starts is None:
-            self.line_starts = [0] + [m.end() for m in re.finditer("\n", self.rawdata)]
-        return self.line_starts[line - 1] + column + 1
+        return self.page_size - len(self.rawdata) + self.tag_at + 1
 
     # -- Arrow --------------------------------------------------------------
     def to_arrow(self) -> pa.StructArray:
@@ -280,14 +318,20 @@ class TreeBatch(HTMLParser):
             columns = zip(*rows) if rows else [[] for _ in names]
             return pa.StructArray.from_arrays([pa.array(c, int32) for c in columns], list(names))
 
+        columns = list(zip(*self.rows)) if self.rows else [()] * len(ROW)
         attrs = pa.MapArray.from_arrays(
             pa.array(self.attr_ends, int32),
             pa.array(self.attr_keys, text),
             pa.array(self.attr_values, text),
         )
         node = pa.StructArray.from_arrays(
-            [pa.array(self.ints[n], int32) for n in NODE_INTS]
-            + [pa.array(self.tags, text), attrs, pointers(UP, self.up), pointers(FIRST, self.first)],
+            [pa.array(c, int32) for c in columns[: len(NODE_INTS)]]
+            + [
+                pa.array(columns[TAG], text),
+                attrs,
+                pointers(UP, columns[TAG + 1]),
+                pointers(FIRST, columns[FIRST_IN]),
+            ],
             [*NODE_INTS, "tag", "attrs", "up", "first"],
         )
         return pa.StructArray.from_arrays(
@@ -306,9 +350,14 @@ class TreeBatch(HTMLParser):
 @F.arrow_udf(returnType=PAGE_TREE)
 def _page_tree(pages: pa.Array) -> pa.Array:
     batch = TreeBatch()
-    for page in pages:
-        batch.add(page.as_py())
-    return batch.to_arrow()
+    # The rows of a batch all live until its end: nothing to collect before.
+    gc.disable()
+    try:
+        for page in pages:
+            batch.add(page.as_py())
+        return batch.to_arrow()
+    finally:
+        gc.enable()
 
 
 def page_tree(html: Column) -> Column:
