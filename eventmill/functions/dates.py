@@ -20,7 +20,11 @@ MONTHS = [
 ]
 MONTH = "(?:" + "|".join(f"{name}|{name[:3]}" for name in MONTHS) + ")"
 WEEKDAY = r"(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)?(?:day|sday|nesday|rsday|urday)?"
-LONG_DATE = rf"\b{WEEKDAY},?\s*{MONTH}\s+\d{{1,2}}(?:,\s*\d{{4}})?\b"
+# The lookaheads only give up early where neither a weekday nor a month can start.
+AT_WEEKDAY, AT_MONTH = r"(?=[\s,JFMASONDTWdsnru])", "(?=[JFMASOND])"
+LONG_DATE = (
+    rf"\b{AT_WEEKDAY}{WEEKDAY},?\s*{AT_MONTH}{MONTH}\s+\d{{1,2}}(?:,\s*\d{{4}})?\b"
+)
 ISO_DATE = r"\b\d{4}-\d{2}-\d{2}\b"
 NUMERIC_DATE = r"\b\d{1,2}/\d{1,2}/\d{2,4}\b"
 SHORT_NUMERIC_DATE = r"\b\d{1,2}/\d{1,2}/\d{2}\b"

@@ -56,9 +56,11 @@ def is_stop_title(title: Column, layout: str) -> Column:
 
 
 def drop_calendar_noise(c: Column, trim_arrow: bool = True) -> Column:
+    """A clean text without the texts of calendar links."""
     view = VIEW_LINK_ARROW if trim_arrow else VIEW_LINK
     no_links = F.regexp_replace(c, F.lit(CALENDAR_LINKS), F.lit(""))
-    return clean_text(F.regexp_replace(no_links, F.lit(view), F.lit("")))
+    rest = clean_text(F.regexp_replace(no_links, F.lit(view), F.lit("")))
+    return F.when(c.rlike("(?i)google calendar|view event"), rest).otherwise(c)
 
 
 def format_time(start: Column, end: Column) -> Column:

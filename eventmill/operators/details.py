@@ -11,11 +11,12 @@ from eventmill.functions.urls import resolve_url, url_parts
 from eventmill.operators import shape
 from eventmill.operators.tree import with_tree
 from eventmill.schema import DETAIL_LAYOUTS, Options
+from eventmill.session import checkpointed
 
 
 def article_details(pages: DataFrame, opts: Options = Options()) -> DataFrame:
     """url -> description, image and what the description says of the event."""
-    read = with_tree(pages.select("page_id", "url", "html")).select(
+    read = with_tree(pages.select("url", "html")).select(
         "url",
         shape.article_description().alias("description"),
         shape.article_image().alias("image"),
@@ -50,15 +51,18 @@ def enrich(records: DataFrame, detail_pages: DataFrame, opts: Options = Options(
 
     Only pages some record asks for are read, each address once. Records that
     ask for none get a join key of their own that no address equals, so they
-    spread over the tasks instead of meeting in one.
+    spread over the tasks instead of meeting in one; an address that many
+    records share is split by AQE.
     """
+    # Looked at twice, for its addresses and for its rows: found out only once.
+    records = checkpointed(records)
     wanted = detail_candidates(records).select("url").distinct()
-    asked = detail_pages.join(wanted, "url", "left_semi")
-    # Copies of a page: the first one counts, picked before any is read.
-    one_each = asked.groupBy("url").agg(
-        F.min_by(F.struct("page_id", "html"), "page_id").alias("page")
-    )
-    found = article_details(one_each.select("url", "page.page_id", "page.html"), opts)
+    # Copies of a page: the first one counts. It is chosen by its number, so
+    # copies are gone before any page text moves.
+    firsts = detail_pages.groupBy("url").agg(F.min("page_id").alias("page_id"))
+    asked = firsts.join(wanted, "url", "left_semi")
+    one_each = detail_pages.join(asked, ["url", "page_id"])
+    found = article_details(one_each, opts)
     values = [c for c in found.columns if c != "url"]
     found = found.select(F.col("url").alias("_at"), *[F.col(c).alias(f"_{c}") for c in values])
     asks = F.col("parser").isin(DETAIL_LAYOUTS)

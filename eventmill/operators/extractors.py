@@ -423,7 +423,7 @@ def extract_items(
                 "image_parts": link_parts(F.col("image")),
             }
         )
-        .filter(failed | (F.col("own_date") != "") | ~those(lambda v: v.needs_date))
+        .filter(failed | ~those(lambda v: v.needs_date) | (F.col("own_date") != ""))
     )
     lacks = F.col("own_date") if opts.run_date_if_unparsed else F.col("date_text")
     start = F.when(run_date & (lacks == ""), F.lit(scraped_at[:10])).otherwise(F.col("own_date"))

@@ -360,6 +360,11 @@ def _page_tree(pages: pa.Array) -> pa.Array:
         gc.enable()
 
 
+# Marked so that the optimizer reads each page once: it would otherwise move a
+# filter on `error` below a join and read the pages there a first time.
+_page_tree = _page_tree.asNondeterministic()
+
+
 def page_tree(html: Column) -> Column:
     """Tree of one page: struct<nodes, runs, kids, error>."""
     return _page_tree(html)
