@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventmill.schema import LAYOUTS, Options
+from eventmill.session import spread
 
 RUN_AT = "2026-07-02T12:00:00+00:00"
 RUN_OPTIONS = Options(base_date="2026-07-01")
@@ -68,7 +69,7 @@ def written(day: Column, priority: Column) -> Column:
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with the words their pages use."""
-    raw = table(spark, sf_dir, "orders").select(
+    raw = spread(table(spark, sf_dir, "orders")).select(
         F.col("o_orderkey").alias("k"),
         F.col("o_orderkey").cast("string").alias("ks"),
         F.floor(F.col("o_orderkey") / PER_PAGE).cast("long").alias("page_id"),

@@ -41,3 +41,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="eventmill-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain table scan with at least one task per core.
+
+    A table of one small file is one task, however much work its rows are. A
+    scan that already has enough splits, as any large table has, stays as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from eventmill.session import spread
+
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).select("page_id", "url", "html")
+    return spread(spark.read.parquet(path).select("page_id", "url", "html"))
