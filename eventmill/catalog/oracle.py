@@ -6,7 +6,7 @@ from the orders themselves; they read no page that was rendered.
 
 from __future__ import annotations
 
-from eventmill.catalog.render import EARLY, PATHS, RUN_AT, WELCOME  # noqa: F401
+from eventmill.catalog.render import RUN_AT, WELCOME
 from eventmill.schema import LAYOUTS, RECORD_FIELDS
 
 TODAY = RUN_AT[:10]

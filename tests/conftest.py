@@ -34,7 +34,7 @@ def run_page(spark):
             [(0, "Example", url, parser, kind)],
             "source_ord int, name string, url string, parser string, kind string",
         )
-        found = dedupe(records_of(scrape(pages, registry, run_at, opts or Options())))
+        found = dedupe(records_of(scrape(pages, registry, run_at, opts or Options(), [parser])))
         rows = found.orderBy(*[F.col(c) for c in ORDER]).select(*RECORD_FIELDS).collect()
         return [row.asDict() for row in rows]
 
