@@ -11,7 +11,7 @@ from datetime import date
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from eventmill.functions.text import blank_to_null, clean_text
+from eventmill.functions.text import blank_to_null, clean_text, or_else
 
 # The accepted ways to write a date.
 MONTHS = [
@@ -68,7 +68,7 @@ def drop_all_dates(c: Column) -> Column:
     rest = c
     for pattern in (LONG_DATE, NUMERIC_DATE, ISO_DATE):
         rest = F.regexp_replace(rest, F.lit("(?U)" + pattern), F.lit(""))
-    return F.coalesce(blank_to_null(clean_text(rest)), c)
+    return or_else(clean_text(rest), c)
 
 
 def iso_date(c: Column) -> Column:
@@ -81,10 +81,8 @@ def numeric_date(c: Column, long_years: bool = False) -> Column:
 
 def post_date(c: Column, any_case: bool = False, long_years: bool = False) -> Column:
     """ISO before numeric before long form, wherever they stand in the text."""
-    return F.coalesce(
-        blank_to_null(iso_date(c)),
-        blank_to_null(numeric_date(c, long_years)),
-        long_date_first(c, any_case),
+    return or_else(
+        iso_date(c), or_else(numeric_date(c, long_years), long_date_first(c, any_case))
     )
 
 

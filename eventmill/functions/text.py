@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,6 +33,17 @@ def blank_to_null(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)` with `value` worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def or_else(value: Column, other: Column) -> Column:
+    """`value` unless it is blank, then `other`; neither is worked out twice,
+    as NULLIF would inside a lambda function."""
+    return let(value, lambda v: F.when(v != "", v).otherwise(other))
+
+
 def joined(*parts: Column) -> Column:
     """Non-blank parts with one space between them."""
     return F.concat_ws(" ", *[blank_to_null(p) for p in parts])

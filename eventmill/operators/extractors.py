@@ -24,6 +24,8 @@ from eventmill.functions.text import (
     drop_calendar_noise,
     is_stop_title,
     joined,
+    let,
+    or_else,
 )
 from eventmill.functions.urls import link_parts, resolve_parts, resolve_url, srcset_first, url_path
 from eventmill.operators import shape
@@ -78,7 +80,7 @@ def _text_headings() -> Column:
 # -- X1 ---------------------------------------------------------------------
 def _events(opts: Options) -> Column:
     def raw(n: Column) -> Column:
-        return shape.let(shape.enclosing_event(n), lambda event: texts(n, event))
+        return let(shape.enclosing_event(n), lambda event: texts(n, event))
 
     def texts(n: Column, event: Column) -> Column:
         is_card = event.isNotNull()
@@ -104,7 +106,7 @@ def _events(opts: Options) -> Column:
         date_text = dates.long_date_first(t["block"], opts.any_case_dates)
         if opts.date_from_previous:
             earlier = dates.long_date_first(F.trim(t["before"]), opts.any_case_dates)
-            date_text = F.coalesce(blank_to_null(date_text), earlier)
+            date_text = or_else(date_text, earlier)
         return candidate(
             t["node_id"],
             t["href"],
@@ -146,17 +148,19 @@ def _dated_list(opts: Options) -> Column:
     )
 
     def one(n: Column, date: Column) -> Column:
-        block = shape.block_text(n)
         own_image = shape.image_source(n, opts.lazy_images)
         near_image = shape.first_image(shape.siblings_after(n, 12), opts.lazy_images)
-        return candidate(
-            n["node_id"],
-            shape.first_link(n),
-            title=shape.text(n),
-            image=F.coalesce(blank_to_null(own_image), near_image),
-            date_text=date,
-            details=block,
-            describe=block,
+        return let(
+            shape.block_text(n),
+            lambda block: candidate(
+                n["node_id"],
+                shape.first_link(n),
+                title=shape.text(n),
+                image=or_else(own_image, near_image),
+                date_text=date,
+                details=block,
+                describe=block,
+            ),
         )
 
     def stretch(d: Column, end: Column) -> Column:
@@ -165,7 +169,7 @@ def _dated_list(opts: Options) -> Column:
         return F.transform(listed, lambda n: one(n, d["date"]))
 
     page_end = F.size(shape.nodes()) + 1
-    under_dates = shape.let(
+    under_dates = let(
         dated,
         lambda ds: F.transform(
             ds, lambda d, i: stretch(d, F.coalesce(F.get(ds, i + 1)["at"], page_end))
@@ -186,7 +190,7 @@ def _post_texts(n: Column, opts: Options, before: int, after: int) -> Column:
         shape.first_link(n).alias("href"),
         F.trim(shape.previous_text(n, before) if before else F.lit("")).alias("before"),
         F.trim(shape.following_text(n, after)).alias("after"),
-        F.coalesce(blank_to_null(own_image), near_image).alias("image"),
+        or_else(own_image, near_image).alias("image"),
     )
 
 
@@ -228,19 +232,21 @@ def _is_link(n: Column) -> Column:
 
 def _links(opts: Options) -> Column:
     def raw(n: Column) -> Column:
-        text = shape.text(n)
-        context = joined(text, F.trim(shape.following_text(n, 180)))
+        return let(shape.text(n), lambda text: texts(n, text))
+
+    def texts(n: Column, text: Column) -> Column:
+        context = joined(text, F.trim(shape.following_text(n, 180))) if opts.link_context else text
         return F.struct(
             n["node_id"].alias("node_id"),
             text.alias("text"),
-            (context if opts.link_context else text).alias("context"),
+            context.alias("context"),
             shape.attr(n, "href").alias("href"),
             shape.image_source(n, opts.lazy_images).alias("image"),
         )
 
     def finish(t: Column) -> Column:
         found = dates.post_date(t["context"], opts.any_case_dates, opts.long_numeric_years)
-        return shape.let(found, lambda date_text: dated(t, date_text))
+        return let(found, lambda date_text: dated(t, date_text))
 
     def dated(t: Column, date_text: Column) -> Column:
         text = t["text"]
@@ -252,7 +258,7 @@ def _links(opts: Options) -> Column:
                 F.substring(text, F.lit(1), at - 1),
                 F.substring(text, at + F.char_length(date_text), F.char_length(text)),
             )
-            title = F.coalesce(blank_to_null(clean_text(F.when(at > 0, rest))), text)
+            title = or_else(clean_text(F.when(at > 0, rest)), text)
         return F.when(
             date_text != "",
             candidate(
@@ -293,15 +299,15 @@ def _cards(opts: Options) -> Column:
         ),
         lambda link: url_path(link["url"]).startswith(blog),
     )
-    firsts = shape.let(
+    firsts = let(
         F.sort_array(to_articles),
         lambda ls: F.filter(ls, lambda x, i: (i == 0) | (F.get(ls, i - 1)["url"] != x["url"])),
     )
 
     def raw(link: Column) -> Column:
-        return shape.let(
+        return let(
             shape.node(link["at"]),
-            lambda n: shape.let(shape.enclosing_card(n), lambda card: texts(n, card)),
+            lambda n: let(shape.enclosing_card(n), lambda card: texts(n, card)),
         )
 
     def texts(n: Column, card: Column) -> Column:
@@ -312,7 +318,7 @@ def _cards(opts: Options) -> Column:
         if opts.nearby_context:
             near, alone = shape.nearby(F.col("html"), n, 1200), card.isNull()
             near_title = clean_text(F.regexp_extract(near, NEAR_ALT, 1))
-            title = F.coalesce(blank_to_null(title), F.when(alone, near_title))
+            title = or_else(title, F.when(alone, near_title))
             blurb = F.when(alone, _near_blurb(near)).otherwise(blurb)
             image = F.when(alone, _near_image(near)).otherwise(image)
         return F.struct(
@@ -332,9 +338,9 @@ def _cards(opts: Options) -> Column:
             t["href"],
             title=title,
             image=t["image"],
-            date_text=F.coalesce(blank_to_null(found), dates.month_year(title)),
+            date_text=or_else(found, dates.month_year(title)),
             details=blurb,
-            describe=F.coalesce(blank_to_null(blurb), title),
+            describe=or_else(blurb, title),
         )
 
     return F.filter(
@@ -354,11 +360,7 @@ def _near_image(near: Column) -> Column:
     def value(name: str) -> Column:
         return F.regexp_extract(tag, rf"""(?i)(?<![\w-]){name}=["']([^"']+)["']""", 1)
 
-    return F.coalesce(
-        blank_to_null(value("src")),
-        blank_to_null(srcset_first(value("srcset"))),
-        value("data-src"),
-    )
+    return or_else(value("src"), or_else(srcset_first(value("srcset")), value("data-src")))
 
 
 EXTRACTORS: dict[str, Layout] = {

@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventmill.functions.text import blank_to_null, clean_text, joined
+from eventmill.functions.text import clean_text, let, or_else, shorten
 from eventmill.functions.urls import srcset_first
 from eventmill.operators.tree import HEADINGS
 
@@ -25,11 +25,6 @@ def nodes() -> Column:
     return F.col("nodes")
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """`body(value)` with `value` worked out once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def node(node_id: Column) -> Column:
     """The element with this id, NULL for 0."""
     return F.get(nodes(), node_id - 1)
@@ -85,10 +80,13 @@ def following_text(n: Column, limit: int) -> Column:
     `limit` siblings with text are always enough, so a long run of siblings is
     only read to the end where the near ones turn out to be empty.
     """
-    near = _texts(siblings_after(n, limit))
-    enough = (F.char_length(near) >= limit) | (n["sec_end"] - n["kid_pos"] - 1 <= limit)
-    full = F.when(enough, near).otherwise(_texts(siblings_after(n)))
-    return F.substring(full, 1, limit)
+    is_all = n["sec_end"] - n["kid_pos"] - 1 <= limit
+
+    def enough(near: Column) -> Column:
+        longer = _texts(siblings_after(n))
+        return F.when(is_all | (F.char_length(near) >= limit), near).otherwise(longer)
+
+    return F.substring(let(_texts(siblings_after(n, limit)), enough), 1, limit)
 
 
 def previous_text(n: Column, limit: int) -> Column:
@@ -96,7 +94,13 @@ def previous_text(n: Column, limit: int) -> Column:
     document order, then their first `limit` characters."""
 
     def grow(have: Column, i: Column) -> Column:
-        return F.when(F.char_length(have) >= limit, have).otherwise(joined(text(node(i)), have))
+        longer = let(
+            text(node(i)),
+            lambda t: F.when(t == "", have)
+            .when(have == "", t)
+            .otherwise(F.concat(t, F.lit(" "), have)),
+        )
+        return F.when(F.char_length(have) >= limit, have).otherwise(longer)
 
     near_first = F.reverse(siblings_before(n))
     return F.aggregate(near_first, F.lit(""), grow, lambda t: F.substring(t, 1, limit))
@@ -121,11 +125,12 @@ def first_link(n: Column) -> Column:
 
 def image_source(n: Column, lazy: bool = False) -> Column:
     """Address in the first image inside `n`, blank if there is none."""
-    image = node(n["first"]["image"])
-    choices = [blank_to_null(attr(image, "src")), blank_to_null(srcset_first(attr(image, "srcset")))]
-    if lazy:
-        choices.append(blank_to_null(attr(image, "data-src")))
-    return F.coalesce(*choices, F.lit(""))
+
+    def source(image: Column) -> Column:
+        spare = attr(image, "data-src") if lazy else F.lit("")
+        return or_else(attr(image, "src"), or_else(srcset_first(attr(image, "srcset")), spare))
+
+    return F.when(n["first"]["image"] > 0, let(node(n["first"]["image"]), source)).otherwise("")
 
 
 def first_image(ids: Column, lazy: bool = False) -> Column:
@@ -152,11 +157,8 @@ def card_description(card: Column) -> Column:
 
 
 def card_title(link: Column, card: Column) -> Column:
-    return F.coalesce(
-        blank_to_null(text(link)),
-        blank_to_null(clean_text(attr(link, "aria-label"))),
-        clean_text(attr(node(card["first"]["alt"]), "alt")),
-    )
+    alt = clean_text(attr(node(card["first"]["alt"]), "alt"))
+    return or_else(text(link), or_else(clean_text(attr(link, "aria-label")), alt))
 
 
 def meta(name: str) -> Column:
@@ -178,8 +180,6 @@ def nearby(html: Column, n: Column, radius: int) -> Column:
 
 def article_description(limit: int = 4000) -> Column:
     """Distinct body texts of a detail page, else its meta description."""
-    from eventmill.functions.text import shorten
-
     main = F.get(F.filter(nodes(), lambda n: n["tag"] == "main"), F.lit(0))
 
     def body_texts(inside: Column) -> Column:
@@ -199,8 +199,8 @@ def article_description(limit: int = 4000) -> Column:
         F.coalesce(main["node_id"], F.lit(0)).alias("lo"),
         F.coalesce(main["end_id"], F.size(nodes())).alias("hi"),
     )
-    bodies = let(span, body_texts)
-    return F.coalesce(blank_to_null(shorten(bodies, limit)), meta("description"))
+    bodies = let(let(span, body_texts), lambda t: shorten(t, limit))
+    return or_else(bodies, meta("description"))
 
 
 def article_image(lazy: bool = True) -> Column:
@@ -212,9 +212,7 @@ def article_image(lazy: bool = True) -> Column:
     from_body = F.when(main.isNotNull(), image_source(main, lazy)).otherwise(
         image_source(page, lazy)
     )
-    return F.coalesce(
-        blank_to_null(meta("og:image:secure_url")), blank_to_null(meta("og:image")), from_body
-    )
+    return or_else(meta("og:image:secure_url"), or_else(meta("og:image"), from_body))
 
 
 # -- one row per element ----------------------------------------------------
