@@ -411,6 +411,12 @@ def extract_items(
     )
     source = ["source_ord", "page_id", "partner", "source_url", "parser", "kind", "base"]
     run_date = those(lambda v: v.run_date)
+
+    def iso(words: str) -> Column:
+        # Inside `let`, so that Spark generates this step apart from the last one;
+        # together they exceed the size of a Java method.
+        return let(F.col(words), lambda c: dates.normalize_date(c, opts.base_date))
+
     # What several expressions below look at is a column of its own, so that it
     # is worked out once per row.
     items = (
@@ -418,8 +424,8 @@ def extract_items(
         .filter(failed | (F.col("date_text") != "") | run_date)
         .withColumns(
             {
-                "own_date": dates.normalize_date(F.col("date_text"), opts.base_date),
-                "end": dates.normalize_date(F.col("end_text"), opts.base_date),
+                "own_date": iso("date_text"),
+                "end": iso("end_text"),
                 "clocks": places.time_words(F.col("details"), opts.wide_dashes),
                 "link_parts": link_parts(F.col("href")),
                 "image_parts": link_parts(F.col("image")),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,12 +13,24 @@ from eventmill.schema import REGISTRY_SCHEMA
 CONFIG_SCHEMA = T.StructType([T.StructField("partners", T.ArrayType(REGISTRY_SCHEMA))])
 
 
+@F.udf(T.StringType())
+def _yaml_to_json(config):
+    import yaml  # only needed where a registry is kept as YAML
+
+    return json.dumps(yaml.safe_load(config) or {}, default=str)
+
+
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
-    """Sources of a config file: one JSON object with a list under `partners`.
+    """Sources of a config file, JSON or YAML: an object with a `partners` list.
 
     The position in the list becomes `source_ord`. No list, no sources.
     """
-    config = spark.read.schema(CONFIG_SCHEMA).option("multiLine", True).json(path)
+    if path.endswith((".yaml", ".yml")):
+        text = spark.read.text(path, wholetext=True)
+        parsed = F.from_json(_yaml_to_json("value"), CONFIG_SCHEMA)
+        config = text.select(parsed.alias("config")).select("config.*")
+    else:
+        config = spark.read.schema(CONFIG_SCHEMA).option("multiLine", True).json(path)
     return config.select(F.posexplode("partners").alias("source_ord", "source")).select(
         "source_ord", "source.*"
     )

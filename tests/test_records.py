@@ -160,6 +160,19 @@ def test_registry_file(spark, tmp_path):
     assert read_registry(spark, str(path)).count() == 0
 
 
+def test_registry_file_in_yaml(spark, tmp_path):
+    pytest.importorskip("yaml")
+    path = tmp_path / "sources.yaml"
+    path.write_text('partners:\n  - name: "A: b"\n    url: https://a.org\n    parser: rss\n  - name: 7\n')
+    rows = read_registry(spark, str(path)).orderBy("source_ord").collect()
+    assert [tuple(r) for r in rows] == [
+        (0, "A: b", "https://a.org", "rss", None),
+        (1, "7", None, None, None),
+    ]
+    path.write_text("")
+    assert read_registry(spark, str(path)).count() == 0
+
+
 def test_summary(spark, make):
     rows = make({"title": "a", "start_date": "2026-08-01"}, {"title": "b"})
     registry = spark.createDataFrame([(0, "A", "u", "p", None), (1, "B", "v", "p", None)], SOURCE)
