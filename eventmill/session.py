@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,17 +34,33 @@ def local_session(cores: str | int = "*", **extra: str) -> SparkSession:
     return spark
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` stored in the checkpoint folder, read back from there.
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder's name under the one the cluster names in spark.checkpoint.dir.
 
-    The folder is the one the cluster names in spark.checkpoint.dir; only a
-    session without one (a test) gets a folder of its own.
+    Executors and driver see the same files there. Only a session on one machine
+    may lack the setting (a test); it gets a temporary folder for its lifetime.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="eventmill-checkpoint-"))
-    return df.checkpoint(eager=True)
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="eventmill-shared-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/eventmill-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """`df` written as Parquet to the shared folder and read back from there.
+
+    This cuts the lineage, outlives lost executors, and gives the optimizer a
+    table with sizes and columns to prune.
+    """
+    folder = shared_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+checkpointed = stored
 
 
 def spread(scan: DataFrame) -> DataFrame:
