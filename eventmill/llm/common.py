@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 # Words are runs of anything but ASCII white space.
 BLANKS = r"[\x20\x09-\x0D]+"
+BLANK_CHARS = " \t\n\x0b\x0c\r"
 #: Buckets that a key's rows are dealt to when running sums are formed.
 BUCKETS = 256
 
 
 def word_list(text: Column) -> Column:
     """The words of a text; none for null."""
-    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), rf"^{BLANKS}|{BLANKS}\z", "")
+    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANK_CHARS))
     return F.when(F.length(trimmed) > 0, F.split(trimmed, BLANKS)).otherwise(
         F.array().cast("array<string>")
     )
@@ -21,8 +22,7 @@ def word_list(text: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     """The number of words; 0 for null."""
-    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), rf"^{BLANKS}|{BLANKS}\z", "")
-    return F.when(F.length(trimmed) > 0, F.size(F.split(trimmed, BLANKS))).otherwise(0).cast("long")
+    return F.size(word_list(text)).cast("long")
 
 
 def let(value: Column, body) -> Column:

@@ -5,13 +5,21 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from eventmill.llm import packing
+from eventmill.llm import packing, quality
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def _table(spark, sf_dir, name):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op9_quality(spark, sf_dir):
+    return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_packing(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = _table(spark, sf_dir, "documents")
     return packing.pack(docs, WORD_TOKENIZER).select(
         "doc_id",
         "start",
@@ -25,5 +33,5 @@ def op5_packing(spark, sf_dir):
     )
 
 
-QUERIES = {"op5_packing": op5_packing}
+QUERIES = {"op5_packing": op5_packing, "op9_quality": op9_quality}
 ORACLES: dict[str, str] = {}
