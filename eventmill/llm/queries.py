@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from eventmill.llm import packing, quality
+from eventmill.llm import minhash, packing, quality
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -14,6 +14,10 @@ def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_minhash(spark, sf_dir):
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def op9_quality(spark, sf_dir):
     return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -33,5 +37,5 @@ def op5_packing(spark, sf_dir):
     )
 
 
-QUERIES = {"op5_packing": op5_packing, "op9_quality": op9_quality}
+QUERIES = {"op1_minhash": op1_minhash, "op5_packing": op5_packing, "op9_quality": op9_quality}
 ORACLES: dict[str, str] = {}
