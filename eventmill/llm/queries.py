@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from eventmill.llm import minhash, packing, quality
+from eventmill.llm import minhash, mixing, packing, quality
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -18,6 +18,11 @@ def op1_minhash(spark, sf_dir):
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op8_mixing(spark, sf_dir):
+    pieces = mixing.mix(_table(spark, sf_dir, "documents"))
+    return mixing.taken(pieces).drop("row_key")
+
+
 def op9_quality(spark, sf_dir):
     return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -37,5 +42,5 @@ def op5_packing(spark, sf_dir):
     )
 
 
-QUERIES = {"op1_minhash": op1_minhash, "op5_packing": op5_packing, "op9_quality": op9_quality}
+QUERIES = {"op1_minhash": op1_minhash, "op8_mixing": op8_mixing, "op5_packing": op5_packing, "op9_quality": op9_quality}
 ORACLES: dict[str, str] = {}
