@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from eventmill.llm import minhash, mixing, packing, quality
+from eventmill.llm import minhash, mixing, packing, quality, sharding
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -23,6 +23,18 @@ def op8_mixing(spark, sf_dir):
     return mixing.taken(pieces).drop("row_key")
 
 
+def op6_sharding(spark, sf_dir):
+    return sharding.kd_tree(_table(spark, sf_dir, "documents"), 24).select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op9_quality(spark, sf_dir):
     return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -42,5 +54,5 @@ def op5_packing(spark, sf_dir):
     )
 
 
-QUERIES = {"op1_minhash": op1_minhash, "op8_mixing": op8_mixing, "op5_packing": op5_packing, "op9_quality": op9_quality}
+QUERIES = {"op1_minhash": op1_minhash, "op8_mixing": op8_mixing, "op6_sharding": op6_sharding, "op5_packing": op5_packing, "op9_quality": op9_quality}
 ORACLES: dict[str, str] = {}
