@@ -12,6 +12,8 @@ leave one short sequence.
 
 from __future__ import annotations
 
+import os
+import struct
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 
@@ -27,8 +29,11 @@ WINDOW_TOKENS = 1 << 20
 #: Tokens of a step group: sequences of one tier that one training step takes.
 STEP_TOKENS = 1 << 16
 #: Words whose ids a worker remembers; beyond it starts afresh.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 1_000_000
 _TEXT_SLICE = 1 << 20
+#: A run of these at a word's end is a token of its own kind, whatever letter is before it.
+MARKS = ".,;:!?*%&$#|+-=()[]/\""
+DIGITS = "0123456789"
 
 SCHEMA = (
     "doc_id long, start long, length long, ids binary, doc_tokens long, "
@@ -45,18 +50,41 @@ class Encoder:
     """
 
     def __init__(self, path: str, limit: int = CACHE_WORDS):
+        # Tasks already use every core; threads within one would only wait for each other.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), limit, {}
 
     def learn(self, words: list[bytes]) -> None:
-        if len(self.known) + len(words) > self.limit:
+        """Remember the ids of words; those before a run of marks are shared by all its forms."""
+        if len(self.known) + 2 * len(words) > self.limit:
             self.known.clear()
-        texts = [w.decode("utf-8") for w in words]
-        for word, found in zip(
-            words, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True
-        ):
-            self.known[word] = b"".join([i.to_bytes(4, "little") for i in found.ids])
+        known, parts = self.known, []
+        for word in words:
+            text = word.decode("utf-8")
+            stem = text.rstrip(MARKS)
+            if len(stem) == len(text) or not stem or not (stem[-1].isalpha() or stem[-1] in DIGITS):
+                stem = text
+            parts.append((word, stem.encode("utf-8"), text[len(stem) :].encode("utf-8")))
+        new = {part for _, *both in parts for part in both if part not in known}
+        # A word of plain letters is one pre-token and needs the model alone.
+        tokenize, other = self.tokenizer.model.tokenize, []
+        for part in new:
+            if part.isalpha() and part.islower():
+                ids = [token.id for token in tokenize(part.decode("ascii"))]
+                known[part] = struct.pack(f"<{len(ids)}I", *ids)
+            else:
+                other.append(part)
+        found = self.tokenizer.encode_batch_fast(
+            [part.decode("utf-8") for part in other], add_special_tokens=False
+        )
+        for part, encoding in zip(other, found, strict=True):
+            ids = encoding.ids
+            known[part] = struct.pack(f"<{len(ids)}I", *ids)
+        for word, stem, tail in parts:
+            if tail:
+                known[word] = known[stem] + known[tail]
 
     def encode(self, text: str | None) -> bytes:
         data = (text or "").encode("utf-8", "replace")
