@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventmill.session import stored
+
 # Words are runs of anything but ASCII white space.
 BLANKS = r"[\x20\x09-\x0D]+"
 BLANK_CHARS = " \t\n\x0b\x0c\r"
@@ -64,3 +66,32 @@ def in_hash_order(
         .withColumn(start, F.col("_base") + F.col("_in"))
         .drop("_order", "_measure", "_bucket", "_in", "_base", "_k_bucket", *[f"_k_{k}" for k in keys])
     )
+
+
+def in_range_order(df: DataFrame, keys: list[str], order: list[Column], place: str) -> DataFrame:
+    """Add `place`, the row's 0-based place among its key's rows in the given order.
+
+    The table is sorted in ranges of (keys, order), so a large key lies in many of
+    them; a row's place is that within its range plus the rows of its key in earlier
+    ranges. Only one count per range and key goes through a window. Keys may be null.
+    """
+    by = [*[F.col(k) for k in keys], *order]
+    # Range bounds come from a sample: the outcome is stored, so that all steps see the same.
+    seated = df.repartitionByRange(*by).sortWithinPartitions(*by)
+    seated = stored(seated.withColumn("_seat", F.monotonically_increasing_id()))
+    seated = seated.withColumn("_part", F.shiftrightunsigned("_seat", 33))
+    counts = seated.groupBy(*keys, "_part").agg(F.count("*").alias("_n"), F.min("_seat").alias("_first"))
+    ahead = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys],
+        F.col("_part").alias("_k_part"),
+        (F.coalesce(F.sum("_n").over(ahead), F.lit(0)) - F.col("_first")).alias("_base"),
+    )
+    same = F.col("_part") == F.col("_k_part")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return (
+        seated.join(stored(bases), same)
+        .withColumn(place, F.col("_base") + F.col("_seat"))
+        .drop("_seat", "_part", "_base", "_k_part", *[f"_k_{k}" for k in keys])
+    )

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventmill.llm.common import in_hash_order, word_count, word_list
+from eventmill.llm.common import in_hash_order, in_range_order, word_count, word_list
 from eventmill.session import stored
 
 #: Words of a block, and blocks of an output shard.
@@ -37,20 +37,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], max_repeats: int)
     reach the driver; the rounds are at most the distinct ratios of size to weight,
     and in practice few.
     """
-    first = F.struct(F.col("source").isNull().alias("missing"), F.coalesce("source", F.lit("")).alias("source"))
-    # Places are counted by ranges of the order: a range's rows follow all rows before it.
-    ranged = stored(
-        sizes.select("*", first.alias("first"))
-        .repartitionByRange("first")
-        .sortWithinPartitions("first")
-        .withColumn("seat", F.monotonically_increasing_id())
-    )
-    part = F.shiftrightunsigned("seat", 33)
-    counts = ranged.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
-    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
-    starts = counts.select("part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
-    row = F.col("seat").bitwiseAND(F.lit((1 << 33) - 1))
-    placed = ranged.withColumn("part", part).join(starts, "part").withColumn("place", F.col("before") + row)
+    code_points = [F.col("source").isNull(), F.coalesce("source", F.lit(""))]
+    placed = in_range_order(sizes, [], code_points, "place")
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
     rows = stored(placed.select("source", "source_size", "place", weight.alias("weight")))
     share = None

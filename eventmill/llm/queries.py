@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from eventmill.llm import minhash, mixing, packing, quality, sharding
+from eventmill.llm import licenses, minhash, mixing, packing, quality, sharding, url_filter
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -35,6 +35,20 @@ def op6_sharding(spark, sf_dir):
     )
 
 
+def op7_url_filter(spark, sf_dir):
+    """The labels are those of the document whose number a url's path names."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    number = F.try_to_number(F.regexp_extract("url", r"://[^/]*.*?/(\d{1,18})", 1), F.lit("9" * 18)).cast("long")
+    named = pages.select("page_id", number.alias("number"))
+    labels = _table(spark, sf_dir, "labels").select("doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    return url_filter.judge(pages, named.join(labels, F.col("number") == F.col("doc_id")).select("page_id", "bad"))
+
+
+def op10_licenses(spark, sf_dir):
+    found = licenses.scan(_table(spark, sf_dir, "documents"))
+    return found.withColumn("notices", F.array_join("notices", ","))
+
+
 def op9_quality(spark, sf_dir):
     return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -54,5 +68,5 @@ def op5_packing(spark, sf_dir):
     )
 
 
-QUERIES = {"op1_minhash": op1_minhash, "op8_mixing": op8_mixing, "op6_sharding": op6_sharding, "op5_packing": op5_packing, "op9_quality": op9_quality}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op1_minhash": op1_minhash, "op8_mixing": op8_mixing, "op6_sharding": op6_sharding, "op7_url_filter": op7_url_filter,"op10_licenses": op10_licenses, "op5_packing": op5_packing, "op9_quality": op9_quality}
+ORACLES: dict[str, str] = {"op10_licenses": licenses.oracle()}
