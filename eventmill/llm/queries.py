@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from eventmill.llm import licenses, minhash, mixing, packing, quality, sharding, url_filter
+from eventmill.llm import licenses, minhash, mixing, packing, quality, quotations, sharding, url_filter
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -49,6 +49,10 @@ def op10_licenses(spark, sf_dir):
     return found.withColumn("notices", F.array_join("notices", ","))
 
 
+def op2_quotations(spark, sf_dir):
+    return quotations.conversations(_table(spark, sf_dir, "conversations"))
+
+
 def op9_quality(spark, sf_dir):
     return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -68,5 +72,10 @@ def op5_packing(spark, sf_dir):
     )
 
 
-QUERIES = {"op1_minhash": op1_minhash, "op8_mixing": op8_mixing, "op6_sharding": op6_sharding, "op7_url_filter": op7_url_filter,"op10_licenses": op10_licenses, "op5_packing": op5_packing, "op9_quality": op9_quality}
-ORACLES: dict[str, str] = {"op10_licenses": licenses.oracle()}
+QUERIES = {"op1_minhash": op1_minhash, "op8_mixing": op8_mixing, "op6_sharding": op6_sharding, "op7_url_filter": op7_url_filter,"op10_licenses": op10_licenses, "op2_quotations": op2_quotations, "op5_packing": op5_packing, "op9_quality": op9_quality}
+# The given conversations hold no quotes, so SQL can say what is left of them; tests
+# with planted quotes cover the rest.
+NO_QUOTES = """SELECT conv_id, turn, role, coalesce(text, '') AS text, 0 AS n_quotes, 0 AS n_linked,
+  CAST(NULL AS BIGINT) AS reply_to, turn AS thread, 0 AS depth,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place FROM conversations"""
+ORACLES: dict[str, str] = {"op2_quotations": NO_QUOTES, "op10_licenses": licenses.oracle()}
