@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from eventmill.llm import html_text, licenses, minhash, mixing, packing, quality, quotations, sharding, url_filter
+from eventmill.llm import embeddings, html_text, licenses, minhash, mixing, packing, quality, quotations, sharding, url_filter
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -57,6 +57,10 @@ def op4_html_text(spark, sf_dir):
     return html_text.main_text(_table(spark, sf_dir, "pages"))
 
 
+def op3_embeddings(spark, sf_dir):
+    return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_quality(spark, sf_dir):
     return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -76,7 +80,7 @@ def op5_packing(spark, sf_dir):
     )
 
 
-QUERIES = {"op1_minhash": op1_minhash, "op8_mixing": op8_mixing, "op6_sharding": op6_sharding, "op7_url_filter": op7_url_filter,"op10_licenses": op10_licenses, "op2_quotations": op2_quotations, "op4_html_text": op4_html_text, "op5_packing": op5_packing, "op9_quality": op9_quality}
+QUERIES = {"op1_minhash": op1_minhash, "op8_mixing": op8_mixing, "op6_sharding": op6_sharding, "op7_url_filter": op7_url_filter,"op10_licenses": op10_licenses, "op2_quotations": op2_quotations, "op4_html_text": op4_html_text, "op3_embeddings": op3_embeddings, "op5_packing": op5_packing, "op9_quality": op9_quality}
 # The given conversations hold no quotes, so SQL can say what is left of them; tests
 # with planted quotes cover the rest.
 NO_QUOTES = """SELECT conv_id, turn, role, coalesce(text, '') AS text, 0 AS n_quotes, 0 AS n_linked,
