@@ -12,7 +12,7 @@ shards, and shuffles its pieces locally. All draws are keyed by the seed.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,28 +82,30 @@ def _shard_counts(quotas: DataFrame, total: int, shards: int, seed: int) -> Data
     """(place, starts): the first permuted block of each shard, per source."""
     even = [total * (s + 1) // shards - total * s // shards for s in range(shards)]
 
-    def per_bucket(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("bucket")
+    def counts_of(places: pa.ChunkedArray, counts: np.ndarray, names: list[str]) -> pa.Table:
+        return pa.table([places, pa.array(list(counts), pa.list_(pa.int64()))], names=names)
+
+    def per_bucket(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("bucket")
         counts = split_quotas(rows["quota"].to_numpy(), np.array(even), seed)
-        return pd.DataFrame({"bucket": rows["bucket"], "sizes": list(counts)})
+        return counts_of(rows["bucket"], counts, ["bucket", "sizes"])
 
-    def per_source(key, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("place")
-        sizes = np.array(rows["sizes"].iloc[0])
-        counts = split_quotas(rows["quota"].to_numpy(), sizes, seed + 1 + int(key[0]))
-        ends = np.cumsum(counts, axis=1)
-        return pd.DataFrame({"place": rows["place"], "ends": list(ends)})
+    def per_source(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("place")
+        sizes, bucket = np.array(rows["sizes"][0].as_py()), rows["bucket"][0].as_py()
+        counts = split_quotas(rows["quota"].to_numpy(), sizes, seed + 1 + bucket)
+        return counts_of(rows["place"], np.cumsum(counts, axis=1), ["place", "ends"])
 
     # One row per bucket of SOURCE_BUCKET sources: small for any number of sources.
     bucketed = quotas.withColumn("bucket", F.floor(F.col("place") / SOURCE_BUCKET))
     tops = bucketed.groupBy("bucket").agg(F.sum("quota").alias("quota"))
-    sizes = tops.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(
+    sizes = tops.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(
         per_bucket, "bucket long, sizes array<long>"
     )
     return (
         bucketed.join(sizes, "bucket")
         .groupBy("bucket")
-        .applyInPandas(per_source, "place long, ends array<long>")
+        .applyInArrow(per_source, "place long, ends array<long>")
     )
 
 
