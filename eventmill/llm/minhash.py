@@ -343,3 +343,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         "n_shingles",
         F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of `docs` that `near_duplicates` keeps: one document of each group."""
+    kept = near_duplicates(docs, width, percent).filter("kept").select(F.col("doc_id").alias("_kept_id"))
+    return docs.join(stored(kept), F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")

@@ -211,15 +211,21 @@ def taken(pieces: DataFrame) -> DataFrame:
 
 
 def drawn(docs: DataFrame, pieces: DataFrame) -> DataFrame:
-    """The mix as documents: a row of `docs` for every take, cut where the take is shorter.
+    """The mix as documents: a row of `docs` for every take, in the order of shards and slots.
 
-    Joined on doc_id, so doc_ids are to be unique here. The text of a whole take stays as it is; a cut
-    one has its first words, joined by blanks. n_chars is the new text's length.
+    Joined on doc_id, so doc_ids are to be unique and not null here. The text of a
+    whole take stays as it is; a cut one has its first words, joined by blanks, and
+    n_chars, where there is one, is the new text's length.
     """
     takes = pieces.filter("epoch IS NOT NULL").select(
-        F.col("doc_id").alias("_id"), F.col("words").alias("_words"), F.col("size").alias("_size")
+        F.col("doc_id").alias("_id"),
+        F.col("words").alias("_words"),
+        F.col("size").alias("_size"),
+        F.col("shard").alias("_shard"),
+        F.col("slot").alias("_slot"),
     )
     rows = docs.join(takes, F.col("doc_id") == F.col("_id"))
+    rows = rows.repartition("_shard").sortWithinPartitions("_shard", "_slot")
     cut = F.array_join(F.slice(word_list(F.col("text")), 1, F.col("_words").cast("int")), " ")
     rows = rows.withColumn("text", F.when(F.col("_words") < F.col("_size"), cut).otherwise(F.col("text")))
     if "n_chars" in docs.columns:

@@ -192,28 +192,14 @@ def cutoffs(good: DataFrame, max_false: float = MAX_FALSE, error: float = ERROR)
     )
 
 
-def judge(
-    docs: DataFrame,
-    labels: DataFrame,
-    stratum: str = "lang",
-    max_false: float = MAX_FALSE,
-    error: float = ERROR,
-) -> DataFrame:
-    """Per document its counts, `base_failed`, the rules that reject it, and `kept`.
-
-    `labels` has doc_id and quality (1 is good); rows with a null in either are left
-    out, and a document counts once per label row. Strata are the values of a column
-    of `docs`; null is a stratum. A stratum with too few good labels for a bound has no cutoffs: there
-    only the base decides. Null and empty texts have no words and fail the base.
-    Repeated rows are judged one by one; extra columns of `docs` are ignored.
-    """
-    one = measured(docs.select(F.col("doc_id"), F.col(stratum).alias("stratum"), F.col("text")))
-    counts = stored(one.select("doc_id", "stratum", "stats.*"))
+def _judged(counts: DataFrame, labels: DataFrame, max_false: float, error: float) -> DataFrame:
+    """Add `base_failed`, `rules` and `kept` to stored counts with doc_id and stratum."""
     c = {name: F.col(name) for name in counts.columns}
     # Documents without words have no shares; they fail the base anyway.
     scored = counts.select("*", *[F.coalesce(rule(c), F.lit(0.0)).alias(name) for name, rule in RULES.items()])
     marked = labels.filter("quality = 1").select(F.col("doc_id").alias("_id"))
-    good = scored.filter(~base_failed(c)).join(marked, F.col("doc_id") == F.col("_id"))
+    good = scored.select("doc_id", "stratum", "n_words", "n_repeat_words", *RULES)
+    good = good.filter(~base_failed(c)).join(marked, F.col("doc_id") == F.col("_id"))
     found = cutoffs(good.select("stratum", *RULES), max_false, error)
     per_stratum = found.groupBy(F.col("stratum").alias("_stratum")).agg(
         F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("_cutoffs")
@@ -226,6 +212,8 @@ def judge(
             ]
         )
     )
+    # Stored, so that its size is known before the join: documents then stay where they are.
+    per_stratum = stored(per_stratum)
     judged = scored.join(per_stratum, F.col("stratum").eqNullSafe(F.col("_stratum")), "left")
     return (
         judged.withColumn("base_failed", base_failed(c))
@@ -233,3 +221,41 @@ def judge(
         .withColumn("kept", ~F.col("base_failed") & (F.size("rules") == 0))
         .drop("_stratum", "_cutoffs", *RULES)
     )
+
+
+def judge(
+    docs: DataFrame,
+    labels: DataFrame,
+    stratum: str = "lang",
+    max_false: float = MAX_FALSE,
+    error: float = ERROR,
+) -> DataFrame:
+    """Per document its counts, `base_failed`, the rules that reject it, and `kept`.
+
+    `labels` has doc_id and quality (1 is good); rows with a null in either are left
+    out, and a document counts once per label row. Strata are the values of a column
+    of `docs`; null is a stratum. A stratum with too few good labels for a bound has
+    no cutoffs: there only the base decides. Null and empty texts have no words and
+    fail the base. Repeated rows are judged one by one; extra columns of `docs` are
+    ignored; an empty table gives no rows.
+    """
+    one = measured(docs.select(F.col("doc_id"), F.col(stratum).alias("stratum"), F.col("text")))
+    return _judged(stored(one.select("doc_id", "stratum", "stats.*")), labels, max_false, error)
+
+
+def good_documents(
+    docs: DataFrame,
+    labels: DataFrame,
+    stratum: str = "lang",
+    max_false: float = MAX_FALSE,
+    error: float = ERROR,
+) -> DataFrame:
+    """The rows of `docs`, with all their columns, that `judge` keeps.
+
+    Texts are written once beside their counts and read again where they lie; they
+    are not shuffled.
+    """
+    row = docs.select("doc_id", F.col(stratum).alias("stratum"), "text", F.struct("*").alias("_doc"))
+    one = measured(row).select("doc_id", "stratum", "stats.*", "_doc")
+    judged = _judged(stored(one), labels, max_false, error)
+    return judged.filter("kept").select("_doc.*")
