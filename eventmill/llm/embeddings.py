@@ -463,3 +463,49 @@ def near_duplicates(vectors: DataFrame, limit: float = 0.93, sample: int = SAMPL
         )
         .withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
     )
+
+
+def _audit_task(batches: Iterator[pa.RecordBatch], limit: float):
+    for _, block in _blocks(batches):
+        rows, queries = np.flatnonzero(block.sides == 0), np.flatnonzero(block.sides == 1)
+        if len(rows) and len(queries):
+            counts = (block.x[rows] @ block.x[queries].T >= limit).sum(axis=0)
+            yield pa.record_batch(
+                [pa.array([block.names[q] for q in queries.tolist()], pa.int64()), pa.array(counts, pa.int64())],
+                names=["vec_id", "n"],
+            )
+
+
+def audit_recall(vectors: DataFrame, found: DataFrame, limit: float = 0.93, every: int = 20) -> DataFrame:
+    """One row: n_queries, exact_links, found_links and recall of `near_duplicates`' result.
+
+    Vectors whose id is divisible by `every` are compared with all vectors of their
+    label, block by block. vec_ids are to be unique and not null here.
+    """
+    rows = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), "embedding")
+    units = stored(rows.mapInArrow(_unit_task, "vec_id long, label long, cls binary, vector binary"))
+    units = units.filter("cls IS NOT NULL").withColumn("unit", F.concat_ws("/", "label", F.octet_length("vector")))
+    asked = units.filter(F.col("vec_id") % every == 0)
+
+    def parts(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("unit").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias(name))
+
+    sized = stored(parts(units, "rows").join(parts(asked, "columns"), "unit"))
+
+    def side(df: DataFrame, number: int) -> DataFrame:
+        own, across = ("rows", "columns") if number == 0 else ("columns", "rows")
+        placed = df.join(sized, "unit").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col(own)).cast("int"))
+        placed = placed.withColumn("meets", F.explode(F.sequence(F.lit(0), F.col(across) - 1)))
+        i, j = ("block", "meets") if number == 0 else ("meets", "block")
+        return placed.select("unit", F.col(i).alias("i"), F.col(j).alias("j"), "vec_id", F.lit(number).alias("side"), "vector")
+
+    met = side(units, 0).unionByName(side(asked, 1)).repartition("unit", "i", "j").sortWithinPartitions("unit", "i", "j")
+    exact = met.mapInArrow(lambda b: _audit_task(b, limit), "vec_id long, n long").groupBy("vec_id").agg(
+        (F.sum("n") - 1).alias("exact")  # without the query itself
+    )
+    sums = exact.join(found.select("vec_id", "n_links"), "vec_id").agg(
+        F.count("*").alias("n_queries"),
+        F.coalesce(F.sum("exact"), F.lit(0)).alias("exact_links"),
+        F.coalesce(F.sum("n_links"), F.lit(0)).alias("found_links"),
+    )
+    return sums.withColumn("recall", F.coalesce(F.try_divide("found_links", "exact_links"), F.lit(1.0)))

@@ -347,5 +347,5 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of `docs` that `near_duplicates` keeps: one document of each group."""
-    kept = near_duplicates(docs, width, percent).filter("kept").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(stored(kept), F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+    kept = stored(near_duplicates(docs, width, percent).filter("kept").select("doc_id"))
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")

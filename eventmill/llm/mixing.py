@@ -224,10 +224,11 @@ def drawn(docs: DataFrame, pieces: DataFrame) -> DataFrame:
         F.col("shard").alias("_shard"),
         F.col("slot").alias("_slot"),
     )
-    rows = docs.join(takes, F.col("doc_id") == F.col("_id"))
+    # The document as one column: its own columns may have any names.
+    rows = docs.select(F.struct("*").alias("_doc")).join(takes, F.col("_doc.doc_id") == F.col("_id"))
     rows = rows.repartition("_shard").sortWithinPartitions("_shard", "_slot")
-    cut = F.array_join(F.slice(word_list(F.col("text")), 1, F.col("_words").cast("int")), " ")
-    rows = rows.withColumn("text", F.when(F.col("_words") < F.col("_size"), cut).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast("long"))
-    return rows.select(*docs.columns)
+    whole = F.col("_doc.text")
+    cut = F.array_join(F.slice(word_list(whole), 1, F.col("_words").cast("int")), " ")
+    text = F.when(F.col("_words") < F.col("_size"), cut).otherwise(whole)
+    new = {"text": text, "n_chars": F.length(text).cast("long")}
+    return rows.select(*[new.get(c, F.col(f"_doc.`{c}`")).alias(c) for c in docs.columns])
