@@ -129,7 +129,8 @@ def scan(docs: DataFrame, known=KNOWN) -> DataFrame:
     form = canonical(text)
     rows = docs.select("doc_id", F.xxhash64("doc_id", text).alias("row_key"), text.alias("text"))
     digests = stored(known_digests(docs.sparkSession, known))
-    whole = rows.select("doc_id", "row_key", F.when(form != "", F.md5(form)).alias("digest"))
+    whole = rows.select("doc_id", "row_key", form.alias("form"))
+    whole = whole.select("doc_id", "row_key", F.when(F.col("form") != "", F.md5("form")).alias("digest"))
     lines = rows.filter(F.contains("text", F.lit("\n")) | (F.col("text") != ""))
     lines = lines.select("row_key", F.explode(F.split("text", "\n")).alias("text"))
     found = (

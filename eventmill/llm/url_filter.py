@@ -2,9 +2,9 @@
 
 The paths of a host form a tree of segments. Going down the tree, a segment that
 varies - a number, a hash, a date, or one of many different children of its parent -
-becomes a wildcard. Among the named children that are left, those whose labelled
-share of bad pages does not differ significantly from the rest of their parent are
-merged into one branch. What remains are templates, and a template is rejected if
+becomes a wildcard. The named children that are left are put in the order of their
+labelled share of bad pages, and neighbours whose shares do not differ significantly
+are merged into one branch. What remains are templates, and a template is rejected if
 its share of good labels, smoothed towards its parents' shares, is too low. Rules by
 host and path prefix come before the templates' verdicts. Column expressions only.
 """
@@ -103,19 +103,28 @@ def _generalise(shapes: DataFrame, level: int) -> DataFrame:
         F.sum("bad").alias("all_bad"),
     )
     known = nodes.join(parents, ["host", "template"])
-    n, others = F.col("good") + F.col("bad"), F.col("all_good") + F.col("all_bad") - F.col("good") - F.col("bad")
-    pooled = F.try_divide("all_bad", F.col("all_good") + F.col("all_bad"))
-    spread = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), n) + F.try_divide(F.lit(1.0), others)))
-    gap = F.try_divide("bad", n) - F.try_divide(F.col("all_bad") - F.col("bad"), others)
-    differs = F.coalesce(F.abs(F.try_divide(gap, spread)) > Z, F.lit(False))
-    branch = (
-        F.when(F.col("segment").isNull(), F.lit(""))
-        .when((F.col("segment") == WILD) | (F.col("children") > MAX_CHILDREN), F.lit("/" + WILD))
-        .when(differs, F.concat(F.lit("/"), "segment"))
-        .otherwise(F.lit("/{merged}"))
+    named = F.col("segment").isNotNull() & (F.col("segment") != WILD) & (F.col("children") <= MAX_CHILDREN)
+    # At most MAX_CHILDREN rows per parent: by falling share of good labels, a child
+    # opens a new branch where it differs from the one before it.
+    pooled = F.coalesce(F.try_divide("all_bad", F.col("all_good") + F.col("all_bad")), F.lit(0.0))
+    share = (F.col("bad") + pooled) / (F.col("good") + F.col("bad") + 1)
+    row = Window.partitionBy("host", "template").orderBy(share, "segment")
+    n, last_n = F.col("good") + F.col("bad"), F.lag(F.col("good") + F.col("bad")).over(row)
+    last_bad = F.lag("bad").over(row)
+    both = F.try_divide(F.col("bad") + last_bad, n + last_n)
+    spread = F.sqrt(both * (1 - both) * (F.try_divide(F.lit(1.0), n) + F.try_divide(F.lit(1.0), last_n)))
+    gap = F.abs(F.try_divide("bad", n) - F.try_divide(last_bad, last_n))
+    opens = F.coalesce(F.try_divide(gap, spread) > Z, F.lit(False)).cast("int")
+    clusters = known.filter(named).withColumn("opens", opens)
+    clusters = clusters.withColumn("cluster", F.sum("opens").over(row))
+    members = F.array_sort(F.collect_set("segment").over(Window.partitionBy("host", "template", "cluster")))
+    name = F.when(F.size(members) > 1, F.concat(F.lit("{"), F.array_join(members, "|"), F.lit("}")))
+    clusters = clusters.select(
+        "host", "template", "segment", F.concat(F.lit("/"), F.coalesce(name, "segment")).alias("branch")
     )
-    branches = known.select("host", "template", "segment", branch.alias("branch"))
-    branches = stored(branches).select(
+    plain = F.when(F.col("segment").isNull(), F.lit("")).otherwise(F.lit("/" + WILD))
+    others = known.filter(~F.coalesce(named, F.lit(False))).select("host", "template", "segment", plain.alias("branch"))
+    branches = stored(clusters.unionByName(others)).select(
         F.col("host").alias("_host"), F.col("template").alias("_template"), F.col("segment").alias("_segment"), "branch"
     )
     same = (
