@@ -200,22 +200,25 @@ def _lengths(a: list, b: list) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(zeros)])
 
 
-def _parse_task(batches: Iterator[pa.RecordBatch]):
+def _lines_task(batches: Iterator[pa.RecordBatch]):
+    """Zones of a page's blocks, and the hashes of those outside the main zone."""
     for batch in batches:
-        blocks, zones, lines = [], [], []
+        zones, lines = [], []
         for html in batch.column(3):
             texts, where = page_blocks(html.as_py())
-            blocks.append(texts)
             zones.append(where)
             lines.append([xxhash.xxh3_64_intdigest(t) - (1 << 63) for t, z in zip(texts, where, strict=True) if z != MAIN])
         yield pa.record_batch(
-            [
-                *batch.columns[:3],
-                pa.array(blocks, pa.list_(pa.string())),
-                pa.array(zones, pa.list_(pa.int8())),
-                pa.array(lines, pa.list_(pa.int64())),
-            ],
-            names=["row_id", "page_id", "url", "blocks", "zones", "lines"],
+            [*batch.columns[:3], pa.array(zones, pa.list_(pa.int8())), pa.array(lines, pa.list_(pa.int64()))],
+            names=["k1", "k2", "url", "zones", "lines"],
+        )
+
+
+def _blocks_task(batches: Iterator[pa.RecordBatch]):
+    for batch in batches:
+        blocks = [page_blocks(html.as_py())[0] for html in batch.column(4)]
+        yield pa.record_batch(
+            [*batch.columns[:4], pa.array(blocks, pa.list_(pa.string()))], names=["k1", "k2", "url", "page_id", "blocks"]
         )
 
 
@@ -238,9 +241,9 @@ def kept_blocks(zones: list[int], lines: list[int], neighbours: list[list[int] |
 
 def _difference_task(batches: Iterator[pa.RecordBatch]):
     for batch in batches:
-        columns = [batch.column(k).to_pylist() for k in range(5)]
-        keep = [kept_blocks(z, own, [before, after]) for _, z, own, before, after in zip(*columns, strict=True)]
-        yield pa.record_batch([batch.column(0), pa.array(keep, pa.list_(pa.bool_()))], names=["row_id", "keep"])
+        columns = [batch.column(k).to_pylist() for k in range(2, 6)]
+        keep = [kept_blocks(zones, own, beside) for zones, own, *beside in zip(*columns, strict=True)]
+        yield pa.record_batch([*batch.columns[:2], pa.array(keep, pa.list_(pa.bool_()))], names=["k1", "k2", "keep"])
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -251,42 +254,49 @@ def main_text(pages: DataFrame) -> DataFrame:
     order. A null or empty html gives an empty text. Without `article` or `main`,
     all unmarked lines that no neighbour shares are the text; a neighbour that shares
     nearly all of them is a copy and deletes nothing. Null urls form a host of their
-    own; pages of equal paths are ordered by query and page_id; repeated rows stay as rows. Extra columns are ignored;
-    an empty table gives no rows.
+    own; pages of equal paths are ordered by their whole urls. Repeated rows stay as
+    rows and are one page for their neighbours. Extra columns are ignored; an empty table gives no rows.
+
+    Pages are read twice, for lines and for texts: this costs less than keeping texts
+    until the lines are compared.
     """
     url = F.col("url").cast("string")
     host, path = host_and_path(url)
-    rows = pages.select(
-        F.monotonically_increasing_id().alias("row_id"), "page_id", url.alias("url"), F.col("html").cast("string")
-    )
-    kind = rows.schema["page_id"].dataType.simpleString()
-    parsed = stored(
-        rows.mapInArrow(
-            _parse_task,
-            f"row_id long, page_id {kind}, url string, blocks array<string>, zones array<byte>, lines array<long>",
-        )
+    rows = pages.select("page_id", url.alias("url"), F.col("html").cast("string").alias("html"))
+    # Two hashes name a page; together they do not collide.
+    keys = [F.xxhash64(F.lit(k), "page_id", "url", "html").alias(f"k{k}") for k in (1, 2)]
+    lines = rows.select(*keys, "url", "html").mapInArrow(
+        _lines_task, "k1 long, k2 long, url string, zones array<byte>, lines array<long>"
     )
+    distinct = lines.select("k1", "k2", host.alias("host"), path.alias("path"), "url", "zones", "lines")
     placed = in_range_order(
-        parsed.select("row_id", "page_id", "url", host.alias("host"), path.alias("path"), "zones", "lines"),
+        distinct.dropDuplicates(["k1", "k2"]),
         ["host"],
-        [F.col("path"), F.col("url"), F.col("page_id"), F.col("row_id")],
+        [F.col("path"), F.col("url"), F.col("k1"), F.col("k2")],
         "place",
     )
-    placed = stored(placed.select("row_id", "host", "place", "zones", "lines"))
+    placed = stored(placed.select("k1", "k2", "host", "place", "zones", "lines"))
     before = placed.select("host", (F.col("place") + 1).alias("place"), F.col("lines").alias("before"))
     after = placed.select("host", (F.col("place") - 1).alias("place"), F.col("lines").alias("after"))
     beside = placed.join(before, ["host", "place"], "left").join(after, ["host", "place"], "left")
     keep = stored(
-        beside.select("row_id", "zones", "lines", "before", "after").mapInArrow(
-            _difference_task, "row_id long, keep array<boolean>"
+        beside.select("k1", "k2", "zones", "lines", "before", "after").mapInArrow(
+            _difference_task, "k1 long, k2 long, keep array<boolean>"
         )
     )
+    kind = rows.schema["page_id"].dataType.simpleString()
+    parsed = rows.select(*keys, "url", "page_id", "html").mapInArrow(
+        _blocks_task, f"k1 long, k2 long, url string, page_id {kind}, blocks array<string>"
+    )
     texts = F.filter("blocks", lambda block, i: F.get("keep", i))
-    return parsed.join(keep, "row_id").select(
+    found = parsed.join(keep, ["k1", "k2"]).select("page_id", "url", "blocks", texts.alias("texts"))
+    found = found.select(
         "page_id",
         "url",
-        F.array_join(texts, "\n\n").alias("text"),
-        F.length(F.array_join(texts, "\n\n")).cast("long").alias("n_chars"),
+        F.array_join("texts", "\n\n").alias("text"),
         F.size("blocks").cast("long").alias("n_blocks"),
-        (F.size("blocks") - F.size(texts)).cast("long").alias("n_deleted"),
+        (F.size("blocks") - F.size("texts")).cast("long").alias("n_deleted"),
+    )
+    return found.select(
+        "page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_blocks", "n_deleted"
     )
