@@ -57,7 +57,7 @@ ORDERS = f"""
         else ' – ' end as dash,
       case when pri = '2-HIGH' then 'am' else 'AM' end as am,
       case when st = 'O' and pri = '5-LOW' then 'Meet at Town Hall'
-        else ks || ' Court Street, Townville, NH' || case when st = 'P' then ' 03801' else '' end
+        else ks || ' Orchard Lane, Millbrook, NH' || case when st = 'P' then ' 03801' else '' end
         end as place,
       case when price < 60000 then t1 || am else t1 || am || dash || t2 || 'PM' end as times,
       pri in ('1-URGENT', '2-HIGH', '5-LOW') as worded
@@ -118,7 +118,7 @@ def dated_listing(where: str = "true") -> str:
     from said),
   blocks as (
     select *, 1 as part, concat_ws(' ', 'Meeting Place: Hall ' || ks ||
-        ' | 222 Court Street, Portsmouth, NH.', about,
+        ' | 17 Orchard Lane, Millbrook, NH.', about,
         case when st <> 'P' then next_words end) as block from filled
     union all
     select *, 2 as part, concat_ws(' ', 'Second part ' || ks, next_words) as block
@@ -126,7 +126,7 @@ def dated_listing(where: str = "true") -> str:
   select k, page_id, {record(
     title="case when part = 1 then title else 'More on order ' || ks end",
     start_date="held",
-    location="case when part = 1 then 'Hall ' || ks || ' | 222 Court Street, Portsmouth, NH' else '' end",
+    location="case when part = 1 then 'Hall ' || ks || ' | 17 Orchard Lane, Millbrook, NH' else '' end",
     description=shorten("block", 700),
     image_url='''case when st = 'F' then site || '/h' || ks || '.png'
       when st = 'O' then site || '/i/' || ks || '.png' else '' end''',
@@ -298,7 +298,7 @@ def statements() -> dict[str, str]:
         "page_meta": f"""with {ORDERS} select k as page_id,
             case when st = 'P' then '' else 'Meta of order ' || ks end as description,
             case when st = 'P' then '' else '/og/' || ks || '.png' end as image
-            from o where pri <> '5-LOW'""",
+            from o""",
         "article_details": f"""with {ORDERS} select k as page_id,
             case st when 'F' then 'Join us on ' || strftime(day, '%B %-d, %Y')
               || ' 7:00 PM - 9:00 PM. Location: Barn ' || ks || '. Second ' || ks
@@ -306,11 +306,12 @@ def statements() -> dict[str, str]:
             'https://p' || page_id || '.example.org/og/' || ks || '.png' as image_url,
             case when st = 'F' then strftime(day, '%Y-%m-%d') else '' end as start_date,
             case when st = 'F' then 'Barn ' || ks else '' end as location
-            from o where pri <> '5-LOW' and st <> 'P'""",
-        "sections": f"""with {ORDERS} select k,
-            title, about || ' Staff of May 1, 1990 ' || d1 as block,
-            substr(about || ' Staff of May 1, 1990 ' || d1, 1, 400) as after
-            from o""",
+            from o where st <> 'P'""",
+        "sections": f"""with {ORDERS}, blocks as (
+            select k, page_id, title, about || ' Staff of May 1, 1990 ' || d1 as block from o)
+            select k, title, block,
+            coalesce(substr(lag(block) over (partition by page_id order by k), 1, 160), '') as before,
+            substr(block, 1, 400) as after from blocks""",
         "elements": f"""with {ORDERS}, parts as (
             select page_id, case when pri = '1-URGENT' then 1 else 0 end as images,
               case when st <> 'P' and price >= 100000 and price < 150000 then 2 else 1 end as links,
@@ -320,7 +321,7 @@ def statements() -> dict[str, str]:
               1 + sum(links) as n_links, 2 as page_depth, max(spans + images) as any_inner
               from parts group by page_id)
             select page_id, cast(n_elements as bigint) as n_elements,
-              cast(n_links as bigint) as n_links from counts""",
+              cast(n_links as bigint) as n_links, 'en' as lang from counts""",
         "long_dates": f"""{ORDER_TEXT} select k,
             case when worded then d1 else '' end as first_date,
             case when worded then d2 else '' end as second_date,
@@ -408,6 +409,25 @@ def statements() -> dict[str, str]:
         "csv_roundtrip": f"{ALL} select {FIELDS} from listing",
         "json_roundtrip": f"{ALL} select {FIELDS} from listing",
         "stream_extract": one_layout("generic_links"),
+        "stream_restart": one_layout("generic_links"),
+        "stream_failures": f"""with {ORDERS} select
+            case page_id % 5 when 1 then null else partner end as partner,
+            site || '/Events/' || case page_id % 5 when 1 then 'gone' else '' end as url,
+            case page_id % 5 when 0 then 'page has no html' when 1 then 'unknown source'
+              else 'unknown parser: rss' end as error
+            from names where page_id % 5 < 3""",
+        "registry_file": """select row_number() over (order by c_custkey) - 1 as source_ord,
+            c_name as name, 'https://c' || c_custkey || '.example.org' as url,
+            case when c_mktsegment <> 'MACHINERY' then 'generic_links' end as parser,
+            case when c_mktsegment = 'BUILDING' then 'announcement' end as kind from customer""",
+        "run_counts": f"""with {ORDERS} select count(*) as sources,
+            count(*) filter (page_id % 7 = 0 or page_id % 2 = 1) as failed, false as run_failed
+            from names""",
+        "run_failures": f"""with {ORDERS} select partner,
+            case when page_id % 7 = 0 then 'unknown parser: rss' else 'page has no html' end as error
+            from names where page_id % 7 = 0 or page_id % 2 = 1""",
+        "run_failed": f"""with {ORDERS} select count(*) as sources, 0 as scraped, 0 as submitted,
+            0 as imported, 0 as skipped, count(*) as failed, true as run_failed from names""",
         "upsert_totals": """with u as (select user_id, event_type, event_id, ts from events),
             known as (select distinct user_id, event_type from u
               where ts < timestamp '2024-01-16'),

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,20 +16,16 @@ from eventmill.operators import details, records, shape
 from eventmill.operators.tree import with_tree
 from eventmill.plans.scrape import extract, failures, records_of, scrape
 from eventmill.schema import LAYOUTS, ORDER, RECORD_FIELDS, Options
+from eventmill.session import shared_folder, stored
 from eventmill.sinks import files
 from eventmill.sources.pages import read_pages
-from eventmill.sources.registry import select_sources, validate_registry
-from eventmill.streaming.incremental import extract_stream, read_target, upsert
+from eventmill.plans.publish import run
+from eventmill.sources.registry import read_registry, select_sources, validate_registry
+from eventmill.streaming.incremental import extract_stream, read_failures, read_target, upsert
 
 TODAY = RUN_AT[:10]
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder for written results, where all executors can reach it."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared or tempfile.mkdtemp(prefix='eventmill-')}/eventmill-{uuid.uuid4().hex}"
-
-
 # -- pages ------------------------------------------------------------------
 def trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_tree(read_pages(spark, f"{sf_dir}/pages.parquet"))
@@ -71,7 +65,7 @@ def links_per_host(spark, sf_dir):
 
 
 def page_meta(spark, sf_dir):
-    return with_tree(render.detail_pages(spark, sf_dir)).select(
+    return with_tree(render.detail_pages(spark, sf_dir, all_orders=True)).select(
         "page_id",
         shape.meta("description").alias("description"),
         shape.meta("og:image").alias("image"),
@@ -79,7 +73,7 @@ def page_meta(spark, sf_dir):
 
 
 def article_details(spark, sf_dir):
-    found = details.article_details(render.detail_pages(spark, sf_dir), RUN_OPTIONS)
+    found = details.article_details(render.detail_pages(spark, sf_dir, all_orders=True), RUN_OPTIONS)
     page_id = F.regexp_extract("url", r"(\d+)$", 1).cast("long").alias("page_id")
     return found.select(page_id, "description", "image_url", "start_date", "location")
 
@@ -88,7 +82,7 @@ def sections(spark, sf_dir):
     pages = with_tree(render.landed(spark, sf_dir, "wordpress_posts"))
     rows = shape.sections(pages, after=400).filter(F.col("title") != "Category News")
     k = F.regexp_extract("title", r"\d+", 0).cast("long").alias("k")
-    return rows.select(k, "title", "block", "after")
+    return rows.select(k, "title", "block", "before", "after")
 
 
 def elements(spark, sf_dir):
@@ -98,6 +92,7 @@ def elements(spark, sf_dir):
         F.count_if((F.col("tag") == "a") & F.map_contains_key("attrs", F.lit("href"))).alias(
             "n_links"
         ),
+        F.max(F.try_element_at("attrs", F.lit("lang"))).alias("lang"),
     )
 
 
@@ -218,6 +213,59 @@ def registry_invalid(spark, sf_dir):
     return validate_registry(registry)[1].select("source_ord", "error")
 
 
+def registry_file(spark, sf_dir):
+    """Sources written as one config file and read back; some lack keys."""
+    path, seg = f"{shared_folder(spark)}/sources.json", F.col("c_mktsegment")
+    sources = customer_sources(spark, sf_dir).select(
+        "source_ord",
+        "name",
+        text("https://c", F.col("source_ord").cast("string"), ".example.org").alias("url"),
+        F.when(seg != "MACHINERY", "generic_links").alias("parser"),
+        F.when(seg == "BUILDING", "announcement").alias("kind"),
+    )
+    # The file format is one object with a list; a list this long is a test's, not a job's.
+    listed = F.array_sort(F.collect_list(F.struct(*sources.columns)))
+    listed = F.transform(listed, lambda x: x.dropFields("source_ord"))
+    config = sources.agg(listed.alias("partners")).select(F.to_json(F.struct("partners")).alias("value"))
+    config.coalesce(1).write.text(path)
+    return read_registry(spark, path).select(F.col("source_ord").cast("long"), "name", "url", "parser", "kind")
+
+
+def _failing_tables(spark, sf_dir):
+    """Pages of odd number have no html; every seventh source has an unknown layout."""
+    pages, registry = site_tables(spark, sf_dir, *LAYOUTS)
+    number = F.regexp_extract("url", r"//p(\d+)", 1).cast("long")
+    parser = F.when(number % 7 == 0, "rss").otherwise(F.col("parser"))
+    pages = pages.withColumn("html", F.when(F.col("page_id") % 2 == 0, F.col("html")))
+    return pages, registry.withColumn("parser", parser)
+
+
+def _answers(submitted):
+    return submitted.groupBy("partner").agg(
+        F.count("*").alias("imported"), F.lit(None).cast("long").alias("skipped")
+    )
+
+
+def run_counts(spark, sf_dir):
+    """Summary of a whole run some of whose sources fail."""
+    pages, registry = _failing_tables(spark, sf_dir)
+    done = run(pages, registry, render.detail_pages(spark, sf_dir), RUN_AT, RUN_OPTIONS)
+    return done.summary(_answers(done.submitted)).drop("submitted", "imported", "skipped", "scraped")
+
+
+def run_failures(spark, sf_dir):
+    pages, registry = _failing_tables(spark, sf_dir)
+    return run(pages, registry, render.detail_pages(spark, sf_dir), RUN_AT, RUN_OPTIONS).failures
+
+
+def run_failed(spark, sf_dir):
+    """A run in which every page is unreadable counts as failed."""
+    pages, registry = site_tables(spark, sf_dir, *LAYOUTS)
+    pages = pages.withColumn("html", F.lit(None).cast("string"))
+    done = run(pages, registry, render.detail_pages(spark, sf_dir), RUN_AT, RUN_OPTIONS)
+    return done.summary(_answers(done.submitted))
+
+
 def source_failures(spark, sf_dir):
     """Sources of unknown layout, without a page, or with an empty one."""
     pages, registry = site_tables(spark, sf_dir, "generic_links")
@@ -324,7 +372,7 @@ def source_counts(spark, sf_dir):
 def run_summary(spark, sf_dir):
     pages, registry = site_tables(spark, sf_dir, *LAYOUTS)
     # Read twice: as records and as failures. A table written once serves both.
-    folder = scratch(spark)
+    folder = shared_folder(spark)
     scrape(pages, registry, RUN_AT, RUN_OPTIONS).write.parquet(folder)
     scraped = spark.read.parquet(folder)
     found = records_of(scraped)
@@ -344,7 +392,7 @@ def enriched(spark, sf_dir):
 
 # -- sinks and repeated runs ------------------------------------------------
 def csv_roundtrip(spark, sf_dir):
-    path = scratch(spark) + ".csv"
+    path = shared_folder(spark) + ".csv"
     files.save(extract_all(spark, sf_dir), path)
     columns = ", ".join(f"{c} string" for c in RECORD_FIELDS)
     back = spark.read.schema(columns).options(header=True, escape='"').csv(path)
@@ -352,7 +400,7 @@ def csv_roundtrip(spark, sf_dir):
 
 
 def json_roundtrip(spark, sf_dir):
-    path = scratch(spark)
+    path = shared_folder(spark)
     files.save(extract_all(spark, sf_dir), path, "json")
     return spark.read.schema(", ".join(f"{c} string" for c in RECORD_FIELDS)).json(path)
 
@@ -362,38 +410,62 @@ def _run_date_as_text(df):
 
 
 def import_outbox(spark, sf_dir):
-    path = scratch(spark)
+    path = shared_folder(spark)
     files.save_import_outbox(all_upcoming(spark, sf_dir), path, TODAY)
     return _run_date_as_text(spark.read.parquet(path))
 
 
 def board_outbox(spark, sf_dir):
-    path = scratch(spark)
+    path = shared_folder(spark)
     files.save_board_outbox(all_upcoming(spark, sf_dir), path, TODAY, "b1")
     return _run_date_as_text(spark.read.parquet(path))
 
 
-def stream_extract(spark, sf_dir):
-    pages, registry = site_tables(spark, sf_dir, "generic_links")
-    folder = scratch(spark)
-    pages.select("page_id", "url", "html").write.parquet(f"{folder}/landing")
-    registry.write.parquet(f"{folder}/registry")
+def _stream(spark, registry, folder, landing, progress):
     query = extract_stream(
-        spark,
-        f"{folder}/landing",
-        spark.read.parquet(f"{folder}/registry"),
-        f"{folder}/records",
-        f"{folder}/progress",
-        RUN_AT,
-        RUN_OPTIONS,
+        spark, f"{folder}/{landing}", registry, f"{folder}/records", f"{folder}/{progress}", RUN_AT, RUN_OPTIONS
     )
     query.awaitTermination()
+
+
+def stream_extract(spark, sf_dir):
+    pages, registry = site_tables(spark, sf_dir, "generic_links")
+    folder, registry = shared_folder(spark), stored(registry)
+    pages.select("page_id", "url", "html").write.parquet(f"{folder}/landing")
+    _stream(spark, registry, folder, "landing", "progress")
     return read_target(spark, f"{folder}/records").select(*RECORD_FIELDS)
 
 
+def stream_restart(spark, sf_dir):
+    """Two streams with progress folders of their own fill one target."""
+    pages, registry = site_tables(spark, sf_dir, "generic_links")
+    folder, registry = shared_folder(spark), stored(registry)
+    for part in (0, 1):
+        own = pages.filter(F.col("page_id") % 2 == part).select("page_id", "url", "html")
+        own.write.parquet(f"{folder}/landing-{part}")
+        _stream(spark, registry, folder, f"landing-{part}", f"progress-{part}")
+    return read_target(spark, f"{folder}/records").select(*RECORD_FIELDS)
+
+
+def stream_failures(spark, sf_dir):
+    """Landed pages without html, of faulty sources and of no source."""
+    pages, registry = site_tables(spark, sf_dir, "generic_links")
+    folder, part = shared_folder(spark), F.col("page_id") % 5
+    landed = pages.select(
+        "page_id",
+        F.when(part == 1, text(F.col("url"), "gone")).otherwise(F.col("url")).alias("url"),
+        F.when(part != 0, F.col("html")).alias("html"),
+    )
+    landed.write.parquet(f"{folder}/landing")
+    number = F.regexp_extract("url", r"//p(\d+)", 1).cast("long")
+    faulty = F.when(number % 5 == 2, "rss").otherwise(F.col("parser"))
+    _stream(spark, stored(registry.withColumn("parser", faulty)), folder, "landing", "progress")
+    return read_failures(spark, f"{folder}/records").select("partner", "url", "error")
+
+
 def upsert_totals(spark, sf_dir):
     """Two runs over an event stream; the second brings known records again."""
-    folder = scratch(spark)
+    folder = shared_folder(spark)
     fields = {"partner": F.col("user_id").cast("string"), "title": F.col("event_type")}
     events = table(spark, sf_dir, "events").select(
         "ts", *[fields.get(c, F.lit("")).alias(c) for c in RECORD_FIELDS]
@@ -446,7 +518,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         csv_roundtrip,
         json_roundtrip,
         stream_extract,
+        stream_restart,
+        stream_failures,
         upsert_totals,
+        registry_file,
+        run_counts,
+        run_failures,
+        run_failed,
     ]
 }
 QUERIES.update({f"x_{layout}": of_layout(layout) for layout in LAYOUTS})

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventmill.schema import LAYOUTS, Options
-from eventmill.session import spread
 
 RUN_AT = "2026-07-02T12:00:00+00:00"
 RUN_OPTIONS = Options(base_date="2026-07-01")
@@ -69,7 +68,7 @@ def written(day: Column, priority: Column) -> Column:
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with the words their pages use."""
-    raw = spread(table(spark, sf_dir, "orders")).select(
+    raw = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("k"),
         F.col("o_orderkey").cast("string").alias("ks"),
         F.floor(F.col("o_orderkey") / PER_PAGE).cast("long").alias("page_id"),
@@ -105,7 +104,7 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         end.alias("end"),
         F.when((st == "O") & (pri == "5-LOW"), F.lit("Meet at Town Hall"))
         .otherwise(
-            text(F.col("ks"), " Court Street, Townville, NH", only_if(st == "P", " 03801"))
+            text(F.col("ks"), " Orchard Lane, Millbrook, NH", only_if(st == "P", " 03801"))
         )
         .alias("place"),
     )
@@ -156,7 +155,7 @@ def _dated_item() -> Column:
         "<p>", date, "</p><h3>",
         only_if(st == "F", '<img src="h', k, '.png">'),
         '<a href="https://forms.example.org/', k, '">', F.col("title"), "</a></h3>",
-        "<p>Meeting Place: Hall ", k, " | 222 Court Street, Portsmouth, NH. ", F.col("about"),
+        "<p>Meeting Place: Hall ", k, " | 17 Orchard Lane, Millbrook, NH. ", F.col("about"),
         only_if(st == "O", '<img src="/i/', k, '.png">'), "</p>",
         only_if(st == "P", "<h3>More on order ", k, "</h3><p>Second part ", k, "</p>"),
     )
@@ -227,7 +226,7 @@ def card_blurb() -> Column:
 def _card_item() -> Column:
     st, title = F.col("st"), card_title()
     href = text('<a href="/blogs/upcoming/', F.col("ks"), '"')
-    blurb = text('<div class="card-description light">', card_blurb(), "</div>")
+    blurb = text('<div class="card-description muted">', card_blurb(), "</div>")
     image = text('<img src="//cdn.example.org/', F.col("ks"), '.png" alt="', title, '">')
     inside = text('<div class="card-content"><h3>', href, ">", title, "</a></h3>", blurb, "</div>")
     first = F.when(st == "F", text(href, ' aria-label="', title, '"></a>')).otherwise(
@@ -303,7 +302,7 @@ def landed(spark: SparkSession, sf_dir: str, *layouts: str) -> DataFrame:
         "page_id",
         text(site(F.col("page_id")), path).alias("url"),
         text(
-            "<!DOCTYPE html><html><head><title>Page</title><style>p{}</style></head><body>",
+            "<!DOCTYPE html><html lang='en'><head><title>Page</title><style>p{}</style></head><body>",
             head, body, "<script>var may=\"<p>May 1, 2026</p>\";</script></body></html>",
         ).alias("html"),
         layout.alias("parser"),
@@ -356,9 +355,9 @@ DETAIL_PATHS = {
 }
 
 
-def detail_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The own page of every order whose priority is not low, at the address its
-    listing page names if pages of all layouts take turns."""
+def detail_pages(spark: SparkSession, sf_dir: str, all_orders: bool = False) -> DataFrame:
+    """The own page of every order, at the address its listing page names if pages
+    of all layouts take turns; unless `all_orders`, those of low priority have none."""
     o, k, st = orders(spark, sf_dir), F.col("ks"), F.col("st")
     layout = layout_of_page()
     path = F.lit("/none/")
@@ -373,12 +372,21 @@ def detail_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         '"><meta content="/og/', k, '.png" property="og:image">',
     )
     second = text('<div class="content-main">Second ', k, "</div>")
-    return o.filter(F.col("pri") != "5-LOW").select(
+    told = F.when(st == "F", text(story, story, second)).otherwise("<p>Bare</p>")
+    # Bodies count from the main element on: one around it is none of them, and an
+    # empty main element leaves the whole page.
+    urgent, empty = F.col("pri") == "1-URGENT", (F.col("pri") == "2-HIGH") & (st == "F")
+    body = (
+        F.when(empty, text("<main></main>", told))
+        .when(urgent, text("<div class='rte'>No<main>", told, "</main></div>"))
+        .otherwise(text("<div class='rte'>No</div><main>", told, "</main>"))
+    )
+    if not all_orders:
+        o = o.filter(F.col("pri") != "5-LOW")
+    return o.select(
         F.col("k").alias("page_id"),
         text(site(F.col("page_id")), path, k).alias("url"),
         text(
-            "<html><head>", F.when(st != "P", meta).otherwise(""), "</head><body><div class='rte'>No",
-            "</div><main>", F.when(st == "F", text(story, story, second)).otherwise("<p>Bare</p>"),
-            "</main></body></html>",
+            "<html><head>", F.when(st != "P", meta).otherwise(""), "</head><body>", body, "</body></html>",
         ).alias("html"),
     )

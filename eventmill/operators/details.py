@@ -10,17 +10,26 @@ from eventmill.functions.text import blank_to_null
 from eventmill.functions.urls import resolve_url, url_parts
 from eventmill.operators import shape
 from eventmill.operators.tree import with_tree
-from eventmill.schema import DETAIL_LAYOUTS, Options
-from eventmill.session import checkpointed
+from eventmill.operators.extractors import detail_layouts
+from eventmill.schema import Options
+from eventmill.session import stored
 
 
-def article_details(pages: DataFrame, opts: Options = Options()) -> DataFrame:
-    """url -> description, image and what the description says of the event."""
-    read = with_tree(pages.select("url", "html")).select(
+#: Addresses of detail pages that are sent to every task, at most; some 100 bytes each.
+SENT_ADDRESSES = 100_000
+
+
+def _read(pages: DataFrame) -> DataFrame:
+    """(url, page_id, description, image) of detail pages, each read where it lies."""
+    return with_tree(pages.select("url", "page_id", "html")).select(
         "url",
+        "page_id",
         shape.article_description().alias("description"),
         shape.article_image().alias("image"),
     )
+
+
+def _told(read: DataFrame, opts: Options) -> DataFrame:
     known = read.filter((F.col("description") != "") | (F.col("image") != ""))
     text = F.col("description")
     start = dates.post_date(text, opts.any_case_dates, opts.long_numeric_years)
@@ -41,31 +50,37 @@ def article_details(pages: DataFrame, opts: Options = Options()) -> DataFrame:
     )
 
 
+def article_details(pages: DataFrame, opts: Options = Options()) -> DataFrame:
+    """url -> description, image and what the description says of the event."""
+    return _told(_read(pages.withColumn("page_id", F.lit(0))), opts)
+
+
 def detail_candidates(records: DataFrame) -> DataFrame:
     """Records of layouts that only announce what a page of their own tells."""
-    return records.filter(F.col("parser").isin(DETAIL_LAYOUTS))
+    return records.filter(F.col("parser").isin(detail_layouts()))
 
 
 def enrich(records: DataFrame, detail_pages: DataFrame, opts: Options = Options()) -> DataFrame:
     """Each non-blank value of a record's detail page replaces the listing's.
 
-    Only pages some record asks for are read, each address once. Records that
-    ask for none get a join key of their own that no address equals, so they
-    spread over the tasks instead of meeting in one; an address that many
-    records share is split by AQE.
+    Page texts never move: where the wanted addresses are few enough to be sent to
+    every task, pages of others are left out at the scan, and otherwise all pages are
+    read where they lie. Of copies of a page the first one counts; it is chosen, like
+    the join, on the short values that were read. Records that ask for no page get a join
+    key of their own that no address equals, so they spread over the tasks; an
+    address that many records share is split by AQE.
     """
     # Looked at twice, for its addresses and for its rows: found out only once.
-    records = checkpointed(records)
-    wanted = detail_candidates(records).select("url").distinct()
-    # Copies of a page: the first one counts. It is chosen by its number, so
-    # copies are gone before any page text moves.
-    firsts = detail_pages.groupBy("url").agg(F.min("page_id").alias("page_id"))
-    asked = firsts.join(wanted, "url", "left_semi")
-    one_each = detail_pages.join(asked, ["url", "page_id"])
-    found = article_details(one_each, opts)
+    records = stored(records)
+    wanted = stored(detail_candidates(records).select("url").distinct())
+    if wanted.count() <= SENT_ADDRESSES:
+        detail_pages = detail_pages.join(F.broadcast(wanted), "url", "left_semi")
+    values = F.struct("description", "image")
+    firsts = _read(detail_pages).groupBy("url").agg(F.min_by(values, "page_id").alias("first"))
+    found = _told(firsts.select("url", "first.*"), opts)
     values = [c for c in found.columns if c != "url"]
     found = found.select(F.col("url").alias("_at"), *[F.col(c).alias(f"_{c}") for c in values])
-    asks = F.col("parser").isin(DETAIL_LAYOUTS)
+    asks = F.col("parser").isin(detail_layouts())
     no_page = F.concat_ws(" ", F.lit(" none"), "page_id", "node_id")
     keyed = records.withColumn("_key", F.when(asks, F.col("url")).otherwise(no_page))
     joined = keyed.join(found, F.col("_key") == F.col("_at"), "left")

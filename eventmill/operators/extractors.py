@@ -36,12 +36,24 @@ from eventmill.schema import LAYOUTS, ORDER, RECORD_FIELDS, Options
 CANDIDATE_TEXTS = ["title", "image", "date_text", "end_text", "details", "describe"]
 
 
-def candidate(node_id: Column, href: Column | None = None, **texts: Column) -> Column:
-    """One possible record; texts it does not have are blank, no link is NULL."""
-    no_link = F.lit(None).cast("string")
+def candidate(
+    node_id: Column,
+    href: Column | None = None,
+    clocks: Column | None = None,
+    place: Column | None = None,
+    **texts: Column,
+) -> Column:
+    """One possible record; texts it does not have are blank, no link is NULL.
+
+    A layout that has found the clock times and the place itself gives them as
+    `clocks` and `place`; otherwise they are read from `details`.
+    """
+    nothing = F.lit(None).cast("string")
     return F.struct(
         node_id.alias("node_id"),
-        (no_link if href is None else href).alias("href"),
+        (nothing if href is None else href).alias("href"),
+        (nothing if clocks is None else clocks).alias("own_clocks"),
+        (nothing if place is None else place).alias("own_place"),
         *[F.coalesce(texts.get(t, F.lit("")), F.lit("")).alias(t) for t in CANDIDATE_TEXTS],
     )
 
@@ -58,6 +70,7 @@ class Layout:
     needs_date  drop candidates whose date words are no real day
     run_date    a candidate without date words happens on the run date;
                 without this it is dropped
+    details     records are filled from the page that they link to
     """
 
     candidates: Callable[[Options], Column]
@@ -66,6 +79,7 @@ class Layout:
     times: Callable[[Options], bool] = lambda opts: False
     needs_date: bool = False
     run_date: bool = False
+    details: bool = False
 
 
 def _each(found: Column, raw: Callable[[Column], Column], finish: Callable[[Column], Column]):
@@ -77,55 +91,125 @@ def _text_headings() -> Column:
     return F.filter(shape.nodes(), lambda n: shape.is_heading(n) & (n["run_n"] > 0))
 
 
+def _stops(title: Column, layout: str, opts: Options) -> Column:
+    """Whether a title is page furniture, by layout or for the page's source."""
+    found = is_stop_title(title, layout)
+    for partner, stop in opts.stop_titles:
+        found = found | ((F.col("partner") == partner) & (F.lower(title) == stop.lower()))
+    return found
+
+
 # -- X1 ---------------------------------------------------------------------
+EVENT_LIMIT = 700
+
+
 def _events(opts: Options) -> Column:
-    def raw(n: Column) -> Column:
-        return let(shape.enclosing_event(n), lambda event: texts(n, event))
+    """Headings with the text of their event card, or of their section.
+
+    A card is read once, however many headings it has: what follows carries the
+    words found in it and the start of its description, never its whole text.
+    """
+
+    def told(block: Column) -> Column:
+        start = F.substring(drop_calendar_noise(block, opts.trim_arrow), 1, EVENT_LIMIT + 1)
+        return F.struct(
+            dates.long_date_first(block, opts.any_case_dates).alias("date"),
+            dates.long_date_second(block, opts.any_case_dates).alias("end"),
+            places.time_words(block, opts.wide_dashes).alias("clocks"),
+            places.location(block, opts.location_to_state).alias("place"),
+            start.alias("describe"),
+        )
 
-    def texts(n: Column, event: Column) -> Column:
-        is_card = event.isNotNull()
+    def of_card(event: Column) -> Column:
+        return F.struct(
+            let(shape.text(event), told).alias("told"),
+            shape.image_source(event, opts.lazy_images).alias("image"),
+            shape.first_link(event).alias("link"),
+        )
+
+    def of_section(n: Column) -> Column:
         around = shape.siblings_after(n, 12)
-        href = shape.first_link(n)
-        if opts.link_from_block:
-            href = F.coalesce(
-                blank_to_null(href),
-                F.when(is_card, shape.first_link(event)).otherwise(shape.first_link_in(around)),
-            )
         return F.struct(
-            n["node_id"].alias("node_id"),
-            shape.text(n).alias("title"),
-            href.alias("href"),
-            F.when(is_card, shape.text(event)).otherwise(shape.block_text(n)).alias("block"),
-            F.when(is_card, shape.image_source(event, opts.lazy_images))
-            .otherwise(shape.first_image(around, opts.lazy_images))
-            .alias("image"),
-            (shape.previous_text(n, 80) if opts.date_from_previous else F.lit("")).alias("before"),
+            let(shape.block_text(n), told).alias("told"),
+            shape.first_image(around, opts.lazy_images).alias("image"),
+            shape.first_link_in(around).alias("link"),
         )
 
-    def finish(t: Column) -> Column:
-        date_text = dates.long_date_first(t["block"], opts.any_case_dates)
+    def one(n: Column, facts: Column) -> Column:
+        title, href, date_text = shape.text(n), shape.first_link(n), facts["told"]["date"]
+        if opts.link_from_block:
+            href = F.coalesce(blank_to_null(href), facts["link"])
         if opts.date_from_previous:
-            earlier = dates.long_date_first(F.trim(t["before"]), opts.any_case_dates)
+            earlier = dates.long_date_first(F.trim(shape.previous_text(n, 80)), opts.any_case_dates)
             date_text = or_else(date_text, earlier)
         return candidate(
-            t["node_id"],
-            t["href"],
-            title=t["title"],
-            image=t["image"],
+            n["node_id"],
+            href,
+            clocks=facts["told"]["clocks"],
+            place=facts["told"]["place"],
+            title=title,
+            image=facts["image"],
             date_text=date_text,
-            details=t["block"],
-            end_text=dates.long_date_second(t["block"], opts.any_case_dates),
-            describe=drop_calendar_noise(t["block"], opts.trim_arrow),
+            end_text=facts["told"]["end"],
+            describe=facts["told"]["describe"],
         )
 
-    def is_title(t: Column) -> Column:
-        good = ~is_stop_title(t["title"], "squarespace_events")
-        return good & (F.char_length(t["title"]) <= opts.title_limit) if opts.title_limit else good
+    def is_title(n: Column) -> Column:
+        def good(title: Column) -> Column:
+            fits = F.char_length(title) <= opts.title_limit if opts.title_limit else F.lit(True)
+            return fits & ~_stops(title, "squarespace_events", opts)
+
+        return let(shape.text(n), good)
+
+    def card_of(n: Column) -> Column:
+        return F.coalesce(shape.enclosing_event(n)["node_id"], F.lit(0))
+
+    def of_page(titled: Column) -> Column:
+        cards = F.array_distinct(F.filter(F.transform(titled, card_of), lambda e: e > 0))
+        return let(cards, lambda ids: let(
+            F.transform(ids, lambda e: let(shape.node(e), of_card)),
+            lambda facts: F.transform(titled, lambda n: placed(n, ids, facts)),
+        ))
+
+    def placed(n: Column, ids: Column, facts: Column) -> Column:
+        at = F.array_position(ids, card_of(n)).cast("int") - 1
+        found = F.when(at >= 0, F.get(facts, at)).otherwise(of_section(n))
+        return let(found, lambda f: one(n, f))
 
-    return F.transform(F.filter(F.transform(_text_headings(), raw), is_title), finish)
+    return let(F.filter(_text_headings(), is_title), of_page)
 
 
 # -- X2 ---------------------------------------------------------------------
+# Where a long date can be; any case covers both profiles.
+MONTHISH = "(?i)jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec"
+
+
+def _first_date(n: Column, months: Column, opts: Options) -> Column:
+    """The first long date in an element's text.
+
+    `months` are the places of the page's pieces of text that name a month. A date
+    begins at most one piece before its month and ends at most two after it, so a few pieces
+    around each are read instead of the element's whole text, which all the
+    elements around it share.
+    """
+    end = n["run_lo"] + n["run_n"]
+
+    def near(m: Column) -> Column:
+        lo = F.greatest(n["run_lo"], m - 1)
+        pieces = F.slice(F.col("runs"), lo, F.least(end, m + 4) - lo)
+        head = F.char_length(F.array_join(F.slice(pieces, 1, m + 1 - lo), " "))
+        return let(
+            F.array_join(pieces, " "),
+            lambda words: let(
+                dates.long_date_first(words, opts.any_case_dates),
+                lambda d: F.when(F.position(d, words) <= head, d).otherwise(""),
+            ),
+        )
+
+    inside = F.filter(months, lambda m: (m >= n["run_lo"]) & (m < end))
+    return F.aggregate(inside, F.lit(""), lambda d, m: F.when(d != "", d).otherwise(near(m)))
+
+
 def _dated_list(opts: Options) -> Column:
     """Headings under the dated element before them.
 
@@ -136,12 +220,17 @@ def _dated_list(opts: Options) -> Column:
         shape.nodes(),
         lambda n: n["tag"].isin("h2", "h3", "p", "li", "div") & (n["run_n"] > 0),
     )
+    places_of_runs = F.sequence(F.lit(1), F.size("runs"))
+    months = F.when(
+        F.size("runs") > 0,
+        F.filter(places_of_runs, lambda r: F.get(F.col("runs"), r - 1).rlike(MONTHISH)),
+    )
     dated = F.filter(
-        F.transform(
-            tokens,
-            lambda n: F.struct(
-                n["node_id"].alias("at"),
-                dates.long_date_first(shape.text(n), opts.any_case_dates).alias("date"),
+        let(
+            months,
+            lambda ms: F.transform(
+                tokens,
+                lambda n: F.struct(n["node_id"].alias("at"), _first_date(n, ms, opts).alias("date")),
             ),
         ),
         lambda d: d["date"] != "",
@@ -176,7 +265,7 @@ def _dated_list(opts: Options) -> Column:
         ),
     )
     return F.filter(
-        F.flatten(under_dates), lambda c: ~is_stop_title(c["title"], "heading_date_events")
+        F.flatten(under_dates), lambda c: ~_stops(c["title"], "heading_date_events", opts)
     )
 
 
@@ -207,7 +296,7 @@ def _blog(opts: Options) -> Column:
         )
 
     found = _each(_text_headings(), lambda n: _post_texts(n, opts, 180, 500), finish)
-    return F.filter(found, lambda c: ~is_stop_title(c["title"], "squarespace_blog"))
+    return F.filter(found, lambda c: ~_stops(c["title"], "squarespace_blog", opts))
 
 
 def _posts(opts: Options) -> Column:
@@ -222,7 +311,7 @@ def _posts(opts: Options) -> Column:
         )
 
     found = _each(_text_headings(), lambda n: _post_texts(n, opts, 0, 700), finish)
-    return F.filter(found, lambda c: ~is_stop_title(c["title"], "wordpress_posts"))
+    return F.filter(found, lambda c: ~_stops(c["title"], "wordpress_posts", opts))
 
 
 # -- X5 ---------------------------------------------------------------------
@@ -345,7 +434,7 @@ def _cards(opts: Options) -> Column:
 
     return F.filter(
         _each(firsts, raw, finish),
-        lambda c: (c["title"] != "") & ~is_stop_title(c["title"], "shopify_blog_events"),
+        lambda c: (c["title"] != "") & ~_stops(c["title"], "shopify_blog_events", opts),
     )
 
 
@@ -364,18 +453,23 @@ def _near_image(near: Column) -> Column:
 
 
 EXTRACTORS: dict[str, Layout] = {
-    "squarespace_events": Layout(_events, times=lambda opts: True),
+    "squarespace_events": Layout(_events, limit=EVENT_LIMIT, times=lambda opts: True),
     "heading_date_events": Layout(
         _dated_list, times=lambda opts: opts.listing_times, needs_date=True
     ),
-    "squarespace_blog": Layout(_blog, kind="announcement", limit=500),
-    "wordpress_posts": Layout(_posts, kind="announcement", limit=500),
+    "squarespace_blog": Layout(_blog, kind="announcement", limit=500, details=True),
+    "wordpress_posts": Layout(_posts, kind="announcement", limit=500, details=True),
     "generic_links": Layout(_links, limit=400),
-    "shopify_blog_events": Layout(_cards, times=lambda opts: True, run_date=True),
+    "shopify_blog_events": Layout(_cards, times=lambda opts: True, run_date=True, details=True),
 }
 assert list(EXTRACTORS) == LAYOUTS
 
 
+def detail_layouts() -> list[str]:
+    """Layouts whose records are filled from the page that they link to."""
+    return [name for name, layout in EXTRACTORS.items() if layout.details]
+
+
 def register_extractor(name: str, layout: Layout) -> None:
     """Add a page layout; sources can then name it as their parser."""
     EXTRACTORS[name] = layout
@@ -426,7 +520,9 @@ def extract_items(
             {
                 "own_date": iso("date_text"),
                 "end": iso("end_text"),
-                "clocks": places.time_words(F.col("details"), opts.wide_dashes),
+                "clocks": F.coalesce(
+                    F.col("own_clocks"), places.time_words(F.col("details"), opts.wide_dashes)
+                ),
                 "link_parts": link_parts(F.col("href")),
                 "image_parts": link_parts(F.col("image")),
             }
@@ -447,8 +543,8 @@ def extract_items(
         "end_date": end if opts.keep_equal_end else F.when(end != start, end).otherwise(""),
         "start_time": F.when(timed, start_time).otherwise(F.lit("")),
         "end_time": F.when(timed, end_time).otherwise(F.lit("")),
-        "location": unless_blank(
-            "details", places.location(F.col("details"), opts.location_to_state)
+        "location": F.when(F.col("own_place").isNotNull(), F.col("own_place")).otherwise(
+            unless_blank("details", places.location(F.col("details"), opts.location_to_state))
         ),
         "description": cut(
             F.col("describe"),

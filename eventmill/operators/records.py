@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from eventmill.functions.text import blank_to_null, format_time
 from eventmill.schema import ORDER, RECORD_FIELDS
-from eventmill.session import checkpointed
+from eventmill.session import stored
 
 IMPORT_BATCH = 500  # Fixed value: records per import request.
 KEY = ["partner", "low_title", "start_date", "url"]
@@ -55,7 +55,7 @@ def by_start_date(records: DataFrame) -> DataFrame:
     return records.orderBy("start_date", *order)
 
 
-def to_import(records: DataFrame) -> DataFrame:
+def import_columns(records: DataFrame) -> list[Column]:
     """The 13 columns with blanks for what is missing; kind defaults to event."""
     have = set(records.columns)
 
@@ -65,7 +65,11 @@ def to_import(records: DataFrame) -> DataFrame:
             value = blank_to_null(value)
         return F.coalesce(value, F.lit("event" if name == "kind" else "")).alias(name)
 
-    return records.select(*[column(c) for c in RECORD_FIELDS])
+    return [column(c) for c in RECORD_FIELDS]
+
+
+def to_import(records: DataFrame) -> DataFrame:
+    return records.select(*import_columns(records))
 
 
 def with_rank(records: DataFrame) -> DataFrame:
@@ -81,7 +85,7 @@ def with_rank(records: DataFrame) -> DataFrame:
     seat = F.monotonically_increasing_id()
     # Range bounds come from a sample: keep this outcome, so that counts and
     # ranks speak of the same partitions, also after a task is run again.
-    seated = checkpointed(
+    seated = stored(
         spread.withColumn("_seat", seat)
         .withColumn("_part", F.shiftrightunsigned("_seat", 33))
         .withColumn("_row", F.col("_seat").bitwiseAND(F.lit((1 << 33) - 1)))
@@ -101,11 +105,10 @@ def with_rank(records: DataFrame) -> DataFrame:
 
 def import_batches(records: DataFrame, size: int = IMPORT_BATCH) -> DataFrame:
     """Request bodies of `size` records each, in start-date order."""
-    ranked = with_rank(records)
-    placed = ranked.select(
+    placed = with_rank(records).select(
         F.floor(F.col("rank") / size).cast("long").alias("batch_no"),
         "rank",
-        F.struct(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in RECORD_FIELDS]).alias("record"),
+        F.struct(*import_columns(records)).alias("record"),
     )
     batches = placed.groupBy("batch_no").agg(
         F.count("*").alias("n_records"),
@@ -127,7 +130,10 @@ def import_totals(results: DataFrame) -> DataFrame:
 
 
 def event_details() -> Column:
-    """Text block of a record: one line per fact, absent facts left out."""
+    """Text block of a record: one line per fact, absent facts left out.
+
+    The labels, here and of the link of a board item, are fixed values.
+    """
 
     def line(label: str, value: Column, gap: bool = False) -> Column:
         lead = ("\n" if gap else "") + label
@@ -197,11 +203,13 @@ def run_summary(
 
 
 def keyed(records: DataFrame) -> DataFrame:
-    return records.withColumn("low_title", F.lower("title"))
+    """Add the parts of the record key as `_k_` columns; what is missing is blank."""
+    parts = {c: F.lower("title") if c == "low_title" else F.col(c) for c in KEY}
+    return records.withColumns({f"_k_{c}": F.coalesce(v, F.lit("")) for c, v in parts.items()})
 
 
 def new_records(records: DataFrame, known: DataFrame) -> DataFrame:
     """Records whose key the `known` records do not have (I2)."""
+    names = [f"_k_{c}" for c in KEY]
     fresh = keyed(dedupe(records))
-    old = keyed(known).select(*KEY)
-    return fresh.join(old, KEY, "left_anti").drop("low_title")
+    return fresh.join(keyed(known).select(*names), names, "left_anti").drop(*names)

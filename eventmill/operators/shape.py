@@ -51,10 +51,14 @@ def is_heading(n: Column) -> Column:
     return n["tag"].isin(*HEADINGS)
 
 
-def _texts(ids: Column) -> Column:
-    return F.array_join(
-        F.filter(F.transform(ids, lambda i: text(node(i))), lambda t: t != ""), " "
-    )
+def _texts(ids: Column, most: int | None = None) -> Column:
+    """Texts of the listed elements; with `most`, of that many pieces of each."""
+
+    def one(n: Column) -> Column:
+        count = n["run_n"] if most is None else F.least(n["run_n"], F.lit(most))
+        return F.array_join(F.slice(F.col("runs"), n["run_lo"], count), " ")
+
+    return F.array_join(F.filter(F.transform(ids, lambda i: one(node(i))), lambda t: t != ""), " ")
 
 
 def siblings_after(n: Column, most: int | None = None) -> Column:
@@ -77,16 +81,17 @@ def block_text(n: Column, most: int = 12) -> Column:
 def following_text(n: Column, limit: int) -> Column:
     """First `limit` characters of the section after `n`.
 
-    `limit` siblings with text are always enough, so a long run of siblings is
-    only read to the end where the near ones turn out to be empty.
+    No piece of text is empty, so `limit` siblings with text, and `limit` pieces of
+    each, are always enough: a long run of siblings is only read to the end where the
+    near ones turn out to be empty, and a long sibling never is.
     """
     is_all = n["sec_end"] - n["kid_pos"] - 1 <= limit
 
     def enough(near: Column) -> Column:
-        longer = _texts(siblings_after(n))
+        longer = _texts(siblings_after(n), limit)
         return F.when(is_all | (F.char_length(near) >= limit), near).otherwise(longer)
 
-    return F.substring(let(_texts(siblings_after(n, limit)), enough), 1, limit)
+    return F.substring(let(_texts(siblings_after(n, limit), limit), enough), 1, limit)
 
 
 def previous_text(n: Column, limit: int) -> Column:
@@ -178,16 +183,22 @@ def nearby(html: Column, n: Column, radius: int) -> Column:
     return F.substring(html, start, n["html_pos"] + radius - start)
 
 
+def _main() -> Column:
+    """The first main element, NULL without one or where it holds nothing."""
+    main = F.get(F.filter(nodes(), lambda n: n["tag"] == "main"), F.lit(0))
+    return let(main, lambda m: F.when((m["end_id"] > m["node_id"]) | (m["run_n"] > 0), m))
+
+
 def article_description(limit: int = 4000) -> Column:
     """Distinct body texts of a detail page, else its meta description."""
-    main = F.get(F.filter(nodes(), lambda n: n["tag"] == "main"), F.lit(0))
+    main = _main()
 
     def body_texts(inside: Column) -> Column:
-        # A body inside another body is part of the outer one's text.
+        # A body inside another body of the searched part belongs to the outer one's text.
         blocks = F.filter(
             nodes(),
             lambda n: (n["tag"] == "div")
-            & (n["up"]["body"] == 0)
+            & (n["up"]["body"] <= inside["lo"])
             & (n["node_id"] > inside["lo"])
             & (n["node_id"] <= inside["hi"])
             & attr(n, "class").rlike(r"\b(?:content-main|rte)\b"),
@@ -204,7 +215,7 @@ def article_description(limit: int = 4000) -> Column:
 
 
 def article_image(lazy: bool = True) -> Column:
-    main = F.get(F.filter(nodes(), lambda n: n["tag"] == "main"), F.lit(0))
+    main = _main()
     first = F.get(F.filter(nodes(), lambda n: n["tag"] == "img"), F.lit(0))["node_id"]
     # The image lookup goes by "first inside", which for a page without <main>
     # is the page itself.

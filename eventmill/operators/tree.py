@@ -31,9 +31,6 @@ VOID = frozenset(
     "basefont bgsound command frame image isindex nextid spacer".split()
 )
 HEADINGS = ("h1", "h2", "h3")
-KEPT_ATTRS = frozenset(
-    "href src srcset data-src class alt aria-label property name content".split()
-)
 WRAPPER = re.compile(r"\b(?:article-card-wrapper|card-wrapper)\b")
 CARD = re.compile(r"\bcard\b")
 BLURB = re.compile(r"\bcard-description\b")
@@ -184,7 +181,7 @@ class TreeBatch(HTMLParser):
                 self.muted += 1
                 self._push(_Open(tag, -1, 0, parent.inner, 0))
             return
-        kept = {k: v or "" for k, v in attrs if k in KEPT_ATTRS} if attrs else NO_ATTRS
+        kept = {k: v or "" for k, v in attrs} if attrs else NO_ATTRS
         row = len(self.rows)
         node_id = row - self.node_base + 1
         kids = parent.kids

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 
 from eventmill.operators.details import enrich
-from eventmill.operators.records import dedupe, import_batches, incoming
-from eventmill.plans.scrape import records_of, scrape
+from eventmill.operators.records import dedupe, import_batches, incoming, run_summary
+from eventmill.plans.scrape import failures, records_of, scrape
 from eventmill.schema import Options
+from eventmill.session import stored
 
 
 def upcoming(
@@ -31,3 +34,36 @@ def publish(
 ) -> DataFrame:
     """Import request bodies of a whole run."""
     return import_batches(upcoming(pages, registry, detail_pages, scraped_at, opts))
+
+
+@dataclass(frozen=True)
+class Run:
+    """What one run gives: request bodies, the events in them, and its failures."""
+
+    registry: DataFrame
+    records: DataFrame
+    submitted: DataFrame
+    batches: DataFrame
+    failures: DataFrame
+
+    def summary(self, results: DataFrame) -> DataFrame:
+        """The run's counts, given the responses (imported, skipped) to its batches."""
+        return run_summary(self.registry, self.records, self.submitted, results, self.failures)
+
+
+def run(
+    pages: DataFrame,
+    registry: DataFrame,
+    detail_pages: DataFrame,
+    scraped_at: str,
+    opts: Options = Options(),
+    on_error: str = "quarantine",
+) -> Run:
+    """A whole import run. Pages are read once; all parts come from the stored outcome.
+
+    Faulty sources are among the failures, or end the run with ``on_error="fail"``.
+    """
+    scraped = stored(scrape(pages, registry, scraped_at, opts, on_error=on_error))
+    found = records_of(scraped)
+    submitted = stored(incoming(dedupe(enrich(found, detail_pages, opts)), scraped_at[:10]))
+    return Run(registry, found, submitted, import_batches(submitted), failures(scraped, pages, registry))

@@ -38,12 +38,14 @@ def scrape(
     scraped_at: str,
     opts: Options = Options(),
     layouts: list[str] | None = None,
+    on_error: str = "quarantine",
 ) -> DataFrame:
     """One pass over the pages: records before dedupe, and unreadable pages.
 
-    Unreadable pages are the rows with an `error`. Faulty sources take no part.
+    Unreadable pages are the rows with an `error`. Faulty sources take no part; with
+    ``on_error="fail"`` the first one ends the job.
     """
-    good, _ = validate_registry(registry)
+    good, _ = validate_registry(registry, on_error)
     trees = with_tree(source_pages(pages, good))
     return extract_items(trees, scraped_at, opts, layouts)
 
@@ -58,9 +60,11 @@ def extract(
     scraped_at: str,
     opts: Options = Options(),
     layouts: list[str] | None = None,
+    on_error: str = "quarantine",
 ) -> DataFrame:
     """Distinct records of all pages, in the 13 record columns."""
-    return to_records(dedupe(records_of(scrape(pages, registry, scraped_at, opts, layouts))))
+    scraped = scrape(pages, registry, scraped_at, opts, layouts, on_error)
+    return to_records(dedupe(records_of(scraped)))
 
 
 def failures(scraped: DataFrame, pages: DataFrame, registry: DataFrame) -> DataFrame:

@@ -38,9 +38,6 @@ LAYOUTS = [
     "shopify_blog_events",
 ]
 
-# Layouts whose records are enriched from their own detail page.
-DETAIL_LAYOUTS = ["shopify_blog_events", "squarespace_blog", "wordpress_posts"]
-
 RECORD_SCHEMA = _strings(*RECORD_FIELDS)
 REGISTRY_SCHEMA = _strings("name", "url", "parser", "kind")
 
@@ -117,6 +114,8 @@ class Options:
     wide_dashes: bool = True
     trim_arrow: bool = True
     nearby_context: bool = False
+    # More titles that are page furniture, as (source name, title) pairs.
+    stop_titles: tuple[tuple[str, str], ...] = ()
 
     @classmethod
     def worker(cls, base_date: str = "2026-01-01") -> Options:

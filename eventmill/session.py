@@ -58,16 +58,3 @@ def stored(df: DataFrame) -> DataFrame:
     folder = shared_folder(df.sparkSession)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
-
-
-checkpointed = stored
-
-
-def spread(scan: DataFrame) -> DataFrame:
-    """A plain table scan with at least one task per core.
-
-    A table of one small file is one task, however much work its rows are. A
-    scan that already has enough splits, as any large table has, stays as it is.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -10,7 +10,8 @@ from pyspark.sql.streaming import StreamingQuery
 from eventmill.operators.records import new_records, to_records
 from eventmill.plans.scrape import records_of, scrape
 from eventmill.schema import ORDER, RECORD_FIELDS, Options
-from eventmill.session import checkpointed
+from eventmill.session import stored
+from eventmill.sources.registry import validate_registry
 
 PAGES_SCHEMA = T.StructType(
     [
@@ -21,35 +22,86 @@ PAGES_SCHEMA = T.StructType(
 )
 TARGET_SCHEMA = T.StructType(
     [T.StructField(c, T.StringType()) for c in RECORD_FIELDS]
+    + [
+        T.StructField("month", T.StringType()),
+        T.StructField("run", T.StringType()),
+        T.StructField("batch_id", T.LongType()),
+    ]
+)
+FAILURE_SCHEMA = T.StructType(
+    [T.StructField(c, T.StringType()) for c in ("partner", "url", "error", "run")]
     + [T.StructField("batch_id", T.LongType())]
 )
+#: Folder of failures within a target; readers of the records pass over it.
+FAILURES = "_failures"
+NO_MONTH = "none"
 
 
-def read_target(spark: SparkSession, target: str) -> DataFrame:
-    """Records kept so far; none before the first run."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not files.exists(folder):
-        return spark.createDataFrame([], TARGET_SCHEMA)
-    return spark.read.schema(TARGET_SCHEMA).parquet(target)
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
+
+def read_target(spark: SparkSession, target: str) -> DataFrame:
+    """Records kept so far; none before the first run."""
+    return _read(spark, target, TARGET_SCHEMA)
+
 
+def read_failures(spark: SparkSession, target: str) -> DataFrame:
+    """(partner, url, error, run, batch_id) of all landed pages that gave no records by a fault."""
+    return _read(spark, f"{target}/{FAILURES}", FAILURE_SCHEMA)
 
-def upsert(records: DataFrame, target: str, batch_id: int) -> DataFrame:
+
+def _write(rows: DataFrame, path: str, *by: str) -> None:
+    """Replace what the same run and batch wrote before, and nothing else."""
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*by).parquet(path)
+
+
+def _month() -> Column:
+    day = F.substring("start_date", 1, 7)
+    return F.when(day.rlike(r"^\d{4}-\d\d$"), day).otherwise(NO_MONTH)
+
+
+def upsert(records: DataFrame, target: str, batch_id: int, run: str = "manual") -> DataFrame:
     """Add the records the target does not have; returns (imported, skipped).
 
-    Each batch owns one folder and never looks at it, so a batch that is run
-    again writes the same rows to the same place.
+    Each batch of each run owns its folders and never looks at them, so a batch that
+    is run again writes the same rows to the same place, and a run that counts its
+    batches anew touches nothing of an earlier one. Records with a key in common
+    have one start date, so only the months of the batch are read, and of these only the key.
     """
     spark = records.sparkSession
     place = [c for c in ORDER if c in records.columns]
-    batch = checkpointed(records.select(*place, *RECORD_FIELDS))
-    known = read_target(spark, target).filter(F.col("batch_id") != batch_id)
-    fresh = to_records(new_records(batch, known))
-    fresh.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
-    written = spark.read.parquet(f"{target}/batch_id={batch_id}")
-    return batch.agg(F.count("*").alias("n")).crossJoin(
-        written.agg(F.count("*").alias("imported"))
-    ).select("imported", (F.col("n") - F.col("imported")).alias("skipped"))
+    batch = stored(records.select(*place, *RECORD_FIELDS))
+    # Months of dates: their number is that of months, not of records.
+    months = [r[0] for r in batch.select(_month().alias("month")).distinct().collect()]
+    own = (F.col("run") == run) & (F.col("batch_id") == batch_id)
+    kept = read_target(spark, target)
+    fresh = to_records(new_records(batch, kept.filter(F.col("month").isin(months) & ~own)))
+    marked = fresh.withColumns({"month": _month(), "run": F.lit(run), "batch_id": F.lit(batch_id)})
+    _write(marked, target, "month", "run", "batch_id")
+    imported = read_target(spark, target).filter(F.col("month").isin(months) & own).count()
+    return spark.createDataFrame([(imported, batch.count() - imported)], "imported long, skipped long")
+
+
+def batch_failures(batch: DataFrame, scraped: DataFrame, registry: DataFrame) -> DataFrame:
+    """(partner, url, error) of the batch's pages that gave nothing because of a fault:
+    unreadable ones, those of faulty sources, and those of no source at all."""
+    good, bad = validate_registry(registry)
+    unreadable = scraped.filter(F.col("error").isNotNull()).select(
+        "partner", F.col("source_url").alias("url"), "error"
+    )
+    landed = batch.select("url").distinct()
+    rest = landed.join(good.select("url"), "url", "left_anti")
+    faulty = bad.select("url", F.col("name").alias("partner"), "error")
+    lost = rest.join(faulty, "url", "left").select(
+        "partner", "url", F.coalesce("error", F.lit("unknown source")).alias("error")
+    )
+    return unreadable.unionByName(lost)
 
 
 def extract_stream(
@@ -64,12 +116,20 @@ def extract_stream(
     """Work off the pages that landed since the last start, then stop.
 
     Extraction is row-wise and dedupe runs against the target, so every
-    micro-batch is an ordinary batch job.
+    micro-batch is an ordinary batch job. Records carry the id of the stream, which
+    the progress folder keeps across restarts; a new progress folder is a new run.
+    Pages that fail are written to the target's failures.
     """
     pages = spark.readStream.schema(PAGES_SCHEMA).parquet(landing)
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        upsert(records_of(scrape(batch, registry, scraped_at, opts)), target, batch_id)
+        session = batch.sparkSession
+        run = session.sparkContext.getLocalProperty("sql.streaming.queryId")
+        scraped = stored(scrape(batch, registry, scraped_at, opts))
+        upsert(records_of(scraped), target, batch_id, run)
+        failed = batch_failures(batch, scraped, registry)
+        marked = failed.withColumns({"run": F.lit(run), "batch_id": F.lit(batch_id)})
+        _write(marked, f"{target}/{FAILURES}", "run", "batch_id")
 
     return (
         pages.writeStream.foreachBatch(work)

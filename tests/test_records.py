@@ -14,7 +14,13 @@ from eventmill.plans.scrape import extract, records_of
 from eventmill.schema import ORDER, RECORD_FIELDS
 from eventmill.sinks import files
 from eventmill.sources.registry import read_registry, select_sources, validate_registry
-from eventmill.streaming.incremental import PAGES_SCHEMA, extract_stream, read_target, upsert
+from eventmill.streaming.incremental import (
+    PAGES_SCHEMA,
+    extract_stream,
+    read_failures,
+    read_target,
+    upsert,
+)
 
 RUN = "2026-07-02T12:00:00+00:00"
 SOURCE = "source_ord int, name string, url string, parser string, kind string"
@@ -296,6 +302,45 @@ def test_upsert_counts_and_repeats(make, spark, tmp_path):
     assert sorted(r["title"] for r in read_target(spark, target).collect()) == ["a", "b", "c"]
 
 
+def test_upsert_knows_records_with_missing_keys(make, spark, tmp_path):
+    target = str(tmp_path / "target")
+    rows = make({"title": "a", "start_date": None, "url": None}, {"title": "b", "start_date": "soon"})
+    assert tuple(upsert(rows, target, 0).first()) == (2, 0)
+    assert tuple(upsert(rows, target, 1).first()) == (0, 2)
+
+
+def test_runs_with_the_same_batch_number_keep_apart(make, spark, tmp_path):
+    target = str(tmp_path / "target")
+    assert tuple(upsert(make({"title": "a"}), target, 0, "one").first()) == (1, 0)
+    assert tuple(upsert(make({"title": "b"}, {"title": "A"}), target, 0, "two").first()) == (1, 1)
+    assert sorted(r["title"] for r in read_target(spark, target).collect()) == ["a", "b"]
+
+
+def test_a_new_progress_folder_keeps_earlier_records_and_failures(spark, tmp_path):
+    registry = spark.createDataFrame(
+        [(0, "L", "https://l.org", "generic_links", None), (1, "B", "https://b.org", "rss", None)], SOURCE
+    )
+    target = str(tmp_path / "out")
+
+    def work(number, *pages):
+        landing = str(tmp_path / f"in{number}")
+        pages_of(spark, *pages).write.parquet(landing)
+        progress = str(tmp_path / f"progress{number}")
+        extract_stream(spark, landing, registry, target, progress, RUN).awaitTermination()
+        return sorted(r["title"] for r in read_target(spark, target).collect())
+
+    page = "<a href='/x'>{} May 3</a>"
+    assert work(1, (1, "https://l.org", page.format("Fair")), (2, "https://l.org", None)) == ["Fair"]
+    later = [(3, "https://l.org", page.format("Walk")), (4, "https://u.org", "x"), (5, "https://b.org", "x")]
+    assert work(2, *later) == ["Fair", "Walk"]
+    failed = {(r.partner, r.url, r.error) for r in read_failures(spark, target).collect()}
+    assert failed == {
+        ("L", "https://l.org", "page has no html"),
+        (None, "https://u.org", "unknown source"),
+        ("B", "https://b.org", "unknown parser: rss"),
+    }
+
+
 def test_stream_reads_each_landed_page_once(spark, tmp_path):
     registry = spark.createDataFrame([(0, "L", "https://l.org", "generic_links", None)], SOURCE)
     landing, target, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
@@ -314,3 +359,36 @@ def test_order_columns_are_not_part_of_the_output(spark):
     registry = spark.createDataFrame([(0, "L", "https://l.org", "generic_links", None)], SOURCE)
     found = extract(pages_of(spark, (1, "https://l.org", "<p>")), registry, RUN)
     assert found.columns == RECORD_FIELDS and not set(ORDER) & set(found.columns)
+
+
+def test_batch_bodies_have_a_kind(make):
+    rows = make({"title": "a", "kind": None}, {"title": "b", "kind": ""}, {"title": "c", "kind": "announcement"})
+    body = json.loads(records.import_batches(rows).first()["body"])
+    assert sorted(r["kind"] for r in body["records"]) == ["announcement", "event", "event"]
+
+
+def test_a_faulty_source_can_end_the_run(spark):
+    registry = spark.createDataFrame([(0, "B", "https://b.org", "rss", None)], SOURCE)
+    pages = pages_of(spark, (1, "https://b.org", "x"))
+    with pytest.raises(Exception, match="bad source"):
+        extract(pages, registry, RUN, on_error="fail").collect()
+
+
+def test_page_texts_of_details_are_not_moved(spark, make, tmp_path):
+    """No exchange, sort or broadcast carries html, with few or many wanted addresses."""
+    from eventmill.operators import details
+
+    folder = str(tmp_path / "details")
+    pages_of(spark, *[(i, f"https://d.org/{i}", '<div class="rte">Text</div>') for i in range(9)]).write.parquet(folder)
+    listed = make({"title": "a", "url": "https://d.org/1"}, {"title": "b", "url": "https://n.org"})
+    listed = listed.withColumn("parser", F.lit("wordpress_posts"))
+    for most in (details.SENT_ADDRESSES, 0):
+        kept, details.SENT_ADDRESSES = details.SENT_ADDRESSES, most
+        try:
+            filled = enrich(listed, spark.read.parquet(folder))
+            assert sorted(r["description"] for r in filled.collect()) == ["", "Text"]
+            plan = filled._jdf.queryExecution().executedPlan().toString()
+        finally:
+            details.SENT_ADDRESSES = kept
+        moving = [x for x in plan.split("\n") if any(w in x for w in ("Exchange", "Sort ", "SortMergeJoin"))]
+        assert moving and not any("html" in x for x in moving)
