@@ -34,6 +34,13 @@ def local_session(cores: str | int = "*", **extra: str) -> SparkSession:
     return spark
 
 
+def use_settings(spark: SparkSession) -> SparkSession:
+    """Give a cluster's own session the settings of this library's jobs."""
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder's name under the one the cluster names in spark.checkpoint.dir.
 
