@@ -348,4 +348,5 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of `docs` that `near_duplicates` keeps: one document of each group."""
     kept = stored(near_duplicates(docs, width, percent).filter("kept").select("doc_id"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    # The ids grow with the documents: joined by sorting at every size.
+    return docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")

@@ -192,18 +192,28 @@ def cutoffs(good: DataFrame, max_false: float = MAX_FALSE, error: float = ERROR)
     )
 
 
-def _judged(counts: DataFrame, labels: DataFrame, max_false: float, error: float) -> DataFrame:
-    """Add `base_failed`, `rules` and `kept` to stored counts with doc_id and stratum."""
+def _scored(counts: DataFrame) -> DataFrame:
     c = {name: F.col(name) for name in counts.columns}
     # Documents without words have no shares; they fail the base anyway.
-    scored = counts.select("*", *[F.coalesce(rule(c), F.lit(0.0)).alias(name) for name, rule in RULES.items()])
+    return counts.select("*", *[F.coalesce(rule(c), F.lit(0.0)).alias(name) for name, rule in RULES.items()])
+
+
+def _cutoffs_by_stratum(counts: DataFrame, labels: DataFrame, max_false: float, error: float) -> DataFrame:
+    """(_stratum, _cutoffs): a row per stratum, stored so that its size is known to joins."""
     marked = labels.filter("quality = 1").select(F.col("doc_id").alias("_id"))
-    good = scored.select("doc_id", "stratum", "n_words", "n_repeat_words", *RULES)
-    good = good.filter(~base_failed(c)).join(marked, F.col("doc_id") == F.col("_id"))
-    found = cutoffs(good.select("stratum", *RULES), max_false, error)
-    per_stratum = found.groupBy(F.col("stratum").alias("_stratum")).agg(
-        F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("_cutoffs")
+    good = _scored(counts).select("doc_id", "stratum", "n_words", "n_repeat_words", *RULES)
+    good = good.filter(~base_failed({c: F.col(c) for c in good.columns}))
+    good = good.join(marked, F.col("doc_id") == F.col("_id")).select("stratum", *RULES)
+    found = cutoffs(good, max_false, error)
+    return stored(
+        found.groupBy(F.col("stratum").alias("_stratum")).agg(
+            F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("_cutoffs")
+        )
     )
+
+
+def _judged(counts: DataFrame, per_stratum: DataFrame) -> DataFrame:
+    """Add `base_failed`, `rules` and `kept` to counts; documents stay where they lie."""
     rejected = F.array_compact(
         F.array(
             *[
@@ -212,17 +222,21 @@ def _judged(counts: DataFrame, labels: DataFrame, max_false: float, error: float
             ]
         )
     )
-    # Stored, so that its size is known before the join: documents then stay where they are.
-    per_stratum = stored(per_stratum)
+    scored = _scored(counts)
     judged = scored.join(per_stratum, F.col("stratum").eqNullSafe(F.col("_stratum")), "left")
     return (
-        judged.withColumn("base_failed", base_failed(c))
+        judged.withColumn("base_failed", base_failed({c: F.col(c) for c in counts.columns}))
         .withColumn("rules", F.coalesce(rejected, F.array().cast("array<string>")))
         .withColumn("kept", ~F.col("base_failed") & (F.size("rules") == 0))
         .drop("_stratum", "_cutoffs", *RULES)
     )
 
 
+def _counts(docs: DataFrame, stratum: str) -> DataFrame:
+    one = measured(docs.select(F.col("doc_id"), F.col(stratum).alias("stratum"), F.col("text")))
+    return one.select("doc_id", "stratum", "stats.*")
+
+
 def judge(
     docs: DataFrame,
     labels: DataFrame,
@@ -239,8 +253,8 @@ def judge(
     fail the base. Repeated rows are judged one by one; extra columns of `docs` are
     ignored; an empty table gives no rows.
     """
-    one = measured(docs.select(F.col("doc_id"), F.col(stratum).alias("stratum"), F.col("text")))
-    return _judged(stored(one.select("doc_id", "stratum", "stats.*")), labels, max_false, error)
+    counts = stored(_counts(docs, stratum))
+    return _judged(counts, _cutoffs_by_stratum(counts, labels, max_false, error))
 
 
 def good_documents(
@@ -252,10 +266,10 @@ def good_documents(
 ) -> DataFrame:
     """The rows of `docs`, with all their columns, that `judge` keeps.
 
-    Texts are written once beside their counts and read again where they lie; they
-    are not shuffled.
+    Texts are counted twice, for the cutoffs and for the verdicts, and neither
+    shuffled nor written in between.
     """
+    per_stratum = _cutoffs_by_stratum(stored(_counts(docs, stratum)), labels, max_false, error)
     row = docs.select("doc_id", F.col(stratum).alias("stratum"), "text", F.struct("*").alias("_doc"))
-    one = measured(row).select("doc_id", "stratum", "stats.*", "_doc")
-    judged = _judged(stored(one), labels, max_false, error)
-    return judged.filter("kept").select("_doc.*")
+    counts = measured(row).select("doc_id", "stratum", "stats.*", "_doc")
+    return _judged(counts, per_stratum).filter("kept").select("_doc.*")
