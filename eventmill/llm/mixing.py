@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventmill.llm.common import in_hash_order, in_range_order, word_count, word_list
@@ -22,6 +22,10 @@ from eventmill.session import stored
 #: Words of a block, and blocks of an output shard.
 BLOCK_WORDS = 1 << 14
 SHARD_BLOCKS = 1 << 8
+#: Output shards at most; beyond it they hold more blocks.
+MAX_SHARDS = 4096
+#: Documents of a shard that are written together.
+SLOTS = 2048
 #: No document is taken more often, and so no source.
 MAX_REPEATS = 3
 #: Sources whose quotas are split together; more are split bucket by bucket.
@@ -109,6 +113,23 @@ def _shard_counts(quotas: DataFrame, total: int, shards: int, seed: int) -> Data
     )
 
 
+def _place_in(ends: str, value: Column) -> Column:
+    """How many of the rising `ends` are at most `value`, by halving."""
+    start = F.struct(F.lit(0).alias("lo"), F.size(ends).alias("hi"))
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = ((s["lo"] + s["hi"]) / 2).cast("int")
+        below = F.get(F.col(ends), mid) <= value
+        open_ = s["lo"] < s["hi"]
+        return F.struct(
+            F.when(open_ & below, mid + 1).otherwise(s["lo"]).alias("lo"),
+            F.when(open_ & ~below, mid).otherwise(s["hi"]).alias("hi"),
+        )
+
+    steps = F.sequence(F.lit(0), F.lit(MAX_SHARDS.bit_length()))
+    return F.aggregate(steps, start, halve, lambda s: s["lo"])
+
+
 def mix(
     docs: DataFrame,
     weights: tuple[int, ...] = (1, 2, 3),
@@ -177,7 +198,7 @@ def mix(
 
     quotas = targets.select("place", F.ceil(quota_words / block_words).alias("quota")).filter("quota > 0")
     total = quotas.agg(F.sum("quota")).first()[0] or 0
-    shards = max(1, -(-total // shard_blocks))
+    shards = min(MAX_SHARDS, max(1, -(-total // shard_blocks)))
     ends = stored(_shard_counts(quotas, total, shards, seed))
     # Permuted blocks: a block's rank by hash among its source's blocks.
     blocks = quotas.select("place", F.explode(F.sequence(F.lit(0), F.col("quota") - 1)).alias("block"))
@@ -187,7 +208,7 @@ def mix(
     dealt = ranked.join(ends, "place").select(
         F.col("place").alias("_place"),
         F.col("block").alias("_block"),
-        F.size(F.filter("ends", lambda end: end <= F.col("rank"))).alias("shard"),
+        _place_in("ends", F.col("rank")).alias("shard"),
     )
     shared = pieces.filter("epoch IS NOT NULL").join(
         stored(dealt), (F.col("place") == F.col("_place")) & (F.col("block") == F.col("_block"))
@@ -226,7 +247,8 @@ def drawn(docs: DataFrame, pieces: DataFrame) -> DataFrame:
     )
     # The document as one column: its own columns may have any names.
     rows = docs.select(F.struct("*").alias("_doc")).join(takes, F.col("_doc.doc_id") == F.col("_id"))
-    rows = rows.repartition("_shard").sortWithinPartitions("_shard", "_slot")
+    run = F.floor(F.col("_slot") / SLOTS)
+    rows = rows.repartition("_shard", run).sortWithinPartitions("_shard", "_slot")
     whole = F.col("_doc.text")
     cut = F.array_join(F.slice(word_list(whole), 1, F.col("_words").cast("int")), " ")
     text = F.when(F.col("_words") < F.col("_size"), cut).otherwise(whole)
