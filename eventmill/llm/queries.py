@@ -62,7 +62,8 @@ def op3_embeddings(spark, sf_dir):
 
 
 def op9_quality(spark, sf_dir):
-    return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    judged = quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return judged.withColumn("rules", F.array_join(F.array_sort("rules"), ","))
 
 
 def op5_packing(spark, sf_dir):
@@ -86,4 +87,57 @@ QUERIES = {"op1_minhash": op1_minhash, "op8_mixing": op8_mixing, "op6_sharding":
 NO_QUOTES = """SELECT conv_id, turn, role, coalesce(text, '') AS text, 0 AS n_quotes, 0 AS n_linked,
   CAST(NULL AS BIGINT) AS reply_to, turn AS thread, 0 AS depth,
   row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place FROM conversations"""
-ORACLES: dict[str, str] = {"op2_quotations": NO_QUOTES, "op10_licenses": licenses.oracle()}
+
+VECTOR_LINKS = """WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+pairs AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (SELECT vec_id, vec_id AS node FROM v UNION
+  SELECT r.vec_id, p.b FROM reach r JOIN pairs p ON p.a = r.node),
+least AS (SELECT vec_id, min(node) AS component_id FROM reach GROUP BY vec_id)
+SELECT vec_id, (SELECT count(*) FROM pairs WHERE a = vec_id) AS n_links, component_id,
+  component_id = vec_id AS kept FROM least"""
+
+QUALITY = f"""WITH w AS (SELECT doc_id, lang AS stratum, coalesce(text, '') AS t,
+  regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+grams AS (SELECT doc_id, i, array_to_string(words[i:i + 4], ' ') AS g
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM w)),
+often AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM grams) WHERE n > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT doc_id, i, unnest(range(0, 5)) AS k FROM often) GROUP BY doc_id),
+c AS (SELECT doc_id, stratum, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+    len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words,
+    len(lines) AS n_lines, length(regexp_replace(t, '[^!?]+', '', 'g')) AS n_marks,
+    length(regexp_replace(t, '[^\\p{{Lu}}]+', '', 'g')) AS n_capitals,
+    length(regexp_replace(t, '[^\\p{{L}}]+', '', 'g')) AS n_letters
+  FROM (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM w)
+  LEFT JOIN covered USING (doc_id)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c),
+s AS (SELECT doc_id, stratum, base_failed, unnest([
+    {{'rule': 'symbols', 'score': n_symbols / nullif(n_symbols + n_words, 0)}},
+    {{'rule': 'marks', 'score': n_marks / nullif(n_marks + n_words, 0)}},
+    {{'rule': 'capitals', 'score': n_capitals / nullif(n_letters, 0)}},
+    {{'rule': 'dup_lines', 'score': n_dup_lines / nullif(n_lines, 0)}},
+    {{'rule': 'repeats', 'score': n_repeat_words / nullif(n_words, 0)}}]) AS x FROM b),
+scored AS (SELECT doc_id, stratum, base_failed, x.rule AS rule, coalesce(x.score, 0) AS score FROM s),
+good AS (SELECT scored.* FROM scored JOIN labels USING (doc_id) WHERE quality = 1 AND NOT base_failed),
+tests AS (SELECT {len(quality.RULES)} * count(DISTINCT coalesce(stratum, '')) AS m FROM good),
+tried AS (SELECT stratum, rule, step, count(*) AS n,
+    count(*) FILTER (score > ({quality.GRID} - step) / {quality.GRID} + 1e-9) AS k
+  FROM good, (SELECT unnest(range(1, {quality.GRID})) AS step) GROUP BY ALL),
+bounds AS (SELECT *, CASE WHEN k >= n * p THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1),
+    lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(p) + (n - i) * ln(1 - p)))) END AS tail
+  FROM tried, (SELECT {quality.MAX_FALSE / len(quality.RULES)} AS p)),
+failing AS (SELECT stratum, rule, min(step) FILTER (tail > {quality.ERROR} / m) AS f FROM bounds, tests GROUP BY ALL),
+cutoff AS (SELECT stratum, rule, ({quality.GRID} - coalesce(f - 1, {quality.GRID - 1})) / {quality.GRID} AS cut FROM failing WHERE coalesce(f, 2) > 1),
+rejected AS (SELECT doc_id, array_to_string(list_sort(list(scored.rule)), ',') AS rules FROM scored JOIN cutoff
+  ON cutoff.rule = scored.rule AND cutoff.stratum IS NOT DISTINCT FROM scored.stratum
+  WHERE score > cut + 1e-9 GROUP BY doc_id)
+SELECT b.*, coalesce(rules, '') AS rules, NOT base_failed AND rules IS NULL AS kept
+FROM b LEFT JOIN rejected USING (doc_id)"""
+
+ORACLES: dict[str, str] = {
+    "op2_quotations": NO_QUOTES,
+    "op3_embeddings": VECTOR_LINKS,
+    "op9_quality": QUALITY,
+    "op10_licenses": licenses.oracle(),
+}
