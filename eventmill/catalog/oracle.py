@@ -205,6 +205,46 @@ def cards_listing(where: str = "true", lone: bool = False) -> str:
   from carded"""
 
 
+# -- the second profile -----------------------------------------------------
+def worker_events(where: str = "true") -> str:
+    """Dates in the block only, ends kept though equal, titles of any length, dashes
+    plain, places up to a full stop, and the arrow of a link text left."""
+    clocks = "price < 60000 or (st = 'P' and pri <> '5-LOW')"
+    return f"""
+  listed as (
+    select *, case when st = 'O' then d1 when st = 'P' then d2 end as second,
+      case when page_id % 3 = 1 then title end as own_title
+    from o where page_id % 3 <> 2 and {where}),
+  described as (
+    select *, concat_ws(' ', own_title, d1, second, times, 'Location: ' || place, about, '→',
+      '{WELCOME}') as block from listed)
+  select k, page_id, {record(
+    title="title", start_date="iso1",
+    end_date="case st when 'O' then iso1 when 'P' then iso2 else '' end",
+    start_time=f"case when {clocks} then '' else upper(t1 || am) end",
+    end_time=f"case when {clocks} then '' else t2 || 'PM' end",
+    location="place || ' Notes for order ' || ks",
+    description=shorten("block", 700),
+    image_url='''case when st = 'O' then site || '/img/' || ks || '-1x.png'
+      when st = 'P' and page_id % 3 <> 1 then '' else 'https://cdn.example.org/' || ks || '.png' end''',
+    url="case when pri = '2-HIGH' then site || '/events' else site || '/events/' || ks end",
+    source_url="site || '/events'")}
+  from described where worded"""
+
+
+def worker_links(where: str = "true") -> str:
+    """Dates in the link's own text only."""
+    return links_listing(f"st <> 'P' and {where}")
+
+
+WORKER_LISTINGS = {
+    "squarespace_events": worker_events,
+    "heading_date_events": dated_listing,
+    "squarespace_blog": blog_listing,
+    "wordpress_posts": posts_listing,
+    "generic_links": worker_links,
+}
+
 LISTINGS = {
     "squarespace_events": events_listing,
     "heading_date_events": dated_listing,
@@ -220,8 +260,8 @@ def with_orders(body: str) -> str:
     return f"with {ORDERS}, {body.strip()}"
 
 
-def one_layout(layout: str, select: str = FIELDS) -> str:
-    return f"with {ORDERS}, listing as (with {LISTINGS[layout]().strip()}) select {select} from listing"
+def one_layout(layout: str, select: str = FIELDS, listings: dict = LISTINGS) -> str:
+    return f"with {ORDERS}, listing as (with {listings[layout]().strip()}) select {select} from listing"
 
 
 # Pages of all layouts: a page's number says which one it has.
@@ -343,6 +383,7 @@ def statements() -> dict[str, str]:
             place as location_to_period from o""",
         "shorten_documents": f"""with d as (select doc_id, {clean("text")} as t from documents)
             select doc_id, {shorten("t", 700)} as long_text, {shorten("t", 400)} as short_text from d""",
+        **{f"xw_{n}": one_layout(n, listings=WORKER_LISTINGS) for n in WORKER_LISTINGS},
         "x_worker_lone_cards": f"with {ORDERS}, listing as (with {cards_listing(lone=True).strip()})"
         f" select {FIELDS} from listing",
         "extract_all": f"{ALL} select {FIELDS} from listing",

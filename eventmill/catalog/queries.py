@@ -177,6 +177,14 @@ def of_layout(layout: str) -> Callable[[SparkSession, str], DataFrame]:
     return query
 
 
+def of_worker_layout(layout: str) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark, sf_dir):
+        pages, registry = site_tables(spark, sf_dir, layout)
+        return extract(pages, registry, RUN_AT, Options.worker(RUN_OPTIONS.base_date), [layout])
+
+    return query
+
+
 def x_worker_lone_cards(spark, sf_dir):
     pages = render.lone_cards(spark, sf_dir)
     registry = render.registry_of(spark, sf_dir, pages)
@@ -528,3 +536,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     ]
 }
 QUERIES.update({f"x_{layout}": of_layout(layout) for layout in LAYOUTS})
+# X6 of the second profile has its pages without cards, above.
+QUERIES.update({f"xw_{layout}": of_worker_layout(layout) for layout in LAYOUTS[:-1]})
