@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -475,6 +476,13 @@ def register_extractor(name: str, layout: Layout) -> None:
     EXTRACTORS[name] = layout
 
 
+@lru_cache(maxsize=128)
+def _candidates(layout: Layout, opts: Options, application: str) -> Column:
+    """A layout's expression. Building it takes thousands of calls to the JVM, so an
+    application builds it once for all its jobs with the same options."""
+    return layout.candidates(opts)
+
+
 def _by_layout(values: dict[str, Column], default: Column) -> Column:
     """The value of the row's own layout."""
     routed = None
@@ -498,10 +506,11 @@ def extract_items(
         names = [k for k, v in chosen.items() if test(v)]
         return F.col("parser").isin(names) if names else F.lit(False)
 
+    application = trees.sparkSession.sparkContext.applicationId
     # A page that could not be read goes through as one row that says so.
     failed = F.col("error").isNotNull()
     listed = F.when(failed, F.array(candidate(F.lit(0)))).otherwise(
-        _by_layout({k: v.candidates(opts) for k, v in chosen.items()}, F.lit(None))
+        _by_layout({k: _candidates(v, opts, application) for k, v in chosen.items()}, F.lit(None))
     )
     source = ["source_ord", "page_id", "partner", "source_url", "parser", "kind", "base"]
     run_date = those(lambda v: v.run_date)
