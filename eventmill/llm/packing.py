@@ -13,6 +13,7 @@ leave one short sequence.
 from __future__ import annotations
 
 import os
+import re
 import struct
 from bisect import bisect_right, insort
 from collections.abc import Iterator
@@ -31,6 +32,7 @@ STEP_TOKENS = 1 << 16
 #: Words whose ids a worker remembers; beyond it starts afresh.
 CACHE_WORDS = 1_000_000
 _TEXT_SLICE = 1 << 20
+_BLANK = re.compile(rb"[ \t\n\r\x0b\x0c]")
 #: A run of these at a word's end is a token of its own kind, whatever letter is before it.
 MARKS = ".,;:!?*%&$#|+-=()[]/\""
 DIGITS = "0123456789"
@@ -92,9 +94,8 @@ class Encoder:
             data = data.lower()
         out, at = [], 0
         while at < len(data):
-            end = at + _TEXT_SLICE
-            while end < len(data) and data[end] not in b" \t\n\r\x0b\x0c":
-                end += 1
+            blank = _BLANK.search(data, at + _TEXT_SLICE)
+            end = blank.start() if blank else len(data)
             words = data[at:end].split()
             at = end
             known = self.known
