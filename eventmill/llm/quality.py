@@ -5,7 +5,8 @@ not set by hand: on documents labelled good, a cutoff is certified only if an ex
 binomial test shows that it rejects no more than a stated share of good documents of
 its stratum. Along the grid of a rule, cutoffs are tested from the most lenient to
 the strictest and testing stops at the first failure, which needs no correction;
-across rules and strata the error level is divided by their number. All of it is
+across rules and strata the error level is divided by their number. Of the certified
+cutoffs the one that separates bad from good labels best is taken. All of it is
 column expressions.
 """
 
@@ -23,6 +24,8 @@ MAX_FALSE = 0.05
 ERROR = 0.05
 #: Cutoffs tried by every rule, as shares from 1 down to 0.
 GRID = 50
+#: What rejecting a share of the good documents costs against rejecting it of the bad.
+PRICE = 10
 
 #: Scores in [0, 1] by name; more is worse.
 RULES = {
@@ -147,11 +150,14 @@ def binomial_at_most(k: Column, n: Column, p: float) -> Column:
     return F.when(k >= n * p, F.lit(1.0)).otherwise(F.least(F.lit(1.0), first * total))
 
 
-def cutoffs(good: DataFrame, max_false: float = MAX_FALSE, error: float = ERROR) -> DataFrame:
-    """Per stratum and rule, the strictest certified cutoff.
+def cutoffs(labelled: DataFrame, max_false: float = MAX_FALSE, error: float = ERROR) -> DataFrame:
+    """Per stratum and rule, the certified cutoff that is worth most.
 
-    `good` has stratum, which may be null, and one score per rule for documents
-    labelled good. Rules without a certified cutoff in a stratum give no row.
+    `labelled` has stratum, which may be null, `good` (boolean) and one score per rule.
+    Of the certified cutoffs, that with the highest share of bad documents rejected,
+    less PRICE times the share of good ones, is taken, the most lenient of equals;
+    so a rule rejects no good documents for nothing. Rules without a certified cutoff,
+    or without one that is worth anything, give no row.
     """
     scores = F.array(
         *[F.struct(F.lit(r).alias("rule"), F.col(r).alias("score")) for r in RULES]
@@ -159,37 +165,38 @@ def cutoffs(good: DataFrame, max_false: float = MAX_FALSE, error: float = ERROR)
     # Step g stands for the cutoff (GRID - g) / GRID; a score is rejected from its first step on.
     first_step = (F.floor(GRID - (F.col("s.score") - 1e-9) * GRID) + 1).cast("int")
     counted = (
-        good.select("stratum", F.explode(scores).alias("s"))
+        labelled.select("stratum", "good", F.explode(scores).alias("s"))
         .groupBy("stratum", F.col("s.rule").alias("rule"), first_step.alias("step"))
-        .agg(F.count("*").alias("n_at"))
+        .agg(F.count_if("good").alias("good_at"), F.count_if(~F.col("good")).alias("bad_at"))
     )
+    at = F.map_from_entries(F.collect_list(F.struct("step", F.struct("good_at", "bad_at"))))
     per_rule = counted.groupBy("stratum", "rule").agg(
-        F.sum("n_at").alias("n"),
-        F.map_from_entries(F.collect_list(F.struct("step", "n_at"))).alias("at"),
+        F.sum("good_at").alias("n"), F.sum("bad_at").alias("n_bad"), at.alias("at")
     )
+
+    def rejected(kind: str) -> Column:
+        return F.aggregate(
+            F.sequence(F.lit(0), F.col("step")),
+            F.lit(0).cast("long"),
+            lambda a, i: a + F.coalesce(F.element_at("at", i)[kind], F.lit(0)),
+        )
+
     tried = (
         per_rule.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(GRID - 1))))
-        .withColumn(
-            "k",
-            F.aggregate(
-                F.sequence(F.lit(0), F.col("step")),
-                F.lit(0).cast("long"),
-                lambda a, i: a + F.coalesce(F.element_at("at", i), F.lit(0)),
-            ),
-        )
+        .withColumn("k", rejected("good_at"))
+        .withColumn("k_bad", rejected("bad_at"))
         .drop("at")
     )
-    tests = len(RULES) * max(1, good.select("stratum").distinct().count())
+    tests = len(RULES) * max(1, labelled.filter("good").select("stratum").distinct().count())
     judged = tried.withColumn(
         "ok", binomial_at_most(F.col("k"), F.col("n"), max_false / len(RULES)) <= error / tests
     )
     so_far = Window.partitionBy("stratum", "rule").orderBy("step")
     passed = judged.withColumn("all_ok", F.min("ok").over(so_far)).filter("all_ok")
-    return passed.groupBy("stratum", "rule").agg(
-        ((GRID - F.max("step")) / GRID).alias("cutoff"),
-        F.max("n").alias("n_good"),
-        F.max("k").alias("n_rejected"),
-    )
+    worth = F.try_divide("k_bad", "n_bad") - PRICE * F.try_divide("k", "n")
+    passed = passed.withColumn("worth", worth).filter("worth > 0")
+    best = passed.groupBy("stratum", "rule").agg(F.max_by("step", F.struct("worth", -F.col("step"))).alias("step"))
+    return best.select("stratum", "rule", ((GRID - F.col("step")) / GRID).alias("cutoff"))
 
 
 def _scored(counts: DataFrame) -> DataFrame:
@@ -200,11 +207,12 @@ def _scored(counts: DataFrame) -> DataFrame:
 
 def _cutoffs_by_stratum(counts: DataFrame, labels: DataFrame, max_false: float, error: float) -> DataFrame:
     """(_stratum, _cutoffs): a row per stratum, stored so that its size is known to joins."""
-    marked = labels.filter("quality = 1").select(F.col("doc_id").alias("_id"))
-    good = _scored(counts).select("doc_id", "stratum", "n_words", "n_repeat_words", *RULES)
-    good = good.filter(~base_failed({c: F.col(c) for c in good.columns}))
-    good = good.join(marked, F.col("doc_id") == F.col("_id")).select("stratum", *RULES)
-    found = cutoffs(good, max_false, error)
+    marked = labels.filter("quality IS NOT NULL")
+    marked = marked.select(F.col("doc_id").alias("_id"), (F.col("quality") == 1).alias("good"))
+    scored = _scored(counts).select("doc_id", "stratum", "n_words", "n_repeat_words", *RULES)
+    scored = scored.filter(~base_failed({c: F.col(c) for c in scored.columns}))
+    labelled = scored.join(marked, F.col("doc_id") == F.col("_id")).select("stratum", "good", *RULES)
+    found = cutoffs(labelled, max_false, error)
     return stored(
         found.groupBy(F.col("stratum").alias("_stratum")).agg(
             F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("_cutoffs")
@@ -246,7 +254,7 @@ def judge(
 ) -> DataFrame:
     """Per document its counts, `base_failed`, the rules that reject it, and `kept`.
 
-    `labels` has doc_id and quality (1 is good); rows with a null in either are left
+    `labels` has doc_id and quality (1 is good, others bad); rows with a null in either are left
     out, and a document counts once per label row. Strata are the values of a column
     of `docs`; null is a stratum. A stratum with too few good labels for a bound has
     no cutoffs: there only the base decides. Null and empty texts have no words and

@@ -119,16 +119,21 @@ s AS (SELECT doc_id, stratum, base_failed, unnest([
     {{'rule': 'dup_lines', 'score': n_dup_lines / nullif(n_lines, 0)}},
     {{'rule': 'repeats', 'score': n_repeat_words / nullif(n_words, 0)}}]) AS x FROM b),
 scored AS (SELECT doc_id, stratum, base_failed, x.rule AS rule, coalesce(x.score, 0) AS score FROM s),
-good AS (SELECT scored.* FROM scored JOIN labels USING (doc_id) WHERE quality = 1 AND NOT base_failed),
-tests AS (SELECT {len(quality.RULES)} * count(DISTINCT coalesce(stratum, '')) AS m FROM good),
-tried AS (SELECT stratum, rule, step, count(*) AS n,
-    count(*) FILTER (score > ({quality.GRID} - step) / {quality.GRID} + 1e-9) AS k
-  FROM good, (SELECT unnest(range(1, {quality.GRID})) AS step) GROUP BY ALL),
+marked AS (SELECT scored.*, quality = 1 AS good FROM scored JOIN labels USING (doc_id)
+  WHERE quality IS NOT NULL AND NOT base_failed),
+tests AS (SELECT {len(quality.RULES)} * count(DISTINCT coalesce(stratum, '')) AS m FROM marked WHERE good),
+tried AS (SELECT stratum, rule, step, count(*) FILTER (good) AS n, count(*) FILTER (NOT good) AS n_bad,
+    count(*) FILTER (good AND score > ({quality.GRID} - step) / {quality.GRID} + 1e-9) AS k,
+    count(*) FILTER (NOT good AND score > ({quality.GRID} - step) / {quality.GRID} + 1e-9) AS k_bad
+  FROM marked, (SELECT unnest(range(1, {quality.GRID})) AS step) GROUP BY ALL),
 bounds AS (SELECT *, CASE WHEN k >= n * p THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1),
     lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(p) + (n - i) * ln(1 - p)))) END AS tail
   FROM tried, (SELECT {quality.MAX_FALSE / len(quality.RULES)} AS p)),
-failing AS (SELECT stratum, rule, min(step) FILTER (tail > {quality.ERROR} / m) AS f FROM bounds, tests GROUP BY ALL),
-cutoff AS (SELECT stratum, rule, ({quality.GRID} - coalesce(f - 1, {quality.GRID - 1})) / {quality.GRID} AS cut FROM failing WHERE coalesce(f, 2) > 1),
+passed AS (SELECT *, max(tail) OVER (PARTITION BY stratum, rule ORDER BY step) AS worst,
+    k_bad / nullif(n_bad, 0) - {quality.PRICE} * k / nullif(n, 0) AS worth FROM bounds),
+cutoff AS (SELECT stratum, rule, ({quality.GRID} - step) / {quality.GRID} AS cut FROM (
+  SELECT *, row_number() OVER (PARTITION BY stratum, rule ORDER BY worth DESC, step) AS place
+  FROM passed, tests WHERE worst <= {quality.ERROR} / m AND worth > 0) WHERE place = 1),
 rejected AS (SELECT doc_id, array_to_string(list_sort(list(scored.rule)), ',') AS rules FROM scored JOIN cutoff
   ON cutoff.rule = scored.rule AND cutoff.stratum IS NOT DISTINCT FROM scored.stratum
   WHERE score > cut + 1e-9 GROUP BY doc_id)
