@@ -9,8 +9,9 @@
    Of the rest, ordered from rare to frequent, two such sets share one within the
    first COORDINATES - MATCHES + 1 (prefix); the frequent ones after it are skipped.
 3. Collisions are counted within every remaining list, and pairs with MATCHES or more
-   join their classes to candidate groups. Long lists are split into blocks that
-   meet pairwise; each unit of work returns a spanning forest, never all pairs.
+   join their classes to candidate groups. Long lists are split into blocks: all meet
+   the first, and what this leaves unconnected meets all; each unit of work returns a
+   spanning forest, never all pairs.
 4. Candidate groups meet with their full sets: intersections are counted exactly, by
    incidence products, and links again leave as spanning forests. Groups that are too
    large for one unit go by blocks, or by their posting lists, whichever ships less.
@@ -207,25 +208,51 @@ def _edge_task(batches: Iterator[pa.RecordBatch], linked_pairs):
     yield batch()
 
 
-def _meet(members: DataFrame, payload: Column, linked_pairs) -> DataFrame:
-    """Edges found within the units of `members` (cls, unit, parts, ...).
+def _dealt(placed: DataFrame, linked_pairs) -> DataFrame:
+    """Edges within the units (unit, i, j) of rows with cls, side and data."""
+    rows = placed.select("cls", "unit", "i", "j", "side", "data")
+    dealt = rows.repartition("unit", "i", "j").sortWithinPartitions("unit", "i", "j", "cls")
+    return dealt.mapInArrow(lambda b: _edge_task(b, linked_pairs), "a binary, b binary")
+
 
-    A unit of several parts is split into that many blocks by hash, and each pair of
-    blocks meets in a task of its own.
+def _linked(members: DataFrame, data: DataFrame, linked_pairs) -> DataFrame:
+    """Edges with the components of all linked pairs within the units.
+
+    `members` has cls, unit and parts, `data` cls and data. A unit of several parts is
+    split into that many blocks by hash. First all blocks meet the first one; in a
+    dense group this links nearly everything. What is then outside the unit's largest
+    component meets all its members, block by block; pairs inside that component need
+    no look, as they are connected already.
     """
     part = F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    placed = members.withColumn("part", part).select("*", other)
-    rows = placed.select(
-        "cls",
-        "unit",
-        F.least("part", "other").alias("i"),
-        F.greatest("part", "other").alias("j"),
-        (F.col("part") > F.col("other")).cast("int").alias("side"),
-        payload.alias("data"),
+    members = members.withColumn("part", part)
+    carried = members.join(data, "cls")
+    met = F.when(F.col("part") == 0, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("part"))
+    first = carried.withColumn("j", F.explode(met)).withColumn("i", F.lit(0))
+    side = ((F.col("part") > 0) & (F.col("j") > 0)).cast("int")
+    edges = stored(_dealt(first.withColumn("side", side), linked_pairs))
+    split = stored(members.filter("parts > 1"))
+    if not split.limit(1).count():
+        return edges
+    roots = components(edges)
+    named = split.join(roots, F.col("cls") == F.col("node"), "left").select(
+        "unit", "cls", "parts", F.coalesce("root", "cls").alias("root")
     )
-    dealt = rows.repartition("unit", "i", "j").sortWithinPartitions("unit", "i", "j", "cls")
-    return dealt.mapInArrow(lambda b: _edge_task(b, linked_pairs), "a binary, b binary")
+    sizes = named.groupBy("unit", "root").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("unit").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
+    rest = stored(named.join(main, "unit").filter("root != main").select("unit", "cls", "parts"))
+    blocks = rest.groupBy("unit").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("rest_parts"))
+    # Blocks of the rest count downward from -1, so that they meet every block of the members.
+    own = F.pmod(F.xxhash64("cls"), F.col("rest_parts")).cast("int")
+    left = rest.join(blocks, "unit").join(data, "cls").select(
+        "cls", "unit", (-1 - own).alias("i"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"),
+        F.lit(0).alias("side"), "data",
+    )
+    right = split.join(blocks, "unit").join(data, "cls").select(
+        "cls", "unit", F.explode(F.sequence(-F.col("rest_parts"), F.lit(-1))).alias("i"), F.col("part").alias("j"),
+        F.lit(1).alias("side"), "data",
+    )
+    return edges.union(stored(_dealt(left.unionByName(right), linked_pairs)))
 
 
 def link(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -264,12 +291,11 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame,
     lists = listed.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1")
     postings = stored(
         listed.join(lists, "key")
-        .join(classes.select("cls", "sketch.packed", "n"), "cls")
+        .join(classes.select("cls", "n"), "cls")
         .select(
             "cls",
             F.col("key").cast("string").alias("unit"),
             F.ceil(F.col("df") / BLOCK_ROWS).cast("int").alias("parts"),
-            "packed",
             "n",
         )
     )
@@ -279,7 +305,8 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame,
         b = a if right is None else np.frombuffer(b"".join(right), np.uint32).reshape(len(right), -1)
         return _collisions(a, b) >= MATCHES
 
-    groups = stored(components(_meet(postings, F.col("packed"), collide)))
+    packed = classes.select("cls", F.col("sketch.packed").alias("data"))
+    groups = stored(components(_linked(postings.select("cls", "unit", "parts"), packed, collide)))
     # Verification: each candidate group as one unit where it fits, else as blocks or as lists.
     grouped = groups.join(classes.select("cls", "first", "n"), F.col("node") == F.col("cls"))
     grouped = stored(grouped.select("cls", "root", "first", "n"))
@@ -315,8 +342,9 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame,
         nb = na.T if b is None else np.array([len(x) for x in b])[None, :]
         return (100 * both >= percent * (na + nb - both)) & (both > 0)
 
-    members = stored(whole.union(apart)).join(sets, "cls")
-    roots = components(_meet(members, F.col("shingles"), similar))
+    members = stored(whole.union(apart))
+    data = sets.select("cls", F.col("shingles").alias("data"))
+    roots = components(_linked(members, data, similar))
     return sketches, stored(roots)
 
 
