@@ -40,6 +40,45 @@ def test_stages_keep_the_columns_of_documents(spark):
     assert {r.doc_id for r in pieces.select("doc_id").collect()} == {r.doc_id for r in docs.collect()}
 
 
+def test_stages_against_plain_python(spark):
+    """Every stage of the smallest table, worked out again without Spark."""
+    import corpus_pipeline
+    from test_minhash import brute
+    from test_mixing import targets
+    from test_quality import counted
+    from tokenizers import Tokenizer
+
+    quality, near_dedup, mixing, packing = [stage for _, stage in corpus_pipeline.STAGES]
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    good = corpus_pipeline.stored(quality(spark, docs, SF_DIR))
+    # Too few labels here for any cutoff: the base alone decides.
+    passed = []
+    for r in docs.collect():
+        n_words, *_, n_repeat = counted(r.text)
+        if n_words >= 10 and 100 * n_repeat <= 20 * n_words:
+            passed.append(r)
+    assert sorted(good.collect()) == sorted(passed)
+    one_each = corpus_pipeline.stored(near_dedup(spark, good, SF_DIR))
+    roots = {c for _, _, c in brute([(r.doc_id, r.text) for r in passed], 5, 80)}
+    kept = [r for r in passed if r.doc_id in roots]
+    assert sorted(one_each.collect()) == sorted(kept)
+    mixed = corpus_pipeline.stored(mixing(spark, one_each, SF_DIR))
+    sizes, taken, whole = {}, {}, {r.doc_id: r for r in kept}
+    for r in kept:
+        sizes[r.source] = sizes.get(r.source, 0) + len(r.text.split())
+    rows = mixed.collect()
+    for r in rows:
+        taken[r.source] = taken.get(r.source, 0) + len(r.text.split())
+        assert r.text.split() == whole[r.doc_id].text.split()[: len(r.text.split())]
+    wanted = targets(sizes)
+    assert all(abs(taken.get(s, 0) - wanted[s]) <= 0.5 + 1e-6 for s in sizes)
+    ids = Tokenizer.from_file(corpus_pipeline.WORD_TOKENIZER)
+    lengths = sorted(len(ids.encode(r.text, add_special_tokens=False).ids) + 1 for r in rows)
+    pieces = packing(spark, mixed, SF_DIR).collect()
+    assert sum(p.length for p in pieces) == sum(lengths)
+    assert {p.doc_tokens for p in pieces} == set(lengths)
+
+
 def test_run_is_the_stages_in_turn(spark):
     import corpus_pipeline
 
