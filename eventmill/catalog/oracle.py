@@ -371,6 +371,8 @@ def statements() -> dict[str, str]:
             from texts""",
         "post_dates": f"""{ORDER_TEXT} select k, d1 as date_text, iso1 as post_date,
             'Order ' || ks || ' opens and closes' as without_dates from texts""",
+        "long_year_dates": f"""with {ORDERS} select k, strftime(day, '%-m/%-d/%Y') as long_text,
+            '' as short_text, strftime(day, '%Y-%m-%d') as long_date from o""",
         "month_year": f"""with {ORDERS} select k, strftime(day, '%B') || ' 1, ' ||
             strftime(day, '%Y') as month_text, strftime(day, '%Y-%m-01') as month_date from o""",
         "normalize_dates": f"""with {ORDERS} select k, d1 as date_text, iso1 as iso_date,

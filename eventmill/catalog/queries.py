@@ -123,6 +123,18 @@ def post_dates(spark, sf_dir):
     )
 
 
+def long_year_dates(spark, sf_dir):
+    """Numeric dates with years of four digits, which only the second profile reads."""
+    line = text("Order ", F.col("ks"), " on ", F.date_format("day", "M/d/yyyy"), " or later")
+    found = render.orders(spark, sf_dir).select(
+        "k",
+        dates.post_date(line, any_case=True, long_years=True).alias("long_text"),
+        dates.post_date(line).alias("short_text"),
+    )
+    iso = dates.normalize_date(F.col("long_text"), RUN_OPTIONS.base_date)
+    return found.withColumn("long_date", iso)
+
+
 def month_year(spark, sf_dir):
     line = text("Order ", F.col("ks"), " in ", F.date_format("day", "MMMM yyyy"))
     found = render.orders(spark, sf_dir).select("k", dates.month_year(line).alias("month_text"))
@@ -501,6 +513,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         elements,
         long_dates,
         post_dates,
+        long_year_dates,
         month_year,
         normalize_dates,
         time_location,
