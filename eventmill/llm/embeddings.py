@@ -1,12 +1,16 @@
 """Embedding near-dedup on a robust-pruned flat graph.
 
-Vectors of one label are dealt to overlapping cluster shards. Every shard builds a
+Vectors of one label are dealt to overlapping cluster shards: to that of the nearest
+centre, and to every other whose boundary with it is within half the limit's distance.
+Of two linked vectors with different nearest centres, one is that close to the
+boundary between these, so every linked pair has a shard in common. Every shard builds a
 graph whose adjacency lists are robust-pruned (an edge goes if a kept neighbour is
 closer to its end by a factor); the lists that a vector has in its shards are united.
 On the united graph every vector is searched from the shard's medoid, greedily and
 with a beam that doubles until the search arrives at the vector itself, and from there the range is
 expanded: vectors within the limit, and a little beyond, pass the search on. Found
-pairs are verified by their cosine in double precision.
+pairs are verified by their cosine in double precision. A shard of more than one block
+is searched without a graph: its blocks meet pairwise and compare all.
 
 Groups so dense that most of a shard would be one of them are taken out first, by hubs: two vectors
 within half the limit's angle of one hub are linked for certain (triangle
@@ -30,11 +34,11 @@ from eventmill.session import stored
 
 #: Vectors that the cluster centres and hubs are fitted on, at most (documented bound).
 SAMPLE = 8192
-#: Vectors per centre, and shards of each vector.
+#: Vectors per centre.
 CENTRE_ROWS = 512
-OVERLAP = 2
-#: Vectors in one block of a unit of work, on average at most.
+#: Vectors in one block of a unit of work, on average at most; and where all are compared.
 BLOCK_ROWS = 1024
+MEET_ROWS = 4096
 #: A ball of more members is counted instead of compared.
 HUB_ROWS = 512
 DEGREE = 24
@@ -71,6 +75,40 @@ def _matrix(data: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(data), np.float64).reshape(len(data), -1)
 
 
+def near_shards(x: np.ndarray, centres: np.ndarray, limit: float) -> np.ndarray:
+    """Which centres' shards every unit vector belongs to, as booleans per vector and centre."""
+    sims = x @ centres.T
+    best = sims.argmax(axis=1)
+    gaps = np.sqrt(np.maximum(0, 2 - 2 * centres[best] @ centres.T))
+    # Distance to the boundary between the nearest centre and another, times their gap.
+    beyond = sims[np.arange(len(x)), best][:, None] - sims
+    near = beyond <= gaps * math.sqrt(max(0.0, 2 - 2 * limit)) / 2 + 1e-9
+    near[np.arange(len(x)), best] = True
+    return near
+
+
+def _thinned(x: np.ndarray, centres: np.ndarray, limit: float, count: int) -> np.ndarray:
+    """As many of the centres as make the least work of `count` vectors.
+
+    Centres within the limit of another go, as they would cut a cluster up; of the
+    rest, halved again and again, the number with the smallest shards in all is taken.
+    """
+    left = np.ones(len(centres), bool)
+    for i in range(len(centres)):
+        if left[i]:
+            left[i + 1 :] &= centres[i + 1 :] @ centres[i] < limit
+    centres = centres[left]
+    best, least = centres[:1], math.inf
+    while True:
+        rows = near_shards(x, centres, limit).mean(axis=0) * count
+        work = float((rows * (1 + rows / BLOCK_ROWS)).sum())
+        if work < least:
+            best, least = centres, work
+        if len(centres) == 1:
+            return best
+        centres = centres[: len(centres) // 2]
+
+
 def fit(sample: dict, counts: dict, limit: float) -> dict:
     """Per (label, dimension): (centres, hubs) from sampled unit vectors."""
     near = math.cos(math.acos(limit) / 2)
@@ -85,6 +123,7 @@ def fit(sample: dict, counts: dict, limit: float) -> dict:
             np.add.at(sums, best, x)
             norms = np.linalg.norm(sums, axis=1, keepdims=True)
             centres = np.where(norms > 0, sums / np.where(norms > 0, norms, 1), centres)
+        centres = _thinned(x, centres, limit, counts[key])
         # Hubs: sampled vectors whose ball holds many others, the fullest first.
         share = len(x) / counts[key]
         wanted = max(8, HUB_ROWS * share)
@@ -121,8 +160,7 @@ def _deal_task(batches: Iterator[pa.RecordBatch], model: dict, limit: float):
             reach = np.flatnonzero(to_hubs >= far).tolist()
             # Of two balls, the members of the later one are the shell of the earlier.
             shells.append([h for h in reach if ball is None or h < ball])
-            to_centres = centres @ x
-            shards.append(np.sort(np.argsort(-to_centres, kind="stable")[:OVERLAP]).tolist() or [-1])
+            shards.append(np.flatnonzero(near_shards(x[None], centres, limit)[0]).tolist() if len(centres) else [-1])
         yield pa.record_batch(
             [*batch.columns, pa.array(balls, pa.int32()), pa.array(shards, pa.list_(pa.int32())), pa.array(shells, pa.list_(pa.int32()))],
             names=["cls", "label", "vector", "copies", "ball", "shards", "shells"],
@@ -229,7 +267,7 @@ def range_search(x: np.ndarray, graph: list[np.ndarray], start: int, query: int,
 
 
 class _Block:
-    """Rows of one unit of work: a shard's, or two blocks of it."""
+    """Rows of one unit of work: a shard's, or a block or two of it."""
 
     def __init__(self, rows: list[tuple]):
         self.names = [r[0] for r in rows]
@@ -298,8 +336,55 @@ def _found(names: list, counts: np.ndarray, a: list, b: list) -> pa.RecordBatch:
     )
 
 
-def _search_task(batches: Iterator[pa.RecordBatch], limit: float):
+def _linked_stars(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs (row, column) of a matrix of links that connect all that it connects."""
+    pairs = []
+    rows, columns = linked.any(axis=1), linked.any(axis=0)
+    while rows.any():
+        first = int(rows.argmax())
+        rows[first] = False
+        front = np.array([first])
+        while len(front):
+            new = np.flatnonzero(linked[front].any(axis=0) & columns)
+            columns[new] = False
+            # The link of each new column, then of each row that these reach.
+            pairs += zip(front[linked[np.ix_(front, new)].argmax(axis=0)].tolist(), new.tolist(), strict=True)
+            front = np.flatnonzero(linked[:, new].any(axis=1) & rows) if len(new) else new
+            rows[front] = False
+            if len(front):
+                pairs += zip(front.tolist(), new[linked[np.ix_(front, new)].argmax(axis=1)].tolist(), strict=True)
+    return pairs
+
+
+def _meet_task(batches: Iterator[pa.RecordBatch], limit: float):
+    """All links within a block, or between two."""
     for (unit, i, j), block in _blocks(batches):
+        shard = int(unit.rsplit("/", 1)[1])
+        a = np.flatnonzero(block.sides == 0)
+        b = a if i == j else np.flatnonzero(block.sides == 1)
+        if not len(a) or not len(b):
+            continue
+        linked = block.x[a] @ block.x[b].T >= limit
+        if i == j:
+            np.fill_diagonal(linked, False)
+        # A pair counts in one of the units where it meets: that of its first common shard.
+        earlier = sorted({s for _, shards in block.rest for s in shards if s < shard})
+        if earlier:
+            held = np.zeros((len(block.names), len(earlier)), np.float32)
+            for k, (_, shards) in enumerate(block.rest):
+                held[k] = np.isin(earlier, shards)
+            linked &= held[a] @ held[b].T == 0
+        copies = np.array([c for c, _ in block.rest])
+        counts = np.zeros(len(block.names), np.int64)
+        counts[a] = linked @ copies[b]
+        if i != j:
+            counts[b] = linked.T @ copies[a]
+        pairs = [(int(a[p]), int(b[q])) for p, q in _linked_stars(linked)]
+        yield _found(block.names, counts, *_stars(pairs, block.names))
+
+
+def _search_task(batches: Iterator[pa.RecordBatch], limit: float):
+    for (unit, _, _), block in _blocks(batches):
         shard = int(unit.rsplit("/", 1)[1])
         place = {name: k for k, name in enumerate(block.names)}
         graph = [[place[n] for n in near or [] if n in place] for _, _, near in block.rest]
@@ -312,8 +397,6 @@ def _search_task(batches: Iterator[pa.RecordBatch], limit: float):
         for k in range(len(block.names)):
             for other in range_search(block.x, arrays, start, k, limit).tolist():
                 # A pair counts in one of the units where it meets: that of its first common shard.
-                if i != j and block.sides[k] == block.sides[other]:
-                    continue
                 if min(set(shards[k]) & set(shards[other])) != shard:
                     continue
                 counts[k] += copies[other]
@@ -374,12 +457,14 @@ def near_duplicates(vectors: DataFrame, limit: float = 0.93, sample: int = SAMPL
     )
     group = F.concat_ws("/", F.col("label"), F.octet_length("vector"))
 
-    # Shards of what is in no ball, in blocks that meet pairwise.
+    # Shards of what is in no ball: searched along a graph, or in blocks that meet pairwise.
     shard = dealt.filter("ball IS NULL").withColumn("shard", F.explode("shards"))
     shard = shard.withColumn("unit", F.concat_ws("/", group, F.col("shard")))
-    parts = shard.groupBy("unit").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    n = F.count("*")
+    parts = F.when(n > BLOCK_ROWS, F.ceil(n / MEET_ROWS)).otherwise(0).cast("int")
+    parts = shard.groupBy("unit").agg(parts.alias("parts"))  # 0: one block with a graph
+    part = F.pmod(F.xxhash64("cls"), F.greatest("parts", F.lit(1))).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.greatest(F.col("parts") - 1, F.lit(0)))).alias("other")
     pieces = shard.join(parts, "unit").withColumn("part", part).select("*", other).select(
         "unit",
         F.least("part", "other").alias("i"),
@@ -389,8 +474,10 @@ def near_duplicates(vectors: DataFrame, limit: float = 0.93, sample: int = SAMPL
         "vector",
         "copies",
         "shards",
+        "parts",
     )
     pieces = stored(pieces)
+    large, pieces = pieces.filter("parts > 0").drop("parts"), pieces.filter("parts = 0").drop("parts")
 
     def in_units(df: DataFrame) -> DataFrame:
         return df.repartition("unit", "i", "j").sortWithinPartitions("unit", "i", "j", "cls")
@@ -402,6 +489,7 @@ def near_duplicates(vectors: DataFrame, limit: float = 0.93, sample: int = SAMPL
     searched = in_units(pieces.join(united, "cls", "left").select(*pieces.columns, "near")).mapInArrow(
         lambda b: _search_task(b, limit), "cls binary, n long, other binary"
     )
+    compared = in_units(large).mapInArrow(lambda b: _meet_task(b, limit), "cls binary, n long, other binary")
 
     # Balls: members are linked with each other; the shell meets them block by block.
     members = dealt.filter("ball IS NOT NULL").withColumn("unit", F.concat_ws("/", group, F.col("ball")))
@@ -435,7 +523,7 @@ def near_duplicates(vectors: DataFrame, limit: float = 0.93, sample: int = SAMPL
     )
     in_ball = members.select("cls", "copies", "unit").join(balls.select("unit", "all", "root"), "unit")
     inner = in_ball.select("cls", (F.col("all") - F.col("copies")).alias("n"), F.col("root").alias("other"))
-    found = stored(searched.unionByName(met).unionByName(inner))
+    found = stored(searched.unionByName(compared).unionByName(met).unionByName(inner))
 
     links = found.groupBy("cls").agg(F.sum("n").alias("n"))
     roots = components(found.filter("other IS NOT NULL").select(F.col("cls").alias("a"), F.col("other").alias("b")))

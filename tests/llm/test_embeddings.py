@@ -101,3 +101,50 @@ def test_audit(spark):
     rows = planted()
     vectors = table(spark, rows)
     assert embeddings.audit_recall(vectors, embeddings.near_duplicates(vectors), every=3).first().recall >= 0.9
+
+
+def loose(n, dims=24, cosine=0.95, seed=6):
+    """One isotropic cluster without a dense middle, among as many scattered vectors."""
+    draw = np.random.default_rng(seed)
+    noise = draw.normal(size=(n, dims))
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    rows = np.eye(dims)[0] * np.sqrt(cosine) + noise * np.sqrt(1 - cosine)
+    return [(i, x.tolist(), 0) for i, x in enumerate(np.concatenate([rows, draw.normal(size=(n, dims))]))]
+
+
+def test_a_loose_cluster_keeps_all_its_links(spark, monkeypatch):
+    # Many centres for few rows, as a hot label has them.
+    monkeypatch.setattr(embeddings, "CENTRE_ROWS", 8)
+    monkeypatch.setattr(embeddings, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(embeddings, "MEET_ROWS", 50)
+    rows = loose(200)
+    found = embeddings.near_duplicates(table(spark, rows)).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in found) == brute(rows, 0.93)
+
+
+def test_linked_vectors_have_a_common_shard():
+    draw = np.random.default_rng(5)
+    for cosine in (0.9, 0.95, 0.97):
+        x = np.array([r[1] for r in loose(400, cosine=cosine)])
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        near = embeddings.near_shards(x, x[draw.permutation(len(x))[:60]], 0.93)
+        assert not ((x @ x.T >= 0.93) & (near.astype(int) @ near.T == 0)).any()
+
+
+def test_matrix_stars_connect_what_links_connect():
+    draw = np.random.default_rng(7)
+    for _ in range(50):
+        linked = draw.random((draw.integers(1, 20), draw.integers(1, 20))) < 0.08
+        height = len(linked)
+
+        def groups(pairs, n=sum(linked.shape)):
+            root = list(range(n))
+            for a, b in pairs:
+                a, b = root[a], root[b]
+                root = [a if r == b else r for r in root]
+            return [[r == s for s in root] for r in root]
+
+        pairs = embeddings._linked_stars(linked)
+        assert all(linked[p] for p in pairs)
+        want = groups([(int(a), int(b) + height) for a, b in np.argwhere(linked)])
+        assert groups([(a, b + height) for a, b in pairs]) == want
