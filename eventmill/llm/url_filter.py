@@ -1,25 +1,27 @@
 """URL filtering by a path-template tree with smoothed labelled purity.
 
 The paths of a host form a tree of segments. Going down the tree, a segment that
-varies - a number, a hash, a date, or one of many different children of its parent -
-becomes a wildcard. The named children that are left are put in the order of their
-labelled share of bad pages, and neighbours whose shares do not differ significantly
-are merged into one branch. What remains are templates, and a template is rejected if
+varies - a number, a hash, a date, or a child with few pages and few labels - becomes a
+wildcard. The named children that are left, however many and however deep, are put in
+the order of their labelled share of bad pages, and each joins the branch of those before
+it unless its share differs significantly from that branch's; children with few labels
+are branches of their own. What remains are templates, and a template is rejected if
 its share of good labels, smoothed towards its parents' shares, is too low. Rules by
 host and path prefix come before the templates' verdicts. Column expressions only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventmill.session import stored
 
-#: Segments of a path that make levels of the tree; the rest is one more segment.
-DEPTH = 4
-#: More named children than this make a level of their parent a wildcard.
-MAX_CHILDREN = 16
+#: A named child with this many pages or labels stays; with fewer labels it is compared with no other.
+MIN_PAGES = 100
+MIN_LABELS = 10
+#: Names of a merged branch that are written out; of the others, their number and a hash.
+SHOWN = 16
 #: Two shares differ if their z score is beyond this.
 Z = 2.58
 #: Weight of the parent's share, in labels, and the least smoothed share of good ones.
@@ -59,14 +61,10 @@ def matched_rule(host: Column, path: Column, rules) -> Column:
 
 
 def _segments(path: Column) -> Column:
-    """DEPTH segments and the rest; plainly variable ones are wildcards."""
+    """All segments; plainly variable ones are wildcards."""
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    head = F.slice(parts, 1, DEPTH)
-    rest = F.when(F.size(parts) > DEPTH, F.array(F.lit(WILD))).otherwise(F.array().cast("array<string>"))
     variable = r"^(\d+(\.\w{1,5})?|\d[\d._-]+|[0-9a-fA-F-]{16,}|[^/]*\d{4,}[^/]*)$"
-    return F.concat(
-        F.transform(head, lambda s: F.when(s.rlike(variable), F.lit(WILD)).otherwise(s)), rest
-    )
+    return F.transform(parts, lambda s: F.when(s.rlike(variable), F.lit(WILD)).otherwise(s))
 
 
 def templates(pages: DataFrame, labels: DataFrame) -> DataFrame:
@@ -85,55 +83,86 @@ def templates(pages: DataFrame, labels: DataFrame) -> DataFrame:
         F.coalesce(F.sum("bad"), F.lit(0)).alias("n_bad"),
     )
     shapes = shapes.withColumn("template", F.lit(""))
-    for level in range(1, DEPTH + 2):
-        shapes = _generalise(stored(shapes), level)
-    return stored(shapes)
+    level, done = 0, []
+    open_ = stored(shapes)
+    while True:
+        done.append(open_.filter(F.size("segments") <= level))
+        open_ = open_.filter(F.size("segments") > level)
+        # Where a template has too little for any child of it, all that follows is wildcards.
+        if not _with_evidence(open_.groupBy("host", "template")).limit(1).count():
+            break
+        open_ = stored(_generalise(open_, level))
+        level += 1
+    rest = F.repeat(F.lit("/" + WILD), F.size("segments") - level)
+    found = open_.withColumn("template", F.concat("template", rest))
+    for part in done:
+        found = found.unionByName(part)
+    return stored(found)
+
+
+def _with_evidence(groups) -> DataFrame:
+    """Sums of groups of shapes, where they have enough pages or labels."""
+    sums = groups.agg(F.sum("n_pages").alias("pages"), F.sum("n_good").alias("good"), F.sum("n_bad").alias("bad"))
+    return sums.filter((F.col("pages") >= MIN_PAGES) | (F.col("good") + F.col("bad") >= MIN_LABELS))
+
+
+def _branches_of(kinds: Column) -> Column:
+    """Number the branches of children, given as their distinct counts by rising share of bad ones."""
+    start = F.struct(
+        F.lit(0).alias("branch"),
+        F.lit(0).cast("long").alias("good"),
+        F.lit(0).cast("long").alias("bad"),
+        F.array().cast("array<struct<good:bigint,bad:bigint,branch:int>>").alias("out"),
+    )
+
+    def add(s: Column, x: Column) -> Column:
+        n, all_n = x["good"] + x["bad"], s["good"] + s["bad"]
+        both = F.try_divide(x["bad"] + s["bad"], n + all_n)
+        spread = F.sqrt(both * (1 - both) * (F.try_divide(F.lit(1.0), n) + F.try_divide(F.lit(1.0), all_n)))
+        gap = F.abs(F.try_divide(x["bad"], n) - F.try_divide(s["bad"], all_n))
+        opens = F.coalesce(F.try_divide(gap, spread) > Z, F.lit(False))
+        branch = s["branch"] + opens.cast("int")
+        named = F.struct(x["good"].alias("good"), x["bad"].alias("bad"), branch.alias("branch"))
+        return F.struct(
+            branch.alias("branch"),
+            (F.when(opens, 0).otherwise(s["good"]) + x["good"] * x["n"]).alias("good"),
+            (F.when(opens, 0).otherwise(s["bad"]) + x["bad"] * x["n"]).alias("bad"),
+            F.concat(s["out"], F.array(named)).alias("out"),
+        )
+
+    return F.aggregate(kinds, start, add, lambda s: s["out"])
 
 
 def _generalise(shapes: DataFrame, level: int) -> DataFrame:
-    """Extend `template` by the branch of the level's segment."""
-    segment = F.get("segments", F.lit(level - 1))
-    at = shapes.withColumn("segment", segment)
-    nodes = at.groupBy("host", "template", "segment").agg(
-        F.sum("n_good").alias("good"), F.sum("n_bad").alias("bad")
-    )
-    parents = nodes.groupBy("host", "template").agg(
-        F.count_if(F.col("segment").isNotNull() & (F.col("segment") != WILD)).alias("children"),
-        F.sum("good").alias("all_good"),
-        F.sum("bad").alias("all_bad"),
+    """Extend `template` by the branch of the level's segment, which all shapes have."""
+    at = shapes.withColumn("segment", F.get("segments", F.lit(level)))
+    nodes = stored(_with_evidence(at.filter(F.col("segment") != WILD).groupBy("host", "template", "segment")))
+    enough = F.col("good") + F.col("bad") >= MIN_LABELS
+    # Children with equal counts are compared once, so a parent's list stays far shorter than its labels.
+    share = (F.col("bad") / (F.col("good") + F.col("bad"))).alias("share")
+    kinds = nodes.filter(enough).groupBy("host", "template", "good", "bad").agg(F.count("*").alias("n"))
+    kinds = kinds.groupBy("host", "template").agg(
+        F.array_sort(F.collect_list(F.struct(share, "good", "bad", "n"))).alias("kinds")
     )
-    known = nodes.join(parents, ["host", "template"])
-    named = F.col("segment").isNotNull() & (F.col("segment") != WILD) & (F.col("children") <= MAX_CHILDREN)
-    # At most MAX_CHILDREN rows per parent: by falling share of good labels, a child
-    # opens a new branch where it differs from the one before it.
-    pooled = F.coalesce(F.try_divide("all_bad", F.col("all_good") + F.col("all_bad")), F.lit(0.0))
-    share = (F.col("bad") + pooled) / (F.col("good") + F.col("bad") + 1)
-    row = Window.partitionBy("host", "template").orderBy(share, "segment")
-    n, last_n = F.col("good") + F.col("bad"), F.lag(F.col("good") + F.col("bad")).over(row)
-    last_bad = F.lag("bad").over(row)
-    both = F.try_divide(F.col("bad") + last_bad, n + last_n)
-    spread = F.sqrt(both * (1 - both) * (F.try_divide(F.lit(1.0), n) + F.try_divide(F.lit(1.0), last_n)))
-    gap = F.abs(F.try_divide("bad", n) - F.try_divide(last_bad, last_n))
-    opens = F.coalesce(F.try_divide(gap, spread) > Z, F.lit(False)).cast("int")
-    clusters = known.filter(named).withColumn("opens", opens)
-    clusters = clusters.withColumn("cluster", F.sum("opens").over(row))
-    members = F.array_sort(F.collect_set("segment").over(Window.partitionBy("host", "template", "cluster")))
-    name = F.when(F.size(members) > 1, F.concat(F.lit("{"), F.array_join(members, "|"), F.lit("}")))
-    clusters = clusters.select(
-        "host", "template", "segment", F.concat(F.lit("/"), F.coalesce(name, "segment")).alias("branch")
+    numbered = kinds.select("host", "template", F.inline(_branches_of(F.col("kinds"))))
+    members = (
+        nodes.filter(enough)
+        .join(numbered, ["host", "template", "good", "bad"])
+        .groupBy("host", "template", "branch")
+        .agg(F.array_sort(F.collect_list("segment")).alias("members"))
     )
-    plain = F.when(F.col("segment").isNull(), F.lit("")).otherwise(F.lit("/" + WILD))
-    others = known.filter(~F.coalesce(named, F.lit(False))).select("host", "template", "segment", plain.alias("branch"))
-    branches = stored(clusters.unionByName(others)).select(
-        F.col("host").alias("_host"), F.col("template").alias("_template"), F.col("segment").alias("_segment"), "branch"
+    more = F.concat(
+        F.lit("|+"), (F.size("members") - SHOWN).cast("string"), F.lit("#"), F.hex(F.xxhash64("members"))
     )
-    same = (
-        (F.col("host") == F.col("_host"))
-        & (F.col("template") == F.col("_template"))
-        & F.col("segment").eqNullSafe(F.col("_segment"))
+    shown = F.concat(
+        F.array_join(F.slice("members", 1, SHOWN), "|"), F.when(F.size("members") > SHOWN, more).otherwise("")
     )
-    joined = at.join(branches, same)
-    return joined.withColumn("template", F.concat("template", "branch")).select(*shapes.columns)
+    name = F.when(F.size("members") > 1, F.concat(F.lit("{"), shown, F.lit("}"))).otherwise(F.get("members", F.lit(0)))
+    merged = members.select("host", "template", F.explode("members").alias("segment"), name.alias("name"))
+    own = nodes.filter(~enough).select("host", "template", "segment", F.col("segment").alias("name"))
+    joined = at.join(stored(merged.unionByName(own)), ["host", "template", "segment"], "left")
+    branch = F.concat(F.lit("/"), F.coalesce("name", F.lit(WILD)))
+    return joined.withColumn("template", F.concat("template", branch)).select(*shapes.columns)
 
 
 def judged_templates(shapes: DataFrame) -> DataFrame:

@@ -81,3 +81,44 @@ def test_oracle_counts_match_templates(spark):
     found = url_filter.judge(pages, no_labels(spark))
     assert found.count() == pages.count()
     assert found.filter(F.col("verdict").isNull()).count() == 0
+
+
+def site(sections, page="https://site.net/{}/x{}"):
+    """Pages and labels of (section, pages, labels, bad)."""
+    rows, labels = [], []
+    for name, n_pages, n_labels, bad in sections:
+        labels += [(len(rows) + i, bad) for i in range(n_labels)]
+        rows += [(len(rows) + i, page.format(name, i)) for i in range(n_pages)]
+    return rows, labels
+
+
+def verdicts(spark, rows, labels):
+    found = url_filter.judge(table(spark, rows), spark.createDataFrame(labels, "page_id long, bad boolean")).collect()
+    urls = dict(rows)
+    return {(urls[r.page_id].rsplit("/", 1)[0], r.verdict) for r in found}, {r.page_id: r for r in found}
+
+
+def test_siblings_without_labels_bridge_nothing(spark):
+    for n_pages in (3, 300):
+        rows, labels = site([("news", 200, 200, False), ("about", n_pages, 0, False), ("casino", 200, 200, True)])
+        got, found = verdicts(spark, rows, labels)
+        assert {("https://site.net/news", "allow"), ("https://site.net/casino", "block")} <= got
+        assert len([g for g in got if g[0] != "https://site.net/about"]) == 2
+        assert found[0].template == "/news/*"
+
+
+def test_many_children_and_deep_ones_are_told_apart(spark):
+    sections = [(f"part{'abcdefghijklmnopqrstuvwxyz'[i]}", 20, 20, i % 5 == 0) for i in range(25)]
+    for page in ("https://site.net/{}/x{}", "https://site.net/a/b/c/d/e/{}/x{}"):
+        rows, labels = site(sections, page)
+        got, found = verdicts(spark, rows, labels)
+        assert got == {(page.format(n, 0).rsplit("/", 1)[0], "block" if bad else "allow") for n, _, _, bad in sections}
+        # 20 good children are merged: 16 names are written out.
+        assert found[20].template.split("{")[1].count("|") == 16 and "|+4#" in found[20].template
+
+
+def test_rare_children_are_a_wildcard(spark):
+    rows, labels = site([(f"s{'abcdefghij'[i]}", 5, 5, False) for i in range(10)] + [("spam", 50, 50, True)])
+    got, found = verdicts(spark, rows, labels)
+    assert {r.template.split("{")[0] for r in found.values() if r.page_id < 50} == {"/*/"}
+    assert {r.verdict for r in found.values() if r.page_id >= 50} == {"block"}
