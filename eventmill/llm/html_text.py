@@ -35,13 +35,17 @@ COPY_SHARE = 0.8
 NOISE_TAGS = frozenset(
     "nav footer aside form menu dialog button select head noscript template iframe object svg canvas audio video map".split()
 )
-#: Words of a class or id that name such elements.
+#: Words that name such elements, if a whole token of a class or id has no others but PLAIN_WORDS.
 NOISE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr "
     "notice notices alert sidebar menu nav navbar navigation breadcrumb breadcrumbs comment comments disqus respond "
     "share sharing social related recommended newsletter subscribe subscription signup popup modal overlay footer "
     "masthead topbar toolbar widget widgets pagination pager login search form".split()
 )
+PLAIN_WORDS = frozenset(
+    "area bar block bottom box buttons container foot group holder inner item items left links list outer panel right row "
+    "section site slot top unit wrap wrapper".split()
+)
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer "
@@ -64,35 +68,59 @@ _WORD = re.compile(r"[A-Za-z]+")
 
 
 def _is_noise(tag: str, rest: str, in_main: bool) -> bool:
-    if tag in NOISE_TAGS or (tag == "header" and not in_main):
-        return True
-    if not rest or tag in ("body", "html"):
-        return False
+    return tag in NOISE_TAGS or (tag == "header" and not in_main) or bool(rest and _marked(tag, rest, in_main))
+
+
+def _marked(tag: str, rest: str, in_main: bool) -> str | None:
+    """The kind of attribute that marks an element as noise: `class`, which is a hint, or `role`."""
+    if tag in ("body", "html"):
+        return None
+    hint = None
     for name, *values in _ATTRIBUTE.findall(rest):
         name, value = name.lower(), "".join(values)
         if name in ("class", "id"):
-            words = {w.lower() for w in _WORD.findall(value)}
-            if words & NOISE_WORDS or ("header" in words and not in_main and "article" not in words):
-                return True
+            if tag not in ("article", "main") and any(_names_noise(token, in_main) for token in value.lower().split()):
+                hint = "class"
         elif name == "role":
             if value.lower() in NOISE_ROLES:
-                return True
+                return "role"
         elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
-    return False
+            return "role"
+    return hint
+
+
+def _names_noise(token: str, in_main: bool) -> bool:
+    words = set(_WORD.findall(token))
+    if "header" in words and not in_main:
+        words -= {"header", "page"}
+        return words <= NOISE_WORDS | PLAIN_WORDS
+    return bool(words & NOISE_WORDS) and words <= NOISE_WORDS | PLAIN_WORDS
 
 
 def page_blocks(html: str | None) -> tuple[list[str], list[int]]:
     """Text blocks of a page in order, and whether each is main, noise or open.
 
+    A `main` within an element that only its class or id marks as noise is main all
+    the same; so is an `article`, on a page that has no main text otherwise.
+    """
+    blocks, zones, hinted = _page_blocks(html, False)
+    if hinted and MAIN not in zones:
+        blocks, zones, _ = _page_blocks(html, True)
+    return blocks, zones
+
+
+def _page_blocks(html: str | None, reopen: bool) -> tuple[list[str], list[int], bool]:
+    """Blocks, zones, and whether an article lies in an element outside main that only a class marks.
+
     End tags close the nearest open element of their name and are ignored without
     one, as browsers do for the most part; what is open at the end is closed.
     """
     blocks: list[str] = []
     zones: list[int] = []
     parts: list[str] = []
-    stack: list[tuple[str, int]] = []  # open containers, with the zone around them
+    stack: list[tuple[str, int, bool]] = []  # open containers, with the zone and hint around them
     zone, loose_zone = OPEN, None
+    hint = hinted = False  # whether a mere class began the noise
     source = html or ""
 
     def close() -> None:
@@ -129,7 +157,7 @@ def page_blocks(html: str | None) -> tuple[list[str], list[int]]:
                 if stack[depth][0] == tag:
                     if not block and stack[depth][1] != zone:
                         close()
-                    zone = stack[depth][1]
+                    _, zone, hint = stack[depth]
                     del stack[depth:]
                     break
             continue
@@ -143,16 +171,23 @@ def page_blocks(html: str | None) -> tuple[list[str], list[int]]:
                 continue
             if not block:
                 close()
-            stack.append((tag, zone))
+            stack.append((tag, zone, hint))
             if noisy:
+                hint = zone == OPEN and tag not in NOISE_TAGS and tag != "header" and _marked(tag, rest, False) == "class"
                 zone = NOISE
             elif zone == OPEN and (tag in ("article", "main")):
                 zone = MAIN
+            elif hint and tag in NOISE_TAGS | {"header"} or (hint and _marked(tag, rest, False) == "role"):
+                hint = False  # noise by more than a class
+            elif hint and tag in ("article", "main"):
+                hinted = True
+                if reopen or tag == "main":
+                    zone, hint = MAIN, False
     tail = source[at:]
     if tail and not tail.startswith("<"):
         say(tail.split("<", 1)[0] if re.search(r"<[a-z/!]", tail, re.I) else tail)
     close()
-    return blocks, zones
+    return blocks, zones, hinted
 
 
 def common_lines(a: list, b: list) -> list[int]:

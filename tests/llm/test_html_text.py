@@ -95,3 +95,22 @@ def test_pages_of_the_given_table(spark):
     for r in pages.collect():
         inside = r.html.split("<article>")[1].split("</article>")[0]
         assert found[r.page_id] == main(f"<article>{inside}</article>")
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ('<article class="post comments-open"><p>a</article>', "a"),
+        ('<div class="layout has-sidebar"><article><p>a</article></div>', "a"),
+        ('<main id="content-social"><p>a</main>', "a"),
+        ('<article><section class="no-widget"><p>a</section></article>', "a"),
+        ('<div class="social"><div><article><p>a<p class=share>s</article></div>x</div>', "a"),
+        ('<div class="widget"><nav>n</nav><main><p>a</main><p>w</div>', "a"),
+        ('<div class="widget"><div class="menu"><nav>n</nav></div><article><p>a</article></div>', "a"),
+        ('<article><p>a</article><div id="comments"><article><p>c</article></div>', "a"),
+        ('<div class="widget"><aside><article><p>c</article></aside></div><p>b', ""),
+        ('<article><p>a<div class="newsletter-box"><p>n</div><div class="cookie consent">c</div></article>', "a"),
+    ],
+)
+def test_classes_are_hints(html, text):
+    assert main(html) == text
