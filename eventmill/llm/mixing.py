@@ -234,19 +234,25 @@ def taken(pieces: DataFrame) -> DataFrame:
 def drawn(docs: DataFrame, pieces: DataFrame) -> DataFrame:
     """The mix as documents: a row of `docs` for every take, in the order of shards and slots.
 
-    Joined on doc_id, so doc_ids are to be unique and not null here. The text of a
+    `pieces` are those of `mix(docs)`. Joined on row_key, so rows with a null or repeated
+    doc_id have their own takes; equal rows are numbered, as they are interchangeable. The text of a
     whole take stays as it is; a cut one has its first words, joined by blanks, and
     n_chars, where there is one, is the new text's length.
     """
     takes = pieces.filter("epoch IS NOT NULL").select(
-        F.col("doc_id").alias("_id"),
+        F.col("row_key").alias("_key"),
         F.col("words").alias("_words"),
         F.col("size").alias("_size"),
         F.col("shard").alias("_shard"),
         F.col("slot").alias("_slot"),
     )
     # The document as one column: its own columns may have any names.
-    rows = docs.select(F.struct("*").alias("_doc")).join(takes, F.col("_doc.doc_id") == F.col("_id"))
+    rows = docs.select(F.struct("*").alias("_doc"))
+    # The hash and number of mix().
+    key = F.xxhash64("_doc.doc_id", "_doc.source", F.col("_doc.text").cast("string"))
+    rows = rows.withColumn("_hash", key).withColumn("_id", F.col("_doc.doc_id").cast("long"))
+    twin = F.row_number().over(Window.partitionBy("_hash", "_id").orderBy(F.lit(0)))
+    rows = rows.withColumn("_twin", twin).join(takes, F.xxhash64("_hash", "_id", "_twin") == F.col("_key"))
     run = F.floor(F.col("_slot") / SLOTS)
     rows = rows.repartition("_shard", run).sortWithinPartitions("_shard", "_slot")
     whole = F.col("_doc.text")

@@ -101,3 +101,12 @@ def test_nothing_to_take(spark):
     assert mixing.mix(table(spark, [])).collect() == []
     found = mixing.taken(mixing.mix(table(spark, [(1, "a", None), (2, None, "")]))).collect()
     assert [(r.size, r.taken) for r in found] == [(0, 0), (0, 0)]
+
+
+def test_drawn_rows_are_the_takes_of_null_and_repeated_ids(spark):
+    rows = [(i if i % 3 else None, f"w{i} " * 20, "ab"[i % 2]) for i in range(30)] + [(7, "same words " * 9, "a")] * 4
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    pieces = mixing.mix(docs).persist()
+    want = pieces.filter("epoch IS NOT NULL").groupBy("doc_id", "source").count().collect()
+    found = mixing.drawn(docs, pieces).groupBy("doc_id", "source").count().collect()
+    assert sorted(map(str, found)) == sorted(map(str, want)) and any(r.doc_id is None for r in want)
