@@ -5,7 +5,19 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from eventmill.llm import embeddings, html_text, licenses, minhash, mixing, packing, quality, quotations, sharding, url_filter
+from eventmill.llm import (
+    embeddings,
+    html_text,
+    infill,
+    licenses,
+    minhash,
+    mixing,
+    packing,
+    quality,
+    quotations,
+    sharding,
+    url_filter,
+)
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -81,7 +93,33 @@ def op5_packing(spark, sf_dir):
     )
 
 
-QUERIES = {"op1_minhash": op1_minhash, "op8_mixing": op8_mixing, "op6_sharding": op6_sharding, "op7_url_filter": op7_url_filter,"op10_licenses": op10_licenses, "op2_quotations": op2_quotations, "op4_html_text": op4_html_text, "op3_embeddings": op3_embeddings, "op5_packing": op5_packing, "op9_quality": op9_quality}
+def op13_infill(spark, sf_dir):
+    found = infill.fill_in_middle(_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(infill.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+QUERIES = {
+    "op1_minhash": op1_minhash,
+    "op2_quotations": op2_quotations,
+    "op3_embeddings": op3_embeddings,
+    "op4_html_text": op4_html_text,
+    "op5_packing": op5_packing,
+    "op6_sharding": op6_sharding,
+    "op7_url_filter": op7_url_filter,
+    "op8_mixing": op8_mixing,
+    "op9_quality": op9_quality,
+    "op10_licenses": op10_licenses,
+    "op13_infill": op13_infill,
+}
+
 # The given conversations hold no quotes, so SQL can say what is left of them; tests
 # with planted quotes cover the rest.
 NO_QUOTES = """SELECT conv_id, turn, role, coalesce(text, '') AS text, 0 AS n_quotes, 0 AS n_linked,
@@ -140,9 +178,24 @@ rejected AS (SELECT doc_id, array_to_string(list_sort(list(scored.rule)), ',') A
 SELECT b.*, coalesce(rules, '') AS rules, NOT base_failed AND rules IS NULL AS kept
 FROM b LEFT JOIN rejected USING (doc_id)"""
 
+INFILL = """WITH h AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS units, CAST('0x' || h[1:8] AS BIGINT) AS h1,
+  CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM h),
+c AS (SELECT *, len(units) AS n, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS a,
+  greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+    WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle,
+  array_to_string(units[b + 1:], '') AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'spm' THEN concat('<S>', suffix, '<P>', prefix, '<M>', middle)
+    ELSE concat('<P>', prefix, '<S>', suffix, '<M>', middle) END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
+
 ORACLES: dict[str, str] = {
     "op2_quotations": NO_QUOTES,
     "op3_embeddings": VECTOR_LINKS,
     "op9_quality": QUALITY,
     "op10_licenses": licenses.oracle(),
+    "op13_infill": INFILL,
 }
