@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from eventmill.llm import (
+    divergence,
     embeddings,
     html_text,
     infill,
@@ -93,6 +94,10 @@ def op5_packing(spark, sf_dir):
     )
 
 
+def op12_divergence(spark, sf_dir):
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 def op13_infill(spark, sf_dir):
     found = infill.fill_in_middle(_table(spark, sf_dir, "documents"))
     return found.select(
@@ -117,6 +122,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_quality": op9_quality,
     "op10_licenses": op10_licenses,
+    "op12_divergence": op12_divergence,
     "op13_infill": op13_infill,
 }
 
@@ -178,6 +184,30 @@ rejected AS (SELECT doc_id, array_to_string(list_sort(list(scored.rule)), ',') A
 SELECT b.*, coalesce(rules, '') AS rules, NOT base_failed AND rules IS NULL AS kept
 FROM b LEFT JOIN rejected USING (doc_id)"""
 
+DIVERGENCE = f"""WITH d AS (SELECT row_number() OVER () AS row, coalesce(text, '') AS t, coalesce(lang, '') AS lang,
+  coalesce(source, '') AS source FROM documents),
+words AS (SELECT row, lang, source, unnest(regexp_extract_all(
+  translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS total FROM words GROUP BY ALL HAVING count(DISTINCT row) >= {divergence.MIN_DOCS}),
+langs AS (SELECT lang, count(term) AS v, coalesce(sum(total), 0) AS lang_n
+  FROM (SELECT DISTINCT lang FROM d) LEFT JOIN kept USING (lang) GROUP BY lang),
+counts AS (SELECT lang, source, term, count(*) AS n FROM words SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+sizes AS (SELECT lang, source, v, lang_n, coalesce(sum(n), 0) AS own_n FROM (SELECT DISTINCT lang, source FROM d)
+  JOIN langs USING (lang) LEFT JOIN counts USING (lang, source) GROUP BY ALL),
+p AS (SELECT lang, source, term, coalesce(n, 0) AS n, total,
+    CAST(1 + 1000000000::HUGEINT * (coalesce(n, 0) + 5) // (own_n + 5 * v) AS BIGINT) AS p,
+    CAST(1 + 1000000000::HUGEINT * (total + 5) // (lang_n + 5 * v) AS BIGINT) AS q
+  FROM sizes JOIN kept USING (lang) LEFT JOIN counts USING (lang, source, term)),
+apart AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+rows AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM sizes a JOIN sizes b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN apart ON apart.lang = a.lang AND apart.source = a.source AND apart.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM rows)
+WHERE part = 'pair' OR rank <= {divergence.TOP_TERMS}"""
+
 INFILL = """WITH h AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
 u AS (SELECT *, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS units, CAST('0x' || h[1:8] AS BIGINT) AS h1,
   CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM h),
@@ -197,5 +227,6 @@ ORACLES: dict[str, str] = {
     "op3_embeddings": VECTOR_LINKS,
     "op9_quality": QUALITY,
     "op10_licenses": licenses.oracle(),
+    "op12_divergence": DIVERGENCE,
     "op13_infill": INFILL,
 }
