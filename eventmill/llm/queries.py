@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from eventmill.llm import (
+    bestfit,
     divergence,
     embeddings,
     html_text,
@@ -21,6 +22,7 @@ from eventmill.llm import (
 )
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _table(spark, sf_dir, name):
@@ -94,6 +96,12 @@ def op5_packing(spark, sf_dir):
     )
 
 
+def op11_bestfit(spark, sf_dir):
+    return bestfit.pack(_table(spark, sf_dir, "documents"), BYTE_TOKENIZER).select(
+        "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset"
+    )
+
+
 def op12_divergence(spark, sf_dir):
     return divergence.audit(_table(spark, sf_dir, "documents"))
 
@@ -122,6 +130,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_quality": op9_quality,
     "op10_licenses": op10_licenses,
+    "op11_bestfit": op11_bestfit,
     "op12_divergence": op12_divergence,
     "op13_infill": op13_infill,
 }
