@@ -33,7 +33,7 @@ TOP_TERMS = 50
 BLOCK_TERMS = 4096
 BLOCK_SOURCES = 256
 #: Bytes of text that are split into terms together.
-TEXT_BYTES = 1 << 24
+TEXT_BYTES = 1 << 23
 
 # Terms are runs of ASCII letters and of all beyond ASCII; only A-Z are lower-cased.
 _TO_TERMS = bytes(
