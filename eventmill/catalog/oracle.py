@@ -459,6 +459,13 @@ def statements() -> dict[str, str]:
             case page_id % 5 when 0 then 'page has no html' when 1 then 'unknown source'
               else 'unknown parser: rss' end as error
             from names where page_id % 5 < 3""",
+        "upsert_parts": """select part as batch_id, count(*) as imported, min(event_type) as first_title
+            from (select user_id, event_type, min(event_id % 10) as part from events group by all) group by 1""",
+        # Neither a record nor a failure of the pages' second landing (another batch).
+        "stream_repeats": f"""with listed as ({one_layout("generic_links")}), {ORDERS}
+            select l.url, 0 as batch_id, '' as error from listed l
+            join names n on l.source_url = n.site || '/Events/' where n.page_id % 2 = 0
+            union all select site || '/Events/', 0, 'page has no html' from names where page_id % 2 = 1""",
         "registry_file": """select row_number() over (order by c_custkey) - 1 as source_ord,
             c_name as name, 'https://c' || c_custkey || '.example.org' as url,
             case when c_mktsegment <> 'MACHINERY' then 'generic_links' end as parser,

@@ -498,6 +498,36 @@ def upsert_totals(spark, sf_dir):
     )
 
 
+def upsert_parts(spark, sf_dir):
+    """The events in ten batches of one run: nine segments, merged, and one more."""
+    folder = shared_folder(spark)
+    fields = {"partner": F.col("user_id").cast("string"), "title": F.col("event_type")}
+    events = stored(
+        table(spark, sf_dir, "events").select(
+            F.pmod(F.col("event_id"), F.lit(10)).alias("part"), *[fields.get(c, F.lit("")).alias(c) for c in RECORD_FIELDS]
+        )
+    )
+    for part in range(10):
+        upsert(events.filter(F.col("part") == part), folder, part)
+    kept = read_target(spark, folder)
+    return kept.groupBy("batch_id").agg(F.count("*").alias("imported"), F.min("title").alias("first_title"))
+
+
+def stream_repeats(spark, sf_dir):
+    """Pages landed twice, the second time in other files and under other ids, half without html."""
+    pages, registry = site_tables(spark, sf_dir, "generic_links")
+    folder, registry = shared_folder(spark), stored(registry)
+    html = F.when(F.col("page_id") % 2 == 0, F.col("html"))
+    pages.select("page_id", "url", html.alias("html")).write.parquet(f"{folder}/landing")
+    _stream(spark, registry, folder, "landing", "progress")
+    again = pages.select((-F.col("page_id")).alias("page_id"), "url", html.alias("html"))
+    again.repartition(3).write.mode("append").parquet(f"{folder}/landing")
+    _stream(spark, registry, folder, "landing", "progress")
+    records = read_target(spark, f"{folder}/records").select("url", "batch_id", F.lit("").alias("error"))
+    failed = read_failures(spark, f"{folder}/records").select("url", "batch_id", "error")
+    return records.unionByName(failed)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q
     for q in [
@@ -542,6 +572,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         stream_restart,
         stream_failures,
         upsert_totals,
+        upsert_parts,
+        stream_repeats,
         registry_file,
         run_counts,
         run_failures,

@@ -17,6 +17,8 @@ SETTINGS = {
     # The JVM does not compile methods beyond this size; such stages then run as
     # smaller generated pieces.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Key lookups of this many values go to the files' statistics and filters.
+    "spark.sql.parquet.pushdown.inFilterThreshold": "1000",
     "spark.sql.execution.arrow.maxBytesPerBatch": str(32 * 1024 * 1024),
 }
 

@@ -1,17 +1,19 @@
-"""Repeated runs (I1, I2): each landed page once, each record kept once."""
+"""Repeated runs (I1): each landed page is read once."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from eventmill.operators.records import new_records, to_records
 from eventmill.plans.scrape import records_of, scrape
-from eventmill.schema import ORDER, RECORD_FIELDS, Options
+from eventmill.schema import Options
 from eventmill.session import stored
 from eventmill.sources.registry import validate_registry
+from eventmill.streaming.target import read_target, upsert
+
+__all__ = ["PAGES_SCHEMA", "batch_failures", "extract_stream", "read_failures", "read_target", "unseen", "upsert"]
 
 PAGES_SCHEMA = T.StructType(
     [
@@ -20,21 +22,14 @@ PAGES_SCHEMA = T.StructType(
         T.StructField("html", T.StringType()),
     ]
 )
-TARGET_SCHEMA = T.StructType(
-    [T.StructField(c, T.StringType()) for c in RECORD_FIELDS]
-    + [
-        T.StructField("month", T.StringType()),
-        T.StructField("run", T.StringType()),
-        T.StructField("batch_id", T.LongType()),
-    ]
-)
 FAILURE_SCHEMA = T.StructType(
     [T.StructField(c, T.StringType()) for c in ("partner", "url", "error", "run")]
     + [T.StructField("batch_id", T.LongType())]
 )
 #: Folder of failures within a target; readers of the records pass over it.
 FAILURES = "_failures"
-NO_MONTH = "none"
+#: How long a page that has been read is remembered, so that it is not read again.
+REMEMBER = "30 days"
 
 
 def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -45,11 +40,6 @@ def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def read_target(spark: SparkSession, target: str) -> DataFrame:
-    """Records kept so far; none before the first run."""
-    return _read(spark, target, TARGET_SCHEMA)
-
-
 def read_failures(spark: SparkSession, target: str) -> DataFrame:
     """(partner, url, error, run, batch_id) of all landed pages that gave no records by a fault."""
     return _read(spark, f"{target}/{FAILURES}", FAILURE_SCHEMA)
@@ -61,33 +51,6 @@ def _write(rows: DataFrame, path: str, *by: str) -> None:
     writer.partitionBy(*by).parquet(path)
 
 
-def _month() -> Column:
-    day = F.substring("start_date", 1, 7)
-    return F.when(day.rlike(r"^\d{4}-\d\d$"), day).otherwise(NO_MONTH)
-
-
-def upsert(records: DataFrame, target: str, batch_id: int, run: str = "manual") -> DataFrame:
-    """Add the records the target does not have; returns (imported, skipped).
-
-    Each batch of each run owns its folders and never looks at them, so a batch that
-    is run again writes the same rows to the same place, and a run that counts its
-    batches anew touches nothing of an earlier one. Records with a key in common
-    have one start date, so only the months of the batch are read, and of these only the key.
-    """
-    spark = records.sparkSession
-    place = [c for c in ORDER if c in records.columns]
-    batch = stored(records.select(*place, *RECORD_FIELDS))
-    # Months of dates: their number is that of months, not of records.
-    months = [r[0] for r in batch.select(_month().alias("month")).distinct().collect()]
-    own = (F.col("run") == run) & (F.col("batch_id") == batch_id)
-    kept = read_target(spark, target)
-    fresh = to_records(new_records(batch, kept.filter(F.col("month").isin(months) & ~own)))
-    marked = fresh.withColumns({"month": _month(), "run": F.lit(run), "batch_id": F.lit(batch_id)})
-    _write(marked, target, "month", "run", "batch_id")
-    imported = read_target(spark, target).filter(F.col("month").isin(months) & own).count()
-    return spark.createDataFrame([(imported, batch.count() - imported)], "imported long, skipped long")
-
-
 def batch_failures(batch: DataFrame, scraped: DataFrame, registry: DataFrame) -> DataFrame:
     """(partner, url, error) of the batch's pages that gave nothing because of a fault:
     unreadable ones, those of faulty sources, and those of no source at all."""
@@ -104,6 +67,24 @@ def batch_failures(batch: DataFrame, scraped: DataFrame, registry: DataFrame) ->
     return unreadable.unionByName(lost)
 
 
+def unseen(pages: DataFrame, remember: str = REMEMBER) -> DataFrame:
+    """Pages of a stream whose address and text have not come within `remember`.
+
+    The state holds the address and a digest of the text of each page, never the text,
+    and forgets them after that time on the clock of the stream's batches, by which no
+    page is ever late. A page with the same text under another page_id is the same page.
+    """
+    marked = pages.withColumns(
+        {
+            "_landed": F.current_timestamp(),
+            "_address": F.coalesce("url", F.lit("")),
+            "_digest": F.coalesce(F.sha2("html", 256), F.lit("")),
+        }
+    )
+    first = marked.withWatermark("_landed", remember).dropDuplicatesWithinWatermark(["_address", "_digest"])
+    return first.select(*pages.columns)
+
+
 def extract_stream(
     spark: SparkSession,
     landing: str,
@@ -112,28 +93,38 @@ def extract_stream(
     checkpoint: str,
     scraped_at: str,
     opts: Options = Options(),
+    remember: str | None = REMEMBER,
 ) -> StreamingQuery:
     """Work off the pages that landed since the last start, then stop.
 
-    Extraction is row-wise and dedupe runs against the target, so every
-    micro-batch is an ordinary batch job. Records carry the id of the stream, which
-    the progress folder keeps across restarts; a new progress folder is a new run.
-    Pages that fail are written to the target's failures.
+    A page that landed before with the same text, in whatever file, is passed over for
+    as long as `remember` says (None: every landed page is read). Extraction is row-wise
+    and dedupe runs against the target, so every micro-batch is an ordinary batch job.
+    Records carry the id of the stream, which the progress folder keeps across restarts;
+    a new progress folder is a new run and remembers nothing. Pages that fail are written
+    to the target's failures.
     """
     pages = spark.readStream.schema(PAGES_SCHEMA).parquet(landing)
+    if remember:
+        pages = unseen(pages, remember)
 
     def work(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         run = session.sparkContext.getLocalProperty("sql.streaming.queryId")
+        if remember:
+            batch = stored(batch)  # taken from the state once
         scraped = stored(scrape(batch, registry, scraped_at, opts))
         upsert(records_of(scraped), target, batch_id, run)
         failed = batch_failures(batch, scraped, registry)
         marked = failed.withColumns({"run": F.lit(run), "batch_id": F.lit(batch_id)})
         _write(marked, f"{target}/{FAILURES}", "run", "batch_id")
 
-    return (
-        pages.writeStream.foreachBatch(work)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    writer = pages.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint)
+    # What is to be forgotten goes with the next pages, not in a batch without any.
+    name = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        return writer.trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(name, before)
