@@ -20,7 +20,7 @@ from eventmill.session import shared_folder, stored
 from eventmill.sinks import files
 from eventmill.sources.pages import read_pages
 from eventmill.plans.publish import run
-from eventmill.sources.registry import read_registry, select_sources, validate_registry
+from eventmill.sources.registry import read_registry, save_registry, select_sources, validate_registry
 from eventmill.streaming.incremental import extract_stream, read_failures, read_target, upsert
 
 TODAY = RUN_AT[:10]
@@ -234,8 +234,8 @@ def registry_invalid(spark, sf_dir):
 
 
 def registry_file(spark, sf_dir):
-    """Sources written as one config file and read back; some lack keys."""
-    path, seg = f"{shared_folder(spark)}/sources.json", F.col("c_mktsegment")
+    """Sources written as lines by several tasks and read back in their order; some lack keys."""
+    path, seg = f"{shared_folder(spark)}/sources.jsonl", F.col("c_mktsegment")
     sources = customer_sources(spark, sf_dir).select(
         "source_ord",
         "name",
@@ -243,12 +243,8 @@ def registry_file(spark, sf_dir):
         F.when(seg != "MACHINERY", "generic_links").alias("parser"),
         F.when(seg == "BUILDING", "announcement").alias("kind"),
     )
-    # The file format is one object with a list; a list this long is a test's, not a job's.
-    listed = F.array_sort(F.collect_list(F.struct(*sources.columns)))
-    listed = F.transform(listed, lambda x: x.dropFields("source_ord"))
-    config = sources.agg(listed.alias("partners")).select(F.to_json(F.struct("partners")).alias("value"))
-    config.coalesce(1).write.text(path)
-    return read_registry(spark, path).select(F.col("source_ord").cast("long"), "name", "url", "parser", "kind")
+    save_registry(sources, path)
+    return read_registry(spark, path)
 
 
 def _failing_tables(spark, sf_dir):

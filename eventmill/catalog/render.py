@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from eventmill.schema import LAYOUTS, Options
 
-RUN_AT = "2026-07-02T12:00:00+00:00"
+RUN_AT = "2026-06-11T04:35:00+00:00"
 RUN_OPTIONS = Options(base_date="2026-07-01")
 PER_PAGE = 8
 PATHS = {

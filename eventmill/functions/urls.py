@@ -32,8 +32,9 @@ def url_parts(url: Column) -> Column:
     )
 
 
-def _tidy_path(path: Column, relative: Column) -> Column:
-    """Resolve dot segments; a relative path also loses doubled slashes."""
+def _tidy_path(path: Column, relative: Column, hosted: Column) -> Column:
+    """Resolve dot segments; a relative path also loses doubled slashes. Behind a host
+    a path begins with a slash."""
     segments = F.split(path, "/", -1)
     last = F.size(segments) - 1
     inner = F.filter(segments, lambda s, i: ~relative | (i == 0) | (i == last) | (s != ""))
@@ -48,7 +49,8 @@ def _tidy_path(path: Column, relative: Column) -> Column:
     rebuilt = F.array_join(
         F.when(ends_in_dots, F.concat(walked, F.array(F.lit("")))).otherwise(walked), "/"
     )
-    rooted = F.when(rebuilt.startswith("/"), rebuilt).otherwise(F.concat(F.lit("/"), rebuilt))
+    slash = (rebuilt == "") | (hosted & ~rebuilt.startswith("/"))
+    rooted = F.concat(F.when(slash, F.lit("/")).otherwise(F.lit("")), rebuilt)
     return F.when(path.rlike(r"//|/\.|^\."), rooted).otherwise(path)
 
 
@@ -70,18 +72,20 @@ def resolve_parts(href: Column, parts: Column, base: Column) -> Column:
     query, fragment = F.nullif(query, F.lit("?")), F.nullif(fragment, F.lit("#"))
     query, fragment = blank_to_null(query), F.coalesce(fragment, F.lit(""))
     own_query = F.coalesce(query, F.lit(""))
-    home = F.concat(base["scheme"], F.lit(":"), base["host"])
+    # A base without a scheme, or without a host, gives none.
+    lead = F.concat(base["scheme"], F.when(base["scheme"] == "", F.lit("")).otherwise(F.lit(":")))
+    home, hosted = F.concat(lead, base["host"]), F.char_length(base["host"]) > 2
     rooted = F.when(path.startswith("/"), path).otherwise(F.concat(base["folder"], path))
     return (
-        F.when((scheme != "") & (scheme != base["scheme"]), href)
+        F.when(((scheme != "") & (scheme != base["scheme"])) | (base["url"] == ""), href)
         .when(
             F.char_length(host) > 2,
-            F.concat(base["scheme"], F.lit(":"), host, path, own_query, fragment),
+            F.concat(lead, host, path, own_query, fragment),
         )
         .when(F.array_join(parts, "") == "", base["url"])
         .when(path == "", F.concat(home, base["path"], F.coalesce(query, base["query"]), fragment))
         .otherwise(
-            F.concat(home, _tidy_path(rooted, ~path.startswith("/")), own_query, fragment)
+            F.concat(home, _tidy_path(rooted, ~path.startswith("/"), hosted), own_query, fragment)
         )
     )
 

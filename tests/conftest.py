@@ -7,7 +7,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 from eventmill.session import local_session  # noqa: E402
 
-RUN = "2026-07-02T12:00:00+00:00"
+RUN = "2026-06-11T04:35:00+00:00"
 
 
 @pytest.fixture(scope="session")

@@ -135,6 +135,7 @@ LINKS = """|/a|a|../x|./x|../../../x|//cdn.e.org/k.png|https://o.org/p//q?a#b|ht
 ?q=1|#f|#|?|/a//b|a//b|a/../b|..|.|a/./b/|x?y#z|HTTPS://Up.org/x|javascript:void(0)|/a/..|  /sp|a b|https:foo
 x?|/p#|a;b|../..//c|//|///x|/../x|a/b/../../../c|.hidden|a/.b/..c""".replace("\n", "|").split("|")
 BASES = ["https://e.org/events", "https://e.org/Events/", "https://e.org", "http://e.org/a/b?q=2#f"]
+BASES += ["//h.org/a/b", "//h.org", "/x/y", "a/b?q", "h.org/x/", "?q", "", "x"]  # without scheme, host or both
 
 
 @pytest.mark.parametrize("base", BASES)

@@ -13,7 +13,7 @@ from eventmill.operators.extractors import EXTRACTORS, Layout
 from eventmill.plans.scrape import extract, records_of
 from eventmill.schema import ORDER, RECORD_FIELDS
 from eventmill.sinks import files
-from eventmill.sources.registry import read_registry, select_sources, validate_registry
+from eventmill.sources.registry import read_registry, save_registry, select_sources, validate_registry
 from eventmill.streaming.incremental import (
     PAGES_SCHEMA,
     extract_stream,
@@ -22,7 +22,7 @@ from eventmill.streaming.incremental import (
     upsert,
 )
 
-RUN = "2026-07-02T12:00:00+00:00"
+RUN = "2026-06-11T04:35:00+00:00"
 SOURCE = "source_ord int, name string, url string, parser string, kind string"
 
 
@@ -60,16 +60,14 @@ def test_dedupe_keeps_the_first_and_is_idempotent(make):
     assert titles(records.dedupe(once)) == titles(once)
 
 
-def test_incoming(make):
-    rows = make(
-        {"title": "past", "start_date": "2026-07-01"},
-        {"title": "today", "start_date": "2026-07-02"},
-        {"title": "news", "start_date": "2026-07-03", "kind": "announcement"},
-        {"title": "undated"},
-        {"title": "no day", "start_date": "2026-17-03"},
-        {"title": "future", "start_date": "2026-07-04"},
-    )
-    assert titles(records.incoming(rows, "2026-07-02")) == ["today", "future"]
+@pytest.mark.parametrize("run_day", ["2028-02-28", "2028-02-29", "2028-03-01"])
+def test_incoming(make, run_day):
+    """Around a leap day, two records a day: events of that day and later ones stay."""
+    days = ["2027-12-31", "2028-02-27", "2028-02-28", "2028-02-29", "2028-03-01", "2028-03-02", "2029-01-01"]
+    no_days = ["", None, "2029-02-29", "2029-1-1", "soon", "20290101"]
+    rows = [{"title": f"{kind} {day}", "start_date": day, "kind": kind} for day in days + no_days for kind in ("event", "announcement")]
+    rows += [{"title": "no kind", "start_date": "2030-01-01", "kind": None}]
+    assert titles(records.incoming(make(*rows), run_day)) == [f"event {day}" for day in days if day >= run_day]
 
 
 def test_rank_and_batches_follow_the_whole_order(make):
@@ -88,27 +86,29 @@ def test_rank_and_batches_follow_the_whole_order(make):
 
 
 def test_board_items(make):
-    rows = make(
-        {
-            "title": "Fair", "start_date": "2026-07-12", "start_time": "10 AM", "end_time": "5 PM",
-            "location": "Concord, NH", "description": "Join us.", "url": "https://e.org/e",
-            "source_url": "https://e.org/events",
-        },
-        {"title": "Bare"},
-    )
-    full, bare = records.board_items(rows).orderBy("node_id").collect()
-    values = json.loads(full["column_values"])
-    assert full["item_name"] == values["text_mm4whrb1"] == "Fair"
-    assert values["date_mm4w9x8p"] == {"date": "2026-07-12"}
-    assert values["link_mm4w7r6"] == {"url": "https://e.org/e", "text": "Event link"}
-    assert values["text_mm4wpkzw"] == (
-        "Partner: A\nDate: 2026-07-12\nTime: 10 AM - 5 PM\nLocation: Concord, NH\n\nJoin us.\n\n"
-        "Source page: https://e.org/events"
-    )
-    assert json.loads(bare["column_values"]) == {
-        "text_mm4whrb1": "Bare",
-        "text_mm4wpkzw": "Partner: A\nDate: ",
-    }
+    """Every set of filled-in fields gives its lines and its columns, and no others."""
+    facts = {
+        "start_date": "2031-11-30", "start_time": "6:15 AM", "end_time": "noon", "location": "Pier 4",
+        "description": 'Bring "two"\nboots', "url": "https://q.test/n?a=1", "source_url": "https://q.test/",
+    }
+    names = list(facts)
+    sets = [[n for k, n in enumerate(names) if bits >> k & 1] for bits in range(2 ** len(names))]
+    rows = make(*[{"title": f"T{k}", "partner": "Q", **{n: facts[n] for n in own}} for k, own in enumerate(sets)])
+    for k, (row, own) in enumerate(zip(records.board_items(rows).orderBy("node_id").collect(), sets, strict=True)):
+        has = {n: facts[n] if n in own else "" for n in names}
+        lines = ["Partner: Q", f"Date: {has['start_date']}"]
+        if span := " - ".join(t for t in (has["start_time"], has["end_time"]) if t):
+            lines.append(f"Time: {span}")
+        if has["location"]:
+            lines.append(f"Location: {has['location']}")
+        lines += [f"\n{text}" for text in (has["description"],) if text]
+        lines += [f"\nSource page: {text}" for text in (has["source_url"],) if text]
+        want = {records.BOARD_COLUMNS["title"]: f"T{k}", records.BOARD_COLUMNS["details"]: "\n".join(lines)}
+        if has["start_date"]:
+            want[records.BOARD_COLUMNS["date"]] = {"date": has["start_date"]}
+        if has["url"]:
+            want[records.BOARD_COLUMNS["link"]] = {"url": has["url"], "text": "Event link"}
+        assert (row["item_name"], json.loads(row["column_values"])) == (f"T{k}", want)
 
 
 def test_import_records_fill_in_what_is_missing(spark):
@@ -166,6 +166,22 @@ def test_registry_file(spark, tmp_path):
     assert read_registry(spark, str(path)).count() == 0
 
 
+def test_registry_lines_keep_their_order(spark, tmp_path):
+    """Written by several tasks, read by several: files split within, one of them empty."""
+    path = str(tmp_path / "sources.jsonl")
+    rows = [(i, f"N{i}", f"https://s{i}.org", "rss" if i % 3 else None, None) for i in range(500)]
+    save_registry(spark.createDataFrame(rows[::-1], SOURCE).repartition(5), path)
+    (tmp_path / "sources.jsonl" / "part-99999.json").write_text("")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        found = read_registry(spark, path)
+        assert spark.read.json(path).rdd.getNumPartitions() > 4
+        assert sorted(tuple(r) for r in found.collect()) == rows
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_registry_file_in_yaml(spark, tmp_path):
     pytest.importorskip("yaml")
     path = tmp_path / "sources.yaml"
@@ -184,7 +200,7 @@ def test_summary(spark, make):
     registry = spark.createDataFrame([(0, "A", "u", "p", None), (1, "B", "v", "p", None)], SOURCE)
     answers = spark.createDataFrame([(3, None), (None, 2)], "imported int, skipped int")
     failed = spark.createDataFrame([("B", "no page")], "partner string, error string")
-    sent = records.incoming(rows, "2026-07-02")
+    sent = records.incoming(rows, "2026-06-11")
     row = records.run_summary(registry, rows, sent, answers, failed).first()
     assert tuple(row) == (2, 2, 1, 3, 2, 1, False)
     nothing = rows.filter("false")
@@ -285,11 +301,11 @@ def test_files(make, spark, tmp_path):
 
 def test_outboxes_replace_their_own_day_only(make, spark, tmp_path):
     rows, path = make({"title": "a"}, {"title": "b"}), str(tmp_path / "board")
-    files.save_board_outbox(rows, path, "2026-07-01", "7")
-    files.save_board_outbox(rows, path, "2026-07-02", "7")
-    files.save_board_outbox(rows.filter("title = 'a'"), path, "2026-07-02", "7")
+    files.save_board_outbox(rows, path, "2032-01-31", "7")
+    files.save_board_outbox(rows, path, "2032-02-01", "7")
+    files.save_board_outbox(rows.filter("title = 'a'"), path, "2032-02-01", "7")
     kept = spark.read.parquet(path).groupBy("run_date", "board_id").count().collect()
-    assert sorted((str(r["run_date"]), r["count"]) for r in kept) == [("2026-07-01", 2), ("2026-07-02", 1)]
+    assert sorted((str(r["run_date"]), r["count"]) for r in kept) == [("2032-01-31", 2), ("2032-02-01", 1)]
 
 
 def test_upsert_counts_and_repeats(make, spark, tmp_path):
