@@ -1,16 +1,20 @@
 """Embedding near-dedup on a robust-pruned flat graph.
 
-Vectors of one label are dealt to overlapping cluster shards: to that of the nearest
-centre, and to every other whose boundary with it is within half the limit's distance.
-Of two linked vectors with different nearest centres, one is that close to the
-boundary between these, so every linked pair has a shard in common. Every shard builds a
-graph whose adjacency lists are robust-pruned (an edge goes if a kept neighbour is
-closer to its end by a factor); the lists that a vector has in its shards are united.
-On the united graph every vector is searched from the shard's medoid, greedily and
-with a beam that doubles until the search arrives at the vector itself, and from there the range is
-expanded: vectors within the limit, and a little beyond, pass the search on. Found
-pairs are verified by their cosine in double precision. A shard of more than one block
-is searched without a graph: its blocks meet pairwise and compare all.
+Vectors of one label are dealt to the shards of their OVERLAP nearest centres. Every
+shard builds a graph whose adjacency lists are robust-pruned (an edge goes if a kept
+neighbour is closer to its end by a factor); the lists that a vector has in its shards
+are united, which joins the shards' graphs to one. Every vector is then searched on the
+united graph: a beam starts from the medoids of all shards at once and closes in
+greedily, and from what it has reached the range is expanded: vectors within the limit,
+and some way beyond, pass the search on. Found pairs are verified by their cosine in
+double precision. Searches go in blocks, each beside the whole united graph.
+
+A label whose graph is too large for that is searched by regions: a vector is in that of
+the nearest of some centres, and in every other whose boundary with it is within half
+the limit's distance. Of two linked vectors with different nearest centres, one is that
+close to the boundary between these, so every linked pair has a region in common. A
+region that no centres make small (vectors without any grouping) has its vectors in
+several parts with a graph each, and is searched in all of them.
 
 Groups so dense that most of a shard would be one of them are taken out first, by hubs: two vectors
 within half the limit's angle of one hub are linked for certain (triangle
@@ -36,9 +40,16 @@ from eventmill.session import stored
 SAMPLE = 8192
 #: Vectors per centre.
 CENTRE_ROWS = 512
-#: Vectors in one block of a unit of work, on average at most; and where all are compared.
+#: Centres whose shards a vector is built into.
+OVERLAP = 3
+#: Vectors in one block of a unit of work, on average at most.
 BLOCK_ROWS = 1024
-MEET_ROWS = 4096
+#: Vectors of one united graph, and searches beside it, on average at most.
+REGION_ROWS = 1 << 16
+QUERY_ROWS = 8192
+#: Best vectors that a search keeps in view, and of these passes on at a time.
+BEAM = 64
+WIDTH = 8
 #: A ball of more members is counted instead of compared.
 HUB_ROWS = 512
 DEGREE = 24
@@ -101,7 +112,7 @@ def _thinned(x: np.ndarray, centres: np.ndarray, limit: float, count: int) -> np
     best, least = centres[:1], math.inf
     while True:
         rows = near_shards(x, centres, limit).mean(axis=0) * count
-        work = float((rows * (1 + rows / BLOCK_ROWS)).sum())
+        work = float((rows * (1 + rows / REGION_ROWS)).sum())
         if work < least:
             best, least = centres, work
         if len(centres) == 1:
@@ -110,7 +121,8 @@ def _thinned(x: np.ndarray, centres: np.ndarray, limit: float, count: int) -> np
 
 
 def fit(sample: dict, counts: dict, limit: float) -> dict:
-    """Per (label, dimension): (centres, hubs) from sampled unit vectors."""
+    """Per (label, dimension), from sampled unit vectors: the centres of shards and of
+    regions, the number of parts of a region, and hubs."""
     near = math.cos(math.acos(limit) / 2)
     out = {}
     for key, x in sample.items():
@@ -123,7 +135,9 @@ def fit(sample: dict, counts: dict, limit: float) -> dict:
             np.add.at(sums, best, x)
             norms = np.linalg.norm(sums, axis=1, keepdims=True)
             centres = np.where(norms > 0, sums / np.where(norms > 0, norms, 1), centres)
-        centres = _thinned(x, centres, limit, counts[key])
+        regions = _thinned(x, centres, limit, counts[key])
+        largest = near_shards(x, regions, limit).mean(axis=0).max() * counts[key]
+        parts = max(1, math.ceil(largest / REGION_ROWS))
         # Hubs: sampled vectors whose ball holds many others, the fullest first.
         share = len(x) / counts[key]
         wanted = max(8, HUB_ROWS * share)
@@ -141,29 +155,45 @@ def fit(sample: dict, counts: dict, limit: float) -> dict:
                     hubs.append(x[first])
                 left &= ~covered
                 left[first] = False
-        out[key] = (centres, np.array(hubs).reshape(len(hubs), x.shape[1]))
+        out[key] = (centres, regions, parts, np.array(hubs).reshape(len(hubs), x.shape[1]))
     return out
 
 
+_DEALT = (
+    "cls binary, label long, vector binary, copies long, ball int, builds array<int>, part int, parts int, "
+    "shards array<int>, shells array<int>"
+)
+
+
 def _deal_task(batches: Iterator[pa.RecordBatch], model: dict, limit: float):
-    """Ball of each class, else its shards; and the balls in whose shell it is."""
+    """Of each class its ball, the shards that build it, its part and its regions; and the balls in whose shell it is."""
     angle = math.acos(limit)
     near, far = math.cos(angle / 2) + 1e-9, math.cos(1.5 * angle) - 1e-9
+    kinds = [pa.int32(), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())]
     for batch in batches:
-        balls, shards, shells = [], [], []
-        for label, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+        out = [[] for _ in kinds]
+        for name, label, data in zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True):
             x = np.frombuffer(data, np.float64)
-            centres, hubs = model.get((label, len(x)), (np.empty((0, len(x))),) * 2)
+            none = np.empty((0, len(x)))
+            centres, regions, parts, hubs = model.get((label, len(x)), (none, none, 1, none))
             to_hubs = hubs @ x
             ball = int(to_hubs.argmax()) if len(hubs) and to_hubs.max() >= near else None
-            balls.append(ball)
             reach = np.flatnonzero(to_hubs >= far).tolist()
-            # Of two balls, the members of the later one are the shell of the earlier.
-            shells.append([h for h in reach if ball is None or h < ball])
-            shards.append(np.flatnonzero(near_shards(x[None], centres, limit)[0]).tolist() if len(centres) else [-1])
+            builds = np.argsort(-(centres @ x), kind="stable")[:OVERLAP].tolist() if len(centres) else [0]
+            row = (
+                ball,
+                builds,
+                xxhash.xxh3_64_intdigest(name, 1) % parts,
+                parts,
+                np.flatnonzero(near_shards(x[None], regions, limit)[0]).tolist() if len(regions) else [0],
+                # Of two balls, the members of the later one are the shell of the earlier.
+                [h for h in reach if ball is None or h < ball],
+            )
+            for column, value in zip(out, row, strict=True):
+                column.append(value)
         yield pa.record_batch(
-            [*batch.columns, pa.array(balls, pa.int32()), pa.array(shards, pa.list_(pa.int32())), pa.array(shells, pa.list_(pa.int32()))],
-            names=["cls", "label", "vector", "copies", "ball", "shards", "shells"],
+            [*batch.columns, *[pa.array(c, t) for c, t in zip(out, kinds, strict=True)]],
+            names=[f.split()[0] for f in _DEALT.split(", ")],
         )
 
 
@@ -228,42 +258,62 @@ def connect(x: np.ndarray, graph: list[list[int]], start: int) -> None:
         _reach(graph, lost, seen)
 
 
-def range_search(x: np.ndarray, graph: list[np.ndarray], start: int, query: int, limit: float) -> np.ndarray:
-    """Positions within `limit` of the query, found along the graph from `start`.
+def lists_of(graph: list[list[int]]) -> list[np.ndarray]:
+    return [np.array(g, np.int64) for g in graph]
+
 
-    The beam doubles until the query itself is found; then the range expands
-    through vectors up to twice the limit's distance.
+def range_search(
+    x: np.ndarray, graph: list[np.ndarray], starts: np.ndarray, target: np.ndarray, limit: float, beam: int = BEAM
+) -> np.ndarray:
+    """Positions within `limit` of the target, found along the graph from `starts`.
+
+    The beam passes on the best vectors it has seen until it has passed on all of the
+    `beam` best. Then the range expands through vectors up to twice the limit's distance.
     """
-    target, beam = x[query], 8
+    sims = np.full(len(x), -2.0)
+    done = np.zeros(len(x), bool)
+    best = np.unique(starts)
+    sims[best] = x[best] @ target
+
+    def pass_on(front: np.ndarray) -> np.ndarray:
+        done[front] = True
+        new = np.unique(np.concatenate([graph[i] for i in front.tolist()]))
+        new = new[sims[new] == -2.0]
+        sims[new] = x[new] @ target
+        return new
+
+    def top(of: np.ndarray, n: int) -> np.ndarray:
+        return of if len(of) <= n else of[np.argpartition(-sims[of], n - 1)[:n]]
+
     while True:
-        seen = {start: float(x[start] @ target)}
-        done: set[int] = set()
-        while True:
-            best = sorted(seen, key=seen.get, reverse=True)[:beam]
-            front = [i for i in best if i not in done]
-            if not front or query in seen:
-                break
-            done.add(front[0])
-            new = [j for j in graph[front[0]].tolist() if j not in seen]
-            if new:
-                seen.update(zip(new, (x[new] @ target).tolist(), strict=True))
-        if query in seen or beam >= len(x):
+        best = top(best, beam)
+        front = top(best[~done[best]], WIDTH)
+        if not len(front):
             break
-        beam *= 2
+        best = np.concatenate([best, pass_on(front)])
     slack = 1 - min(1.9, 4 * (1 - limit))
-    known = np.zeros(len(x), bool)
-    known[query] = True
-    front, found = np.array([query]), []
-    while len(front):
-        new = np.unique(np.concatenate([graph[i] for i in front.tolist()]))
-        new = new[~known[new]]
-        if not len(new):
-            break
-        known[new] = True
-        sims = x[new] @ target
-        found.append(new[sims >= limit])
-        front = new[sims >= slack]
-    return np.sort(np.concatenate(found)) if found else np.empty(0, np.int64)
+    front = np.flatnonzero(sims >= slack)
+    while len(front := front[~done[front]]):
+        new = pass_on(front)
+        front = new[sims[new] >= slack]
+    return np.flatnonzero(sims >= limit)
+
+
+def starts_of(x: np.ndarray, graph: list[np.ndarray], medoids: np.ndarray) -> np.ndarray:
+    """The medoids, and one vector of each part of the graph that they do not reach."""
+    seen = np.zeros(len(x), bool)
+    starts = medoids.tolist()
+    front = np.unique(medoids)
+    while True:
+        seen[front] = True
+        while len(front):
+            new = np.unique(np.concatenate([graph[i] for i in front.tolist()]))
+            front = new[~seen[new]]
+            seen[front] = True
+        if seen.all():
+            return np.array(starts, np.int64)
+        front = np.flatnonzero(~seen)[:1]
+        starts.append(int(front[0]))
 
 
 class _Block:
@@ -293,13 +343,15 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, _Block]]
 def _build_task(batches: Iterator[pa.RecordBatch]):
     for _, block in _blocks(batches):
         graph = build_graph(block.x) if len(block.x) > 1 else [[]]
-        connect(block.x, graph, medoid(block.x))
+        start = medoid(block.x)
+        connect(block.x, graph, start)
         yield pa.record_batch(
             [
                 pa.array(block.names, pa.binary()),
                 pa.array([[block.names[j] for j in found] for found in graph], pa.list_(pa.binary())),
+                pa.array([k == start for k in range(len(graph))], pa.bool_()),
             ],
-            names=["cls", "near"],
+            names=["cls", "near", "medoid"],
         )
 
 
@@ -336,71 +388,32 @@ def _found(names: list, counts: np.ndarray, a: list, b: list) -> pa.RecordBatch:
     )
 
 
-def _linked_stars(linked: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs (row, column) of a matrix of links that connect all that it connects."""
-    pairs = []
-    rows, columns = linked.any(axis=1), linked.any(axis=0)
-    while rows.any():
-        first = int(rows.argmax())
-        rows[first] = False
-        front = np.array([first])
-        while len(front):
-            new = np.flatnonzero(linked[front].any(axis=0) & columns)
-            columns[new] = False
-            # The link of each new column, then of each row that these reach.
-            pairs += zip(front[linked[np.ix_(front, new)].argmax(axis=0)].tolist(), new.tolist(), strict=True)
-            front = np.flatnonzero(linked[:, new].any(axis=1) & rows) if len(new) else new
-            rows[front] = False
-            if len(front):
-                pairs += zip(front.tolist(), new[linked[np.ix_(front, new)].argmax(axis=1)].tolist(), strict=True)
-    return pairs
-
-
-def _meet_task(batches: Iterator[pa.RecordBatch], limit: float):
-    """All links within a block, or between two."""
-    for (unit, i, j), block in _blocks(batches):
-        shard = int(unit.rsplit("/", 1)[1])
-        a = np.flatnonzero(block.sides == 0)
-        b = a if i == j else np.flatnonzero(block.sides == 1)
-        if not len(a) or not len(b):
-            continue
-        linked = block.x[a] @ block.x[b].T >= limit
-        if i == j:
-            np.fill_diagonal(linked, False)
-        # A pair counts in one of the units where it meets: that of its first common shard.
-        earlier = sorted({s for _, shards in block.rest for s in shards if s < shard})
-        if earlier:
-            held = np.zeros((len(block.names), len(earlier)), np.float32)
-            for k, (_, shards) in enumerate(block.rest):
-                held[k] = np.isin(earlier, shards)
-            linked &= held[a] @ held[b].T == 0
-        copies = np.array([c for c, _ in block.rest])
-        counts = np.zeros(len(block.names), np.int64)
-        counts[a] = linked @ copies[b]
-        if i != j:
-            counts[b] = linked.T @ copies[a]
-        pairs = [(int(a[p]), int(b[q])) for p, q in _linked_stars(linked)]
-        yield _found(block.names, counts, *_stars(pairs, block.names))
-
-
 def _search_task(batches: Iterator[pa.RecordBatch], limit: float):
+    """Links of a block of vectors (side 1) with those of a united graph (side 0)."""
     for (unit, _, _), block in _blocks(batches):
         shard = int(unit.rsplit("/", 1)[1])
-        place = {name: k for k, name in enumerate(block.names)}
-        graph = [[place[n] for n in near or [] if n in place] for _, _, near in block.rest]
-        start = medoid(block.x)
-        connect(block.x, graph, start)
-        arrays = [np.array(g, np.int64) for g in graph]
-        copies = np.array([c for c, _, _ in block.rest])
-        shards = [s for _, s, _ in block.rest]
+        base, asking = (np.flatnonzero(block.sides == k) for k in (0, 1))
+        if not len(base) or not len(asking):
+            continue
+        x = block.x[base]
+        names = [block.names[k] for k in base.tolist()]
+        place = {name: k for k, name in enumerate(names)}
+        rest = [block.rest[k] for k in base.tolist()]
+        graph = lists_of([[place[n] for n in near or [] if n in place] for _, _, near, _ in rest])
+        starts = starts_of(x, graph, np.flatnonzero([bool(first) for *_, first in rest]))
+        copies = np.array([c for c, *_ in rest])
+        # A pair counts in one of the regions that it shares: the first.
+        lowest = np.array([min(s) for _, s, *_ in rest])
         counts, pairs = np.zeros(len(block.names), np.int64), []
-        for k in range(len(block.names)):
-            for other in range_search(block.x, arrays, start, k, limit).tolist():
-                # A pair counts in one of the units where it meets: that of its first common shard.
-                if min(set(shards[k]) & set(shards[other])) != shard:
-                    continue
-                counts[k] += copies[other]
-                pairs.append((k, other))
+        for k in asking.tolist():
+            found = range_search(x, graph, starts, block.x[k], limit)
+            found = found[found != place.get(block.names[k], -1)]
+            own = set(block.rest[k][1])
+            if len(found) and (min(own) < shard or (lowest[found] < shard).any()):
+                first = [not any(s < shard and s in own for s in rest[f][1]) for f in found.tolist()]
+                found = found[np.array(first, bool)]
+            counts[k] = copies[found].sum()
+            pairs += [(k, int(base[f])) for f in found]
         yield _found(block.names, counts, *_stars(pairs, block.names))
 
 
@@ -441,7 +454,7 @@ def near_duplicates(vectors: DataFrame, limit: float = 0.93, sample: int = SAMPL
     )
     size = (F.octet_length("vector") / 8).cast("int")
     totals = classes.groupBy("label", size.alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("n"))
-    # The model covers the `sample` largest groups at most; others share one shard each.
+    # The model covers the largest groups, `sample` / 8 of them; each of the others is one shard.
     counts = {(r["label"], r["size"]): r["n"] for r in totals.limit(max(1, sample // 8)).collect()}
     rate = min(1.0, sample / max(1, sum(counts.values())))
     drawn = classes.filter(F.pmod(F.xxhash64("cls"), F.lit(1 << 30)) < int(rate * (1 << 30)))
@@ -452,44 +465,45 @@ def near_duplicates(vectors: DataFrame, limit: float = 0.93, sample: int = SAMPL
     dealt = stored(
         classes.select("cls", "label", "vector", "copies").mapInArrow(
             lambda b: _deal_task(b, model, limit),
-            "cls binary, label long, vector binary, copies long, ball int, shards array<int>, shells array<int>",
+            _DEALT,
         )
     )
     group = F.concat_ws("/", F.col("label"), F.octet_length("vector"))
 
-    # Shards of what is in no ball: searched along a graph, or in blocks that meet pairwise.
-    shard = dealt.filter("ball IS NULL").withColumn("shard", F.explode("shards"))
-    shard = shard.withColumn("unit", F.concat_ws("/", group, F.col("shard")))
-    n = F.count("*")
-    parts = F.when(n > BLOCK_ROWS, F.ceil(n / MEET_ROWS)).otherwise(0).cast("int")
-    parts = shard.groupBy("unit").agg(parts.alias("parts"))  # 0: one block with a graph
-    part = F.pmod(F.xxhash64("cls"), F.greatest("parts", F.lit(1))).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.greatest(F.col("parts") - 1, F.lit(0)))).alias("other")
-    pieces = shard.join(parts, "unit").withColumn("part", part).select("*", other).select(
-        "unit",
-        F.least("part", "other").alias("i"),
-        F.greatest("part", "other").alias("j"),
-        "cls",
-        (F.col("part") > F.col("other")).cast("int").alias("side"),
-        "vector",
-        "copies",
-        "shards",
-        "parts",
-    )
-    pieces = stored(pieces)
-    large, pieces = pieces.filter("parts > 0").drop("parts"), pieces.filter("parts = 0").drop("parts")
-
+    # What is in no ball is built into shards, a block at a time, and its lists united.
     def in_units(df: DataFrame) -> DataFrame:
-        return df.repartition("unit", "i", "j").sortWithinPartitions("unit", "i", "j", "cls")
-
-    lists = in_units(pieces.select("unit", "i", "j", "cls", "side", "vector")).mapInArrow(
-        _build_task, "cls binary, near array<binary>"
+        return df.repartition("unit", "i", "j").sortWithinPartitions("unit", "i", "j", "side", "cls")
+
+    free = dealt.filter("ball IS NULL").withColumn("group", group)
+    built = free.select("group", "part", "cls", "vector", F.explode("builds").alias("build"))
+    built = built.withColumn("unit", F.concat_ws("/", "group", "part", "build"))
+    blocks = built.groupBy("unit").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
+    built = built.join(blocks, "unit").select(
+        "unit", block.alias("i"), block.alias("j"), "cls", F.lit(0).alias("side"), "vector"
+    )
+    lists = in_units(built).mapInArrow(_build_task, "cls binary, near array<binary>, medoid boolean")
+    united = lists.groupBy("cls").agg(  # OVERLAP lists at most
+        F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"), F.max("medoid").alias("medoid")
     )
-    united = stored(lists.groupBy("cls").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")))
-    searched = in_units(pieces.join(united, "cls", "left").select(*pieces.columns, "near")).mapInArrow(
+    lists = stored(free.join(united, "cls").withColumn("shard", F.explode("shards")))
+    lists = lists.withColumn("unit", F.concat_ws("/", "group", "shard"))
+    # Searched in blocks (i), each beside the united graph of one part (j) of its region.
+    asked = lists.groupBy("unit").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("asked"))
+    query = F.pmod(F.xxhash64("cls", F.lit(2)), F.col("asked")).cast("int")
+    placed = lists.join(asked, "unit")
+    base = placed.select(
+        "unit", F.explode(F.sequence(F.lit(0), F.col("asked") - 1)).alias("i"), F.col("part").alias("j"),
+        "cls", F.lit(0).alias("side"), "vector", "copies", "shards", "near", "medoid",
+    )
+    asking = placed.select(
+        "unit", query.alias("i"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"),
+        "cls", F.lit(1).alias("side"), "vector", "copies", "shards",
+        F.lit(None).cast("array<binary>").alias("near"), F.lit(False).alias("medoid"),
+    )
+    searched = in_units(base.unionByName(asking)).mapInArrow(
         lambda b: _search_task(b, limit), "cls binary, n long, other binary"
     )
-    compared = in_units(large).mapInArrow(lambda b: _meet_task(b, limit), "cls binary, n long, other binary")
 
     # Balls: members are linked with each other; the shell meets them block by block.
     members = dealt.filter("ball IS NOT NULL").withColumn("unit", F.concat_ws("/", group, F.col("ball")))
@@ -523,7 +537,7 @@ def near_duplicates(vectors: DataFrame, limit: float = 0.93, sample: int = SAMPL
     )
     in_ball = members.select("cls", "copies", "unit").join(balls.select("unit", "all", "root"), "unit")
     inner = in_ball.select("cls", (F.col("all") - F.col("copies")).alias("n"), F.col("root").alias("other"))
-    found = stored(searched.unionByName(compared).unionByName(met).unionByName(inner))
+    found = stored(searched.unionByName(met).unionByName(inner))
 
     links = found.groupBy("cls").agg(F.sum("n").alias("n"))
     roots = components(found.filter("other IS NOT NULL").select(F.col("cls").alias("a"), F.col("other").alias("b")))

@@ -1,6 +1,7 @@
 import itertools
 
 import numpy as np
+import pytest
 
 from eventmill.llm import embeddings
 
@@ -90,10 +91,11 @@ def test_range_search_reaches_every_neighbour():
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     graph, start = embeddings.build_graph(x), embeddings.medoid(x)
     embeddings.connect(x, graph, start)
-    arrays = [np.array(g) for g in graph]
+    arrays = embeddings.lists_of(graph)
     exact = x @ x.T >= 0.93
-    found = sum(len(embeddings.range_search(x, arrays, start, k, 0.93)) for k in range(len(x)))
-    assert found / (exact.sum() - len(x)) >= 0.99
+    found = [embeddings.range_search(x, arrays, np.array([start]), x[k], 0.93, beam=8) for k in range(len(x))]
+    assert all(exact[k, f].all() for k, f in enumerate(found))
+    assert sum(map(len, found)) / exact.sum() >= 0.99
     assert max(len(g) for g in graph) <= 2 * embeddings.DEGREE + len(x)
 
 
@@ -116,7 +118,7 @@ def test_a_loose_cluster_keeps_all_its_links(spark, monkeypatch):
     # Many centres for few rows, as a hot label has them.
     monkeypatch.setattr(embeddings, "CENTRE_ROWS", 8)
     monkeypatch.setattr(embeddings, "BLOCK_ROWS", 64)
-    monkeypatch.setattr(embeddings, "MEET_ROWS", 50)
+    monkeypatch.setattr(embeddings, "QUERY_ROWS", 50)
     rows = loose(200)
     found = embeddings.near_duplicates(table(spark, rows)).collect()
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in found) == brute(rows, 0.93)
@@ -131,20 +133,49 @@ def test_linked_vectors_have_a_common_shard():
         assert not ((x @ x.T >= 0.93) & (near.astype(int) @ near.T == 0)).any()
 
 
-def test_matrix_stars_connect_what_links_connect():
-    draw = np.random.default_rng(7)
-    for _ in range(50):
-        linked = draw.random((draw.integers(1, 20), draw.integers(1, 20))) < 0.08
-        height = len(linked)
-
-        def groups(pairs, n=sum(linked.shape)):
-            root = list(range(n))
-            for a, b in pairs:
-                a, b = root[a], root[b]
-                root = [a if r == b else r for r in root]
-            return [[r == s for s in root] for r in root]
-
-        pairs = embeddings._linked_stars(linked)
-        assert all(linked[p] for p in pairs)
-        want = groups([(int(a), int(b) + height) for a, b in np.argwhere(linked)])
-        assert groups([(a, b + height) for a, b in pairs]) == want
+def united_search(rows, limit=0.93):
+    """Shards, united lists and searches of one label without Spark; links found, and looked at."""
+    x = np.array([r[1] for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    drawn = x[np.random.default_rng(1).permutation(len(x))[: embeddings.SAMPLE // 10]]
+    model = embeddings.fit({(0, x.shape[1]): drawn}, {(0, x.shape[1]): len(x)}, limit)
+    centres, regions, parts, hubs = model[0, x.shape[1]]
+    assert len(regions) == parts == 1
+    builds = np.argsort(-(x @ centres.T), axis=1)[:, : embeddings.OVERLAP]
+    near, medoids = [set() for _ in x], []
+    for c in range(len(centres)):
+        own = np.flatnonzero((builds == c).any(axis=1))
+        for part in np.array_split(own, -(-len(own) // embeddings.BLOCK_ROWS)) if len(own) else []:
+            graph = embeddings.build_graph(x[part])
+            medoids.append(part[embeddings.medoid(x[part])])
+            for k, found in zip(part, graph, strict=True):
+                near[k].update(part[found].tolist())
+    graph = embeddings.lists_of([sorted(n) for n in near])
+    starts = embeddings.starts_of(x, graph, np.array(medoids))
+    return x, graph, starts
+
+
+@pytest.mark.parametrize("n", [1500, 5000])
+def test_recall_and_work_of_large_labels(n, monkeypatch):
+    """Pairs of near vectors among scattered ones: one in ten of a label is linked."""
+    draw = np.random.default_rng(n)
+    x = draw.normal(size=(n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    twins = np.arange(n // 10)
+    noise = draw.normal(size=(len(twins), 64))
+    x[twins + n // 2] = x[twins] + 0.36 * noise / np.linalg.norm(noise, axis=1, keepdims=True)
+    x, graph, starts = united_search([(i, v, 0) for i, v in enumerate(x)])
+    exact = x[twins] @ x.T >= 0.93
+    found = [embeddings.range_search(x, graph, starts, x[k], 0.93) for k in twins]
+    assert all(exact[k, f].all() for k, f in enumerate(found))
+    assert sum(map(len, found)) >= 0.98 * exact.sum() > 1.5 * len(twins)
+
+
+def test_regions_and_parts_lose_no_link(spark, monkeypatch):
+    """A label beyond one united graph: scattered vectors, without any grouping, in several parts."""
+    monkeypatch.setattr(embeddings, "REGION_ROWS", 100)
+    monkeypatch.setattr(embeddings, "QUERY_ROWS", 64)
+    monkeypatch.setattr(embeddings, "CENTRE_ROWS", 40)
+    rows = loose(120) + [(1000 + r[0], r[1], 0) for r in planted(40, 3, dims=24, spread=0.03)]
+    found = embeddings.near_duplicates(table(spark, rows)).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in found) == brute(rows, 0.93)
