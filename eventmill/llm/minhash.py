@@ -374,7 +374,37 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 
 def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of `docs` that `near_duplicates` keeps: one document of each group."""
-    kept = stored(near_duplicates(docs, width, percent).filter("kept").select("doc_id"))
-    # The ids grow with the documents: joined by sorting at every size.
-    return docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """One row of `docs` of each group of near duplicates, whole.
+
+    Of a group the row of the smallest doc_id stays, of rows with equal ids that of the
+    smallest text hash, and of wholly equal rows one; a row without an id only stays
+    where its group has no other. Texts without words are linked with nothing: all such
+    rows stay. Extra columns are carried along, of wholly equal ids and texts those of
+    any one row.
+    """
+    sketches, roots = link(docs, width, percent)
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
+    firsts = sketches.filter("cls IS NOT NULL").groupBy("cls").agg(F.min(place).alias("first"))
+    grouped = firsts.join(roots, F.col("cls") == F.col("node"), "left").groupBy(F.coalesce("root", "cls").alias("root"))
+    chosen = grouped.agg(F.min("first").alias("first")).select("first.doc_id", "first.text_hash")
+    rows = sketches.groupBy("doc_id", "text_hash").agg(
+        F.count("*").alias("n"), F.max(F.col("cls").isNull()).alias("wordless")
+    )
+    same = rows["doc_id"].eqNullSafe(chosen["doc_id"]) & (rows["text_hash"] == chosen["text_hash"])
+    # Keys grow with the documents: joined by sorting at every size.
+    kept = rows.filter("NOT wordless").join(chosen.hint("merge"), same, "left_semi").unionByName(rows.filter("wordless"))
+    kept = stored(kept)
+    own_id, own_hash = F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))
+
+    def of(keys: DataFrame) -> DataFrame:
+        here = own_id.eqNullSafe(F.col("_key_id")) & (own_hash == F.col("_key_hash"))
+        keys = keys.select(F.col("doc_id").alias("_key_id"), F.col("text_hash").alias("_key_hash"))
+        return docs.join(keys.hint("merge"), here, "left_semi")
+
+    repeated = kept.filter("n > 1 AND NOT wordless")
+    once = of(kept.filter("n = 1 OR wordless"))
+    if not repeated.limit(1).count():
+        return once
+    # Only texts that come again under the same id are compared as rows.
+    several = of(repeated).withColumns({"_key_id": own_id, "_key_hash": own_hash})
+    return once.unionByName(several.dropDuplicates(["_key_id", "_key_hash"]).select(*docs.columns))

@@ -98,3 +98,19 @@ def test_components_of_chains_and_stars(spark):
     found = components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert {(r.node, r.root) for r in found} == {(i, 0) for i in range(41)} | {(100 + i, 100) for i in range(30)}
     assert len(found) == 71
+
+
+def test_survivors_by_row(spark, prose):
+    """Repeated rows, near copies under one id, and rows without ids: one row a group."""
+    w, x, y = prose(1, 300), prose(2, 300), prose(3, 300)
+    near = w + " extra"
+    rows = [(1, w), (1, w), (2, near), (1, near), (None, w), (None, x), (None, y), (None, y), (7, ""), (7, ""), (None, None)]
+    docs = spark.createDataFrame([(*r, k, 5, "c") for k, r in enumerate(rows)], "doc_id long, text string, row int, n int, cls string").repartition(3)
+    left = minhash.without_near_duplicates(docs).collect()
+    assert left[0].asDict().keys() == {"doc_id", "text", "row", "n", "cls"}
+    assert sorted(((r.doc_id, r.text) for r in left), key=str) == sorted(
+        [(1, w), (None, x), (None, y), (7, ""), (7, ""), (None, None)], key=str
+    ) or sorted(((r.doc_id, r.text) for r in left), key=str) == sorted(
+        [(1, near), (None, x), (None, y), (7, ""), (7, ""), (None, None)], key=str
+    )
+    assert minhash.without_near_duplicates(docs.limit(0)).collect() == []
