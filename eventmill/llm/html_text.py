@@ -28,20 +28,25 @@ from eventmill.llm.url_filter import host_and_path
 from eventmill.session import stored
 
 MAIN, NOISE, OPEN = 0, 1, 2
-#: A neighbour that shares this share of a page's unmarked lines is a copy of it, not its template.
+#: Of two neighbours, one that shares this share of a page's unmarked lines, where the other shares
+#: less, is a near copy of the page.
 COPY_SHARE = 0.8
 
 #: Elements that hold no article text, wherever they are.
 NOISE_TAGS = frozenset(
     "nav footer aside form menu dialog button select head noscript template iframe object svg canvas audio video map".split()
 )
-#: Words that name such elements, if a whole token of a class or id has no others but PLAIN_WORDS.
+#: Words that name such elements in a class or id, unless its token also says that it is a state or the content.
 NOISE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr "
     "notice notices alert sidebar menu nav navbar navigation breadcrumb breadcrumbs comment comments disqus respond "
-    "share sharing social related recommended newsletter subscribe subscription signup popup modal overlay footer "
+    "share sharing social related recommended newsletter subscribe subscription signup popup modal overlay footer adsbygoogle "
     "masthead topbar toolbar widget widgets pagination pager login search form".split()
 )
+STATE_WORDS = frozenset(
+    "has have no non not without with is are open opened closed enabled disabled active allow show hide content contents layout "
+    "page body text title article story".split()
+)
 PLAIN_WORDS = frozenset(
     "area bar block bottom box buttons container foot group holder inner item items left links list outer panel right row "
     "section site slot top unit wrap wrapper".split()
@@ -59,7 +64,7 @@ LOOSE_TAGS = frozenset("p li dt dd option td th tr h1 h2 h3 h4 h5 h6".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<raw>script|style|textarea|title|xmp|noembed|noframes)\b(?:[^>=]+|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<rest>(?:[^>=]+|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+)>"
+    r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<rest>(?:[^>=]+|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+)(?P<close>>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
 )
@@ -94,7 +99,7 @@ def _names_noise(token: str, in_main: bool) -> bool:
     if "header" in words and not in_main:
         words -= {"header", "page"}
         return words <= NOISE_WORDS | PLAIN_WORDS
-    return bool(words & NOISE_WORDS) and words <= NOISE_WORDS | PLAIN_WORDS
+    return bool(words & NOISE_WORDS) and not words & STATE_WORDS
 
 
 def page_blocks(html: str | None) -> tuple[list[str], list[int]]:
@@ -141,7 +146,7 @@ def _page_blocks(html: str | None, reopen: bool) -> tuple[list[str], list[int],
             say(source[at : token.start()])
         at = token.end()
         tag = token["tag"]
-        if tag is None:
+        if tag is None or not token["close"]:  # a tag that nothing closes takes all that follows
             continue
         tag, rest = tag.lower(), token["rest"]
         if tag == "br":
@@ -259,17 +264,20 @@ def _blocks_task(batches: Iterator[pa.RecordBatch]):
 
 def kept_blocks(zones: list[int], lines: list[int], neighbours: list[list[int] | None]) -> list[bool]:
     """Which blocks stay; `lines` are those outside the main zone, in order."""
-    shared = np.zeros(len(lines), bool)
     outside = [z for z in zones if z != MAIN]
     unmarked = np.array([z == OPEN for z in outside], bool)
+    found = []
     for other in neighbours:
-        if not other or not lines:
-            continue
-        now = np.zeros(len(lines), bool)
-        now[common_lines(lines, other)] = True
-        if unmarked.any() and (now & unmarked).sum() >= COPY_SHARE * unmarked.sum() and MAIN not in zones:
-            continue
-        shared |= now
+        if other and lines:
+            now = np.zeros(len(lines), bool)
+            now[common_lines(lines, other)] = True
+            found.append(now)
+    if MAIN not in zones and unmarked.any():
+        shares = [(now & unmarked).sum() / unmarked.sum() for now in found]
+        near = [s < 1 and s < COPY_SHARE for s in shares]
+        # A whole copy says nothing about its template; a near copy does not where the other neighbour can.
+        found = [now for now, s in zip(found, shares, strict=True) if s < 1 and (s < COPY_SHARE or not any(near))]
+    shared = np.any(found, axis=0) if found else np.zeros(len(lines), bool)
     verdicts = iter((unmarked & ~shared).tolist())
     return [z == MAIN or next(verdicts) for z in zones]
 
@@ -287,8 +295,9 @@ def main_text(pages: DataFrame) -> DataFrame:
     Blocks are texts between block-level tags, with character references decoded and
     white space turned into single blanks; they are joined by two line ends in page
     order. A null or empty html gives an empty text. Without `article` or `main`,
-    all unmarked lines that no neighbour shares are the text; a neighbour that shares
-    nearly all of them is a copy and deletes nothing. Null urls form a host of their
+    all unmarked lines that no neighbour shares are the text. A neighbour with all lines of
+    the page is a copy and deletes nothing; nor does one that shares most of them, if the
+    other neighbour shares less. Two such neighbours, or a lone one, are template. Null urls form a host of their
     own; pages of equal paths are ordered by their whole urls. Repeated rows stay as
     rows and are one page for their neighbours. Extra columns are ignored; an empty table gives no rows.
 

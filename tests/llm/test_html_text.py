@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -114,3 +115,65 @@ def test_pages_of_the_given_table(spark):
 )
 def test_classes_are_hints(html, text):
     assert main(html) == text
+
+
+def plain_page(own, menu):
+    return "<body>" + "".join(f"<p>{x}</p>" for x in [*menu, *own]) + "</body>"
+
+
+def test_a_menu_that_is_most_of_a_page_goes(spark):
+    """Pages without article, of nine lines of menu and one of their own."""
+    menu = [f"Menu {i}" for i in range(9)]
+    pages = [(i, f"https://e.org/{i}", plain_page([f"Own text {i}"], menu)) for i in range(5)]
+    pages += [(10 + i, f"https://alone{i}.org/", plain_page([], ["Same line", "and text"])) for i in range(2)]
+    pages += [(20 + i, f"https://copy.org/{i}", plain_page(["One", "copied", "page"], [])) for i in range(3)]
+    found = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert [found[i] for i in range(5)] == [f"Own text {i}" for i in range(5)]
+    assert found[10] == "Same line\n\nand text" and found[20] == "One\n\ncopied\n\npage"
+
+
+def test_kept_blocks_equal_brute_force():
+    draw = random.Random(5)
+    for _ in range(400):
+        zones = [draw.choice([html_text.MAIN] * draw.choice([0, 1]) + [html_text.NOISE, html_text.OPEN]) for _ in range(draw.randrange(9))]
+        lines = [draw.randrange(6) for z in zones if z != html_text.MAIN]
+        beside = [draw.choice([None, [], [draw.randrange(6) for _ in range(draw.randrange(9))]]) for _ in range(2)]
+        unmarked = [z == html_text.OPEN for z in zones if z != html_text.MAIN]
+        shared = []
+        for other in beside:
+            if other and lines:
+                shared.append({k for k in html_text.common_lines(lines, other)})
+        if html_text.MAIN not in zones and any(unmarked):
+            share = [sum(unmarked[k] for k in s) / sum(unmarked) for s in shared]
+            lower = any(x < 0.8 for x in share)
+            shared = [s for s, x in zip(shared, share) if x < 1 and (x < 0.8 or not lower)]
+        gone = set().union(*shared)
+        want, k = [], 0
+        for z in zones:
+            if z == html_text.MAIN:
+                want.append(True)
+            else:
+                want.append(unmarked[k] and k not in gone)
+                k += 1
+        assert html_text.kept_blocks(zones, lines, beside) == want
+
+
+@pytest.mark.parametrize("name", ["post-comments", "related-posts", "user-comment", "entry-comments", "cookie-law", "share-this",
+                                  "ad-300x250", "adsbygoogle", "google-ads", "main-nav"])
+def test_tokens_with_a_noise_word(name):
+    html = f'<body><article><p>Text</p><section class="{name}"><p>Noise</p></section></article><div class="{name}">More</div></body>'
+    blocks, zones = html_text.page_blocks(html)
+    assert [b for b, z in zip(blocks, zones) if z == html_text.MAIN] == ["Text"]
+    assert html_text.OPEN not in zones
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<a x=", '<a x="', "<script ", "<!-- ", "</b ", "< ", "<a b='", "="])
+def test_unclosed_tails_are_linear(piece):
+    started = time.process_time()
+    html_text.page_blocks("<p>Text</p>" + piece * (1_000_000 // len(piece)))
+    html_text.page_blocks("<p>Text</p>" + piece * (500_000 // len(piece)) + 'x=">"')
+    assert time.process_time() - started < 10
+
+
+def test_an_unclosed_tag_ends_the_text():
+    assert html_text.page_blocks("<p>One</p> two <a href='x'")[0] == ["One", "two"]
