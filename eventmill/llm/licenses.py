@@ -52,20 +52,45 @@ Redistribution and use in source and binary forms, with or without modification,
 
 THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
 """
+#: Fixed values: (licence, MD5 of the canonical form of its whole published text).
+DIGESTS = (
+    ("Apache-2.0", "78595e4b5a47cff6ba1e5dc34a5c411a"),
+    ("Artistic-1.0-Perl", "dc4a091dae3cbb0eaa99c7976db9c452"),
+    ("BSD-3-Clause", "669fb5c886d64c4af4448ac0f6641673"),
+    ("CC0-1.0", "ffa8ed2ac3885fbcd7505890bbc413dd"),
+    ("GFDL-1.2", "9c4ac8de993c0ffa7ff6e7d5622c4d4f"),
+    ("GFDL-1.3", "def80ccbf1b3c69c05bcc3ed25ff5d2e"),
+    ("GPL-1.0", "29ed6cb03107176e9fb98a6de359a1cb"),
+    ("GPL-2.0", "26b2bfb32c731688a49c7316842df11c"),
+    ("GPL-3.0", "febacd52ab2d8337fbb8fb6b03f2dfe7"),
+    ("LGPL-2.0", "a6c71e468cb3a74b32d790234a6b452d"),
+    ("LGPL-2.1", "86d8dfebdf105230da0149a95ab44835"),
+    ("LGPL-3.0", "45ec14853d944805ef573d0b3a40cda3"),
+    ("MPL-1.1", "d9ee2de305de355bbd6fbfb79a4e8338"),
+    ("MPL-2.0", "4cb33a85d42c23a40cfd9b0a96de1127"),
+)
+_TITLED = (("MIT", MIT), ("ISC", ISC), ("0BSD", ZERO_BSD), ("BSD-2-Clause", BSD_2))
+_IDS = sorted({name for name, _ in DIGESTS + _TITLED} | {"CC-BY-4.0", "CC-BY-SA-4.0", "EPL-2.0", "Unlicense", "Zlib", "BSL-1.0"})
+
+
+def spdx_lines(ids=_IDS):
+    """(licence, line) of the identifier lines of licences; those of the GNU family have forms of their own."""
+    for name in ids:
+        forms = [name] + [f"{name}-{form}" for form in ("only", "or-later")] * (name[0] in "GL" and "GPL" in name)
+        yield from ((name, f"SPDX-License-Identifier: {form}") for form in forms)
+
+
 #: (licence, text). Callers may give a larger table of the same columns.
 KNOWN = (
-    ("MIT", MIT),
-    ("ISC", ISC),
-    ("0BSD", ZERO_BSD),
-    ("BSD-2-Clause", BSD_2),
+    *_TITLED,
+    # They come without their title as well.
+    *((name, text.split("\n", 1)[1]) for name, text in _TITLED),
+    *spdx_lines(),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
-    ("MIT", "SPDX-License-Identifier: MIT"),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     ("GPL-3.0", "Licensed under the GNU General Public License, Version 3."),
     ("CC-BY-4.0", "Licensed under the Creative Commons Attribution 4.0 International License."),
-    ("CC0-1.0", "SPDX-License-Identifier: CC0-1.0"),
 )
 #: Spellings that count as equal, after lower-casing and removal of punctuation.
 EQUIVALENT = (
@@ -106,29 +131,30 @@ def canonical(text: Column) -> Column:
     return F.trim(F.replace(plain, F.lit("  "), F.lit(" ")))
 
 
-def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:
-    """(digest, license) of known texts; the first licence by name where two are equal."""
+def known_digests(spark: SparkSession, known=KNOWN, digests=DIGESTS) -> DataFrame:
+    """(digest, license) of known texts and digests; the first licence by name where two are equal."""
     table = known
     if not isinstance(known, DataFrame):
         table = spark.createDataFrame(list(known), "license string, text string")
-    digests = table.select(F.md5(canonical(F.col("text"))).alias("digest"), "license")
-    return digests.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("license").alias("license"))
+    told = spark.createDataFrame(list(digests), "license string, digest string").select("digest", "license")
+    found = table.select(F.md5(canonical(F.col("text"))).alias("digest"), "license").unionByName(told)
+    return found.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("license").alias("license"))
 
 
-def scan(docs: DataFrame, known=KNOWN) -> DataFrame:
+def scan(docs: DataFrame, known=KNOWN, digests=DIGESTS) -> DataFrame:
     """Per document: doc_id, digest, license, notices.
 
     `digest` is that of the canonical form of the entire text, `license` the known
     licence with that digest, else null. `notices` are the known licences of which a
     text is one line of the document: sorted, without repeats. `known` is a list of (licence, text) or a
-    table of these columns. A null text counts as empty; a text without words in its
+    table of these columns, `digests` one of (licence, digest). A null text counts as empty; a text without words in its
     canonical form has a null digest, no licence and no notices. Null doc_ids and repeated
     rows stay as rows; extra columns are ignored; an empty table gives no rows.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     form = canonical(text)
     rows = docs.select("doc_id", F.xxhash64("doc_id", text).alias("row_key"), text.alias("text"))
-    digests = stored(known_digests(docs.sparkSession, known))
+    digests = stored(known_digests(docs.sparkSession, known, digests))
     whole = rows.select("doc_id", "row_key", form.alias("form"))
     whole = whole.select("doc_id", "row_key", F.when(F.col("form") != "", F.md5("form")).alias("digest"))
     lines = rows.filter(F.contains("text", F.lit("\n")) | (F.col("text") != ""))
@@ -166,9 +192,11 @@ def oracle(known=KNOWN) -> str:
         form = f"replace({form}, {quoted(a)}, {quoted(b)})"
     macro = f"trim(replace({form}, '  ', ' '))"
     values = ", ".join(f"({quoted(name)}, {quoted(text)})" for name, text in known)
+    digests = ", ".join(f"({quoted(digest)}, {quoted(name)})" for name, digest in DIGESTS)
     return f"""
 WITH k AS (SELECT md5(f) AS digest, min(license) AS license FROM (
-  SELECT license, {macro} AS f FROM (VALUES {values}) v(license, t)) GROUP BY 1),
+  SELECT license, {macro} AS f FROM (VALUES {values}) v(license, t)) GROUP BY 1
+  UNION ALL VALUES {digests}),
 d AS (SELECT doc_id, text AS t, {macro} AS f FROM (SELECT doc_id, coalesce(text, '') AS text, coalesce(text, '') AS t FROM documents)),
 n AS (SELECT doc_id, list_sort(list_distinct(list(license))) AS notices FROM (
   SELECT doc_id, md5({macro}) AS digest FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS t FROM d)) x

@@ -1,3 +1,6 @@
+from pathlib import Path
+
+import pytest
 from pyspark.sql import functions as F
 
 from eventmill.llm import licenses
@@ -48,6 +51,27 @@ def test_a_table_of_licenses(spark):
     assert licenses.scan(docs, known).first().license == "A"
 
 
+FOLDER = Path("/usr/share/common-licenses")
+FILES = {"Artistic-1.0-Perl": "Artistic", "BSD-3-Clause": "BSD", "GPL-1.0": "GPL-1", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3",
+         "LGPL-2.0": "LGPL-2", "LGPL-3.0": "LGPL-3"}
+
+
+@pytest.mark.skipif(not FOLDER.exists(), reason="no texts of licences on this machine")
+def test_digests_are_those_of_published_texts(spark):
+    texts = [(name, (FOLDER / FILES.get(name, name)).read_text(errors="replace")) for name, _ in licenses.DIGESTS]
+    docs = spark.createDataFrame([(k, t, "x", 1) for k, (_, t) in enumerate(texts)], SCHEMA)
+    assert [r.license for r in sorted(licenses.scan(docs).collect(), key=lambda r: r.doc_id)] == [n for n, _ in texts]
+    assert scan(spark, [(1, texts[0][1] + "\nand more")])[1].license is None
+
+
+def test_titles_may_be_missing_and_identifiers_have_forms(spark):
+    texts = [text.split("\n", 1)[1] for text in (licenses.MIT, licenses.ISC, licenses.ZERO_BSD, licenses.BSD_2)]
+    lines = ["// SPDX-License-Identifier: GPL-2.0-or-later", "# SPDX-License-Identifier: LGPL-2.1-only", "SPDX-License-Identifier: MPL-2.0"]
+    found = scan(spark, list(enumerate(texts + lines)))
+    assert [found[k].license for k in range(4)] == ["MIT", "ISC", "0BSD", "BSD-2-Clause"]
+    assert [found[k].notices for k in range(4, 7)] == [["GPL-2.0"], ["LGPL-2.1"], ["MPL-2.0"]]
+
+
 def test_canonical_form(spark):
     rows = spark.createDataFrame([("Per cent  of\tthe Copyright Owners' favour",)], "text string")
     assert rows.select(licenses.canonical(F.col("text"))).first()[0] == "percent of the copyright holders favor"
