@@ -207,11 +207,13 @@ def _scored(counts: DataFrame) -> DataFrame:
 
 def _cutoffs_by_stratum(counts: DataFrame, labels: DataFrame, max_false: float, error: float) -> DataFrame:
     """(_stratum, _cutoffs): a row per stratum, stored so that its size is known to joins."""
-    marked = labels.filter("quality IS NOT NULL")
-    marked = marked.select(F.col("doc_id").alias("_id"), (F.col("quality") == 1).alias("good"))
+    # A document is one draw: bad if any of its labels says so, however often its row comes.
+    marked = labels.filter("quality IS NOT NULL").groupBy(F.col("doc_id").alias("_id"))
+    marked = marked.agg(F.bool_and(F.col("quality") == 1).alias("good"))
     scored = _scored(counts).select("doc_id", "stratum", "n_words", "n_repeat_words", *RULES)
     scored = scored.filter(~base_failed({c: F.col(c) for c in scored.columns}))
-    labelled = scored.join(marked, F.col("doc_id") == F.col("_id")).select("stratum", "good", *RULES)
+    labelled = scored.join(marked, F.col("doc_id") == F.col("_id"))
+    labelled = labelled.dropDuplicates(["doc_id", "stratum", *RULES]).select("stratum", "good", *RULES)
     found = cutoffs(labelled, max_false, error)
     return stored(
         found.groupBy(F.col("stratum").alias("_stratum")).agg(
@@ -255,7 +257,8 @@ def judge(
     """Per document its counts, `base_failed`, the rules that reject it, and `kept`.
 
     `labels` has doc_id and quality (1 is good, others bad); rows with a null in either are left
-    out, and a document counts once per label row. Strata are the values of a column
+    out; a document with several labels is bad if any of them is, and rows with equal ids and
+    scores count once. Strata are the values of a column
     of `docs`; null is a stratum. A stratum with too few good labels for a bound has
     no cutoffs: there only the base decides. Null and empty texts have no words and
     fail the base. Repeated rows are judged one by one; extra columns of `docs` are

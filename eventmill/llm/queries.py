@@ -172,8 +172,9 @@ s AS (SELECT doc_id, stratum, base_failed, unnest([
     {{'rule': 'dup_lines', 'score': n_dup_lines / nullif(n_lines, 0)}},
     {{'rule': 'repeats', 'score': n_repeat_words / nullif(n_words, 0)}}]) AS x FROM b),
 scored AS (SELECT doc_id, stratum, base_failed, x.rule AS rule, coalesce(x.score, 0) AS score FROM s),
-marked AS (SELECT scored.*, quality = 1 AS good FROM scored JOIN labels USING (doc_id)
-  WHERE quality IS NOT NULL AND NOT base_failed),
+marked AS (SELECT DISTINCT scored.*, good FROM scored JOIN (
+  SELECT doc_id, bool_and(quality = 1) AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id) USING (doc_id)
+  WHERE NOT base_failed),
 tests AS (SELECT {len(quality.RULES)} * count(DISTINCT coalesce(stratum, '')) AS m FROM marked WHERE good),
 tried AS (SELECT stratum, rule, step, count(*) FILTER (good) AS n, count(*) FILTER (NOT good) AS n_bad,
     count(*) FILTER (good AND score > ({quality.GRID} - step) / {quality.GRID} + 1e-9) AS k,

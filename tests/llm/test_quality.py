@@ -98,3 +98,22 @@ def test_odd_rows(spark):
     got = quality.judge(docs, labels).collect()
     assert len(got) == 4 and all(r.base_failed and not r.kept for r in got)
     assert quality.judge(docs.limit(0), labels).collect() == []
+
+
+def test_a_document_is_one_draw(spark):
+    """Labels and rows that come again change no cutoff; of conflicting labels the bad one holds."""
+    rows = [(i, "en", 50, 0, i % 7) for i in range(400)]
+    counts = spark.createDataFrame(
+        [(i, s, n, r, k, 40 * n, 0, 0, 20, 0, 10, 200) for i, s, n, r, k in rows],
+        "doc_id long, stratum string, n_words long, n_repeat_words long, n_symbols long, word_chars long, n_dup_lines long,"
+        " unused int, n_lines long, n_marks long, n_capitals long, n_letters long",
+    )
+    marks = [(i, int(i % 7 < 6)) for i in range(400)]
+    labels = spark.createDataFrame(marks, "doc_id long, quality int")
+    conflict = spark.createDataFrame([(i, 1) for i, good in marks if not good] + [(9, None)], "doc_id long, quality int")
+
+    def cuts(c, own):
+        return [r.asDict() for r in quality._cutoffs_by_stratum(c, own, 0.2, 0.2).collect()]
+
+    once = cuts(counts, labels)
+    assert once and once == cuts(counts.union(counts), labels.union(labels).union(conflict))
