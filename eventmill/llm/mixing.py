@@ -22,6 +22,8 @@ from eventmill.session import stored
 #: Words of a block, and blocks of an output shard.
 BLOCK_WORDS = 1 << 14
 SHARD_BLOCKS = 1 << 8
+#: Blocks of a source that one row lists.
+RUN_BLOCKS = 1 << 16
 #: Output shards at most; beyond it they hold more blocks.
 MAX_SHARDS = 4096
 #: Documents of a shard that are written together.
@@ -201,7 +203,13 @@ def mix(
     shards = min(MAX_SHARDS, max(1, -(-total // shard_blocks)))
     ends = stored(_shard_counts(quotas, total, shards, seed))
     # Permuted blocks: a block's rank by hash among its source's blocks.
-    blocks = quotas.select("place", F.explode(F.sequence(F.lit(0), F.col("quota") - 1)).alias("block"))
+    # A source's blocks are listed by many tasks, a run each.
+    last = F.col("quota") - 1
+    runs = F.sequence(F.lit(0).cast("long"), F.floor(last / RUN_BLOCKS))
+    runs = quotas.select("place", "quota", F.explode(runs).alias("run")).repartition("place", "run")
+    first = F.col("run") * RUN_BLOCKS
+    own = F.sequence(first, F.least(last, first + RUN_BLOCKS - 1))
+    blocks = runs.select("place", F.explode(own).alias("block"))
     ranked = in_hash_order(
         blocks, ["place"], F.xxhash64("place", "block", F.lit(seed + 1)), [F.col("block")], F.lit(1), "rank"
     )
@@ -235,8 +243,8 @@ def drawn(docs: DataFrame, pieces: DataFrame) -> DataFrame:
     """The mix as documents: a row of `docs` for every take, in the order of shards and slots.
 
     `pieces` are those of `mix(docs)`. Joined on row_key, so rows with a null or repeated
-    doc_id have their own takes; equal rows are numbered, as they are interchangeable. The text of a
-    whole take stays as it is; a cut one has its first words, joined by blanks, and
+    doc_id have their own takes; of rows with equal id, source and text each is one of these takes, in
+    the order of their other columns. The text of a whole take stays as it is; a cut one has its first words, joined by blanks, and
     n_chars, where there is one, is the new text's length.
     """
     takes = pieces.filter("epoch IS NOT NULL").select(
@@ -251,8 +259,17 @@ def drawn(docs: DataFrame, pieces: DataFrame) -> DataFrame:
     # The hash and number of mix().
     key = F.xxhash64("_doc.doc_id", "_doc.source", F.col("_doc.text").cast("string"))
     rows = rows.withColumn("_hash", key).withColumn("_id", F.col("_doc.doc_id").cast("long"))
-    twin = F.row_number().over(Window.partitionBy("_hash", "_id").orderBy(F.lit(0)))
-    rows = rows.withColumn("_twin", twin).join(takes, F.xxhash64("_hash", "_id", "_twin") == F.col("_key"))
+    # Only rows that come again meet to be numbered; all others are a first one where they lie.
+    again = stored(rows.groupBy("_hash", "_id").agg(F.count("*").alias("n")).filter("n > 1").drop("n"))
+    numbered = rows.withColumn("_twin", F.lit(1))
+    if again.limit(1).count():
+        keys = again.select(F.col("_hash").alias("_h"), F.col("_id").alias("_i"))
+        same = (F.col("_hash") == F.col("_h")) & F.col("_id").eqNullSafe(F.col("_i"))
+        twin = F.row_number().over(Window.partitionBy("_hash", "_id").orderBy(F.to_json("_doc")))
+        numbered = numbered.join(keys, same, "left_anti").unionByName(
+            rows.join(keys, same, "left_semi").withColumn("_twin", twin)
+        )
+    rows = numbered.join(takes, F.xxhash64("_hash", "_id", "_twin") == F.col("_key"))
     run = F.floor(F.col("_slot") / SLOTS)
     rows = rows.repartition("_shard", run).sortWithinPartitions("_shard", "_slot")
     whole = F.col("_doc.text")
