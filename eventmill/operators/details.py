@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventmill.functions import dates, places
@@ -17,6 +19,48 @@ from eventmill.session import stored
 
 #: Addresses of detail pages that are sent to every task, at most; some 100 bytes each.
 SENT_ADDRESSES = 100_000
+#: Beyond that a filter of them is sent: its bits (a power of two) at least and at most, 16 MB.
+LEAST_BITS, MOST_BITS = 16, 27
+#: Bits that an address sets.
+PROBES = 4
+
+
+def address_filter(wanted: DataFrame, n: int) -> tuple[int, bytes]:
+    """(bits, words) of a Bloom filter of the column `url` of some n addresses.
+
+    The bits are united by partial aggregation, word by word: what a task sends, and what
+    comes together, is bounded by the filter's size, not by the addresses.
+    """
+    bits = min(MOST_BITS, max(LEAST_BITS, (12 * n).bit_length()))
+    places = F.explode(F.array(*_places(F.col("url"), bits)))
+    words = wanted.select(places.alias("at")).groupBy(F.shiftright("at", 6).alias("word"))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(F.lit(63)).cast("int"))
+    found = words.agg(F.bit_or(one).alias("bits")).toArrow()
+    table = np.zeros(1 << max(0, bits - 6), np.int64)
+    table[found["word"].to_numpy()] = found["bits"].to_numpy()
+    return bits, table.tobytes()
+
+
+def _places(url: Column, bits: int) -> list[Column]:
+    """The bits of an address."""
+    return [F.shiftrightunsigned(F.xxhash64(url, F.lit(k)), 64 - bits) for k in range(PROBES)]
+
+
+def may_be_wanted(pages: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """`pages` without most of those whose `url` is not among the wanted; none of these is lost.
+
+    Only hashes of the addresses go to Python; no page moves between tasks.
+    """
+    bits, words = address_filter(wanted, n)
+    sent = pages.sparkSession.sparkContext.broadcast(words)
+
+    @F.arrow_udf("boolean")
+    def known(places: pa.Array) -> pa.Array:
+        table = np.frombuffer(sent.value, np.int64)
+        at = places.flatten().to_numpy(zero_copy_only=False).reshape(-1, PROBES)
+        return pa.array(((table[at >> 6] >> (at & 63)) & 1).all(axis=1))
+
+    return pages.filter(F.col("url").isNotNull()).filter(known(F.array(*_places(F.col("url"), bits))))
 
 
 def _read(pages: DataFrame) -> DataFrame:
@@ -64,8 +108,8 @@ def enrich(records: DataFrame, detail_pages: DataFrame, opts: Options = Options(
     """Each non-blank value of a record's detail page replaces the listing's.
 
     Page texts never move: where the wanted addresses are few enough to be sent to
-    every task, pages of others are left out at the scan, and otherwise all pages are
-    read where they lie. Of copies of a page the first one counts; it is chosen, like
+    every task, pages of others are left out at the scan; else a filter of a bounded
+    size is sent, which leaves most of them out before they are read as trees. Of copies of a page the first one counts; it is chosen, like
     the join, on the short values that were read. Records that ask for no page get a join
     key of their own that no address equals, so they spread over the tasks; an
     address that many records share is split by AQE.
@@ -73,8 +117,11 @@ def enrich(records: DataFrame, detail_pages: DataFrame, opts: Options = Options(
     # Looked at twice, for its addresses and for its rows: found out only once.
     records = stored(records)
     wanted = stored(detail_candidates(records).select("url").distinct())
-    if wanted.count() <= SENT_ADDRESSES:
+    n = wanted.count()
+    if n <= SENT_ADDRESSES:
         detail_pages = detail_pages.join(F.broadcast(wanted), "url", "left_semi")
+    else:
+        detail_pages = may_be_wanted(detail_pages, wanted, n)
     values = F.struct("description", "image")
     firsts = _read(detail_pages).groupBy("url").agg(F.min_by(values, "page_id").alias("first"))
     found = _told(firsts.select("url", "first.*"), opts)

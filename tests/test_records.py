@@ -408,3 +408,33 @@ def test_page_texts_of_details_are_not_moved(spark, make, tmp_path):
             details.SENT_ADDRESSES = kept
         moving = [x for x in plan.split("\n") if any(w in x for w in ("Exchange", "Sort ", "SortMergeJoin"))]
         assert moving and not any("html" in x for x in moving)
+
+
+def test_a_filter_of_addresses_loses_none_and_keeps_few_others(spark):
+    from eventmill.operators import details
+
+    wanted = spark.range(3000).select(F.format_string("https://d.org/%d", "id").alias("url"))
+    wanted = wanted.union(spark.createDataFrame([(None,), ("",)], "url string"))
+    pages = spark.range(60_000).select("id", F.format_string("https://d.org/%d", "id").alias("url"))
+    pages = pages.union(spark.createDataFrame([(-1, ""), (-2, None)], "id long, url string"))
+    left = [r.id for r in details.may_be_wanted(pages, wanted, 3002).collect()]
+    assert set(range(-1, 3000)) <= set(left) and -2 not in left
+    assert len(left) < 3001 + 0.02 * 57_000
+    bits, words = details.address_filter(wanted, 10**9)
+    assert (bits, len(words)) == (27, 1 << 24)  # never more than 16 MB
+    assert details.may_be_wanted(pages.limit(0), wanted, 10).collect() == []
+
+
+def test_only_pages_that_may_be_wanted_are_read_as_trees(spark, make, monkeypatch):
+    from eventmill.operators import details
+
+    read = []
+    monkeypatch.setattr(details, "SENT_ADDRESSES", 0)
+    real = details._read
+    monkeypatch.setattr(details, "_read", lambda pages: read.append(pages) or real(pages))
+    texts = [(i, f"https://d.org/{i}", '<div class="rte">Text</div>') for i in range(200)]
+    listed = make({"title": "a", "url": "https://d.org/7"}, {"title": "b", "url": "https://n.org"})
+    listed = listed.withColumn("parser", F.lit("wordpress_posts"))
+    filled = enrich(listed, pages_of(spark, *texts))
+    assert sorted(r["description"] for r in filled.collect()) == ["", "Text"]
+    assert read[0].count() <= 3
