@@ -362,6 +362,7 @@ def statements() -> dict[str, str]:
               from parts group by page_id)
             select page_id, cast(n_elements as bigint) as n_elements,
               cast(n_links as bigint) as n_links, 'en' as lang from counts""",
+        "page_archive": "select page_id, url, html from pages",
         "long_dates": f"""{ORDER_TEXT} select k,
             case when worded then d1 else '' end as first_date,
             case when worded then d2 else '' end as second_date,
@@ -418,7 +419,11 @@ def statements() -> dict[str, str]:
             cast(sum(case when o_orderpriority = '5-LOW' then 0 else 1 end) as bigint) as skipped
             from orders""",
         "import_outbox": f"{BATCHES} select batch_no, n_records, body, '{TODAY}' as run_date from batches",
+        "import_delivery": f"{BATCHES} select batch_no, n_records, body, '{TODAY}' as delivery from batches",
         "board_items": BOARD,
+        "board_delivery": BOARD.replace(
+            "select title as item_name", f"select 'b1' as board_id, '{TODAY}' as delivery, title as item_name"
+        ),
         "board_outbox": BOARD.replace(
             "select title as item_name", f"select 'b1' as board_id, '{TODAY}' as run_date, title as item_name"
         ),
@@ -450,6 +455,7 @@ def statements() -> dict[str, str]:
               url, source_url, kind, scraped_at
             from told""",
         "csv_roundtrip": f"{ALL} select {FIELDS} from listing",
+        "json_array": f"{ALL} select {FIELDS} from listing",
         "json_roundtrip": f"{ALL} select {FIELDS} from listing",
         "stream_extract": one_layout("generic_links"),
         "stream_restart": one_layout("generic_links"),
@@ -491,6 +497,7 @@ def statements() -> dict[str, str]:
               (select count(*) from u where ts >= timestamp '2024-01-16')
                 - (select count(*) from late anti join known using (user_id, event_type))""",
     }
+    sql["elements_sql"] = sql["elements"]
     for layout in LAYOUTS:
         sql[f"x_{layout}"] = one_layout(layout)
     return sql

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from eventmill.catalog import render
 from eventmill.catalog.render import RUN_AT, RUN_OPTIONS, table, text, words
 from eventmill.functions import dates, places
+from eventmill.functions.tables import register_tables
 from eventmill.functions.text import format_time, shorten
 from eventmill.functions.urls import path_root, resolve_url, url_host, url_parts
 from eventmill.operators import details, records, shape
@@ -17,7 +18,8 @@ from eventmill.operators.tree import with_tree
 from eventmill.plans.scrape import extract, failures, records_of, scrape
 from eventmill.schema import LAYOUTS, ORDER, RECORD_FIELDS, Options
 from eventmill.session import shared_folder, stored
-from eventmill.sinks import files
+from eventmill.sinks import delivery, files
+from eventmill.sources.archive import read_archive, save_archive
 from eventmill.sources.pages import read_pages
 from eventmill.plans.publish import run
 from eventmill.sources.registry import read_registry, save_registry, select_sources, validate_registry
@@ -96,6 +98,24 @@ def elements(spark, sf_dir):
     )
 
 
+def elements_sql(spark, sf_dir):
+    """The elements once more, by SQL over the landed pages."""
+    register_tables(spark)
+    return spark.sql(
+        """SELECT p.page_id, count(*) AS n_elements,
+             count_if(e.tag = 'a' AND map_contains_key(e.attrs, 'href')) AS n_links, max(e.attrs['lang']) AS lang
+           FROM {pages} p, LATERAL page_elements(p.html) e GROUP BY p.page_id""",
+        pages=render.landed(spark, sf_dir, "generic_links"),
+    )
+
+
+def page_archive(spark, sf_dir):
+    """All pages written as web archive files and read back split by split."""
+    path = shared_folder(spark)
+    save_archive(read_pages(spark, f"{sf_dir}/pages.parquet"), path, split_bytes=4 * 1024 * 1024)
+    return read_archive(spark, path).select("page_id", "url", "html")
+
+
 # -- columns ----------------------------------------------------------------
 def order_lines(spark, sf_dir):
     line = text("Order ", F.col("ks"), " opens ", F.col("d1"), " and closes ", F.col("d2"))
@@ -421,6 +441,12 @@ def json_roundtrip(spark, sf_dir):
     return spark.read.schema(", ".join(f"{c} string" for c in RECORD_FIELDS)).json(path)
 
 
+def json_array(spark, sf_dir):
+    path = shared_folder(spark)
+    files.save_array(extract_all(spark, sf_dir), path)
+    return files.read_array(spark, path)
+
+
 def _run_date_as_text(df):
     return df.withColumn("run_date", F.col("run_date").cast("string"))
 
@@ -437,6 +463,20 @@ def board_outbox(spark, sf_dir):
     return _run_date_as_text(spark.read.parquet(path))
 
 
+def import_delivery(spark, sf_dir):
+    """A day's request bodies, delivered twice: the second time takes the place of the first."""
+    path, sent = shared_folder(spark), stored(all_upcoming(spark, sf_dir))
+    delivery.deliver_imports(sent.limit(0), path, TODAY)
+    delivery.deliver_imports(sent, path, TODAY)
+    return delivery.read_deliveries(spark, path)
+
+
+def board_delivery(spark, sf_dir):
+    path = shared_folder(spark)
+    delivery.deliver_board(all_upcoming(spark, sf_dir), path, TODAY, "b1")
+    return delivery.read_deliveries(spark, path, TODAY)
+
+
 def _stream(spark, registry, folder, landing, progress):
     query = extract_stream(
         spark, f"{folder}/{landing}", registry, f"{folder}/records", f"{folder}/{progress}", RUN_AT, RUN_OPTIONS
@@ -537,6 +577,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         article_details,
         sections,
         elements,
+        elements_sql,
+        page_archive,
         long_dates,
         post_dates,
         long_year_dates,
@@ -556,14 +598,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         import_batches,
         import_totals,
         import_outbox,
+        import_delivery,
         board_items,
         board_outbox,
+        board_delivery,
         event_details,
         source_counts,
         run_summary,
         enriched,
         csv_roundtrip,
         json_roundtrip,
+        json_array,
         stream_extract,
         stream_restart,
         stream_failures,

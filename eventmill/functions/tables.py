@@ -15,7 +15,7 @@ from eventmill.schema import NODE
 _INTS = ["node_id", "end_id", "parent_id", "sib_ord", "depth"]
 _RUNS = ["run_lo", "run_n"]
 #: White space as the column functions see it.
-_BLANKS = re.compile("[\t-\r \x85\xa0  -     　]+")
+_BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 ELEMENTS = T.StructType(
     [NODE[c] for c in [*_INTS, "tag", "attrs", *_RUNS]]

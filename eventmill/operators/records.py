@@ -72,14 +72,16 @@ def to_import(records: DataFrame) -> DataFrame:
     return records.select(*import_columns(records))
 
 
-def with_rank(records: DataFrame) -> DataFrame:
+def with_rank(records: DataFrame, first: str | None = "start_date") -> DataFrame:
     """Add `rank`, the 0-based place by start date over the whole table.
 
+    Without a `first` column it is the place in the run.
+
     Rows are sorted in range partitions, which split a day however many events
     it has, and each partition's rows are counted on from the partitions before
     it. Only the counts (one per partition) come together.
     """
-    order = ["start_date", *[c for c in _order_columns(records) if c != "start_date"]]
+    order = [*([first] if first else []), *[c for c in _order_columns(records) if c != first]]
     spread = records.repartitionByRange(*order).sortWithinPartitions(*order)
     # The id holds the partition in its upper and the row in its lower 33 bits.
     seat = F.monotonically_increasing_id()
@@ -179,26 +181,22 @@ def source_counts(records: DataFrame, registry: DataFrame) -> DataFrame:
 
 def run_summary(
     registry: DataFrame,
-    scraped: DataFrame,
-    submitted: DataFrame,
+    scraped: DataFrame | int,
+    submitted: DataFrame | int,
     results: DataFrame,
     failures: DataFrame,
 ) -> DataFrame:
     """One row of counts about a run, and whether the run counts as failed.
 
-    The failures themselves stay a table: their number grows with the sources.
+    Records are counted here, or were counted (an int) when they were written. The
+    failures themselves stay a table: their number grows with the sources.
     """
-
-    def count(df: DataFrame, name: str) -> DataFrame:
-        return df.agg(F.count("*").alias(name))
-
-    summary = (
-        count(registry, "sources")
-        .crossJoin(count(scraped, "scraped"))
-        .crossJoin(count(submitted, "submitted"))
-        .crossJoin(import_totals(results))
-        .crossJoin(count(failures, "failed"))
-    )
+    summary = registry.agg(F.count("*").alias("sources"))
+    for name, rows in [("scraped", scraped), ("submitted", submitted), ("", results), ("failed", failures)]:
+        if isinstance(rows, int):
+            summary = summary.withColumn(name, F.lit(rows).cast("long"))
+        else:
+            summary = summary.crossJoin(rows.agg(F.count("*").alias(name)) if name else import_totals(rows))
     return summary.withColumn("run_failed", (F.col("failed") > 0) & (F.col("scraped") == 0))
 
 

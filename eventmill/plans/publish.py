@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 
 from eventmill.operators.details import enrich
 from eventmill.operators.records import dedupe, import_batches, incoming, run_summary
@@ -45,10 +46,12 @@ class Run:
     submitted: DataFrame
     batches: DataFrame
     failures: DataFrame
+    n_records: int
+    n_submitted: int
 
     def summary(self, results: DataFrame) -> DataFrame:
         """The run's counts, given the responses (imported, skipped) to its batches."""
-        return run_summary(self.registry, self.records, self.submitted, results, self.failures)
+        return run_summary(self.registry, self.n_records, self.n_submitted, results, self.failures)
 
 
 def run(
@@ -61,9 +64,15 @@ def run(
 ) -> Run:
     """A whole import run. Pages are read once; all parts come from the stored outcome.
 
-    Faulty sources are among the failures, or end the run with ``on_error="fail"``.
+    Records are counted while they are written, in the last stage of each write, where a
+    task that is run again is counted once. Faulty sources are among the failures, or end
+    the run with ``on_error="fail"``.
     """
-    scraped = stored(scrape(pages, registry, scraped_at, opts, on_error=on_error))
+    read, sent = Observation("records"), Observation("submitted")
+    scraped = scrape(pages, registry, scraped_at, opts, on_error=on_error)
+    scraped = stored(scraped.observe(read, F.count_if(F.col("error").isNull()).alias("n")))
     found = records_of(scraped)
-    submitted = stored(incoming(dedupe(enrich(found, detail_pages, opts)), scraped_at[:10]))
-    return Run(registry, found, submitted, import_batches(submitted), failures(scraped, pages, registry))
+    submitted = incoming(dedupe(enrich(found, detail_pages, opts)), scraped_at[:10])
+    submitted = stored(submitted.observe(sent, F.count(F.lit(1)).alias("n")))
+    failed = failures(scraped, pages, registry)
+    return Run(registry, found, submitted, import_batches(submitted), failed, read.get["n"], sent.get["n"])

@@ -10,6 +10,7 @@ from eventmill import Options, failures, publish, register_extractor, scrape, up
 from eventmill.operators import records
 from eventmill.operators.details import enrich
 from eventmill.operators.extractors import EXTRACTORS, Layout
+from eventmill.plans.publish import run
 from eventmill.plans.scrape import extract, records_of
 from eventmill.schema import ORDER, RECORD_FIELDS
 from eventmill.sinks import files
@@ -299,6 +300,38 @@ def test_files(make, spark, tmp_path):
         files.choose_format("events.xml")
 
 
+@pytest.mark.parametrize("titles", [[], ["one"], ["b", "a", "b", "", 'q"\n,]', "ü"] * 40])
+def test_the_parts_of_an_array_are_one_text(make, spark, tmp_path, titles):
+    out = tmp_path / "array"
+    rows = make({}, *[{"title": t, "start_date": str(i)} for i, t in enumerate(titles)]).filter("start_date != ''")
+    rows = rows.repartition(5, "title")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)  # small parts stay apart
+    try:
+        files.save_array(rows, str(out))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", True)
+    parts = sorted(out.glob("part-*"))
+    told = json.loads("".join(p.read_text() for p in parts))
+    assert [r["title"] for r in told] == titles
+    assert all(list(r) == RECORD_FIELDS for r in told)
+    assert len(parts) > 1 or len(titles) < 2
+    back = files.read_array(spark, str(out))
+    assert sorted(map(tuple, back.collect())) == sorted(tuple(r.values()) for r in told)
+
+
+def test_run_counts_come_with_the_writes(spark):
+    pages = pages_of(spark, *[(i, f"https://s.org/{i}", None if i % 3 == 0 else f"<h2><a href='p{i}'>Fair {i}</a></h2><p>July 20, 2032</p>") for i in range(12)])
+    sources = [(i, f"S{i}", f"https://s.org/{i}", "wordpress_posts", "event") for i in range(14)]
+    registry, none = spark.createDataFrame(sources, SOURCE), pages.limit(0)
+    answers = spark.createDataFrame([(5, 3)], "imported int, skipped int")
+    done = run(pages.repartition(4), registry, none, RUN)
+    assert (done.n_records, done.n_submitted) == (done.records.count(), done.submitted.count()) == (8, 8)
+    want = records.run_summary(registry, done.records, done.submitted, answers, done.failures)
+    got = done.summary(answers)
+    assert got.columns == want.columns and got.collect() == want.collect()
+    assert tuple(got.first()) == (14, 8, 8, 5, 3, 6, False)
+
+
 def test_outboxes_replace_their_own_day_only(make, spark, tmp_path):
     rows, path = make({"title": "a"}, {"title": "b"}), str(tmp_path / "board")
     files.save_board_outbox(rows, path, "2032-01-31", "7")
