@@ -105,13 +105,53 @@ def links(messages: DataFrame) -> DataFrame:
     return rows.withColumn("said_turn", F.coalesce("whole_turn", "line_turn")).drop("whole_turn", "line_turn")
 
 
+def _sizes(parents: DataFrame) -> DataFrame:
+    """`parents` with `size`: the turns at and below each turn that replies.
+
+    In step k a turn counts those fewer than 2^k links below it; their counts go to the
+    turn 2^k links above them. So a chain of n replies takes log n steps.
+    """
+    state = parents.select("conv_id", "turn", F.col("reply_to").alias("up"), F.lit(1).cast("long").alias("size"))
+    state = stored(state)
+    while state.filter("up IS NOT NULL").limit(1).count():
+        below = state.filter("up IS NOT NULL").groupBy("conv_id", F.col("up").alias("turn")).agg(F.sum("size").alias("more"))
+        above = state.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("next"))
+        state = stored(
+            state.join(below, ["conv_id", "turn"], "left")
+            .join(above, ["conv_id", "up"], "left")
+            .select("conv_id", "turn", F.col("next").alias("up"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"))
+        )
+    return parents.join(state.select("conv_id", "turn", "size"), ["conv_id", "turn"])
+
+
+def _steps(sized: DataFrame) -> DataFrame:
+    """(conv_id, turn, reply_to, step): how far a reply comes after the turn it replies to.
+
+    That is 1 and the sizes of its earlier siblings. The siblings are sorted in ranges, so
+    the replies to one turn lie in many tasks: sums within a range, and those of the ranges
+    before it.
+    """
+    family, order = ["conv_id", "reply_to"], ["conv_id", "reply_to", "turn"]
+    seated = sized.repartitionByRange(*order).sortWithinPartitions(*order)
+    # Range bounds come from a sample: the outcome is stored, so that all sums see the same.
+    seated = stored(seated.withColumn("part", F.shiftrightunsigned(F.monotonically_increasing_id(), 33)))
+    ahead = Window.partitionBy(*family).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = seated.groupBy(*family, "part").agg(F.sum("size").alias("sum"))
+    bases = sums.select(*family, "part", F.coalesce(F.sum("sum").over(ahead), F.lit(0)).alias("base"))
+    within = Window.partitionBy(*family, "part").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = F.coalesce(F.sum("size").over(within), F.lit(0))
+    placed = seated.withColumn("earlier", earlier).join(bases, [*family, "part"])
+    return placed.select("conv_id", "turn", "reply_to", (F.col("base") + F.col("earlier") + 1).alias("step"))
+
+
 def conversations(messages: DataFrame) -> DataFrame:
     """Messages without quotes, in reply order.
 
     Per message: conv_id, turn, role, text (its own words), n_quotes (quoted
     passages), n_linked (those whose message is known), reply_to (the latest turn quoted at level 1), thread (the turn at which
     its chain of replies begins), depth (links to it) and place: gapless from 0 in the
-    conversation, by thread and then turn.
+    conversation, by thread; in a thread each message is followed by the replies to it, by
+    turn, each with all that replies to it in its turn.
 
     A passage belongs to the first earlier turn that says it. Null texts are empty;
     messages with a null conv_id or turn are linked with nothing and come last in
@@ -134,23 +174,27 @@ def conversations(messages: DataFrame) -> DataFrame:
     )
     parents = stored(parents)
     # Only turns that reply to something move; a parent without a parent of its own is a root.
-    chain = parents.select("conv_id", "turn", F.col("reply_to").alias("up"), F.lit(1).alias("depth"))
+    # `path` adds up the steps on the way to the root: a reply's place after it.
+    chain = _steps(_sizes(parents)).select(
+        "conv_id", "turn", F.col("reply_to").alias("up"), F.lit(1).alias("depth"), F.col("step").alias("path")
+    )
     chain = stored(chain)
     while True:
-        above = chain.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
+        above = chain.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"), F.col("path").alias("far"))
         moved = stored(
             chain.join(above, ["conv_id", "up"], "left").select(
                 "conv_id",
                 "turn",
                 F.coalesce("next", "up").alias("up"),
                 (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
+                (F.col("path") + F.coalesce("far", F.lit(0))).alias("path"),
                 F.col("next").isNotNull().alias("moved"),
             )
         )
         chain = moved.drop("moved")
         if not moved.filter("moved").limit(1).count():
             break
-    threads = chain.select("conv_id", "turn", F.col("up").alias("thread"), "depth")
+    threads = chain.select("conv_id", "turn", F.col("up").alias("thread"), "depth", "path")
     found = (
         rows.drop("text")
         .join(counts, "msg_id", "left")
@@ -166,8 +210,9 @@ def conversations(messages: DataFrame) -> DataFrame:
             "reply_to",
             F.coalesce("thread", "turn").alias("thread"),
             F.coalesce("depth", F.lit(0)).cast("long").alias("depth"),
+            F.coalesce("path", F.lit(0)).alias("path"),
             "msg_id",
         )
     )
-    order = [F.col("thread").isNull(), F.col("thread"), F.col("turn"), F.col("msg_id")]
-    return in_range_order(found, ["conv_id"], order, "place").drop("msg_id")
+    order = [F.col("thread").isNull(), F.col("thread"), F.col("path"), F.col("turn"), F.col("msg_id")]
+    return in_range_order(found, ["conv_id"], order, "place").drop("msg_id", "path")

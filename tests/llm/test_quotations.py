@@ -1,3 +1,5 @@
+import random
+
 from eventmill.llm import quotations
 
 SCHEMA = "conv_id long, turn long, role string, text string, place int, thread string"
@@ -41,6 +43,33 @@ def test_long_reply_chains_and_hot_conversations(spark):
     assert [found[i].place for i in range(70)] == list(range(70))
 
 
+def test_replies_follow_what_they_reply_to(spark):
+    """Random threads against a plain walk; one turn has many replies, one chain is long."""
+    draw, rows, ups = random.Random(5), [], {}
+    for conv in range(4):
+        for turn in range(120):
+            up = None if turn == 0 or draw.random() < 0.1 else (3 if draw.random() < 0.3 else draw.randrange(turn))
+            if up is not None and up >= turn:
+                up = turn - 1
+            if conv == 3:
+                up = turn - 1 if turn else None
+            ups[conv, turn] = up
+            quote = "" if up is None else f"> these are words of message {up} in {conv}\n"
+            rows.append((conv, turn, "user", f"{quote}these are words of message {turn} in {conv}"))
+    rows.append((0, 3, "user", rows[3][3]))  # a row twice
+    found = run(spark, rows)
+    for conv in range(4):
+        kids = {}
+        for turn in range(120):
+            kids.setdefault(ups[conv, turn], []).append(turn)
+        want, todo = [], list(reversed(kids[None]))
+        while todo:
+            turn = todo.pop()
+            want += [turn] * (2 if (conv, turn) == (0, 3) else 1)
+            todo += reversed(kids.get(turn, []))
+        assert [r.turn for r in sorted((r for r in found if r.conv_id == conv), key=lambda r: r.place)] == want
+
+
 def test_deep_levels_and_carriage_returns(spark):
     rows = [(1, 0, "a", "the deepest words of all"), (1, 1, "b", ">" * 12 + " the deepest words of all\r\n\r\nmy own\r\n")]
     found = {r.turn: r for r in run(spark, rows)}
