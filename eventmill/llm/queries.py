@@ -53,7 +53,8 @@ def op6_sharding(spark, sf_dir):
 def op7_url_filter(spark, sf_dir):
     """The labels are those of the document whose number a url's path names."""
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
-    number = F.try_to_number(F.regexp_extract("url", r"://[^/]*.*?/(\d{1,18})", 1), F.lit("9" * 18)).cast("long")
+    _, path = url_filter.host_and_path(F.col("url"))
+    number = F.try_to_number(F.regexp_extract(path, r"/(\d{1,18})", 1), F.lit("9" * 18)).cast("long")
     named = pages.select("page_id", number.alias("number"))
     labels = _table(spark, sf_dir, "labels").select("doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
     return url_filter.judge(pages, named.join(labels, F.col("number") == F.col("doc_id")).select("page_id", "bad"))

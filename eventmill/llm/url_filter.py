@@ -12,7 +12,7 @@ host and path prefix come before the templates' verdicts. Column expressions onl
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventmill.session import stored
@@ -145,20 +145,19 @@ def _generalise(shapes: DataFrame, level: int) -> DataFrame:
         F.array_sort(F.collect_list(F.struct(share, "good", "bad", "n"))).alias("kinds")
     )
     numbered = kinds.select("host", "template", F.inline(_branches_of(F.col("kinds"))))
-    members = (
-        nodes.filter(enough)
-        .join(numbered, ["host", "template", "good", "bad"])
-        .groupBy("host", "template", "branch")
-        .agg(F.array_sort(F.collect_list("segment")).alias("members"))
+    members = stored(nodes.filter(enough).join(numbered, ["host", "template", "good", "bad"]))
+    # Of a branch only the names that are written out come together, and counts of the rest.
+    place = F.row_number().over(Window.partitionBy("host", "template", "branch").orderBy("segment"))
+    first = members.select("host", "template", "branch", "segment", place.alias("place")).filter(F.col("place") <= SHOWN)
+    first = first.groupBy("host", "template", "branch").agg(F.array_sort(F.collect_list("segment")).alias("names"))
+    sizes = members.groupBy("host", "template", "branch").agg(
+        F.count("*").alias("n"), F.bit_xor(F.xxhash64("segment")).alias("hash")
     )
-    more = F.concat(
-        F.lit("|+"), (F.size("members") - SHOWN).cast("string"), F.lit("#"), F.hex(F.xxhash64("members"))
-    )
-    shown = F.concat(
-        F.array_join(F.slice("members", 1, SHOWN), "|"), F.when(F.size("members") > SHOWN, more).otherwise("")
-    )
-    name = F.when(F.size("members") > 1, F.concat(F.lit("{"), shown, F.lit("}"))).otherwise(F.get("members", F.lit(0)))
-    merged = members.select("host", "template", F.explode("members").alias("segment"), name.alias("name"))
+    more = F.concat(F.lit("|+"), (F.col("n") - SHOWN).cast("string"), F.lit("#"), F.hex("hash"))
+    shown = F.concat(F.array_join("names", "|"), F.when(F.col("n") > SHOWN, more).otherwise(""))
+    name = F.when(F.col("n") > 1, F.concat(F.lit("{"), shown, F.lit("}"))).otherwise(F.get("names", F.lit(0)))
+    branches = first.join(sizes, ["host", "template", "branch"]).select("host", "template", "branch", name.alias("name"))
+    merged = members.join(branches, ["host", "template", "branch"]).select("host", "template", "segment", "name")
     own = nodes.filter(~enough).select("host", "template", "segment", F.col("segment").alias("name"))
     joined = at.join(stored(merged.unionByName(own)), ["host", "template", "segment"], "left")
     branch = F.concat(F.lit("/"), F.coalesce("name", F.lit(WILD)))

@@ -1,4 +1,7 @@
+import math
+import random
 import re
+from collections import defaultdict
 
 from pyspark.sql import functions as F
 
@@ -122,3 +125,89 @@ def test_rare_children_are_a_wildcard(spark):
     got, found = verdicts(spark, rows, labels)
     assert {r.template.split("{")[0] for r in found.values() if r.page_id < 50} == {"/*/"}
     assert {r.verdict for r in found.values() if r.page_id >= 50} == {"block"}
+
+
+def plain_templates(pages, bad):
+    """{(host, segments): branches per level} and {(host, branches): [good, bad]}, page by page and child by child."""
+    counts = defaultdict(lambda: [0, 0, 0])
+    for page_id, host, segments in pages:
+        c = counts[host, segments]
+        c[0] += 1
+        for b in bad.get(page_id, []):
+            c[1 + b] += 1
+    at = {key: () for key in counts}
+
+    def split(prefix, keys, level):
+        keys = [k for k in keys if len(k[1]) > level]
+        kids = defaultdict(list)
+        for k in keys:
+            kids[k[1][level]].append(k)
+        sums = {s: [sum(counts[k][i] for k in own) for i in range(3)] for s, own in kids.items()}
+        named = {s: c for s, c in sums.items() if s != "*" and (c[0] >= 100 or c[1] + c[2] >= 10)}
+        branches, good, bad_ = [], 0, 0
+        kinds = defaultdict(list)
+        for s, (_, g, b) in named.items():
+            if g + b >= 10:
+                kinds[b / (g + b), g, b].append(s)
+        for (share, g, b), names in sorted(kinds.items()):
+            n, m = g + b, good + bad_
+            opens = not branches
+            if m:
+                both = (b + bad_) / (n + m)
+                spread = math.sqrt(both * (1 - both) * (1 / n + 1 / m))
+                opens = spread > 0 and abs(share - bad_ / m) / spread > 2.58
+            if opens:
+                branches.append([])
+                good = bad_ = 0
+            branches[-1] += names
+            good, bad_ = good + g * len(names), bad_ + b * len(names)
+        branches += [[s] for s, (_, g, b) in named.items() if g + b < 10]
+        rest = [s for s in kids if s not in named]
+        for names in branches + ([rest] if rest else []):
+            label = frozenset(["*"]) if names is rest else frozenset(names)
+            below = [k for s in names for k in kids[s]]
+            for k in below:
+                at[k] = (*prefix, label)
+            split((*prefix, label), below, level + 1)
+
+    for host in {h for h, _ in counts}:
+        split((), [k for k in counts if k[0] == host], 0)
+    sums = defaultdict(lambda: [0, 0])
+    for key, template in at.items():
+        for i in (0, 1):
+            sums[key[0], template][i] += counts[key][1 + i]
+    return at, sums
+
+
+def test_trees_and_purity_against_plain_python(spark):
+    draw = random.Random(11)
+    share = {f"k{'abcdefghijkl'[i]}": p for i, p in enumerate([0, 0, 0.05, 0.1, 0.3, 0.5, 0.55, 0.8, 0.9, 1, 1, 0.2])}
+    pages, bad = [], {}
+    for i in range(6000):
+        host = draw.choice(["a.net", "a.net", "b.net"])
+        top = draw.choice(list(share) + ["odd" + draw.choice("abcdefghij") + draw.choice("abcdefghij")])
+        segments = [top, draw.choice(["in", "out", "x" + draw.choice("abcdefghijklmnopq")]), *draw.choice([[], ["123"], ["end"]])]
+        pages.append((i, host, segments[: draw.randrange(4)]))
+        if draw.random() < 0.4:
+            p = share.get(top, 0.4) if segments[1] != "out" else 1 - share.get(top, 0.4)
+            bad[i] = [draw.random() < p for _ in range(draw.choice([1, 1, 2]))]
+    rows = [(i, f"https://{h}/" + "/".join(s)) for i, h, s in pages]
+    labels = spark.createDataFrame([(i, b) for i, own in bad.items() for b in own], "page_id long, bad boolean")
+    found = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), labels, rules=()).collect()
+    shaped = [(i, h, tuple("*" if s == "123" else s for s in segments)) for i, h, segments in pages]
+    at, sums = plain_templates(shaped, bad)
+    total = [sum(c[i] for c in sums.values()) for i in (0, 1)]
+    base = (total[0] + 1) / (sum(total) + 1)
+    by_id = {r.page_id: r for r in found}
+    assert len(by_id) == len(found) == len(pages)
+    names = {}
+    for i, host, segments in shaped:
+        template, r = at[host, segments], by_id[i]
+        own = [sum(c[k] for (h, _), c in sums.items() if h == host) for k in (0, 1)]
+        prior = (own[0] + 10 * base) / (sum(own) + 10)
+        good, wrong = sums[host, template]
+        assert abs(r.purity - (good + 10 * prior) / (good + wrong + 10)) < 1e-9, (segments, r)
+        assert r.verdict == ("block" if r.purity < 0.5 else "allow")
+        names.setdefault((host, template), set()).add(r.template)
+    assert all(len(n) == 1 for n in names.values())
+    assert len({(h, *n) for (h, _), n in names.items()}) == len(names) > 20
