@@ -6,8 +6,9 @@ binomial test shows that it rejects no more than a stated share of good document
 its stratum. Along the grid of a rule, cutoffs are tested from the most lenient to
 the strictest and testing stops at the first failure, which needs no correction;
 across rules and strata the error level is divided by their number. Of the certified
-cutoffs the one that separates bad from good labels best is taken. All of it is
-column expressions.
+cutoffs the one that separates bad from good labels best is taken. A stratum with too
+few labels for that tests what the other strata's labels propose, as one rejection. All
+of it is column expressions.
 """
 
 from __future__ import annotations
@@ -150,15 +151,8 @@ def binomial_at_most(k: Column, n: Column, p: float) -> Column:
     return F.when(k >= n * p, F.lit(1.0)).otherwise(F.least(F.lit(1.0), first * total))
 
 
-def cutoffs(labelled: DataFrame, max_false: float = MAX_FALSE, error: float = ERROR) -> DataFrame:
-    """Per stratum and rule, the certified cutoff that is worth most.
-
-    `labelled` has stratum, which may be null, `good` (boolean) and one score per rule.
-    Of the certified cutoffs, that with the highest share of bad documents rejected,
-    less PRICE times the share of good ones, is taken, the most lenient of equals;
-    so a rule rejects no good documents for nothing. Rules without a certified cutoff,
-    or without one that is worth anything, give no row.
-    """
+def _tried(labelled: DataFrame) -> DataFrame:
+    """How many good and bad documents (k of n, k_bad of n_bad) each step of each rule rejects."""
     scores = F.array(
         *[F.struct(F.lit(r).alias("rule"), F.col(r).alias("score")) for r in RULES]
     )
@@ -181,22 +175,102 @@ def cutoffs(labelled: DataFrame, max_false: float = MAX_FALSE, error: float = ER
             lambda a, i: a + F.coalesce(F.element_at("at", i)[kind], F.lit(0)),
         )
 
-    tried = (
+    return (
         per_rule.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(GRID - 1))))
         .withColumn("k", rejected("good_at"))
         .withColumn("k_bad", rejected("bad_at"))
         .drop("at")
     )
-    tests = len(RULES) * max(1, labelled.filter("good").select("stratum").distinct().count())
-    judged = tried.withColumn(
-        "ok", binomial_at_most(F.col("k"), F.col("n"), max_false / len(RULES)) <= error / tests
-    )
+
+
+def _worth() -> Column:
+    return F.try_divide("k_bad", "n_bad") - PRICE * F.try_divide("k", "n")
+
+
+def _cutoff(step: Column) -> Column:
+    return (GRID - step) / GRID
+
+
+def _own_cutoffs(tried: DataFrame, max_false: float, error: float) -> DataFrame:
+    """Per stratum and rule, the cutoff certified by the stratum's labels that is worth most."""
+    judged = tried.withColumn("ok", binomial_at_most(F.col("k"), F.col("n"), max_false / len(RULES)) <= error / len(RULES))
     so_far = Window.partitionBy("stratum", "rule").orderBy("step")
     passed = judged.withColumn("all_ok", F.min("ok").over(so_far)).filter("all_ok")
-    worth = F.try_divide("k_bad", "n_bad") - PRICE * F.try_divide("k", "n")
-    passed = passed.withColumn("worth", worth).filter("worth > 0")
+    passed = passed.withColumn("worth", _worth()).filter("worth > 0")
     best = passed.groupBy("stratum", "rule").agg(F.max_by("step", F.struct("worth", -F.col("step"))).alias("step"))
-    return best.select("stratum", "rule", ((GRID - F.col("step")) / GRID).alias("cutoff"))
+    return best.select("stratum", "rule", _cutoff(F.col("step")).alias("cutoff"))
+
+
+def _lent_cutoffs(labelled: DataFrame, tried: DataFrame, max_false: float, error: float) -> DataFrame:
+    """Per stratum, cutoffs that the other strata's labels propose and its own certify.
+
+    For each rule the step worth most on the labels of all other strata is proposed, so
+    it owes nothing to the labels that test it. The rules are put in order of that worth,
+    and the first one, the first two, and so on are tested as one rejection, with the
+    whole of `max_false`, until a test fails. Of the sets that pass, the one that
+    separates the stratum's own labels best is taken.
+    """
+    totals = tried.groupBy("rule", "step").agg(*[F.sum(c).alias(f"all_{c}") for c in ("n", "n_bad", "k", "k_bad")])
+    others = tried.join(totals, ["rule", "step"]).select(
+        "stratum", "rule", "step", *[(F.col(f"all_{c}") - F.col(c)).alias(c) for c in ("n", "n_bad", "k", "k_bad")]
+    )
+    proposed = others.withColumn("worth", _worth()).filter("worth > 0").groupBy("stratum", "rule").agg(
+        F.max("worth").alias("worth"), F.max_by("step", F.struct("worth", -F.col("step"))).alias("step")
+    )
+    place = F.row_number().over(Window.partitionBy("stratum").orderBy(F.desc("worth"), "rule"))
+    lent = stored(proposed.select("stratum", "rule", _cutoff(F.col("step")).alias("cutoff"), place.alias("place")))
+    sets = lent.groupBy(F.col("stratum").alias("_stratum")).agg(
+        F.collect_list(F.struct("place", "rule", "cutoff")).alias("sets")
+    )
+    score = F.create_map(*[x for r in RULES for x in (F.lit(r), F.col(r))])
+    hit = F.filter("sets", lambda x: F.element_at(score, x["rule"]) > x["cutoff"] + 1e-9)
+    # The place from which on a document is rejected; null if never.
+    first = F.array_min(F.transform(hit, lambda x: x["place"]))
+    found = labelled.join(sets, F.col("stratum").eqNullSafe(F.col("_stratum")))
+    found = found.groupBy("_stratum", first.alias("first")).agg(
+        F.count_if("good").alias("good_at"), F.count_if(~F.col("good")).alias("bad_at")
+    )
+    reached = F.col("first") <= F.col("place")
+    tested = (
+        lent.join(found, F.col("stratum").eqNullSafe(F.col("_stratum")))
+        .groupBy("stratum", "place", "rule", "cutoff")
+        .agg(
+            F.sum("good_at").alias("n"),
+            F.sum("bad_at").alias("n_bad"),
+            F.sum(F.when(reached, F.col("good_at")).otherwise(0)).alias("k"),
+            F.sum(F.when(reached, F.col("bad_at")).otherwise(0)).alias("k_bad"),
+        )
+    )
+    so_far = Window.partitionBy("stratum").orderBy("place")
+    passed = (
+        tested.withColumn("ok", binomial_at_most(F.col("k"), F.col("n"), max_false) <= error)
+        .withColumn("all_ok", F.min("ok").over(so_far))
+        .withColumn("worth", F.when(F.col("all_ok"), _worth()))
+    )
+    whole = Window.partitionBy("stratum")
+    last = F.max_by("place", F.when(F.col("worth") > 0, F.struct("worth", -F.col("place")))).over(whole)
+    return passed.withColumn("last", last).filter("place <= last").select("stratum", "rule", "cutoff")
+
+
+def cutoffs(labelled: DataFrame, max_false: float = MAX_FALSE, error: float = ERROR) -> DataFrame:
+    """Certified cutoffs per stratum and rule.
+
+    `labelled` has stratum, which may be null, `good` (boolean) and one score per rule.
+    A stratum with enough good labels to certify single rules, each with its part of
+    `max_false`, gets these: of the certified cutoffs of a rule that with the highest
+    share of bad documents rejected, less PRICE times the share of good ones, the most
+    lenient of equals; so a rule rejects no good documents for nothing. Any other stratum
+    gets the cutoffs that the other strata's labels propose, if its own labels certify
+    them as one rejection; that takes some 100 good labels instead of some 650. Half of
+    the error goes to either kind of test, in equal parts to the strata. Rules without a
+    certified cutoff, or without one that is worth anything, give no row.
+    """
+    tried = stored(_tried(labelled))
+    strata = max(1, tried.filter("n > 0").select("stratum").distinct().count())
+    own = stored(_own_cutoffs(tried, max_false, error / 2 / strata))
+    lent = _lent_cutoffs(labelled, tried, max_false, error / 2 / strata)
+    served = own.select(F.col("stratum").alias("_served")).distinct()
+    return own.unionByName(lent.join(served, F.col("stratum").eqNullSafe(F.col("_served")), "left_anti"))
 
 
 def _scored(counts: DataFrame) -> DataFrame:
@@ -214,7 +288,7 @@ def _cutoffs_by_stratum(counts: DataFrame, labels: DataFrame, max_false: float,
     scored = scored.filter(~base_failed({c: F.col(c) for c in scored.columns}))
     labelled = scored.join(marked, F.col("doc_id") == F.col("_id"))
     labelled = labelled.dropDuplicates(["doc_id", "stratum", *RULES]).select("stratum", "good", *RULES)
-    found = cutoffs(labelled, max_false, error)
+    found = cutoffs(stored(labelled), max_false, error)
     return stored(
         found.groupBy(F.col("stratum").alias("_stratum")).agg(
             F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("_cutoffs")
@@ -259,8 +333,8 @@ def judge(
     `labels` has doc_id and quality (1 is good, others bad); rows with a null in either are left
     out; a document with several labels is bad if any of them is, and rows with equal ids and
     scores count once. Strata are the values of a column
-    of `docs`; null is a stratum. A stratum with too few good labels for a bound has
-    no cutoffs: there only the base decides. Null and empty texts have no words and
+    of `docs`; null is a stratum. A stratum with too few good labels for a bound, or
+    without bad ones, has no cutoffs: there only the base decides. Null and empty texts have no words and
     fail the base. Repeated rows are judged one by one; extra columns of `docs` are
     ignored; an empty table gives no rows.
     """

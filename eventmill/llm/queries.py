@@ -151,6 +151,14 @@ least AS (SELECT vec_id, min(node) AS component_id FROM reach GROUP BY vec_id)
 SELECT vec_id, (SELECT count(*) FROM pairs WHERE a = vec_id) AS n_links, component_id,
   component_id = vec_id AS kept FROM least"""
 
+
+
+def _tail(p: str) -> str:
+    """P(X <= k) of a binomial X of n draws, as quality.binomial_at_most counts it."""
+    return f"""CASE WHEN k >= n * {p} THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1),
+    lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p}) + (n - i) * ln(1 - {p})))) END"""
+
+
 QUALITY = f"""WITH w AS (SELECT doc_id, lang AS stratum, coalesce(text, '') AS t,
   regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
 grams AS (SELECT doc_id, i, array_to_string(words[i:i + 4], ' ') AS g
@@ -176,19 +184,38 @@ scored AS (SELECT doc_id, stratum, base_failed, x.rule AS rule, coalesce(x.score
 marked AS (SELECT DISTINCT scored.*, good FROM scored JOIN (
   SELECT doc_id, bool_and(quality = 1) AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id) USING (doc_id)
   WHERE NOT base_failed),
-tests AS (SELECT {len(quality.RULES)} * count(DISTINCT coalesce(stratum, '')) AS m FROM marked WHERE good),
+tests AS (SELECT {quality.ERROR} / 2 / count(DISTINCT coalesce(stratum, '')) AS level FROM marked WHERE good),
 tried AS (SELECT stratum, rule, step, count(*) FILTER (good) AS n, count(*) FILTER (NOT good) AS n_bad,
     count(*) FILTER (good AND score > ({quality.GRID} - step) / {quality.GRID} + 1e-9) AS k,
     count(*) FILTER (NOT good AND score > ({quality.GRID} - step) / {quality.GRID} + 1e-9) AS k_bad
   FROM marked, (SELECT unnest(range(1, {quality.GRID})) AS step) GROUP BY ALL),
-bounds AS (SELECT *, CASE WHEN k >= n * p THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1),
-    lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(p) + (n - i) * ln(1 - p)))) END AS tail
+bounds AS (SELECT *, {_tail("p")} AS tail
   FROM tried, (SELECT {quality.MAX_FALSE / len(quality.RULES)} AS p)),
 passed AS (SELECT *, max(tail) OVER (PARTITION BY stratum, rule ORDER BY step) AS worst,
-    k_bad / nullif(n_bad, 0) - {quality.PRICE} * k / nullif(n, 0) AS worth FROM bounds),
-cutoff AS (SELECT stratum, rule, ({quality.GRID} - step) / {quality.GRID} AS cut FROM (
+    k_bad / nullif(n_bad, 0) - {quality.PRICE} * (k / nullif(n, 0)) AS worth FROM bounds),
+own AS (SELECT stratum, rule, ({quality.GRID} - step) / {quality.GRID} AS cut FROM (
   SELECT *, row_number() OVER (PARTITION BY stratum, rule ORDER BY worth DESC, step) AS place
-  FROM passed, tests WHERE worst <= {quality.ERROR} / m AND worth > 0) WHERE place = 1),
+  FROM passed, tests WHERE worst <= level / {len(quality.RULES)} AND worth > 0) WHERE place = 1),
+others AS (SELECT stratum, rule, step, sum(n) OVER w - n AS n, sum(n_bad) OVER w - n_bad AS n_bad,
+    sum(k) OVER w - k AS k, sum(k_bad) OVER w - k_bad AS k_bad FROM tried WINDOW w AS (PARTITION BY rule, step)),
+proposed AS (SELECT *, k_bad / nullif(n_bad, 0) - {quality.PRICE} * (k / nullif(n, 0)) AS worth FROM others),
+lent AS (SELECT stratum, rule, ({quality.GRID} - step) / {quality.GRID} AS cut,
+    row_number() OVER (PARTITION BY stratum ORDER BY worth DESC, rule) AS place FROM (
+  SELECT *, row_number() OVER (PARTITION BY stratum, rule ORDER BY worth DESC, step) AS pick
+  FROM proposed WHERE worth > 0) WHERE pick = 1),
+hits AS (SELECT doc_id, m.stratum, good, min(place) AS hit FROM marked m LEFT JOIN lent
+  ON lent.rule = m.rule AND lent.stratum IS NOT DISTINCT FROM m.stratum AND score > cut + 1e-9 GROUP BY ALL),
+tested AS (SELECT lent.stratum, place, count(*) FILTER (good) AS n, count(*) FILTER (NOT good) AS n_bad,
+    count(*) FILTER (good AND hit <= place) AS k, count(*) FILTER (NOT good AND hit <= place) AS k_bad, any_value(p) AS p
+  FROM lent JOIN hits ON lent.stratum IS NOT DISTINCT FROM hits.stratum, (SELECT {quality.MAX_FALSE} AS p) GROUP BY ALL),
+proved AS (SELECT *, max({_tail("p")}) OVER (PARTITION BY stratum ORDER BY place) AS worst,
+    k_bad / nullif(n_bad, 0) - {quality.PRICE} * (k / nullif(n, 0)) AS worth FROM tested),
+sets AS (SELECT stratum, place FROM (
+  SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY worth DESC, place) AS pick
+  FROM proved, tests WHERE worst <= level AND worth > 0) WHERE pick = 1),
+cutoff AS (SELECT * FROM own UNION ALL SELECT lent.stratum, rule, cut FROM lent JOIN sets
+  ON lent.stratum IS NOT DISTINCT FROM sets.stratum AND lent.place <= sets.place
+  WHERE NOT EXISTS (SELECT 1 FROM own WHERE own.stratum IS NOT DISTINCT FROM lent.stratum)),
 rejected AS (SELECT doc_id, array_to_string(list_sort(list(scored.rule)), ',') AS rules FROM scored JOIN cutoff
   ON cutoff.rule = scored.rule AND cutoff.stratum IS NOT DISTINCT FROM scored.stratum
   WHERE score > cut + 1e-9 GROUP BY doc_id)

@@ -117,3 +117,81 @@ def test_a_document_is_one_draw(spark):
 
     once = cuts(counts, labels)
     assert once and once == cuts(counts.union(counts), labels.union(labels).union(conflict))
+
+
+def small_strata(spark):
+    """Three languages of 200 to 260 good and 40 bad labels, and one of 20; symbols tell bad from good."""
+    rows, labels = [], []
+    for at, (lang, n) in enumerate([("de", 200), ("fr", 230), (None, 260), ("xx", 20)]):
+        for i in range(n + 40):
+            bad, doc_id = i >= n, 1000 * at + i
+            rows.append((doc_id, lang, 100, 0, 60 if bad else i % 9, 400, 0, i % 5, i % 30 if bad else 0, 3 * (i % 4), 10, 400))
+            labels.append((doc_id, int(not bad)))
+    counts = spark.createDataFrame(
+        rows,
+        "doc_id long, stratum string, n_words long, n_repeat_words long, n_symbols long, word_chars long, n_dup_lines long,"
+        " unused int, n_marks long, n_capitals long, n_lines long, n_letters long",
+    )
+    return counts, spark.createDataFrame(labels, "doc_id long, quality int")
+
+
+def tail(k, n, p):
+    return 1.0 if k >= n * p else sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
+
+
+def brute_cutoffs(rows, max_false, error):
+    """The rule of `quality.cutoffs` on (stratum, good, {rule: score}) rows."""
+    rules, strata = list(quality.RULES), sorted({s for s, _, _ in rows}, key=str)
+    cut = {g: (quality.GRID - g) / quality.GRID for g in range(1, quality.GRID)}
+    level = error / 2 / len({s for s, good, _ in rows if good})
+
+    def worth(part, test):
+        good = [test(x) for _, g, x in part if g]
+        bad = [test(x) for _, g, x in part if not g]
+        return (sum(bad) / len(bad) - quality.PRICE * (sum(good) / len(good)), sum(good), len(good)) if good and bad else (-1, 0, 0)
+
+    out = {}
+    for s in strata:
+        mine, others = [r for r in rows if r[0] == s], [r for r in rows if r[0] != s]
+        own, lent = {}, []
+        for rule in rules:
+            best = 0
+            for g in cut:
+                w, k, n = worth(mine, lambda x: x[rule] > cut[g] + 1e-9)
+                if tail(k, n, max_false / len(rules)) > level / len(rules):
+                    break
+                if w > best:
+                    best, own[rule] = w, cut[g]
+            tries = [(worth(others, lambda x: x[rule] > cut[g] + 1e-9)[0], -g) for g in cut]
+            w, g = max(tries)
+            if w > 0:
+                lent.append((-w, rule, cut[-g]))
+        best, taken = 0, {}
+        for j in range(1, len(lent) + 1):
+            some = {rule: c for _, rule, c in sorted(lent)[:j]}
+            w, k, n = worth(mine, lambda x: any(x[r] > c + 1e-9 for r, c in some.items()))
+            if tail(k, n, max_false) > level:
+                break
+            if w > best:
+                best, taken = w, some
+        if own or taken:
+            out[s] = own or taken
+    return out
+
+
+@pytest.mark.parametrize("max_false, error", [(0.05, 0.05), (0.2, 0.2), (0.5, 0.2), (0.02, 0.05)])
+def test_small_strata_certify_what_the_others_propose(spark, max_false, error):
+    counts, labels = small_strata(spark)
+    good = {r.doc_id: r.quality == 1 for r in labels.collect()}
+    scored = quality._scored(counts).collect()
+    rows = [(r.stratum, good[r.doc_id], {rule: r[rule] for rule in quality.RULES}) for r in scored]
+    found = {r._stratum: r._cutoffs for r in quality._cutoffs_by_stratum(counts, labels, max_false, error).collect()}
+    assert found == brute_cutoffs(rows, max_false, error)
+    if (max_false, error) == (0.05, 0.05):
+        # 200 good labels are too few for single rules, and 20 for anything.
+        assert set(found) == {"de", "fr", None} and all("symbols" in cuts for cuts in found.values())
+
+
+def test_one_stratum_has_nobody_to_propose(spark):
+    counts, labels = small_strata(spark)
+    assert quality._cutoffs_by_stratum(counts.filter("stratum = 'de'"), labels, 0.05, 0.05).collect() == []
