@@ -1,13 +1,15 @@
 """Hierarchical multi-length packing of documents into training sequences.
 
-Each task packs the documents of its own split as they stream by, so nothing is
-shuffled and memory is bounded by one window, at any size of the input. Within a
+Each task packs the documents of its own split as they stream by, so memory is
+bounded by one window and one step group a tier, at any size of the input. Within a
 window, documents are routed by their length to the smallest of several context
 sizes (tiers) that holds them; each tier is packed, and the gap behind a document
 is filled from shorter ones, largest first, cutting the last one to fit. Filled
 sequences have exactly the length of their tier, so they carry no padding. What
 does not fill a sequence waits for the next window; only the end of a split can
-leave one short sequence.
+leave one short sequence. A task hands out its sequences in full step groups; what is
+left of each tier at its end is grouped over all tasks, so that at most one group of a
+tier is short in the whole table.
 """
 
 from __future__ import annotations
@@ -20,9 +22,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventmill.session import stored
+
 TIERS = (256, 512, 1024, 2048, 4096)
 END_ID = 2
 #: Tokens that a task gathers before it packs them.
@@ -41,6 +45,8 @@ SCHEMA = (
     "doc_id long, start long, length long, ids binary, doc_tokens long, "
     "sequence_id long, offset long, tier long, step_group long"
 )
+#: Step groups made of several tasks' sequences have numbers from here.
+SHARED_GROUPS = 1 << 62
 
 
 class Encoder:
@@ -192,36 +198,44 @@ def _pack_task(batches: Iterator[pa.RecordBatch], path: str, tiers, window: int,
     docs: dict[int, tuple] = {}
     fragments: list[tuple[int, int, int]] = []
     held = number = seen = 0
-    per_tier = dict.fromkeys(tiers, 0)
+    groups = dict.fromkeys(tiers, 0)
+    # Sequences of each tier that wait for their step group to fill, as lists of rows.
+    waiting: dict[int, list] = {tier: [] for tier in tiers}
+
+    def batch_of(rows):
+        columns = zip(*rows, strict=True)
+        return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     def emit(last: bool):
         nonlocal fragments, held, number
         sequences, fragments = pack_window(fragments, tiers, last)
-        rows = [[] for _ in schema]
-        size = 0
+        out, size = [], 0
         for tier, pieces in sequences:
-            group = task | (tiers.index(tier) << 30) | (per_tier[tier] * tier // step)
-            per_tier[tier] += 1
-            offset = 0
+            offset, rows = 0, []
             for length, doc, start in pieces:
                 doc_id, data = docs[doc]
                 cut = data[4 * start : 4 * (start + length)]
-                size += len(cut)
-                for column, value in zip(
-                    rows,
-                    (doc_id, start, length, cut, len(data) // 4, task | number, offset, tier, group),
-                    strict=True,
-                ):
-                    column.append(value)
+                rows.append((doc_id, start, length, cut, len(data) // 4, task | number, offset, tier))
                 offset += length
             number += 1
+            waiting[tier].append(rows)
+            if (len(waiting[tier]) + 1) * tier > step:
+                group = task | (tiers.index(tier) << 30) | groups[tier]
+                groups[tier] += 1
+                out += [(*row, group) for sequence in waiting[tier] for row in sequence]
+                size += 4 * tier * len(waiting[tier])
+                waiting[tier] = []
             if size > 1 << 24:
-                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(rows, schema, strict=True)], schema=schema)
-                rows, size = [[] for _ in schema], 0
-        if rows[0]:
-            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(rows, schema, strict=True)], schema=schema)
-        waiting = {doc for _, doc, _ in fragments}
-        for doc in [d for d in docs if d not in waiting]:
+                yield batch_of(out)
+                out, size = [], 0
+        if last:
+            # The number within the tier, below 0, until the groups over all tasks are made.
+            for sequences in waiting.values():
+                out += [(*row, -1 - i) for i, sequence in enumerate(sequences) for row in sequence]
+        if out:
+            yield batch_of(out)
+        needed = {doc for _, doc, _ in fragments}
+        for doc in [d for d in docs if d not in needed]:
             del docs[doc]
         held = sum(f[0] for f in fragments)
 
@@ -237,6 +251,25 @@ def _pack_task(batches: Iterator[pa.RecordBatch], path: str, tiers, window: int,
     yield from emit(True)
 
 
+def _shared_groups(rest: DataFrame, tiers, step: int) -> DataFrame:
+    """Number the step groups of what the tasks had left over, tier by tier, over all tasks.
+
+    `rest` is stored, with step_group -1 - i at the i-th sequence of its task and tier.
+    Only a count per task and tier goes through the window.
+    """
+    task = F.shiftright("sequence_id", 36)
+    counts = rest.groupBy(task.alias("_task"), F.col("tier").alias("_tier"))
+    counts = counts.agg((-F.min("step_group")).alias("_n"))
+    ahead = Window.partitionBy("_tier").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select("_task", "_tier", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_base"))
+    place = F.col("_base") - 1 - F.col("step_group")
+    per_step = F.greatest(F.lit(1), F.floor(F.lit(step) / F.col("tier"))).cast("long")
+    tier = F.array_position(F.array(*[F.lit(t).cast("long") for t in tiers]), F.col("tier")) - 1
+    group = F.lit(SHARED_GROUPS) + F.shiftleft(tier, 48) + F.floor(place / per_step)
+    joined = rest.join(bases, (task == F.col("_task")) & (F.col("tier") == F.col("_tier")))
+    return joined.withColumn("step_group", group.cast("long")).select(*rest.columns)
+
+
 def pack(
     docs: DataFrame,
     tokenizer: str,
@@ -250,8 +283,10 @@ def pack(
     doc_id, start (ids of its document before it), length, ids (little-endian
     unsigned 32-bit), doc_tokens, sequence_id, offset in the sequence (gapless from
     0), tier (the sequence's length; a short one is to be padded to it) and
-    step_group: consecutive sequences of one tier with `step_tokens` ids in all, so
-    that every step of a tier has the same shape.
+    step_group: sequences of one tier, as many as `step_tokens` hold and at least one,
+    so that every step of a tier has the same shape; only the last group of a tier in
+    the whole table can have fewer. The pieces are written once to the shared folder;
+    those in groups of one task stay where they lie.
 
     A null text counts as empty; every document ends with id 2, so it has a piece.
     Null or repeated doc_ids are packed as they come. Extra columns are ignored; an
@@ -259,6 +294,10 @@ def pack(
     """
     tiers = tuple(sorted(tiers))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(
-        lambda batches: _pack_task(batches, tokenizer, tiers, window_tokens, step_tokens), SCHEMA
+    pieces = stored(
+        rows.mapInArrow(
+            lambda batches: _pack_task(batches, tokenizer, tiers, window_tokens, step_tokens), SCHEMA
+        )
     )
+    rest = _shared_groups(pieces.filter("step_group < 0"), tiers, step_tokens)
+    return pieces.filter("step_group >= 0").unionByName(rest)

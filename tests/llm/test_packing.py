@@ -67,12 +67,25 @@ def test_pieces_cover_every_document_once(spark, tokenizer, prose):
     assert short <= 3  # one per split at most
 
 
-def test_steps_of_a_tier_are_balanced(spark, prose):
-    docs = spark.createDataFrame([(i, prose(i, 900)) for i in range(80)], "doc_id long, text string").coalesce(1)
-    found = packing.pack(docs, PATH, step_tokens=8192)
-    sums = [r["n"] for r in found.groupBy("step_group").agg({"length": "sum"}).withColumnRenamed("sum(length)", "n").collect()]
-    assert max(sums) <= 8192
-    assert sorted(sums)[len(sums) // 2] == 8192
+@pytest.mark.parametrize("splits", [1, 7])
+@pytest.mark.parametrize("step", [1000, 8192, 12_000])
+def test_steps_of_a_tier_are_balanced(spark, prose, splits, step):
+    """Over all splits, every group of a tier but one is full; one tier, one shape."""
+    rows = [(i, prose(i, 900 if i % 4 else 60)) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(splits)
+    found = packing.pack(docs, PATH, step_tokens=step).collect()
+    groups = {}
+    for r in found:
+        groups.setdefault(r.step_group, set()).add((r.tier, r.sequence_id))
+    by_tier = {}
+    for members in groups.values():
+        (tier,) = {t for t, _ in members}
+        by_tier.setdefault(tier, []).append(len(members))
+    assert sum(map(sum, by_tier.values())) == len({r.sequence_id for r in found})
+    for tier, counts in by_tier.items():
+        full = max(1, step // tier)
+        assert max(counts) <= full
+        assert sum(n < full for n in counts) <= 1
 
 
 def test_gaps_are_filled_from_shorter_tiers():
