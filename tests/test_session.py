@@ -52,3 +52,19 @@ def test_bucketed_pages_meet_a_large_registry_in_place(spark, tmp_path):
         assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.sql("DROP DATABASE b CASCADE")
+
+
+def test_pages_are_never_sent_to_all_tasks(spark):
+    """However small Spark takes the pages to be beside the registry."""
+    pages = spark.sql(
+        """SELECT * FROM VALUES (1, 'https://s1.org', '<p>x</p>'), (2, 'https://none.org', '<p>y</p>'),
+           (3, NULL, '<p>z</p>'), (4, 'https://s1.org', NULL) AS pages(page_id, url, html)"""
+    )
+    registry = spark.range(2_000_000).selectExpr(
+        "id AS source_ord", "concat('S', id) AS name", "if(id = 7, NULL, concat('https://s', id, '.org')) AS url",
+        "'generic_links' AS parser", "CAST(NULL AS string) AS kind",
+    )
+    joined = source_pages(pages, registry)
+    assert "BuildLeft" not in joined._jdf.queryExecution().executedPlan().toString()
+    few = source_pages(pages, registry.filter("source_ord < 10"))
+    assert sorted((r.page_id, r.partner, r.html) for r in few.collect()) == [(1, "S1", "<p>x</p>"), (4, "S1", None)]
