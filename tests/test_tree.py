@@ -4,6 +4,8 @@ import random
 import re
 from html.parser import HTMLParser
 
+import pyarrow as pa
+
 from eventmill.operators import tree
 from eventmill.operators.tree import TreeBatch
 
@@ -132,3 +134,16 @@ def test_pointers_against_brute_force():
                 assert n["first"][name] == next((m["node_id"] for m in inside if test(m)), 0)
             for name, test in up_tests.items():
                 assert n["up"][name] == next((m["node_id"] for m in around[::-1] if test(m)), 0)
+
+
+def test_trees_of_a_batch_come_in_slices_of_bounded_size(monkeypatch):
+    pages = [f"<h1>t{i}</h1><p class='c'>{'x' * (i % 7)}</p>" if i % 11 else None for i in range(100)]
+    whole = read(*pages)
+    monkeypatch.setattr(tree, "SLICE_PAGES", 16)
+    monkeypatch.setattr(tree, "SLICE_CHARS", 200)
+    slices = list(tree.tree_slices(pa.array(pages)))
+    assert [p for s in slices for p in s.to_pylist()] == whole
+    assert max(len(s) for s in slices) <= 16 and len(slices) > 100 // 16
+    assert [len(s) for s in tree.tree_slices(pa.array([], pa.string()))] == [0]
+    # One page beyond the bound is a slice of its own.
+    assert [len(s) for s in tree.tree_slices(pa.array(["y" * 300, "z"]))] == [1, 1]
