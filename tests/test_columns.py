@@ -149,3 +149,32 @@ def test_url_pieces(ask):
     assert ask(links, lambda c: urls.path_root(c)) == [urlparse(u).path.rstrip("/") for u in links]
     sets = [" /a.png 1x, /b.png 2x", "/c.png", ""]
     assert ask(sets, lambda c: urls.srcset_first(c)) == ["/a.png", "/c.png", ""]
+
+
+def test_date_and_place_are_looked_for_once_each(spark):
+    """Inside lambda functions Spark works out each mention of an expression anew."""
+    texts = spark.createDataFrame([(["July 4, 2026"],)], "texts array<string>")
+
+    def searches(column):
+        plan = texts.select(F.transform("texts", column).alias("c"))._jdf.queryExecution().optimizedPlan()
+        return plan.toString().lower().count("regexp_extract(")
+
+    assert 0 < searches(lambda c: dates.normalize_date(c, "2026-07-01")) <= 3
+    assert 0 < searches(lambda c: places.location(c)) <= 5
+
+
+def test_odd_dates_read_by_their_words(spark):
+    cases = {
+        "July 4": "2026-07-04",
+        "Wednesday, March 3, 1999 ": "1999-03-03",
+        "x Jan 1, 0000": "0000-01-01",
+        "February 30, 2026": "",
+        "Feb 29": "2028-02-29",
+        "Foo 12": "",
+        "4": "",
+        "": "",
+        None: "",
+    }
+    rows = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, c string")
+    found = rows.select("i", dates.normalize_date(F.col("c"), "2026-07-01")).collect()
+    assert [r[1] for r in sorted(found)] == list(cases.values())

@@ -147,3 +147,16 @@ def test_trees_of_a_batch_come_in_slices_of_bounded_size(monkeypatch):
     assert [len(s) for s in tree.tree_slices(pa.array([], pa.string()))] == [0]
     # One page beyond the bound is a slice of its own.
     assert [len(s) for s in tree.tree_slices(pa.array(["y" * 300, "z"]))] == [1, 1]
+
+
+def test_a_run_of_plain_tags_takes_no_call_per_tag(monkeypatch):
+    page = "<body>" + "<p class='c'><a href=\"/x\">t</a> u</p>" * 50 + "</body>"
+    calls = []
+    for name in ("handle_starttag", "handle_endtag"):
+        original = getattr(TreeBatch, name)
+        monkeypatch.setattr(TreeBatch, name, lambda self, *a, f=original: (calls.append(a[0]), f(self, *a)))
+    (tree_read,) = read(page)
+    assert calls == []
+    assert len(tree_read["nodes"]) == 101 and tree_read["runs"] == ["t", "u"] * 50
+    assert dict(tree_read["nodes"][1]["attrs"]) == {"class": "c"}
+    assert page[tree_read["nodes"][2]["html_pos"] - 1 :].startswith("<a href")
