@@ -163,6 +163,23 @@ def test_date_and_place_are_looked_for_once_each(spark):
     assert 0 < searches(lambda c: places.location(c)) <= 5
 
 
+def test_a_link_is_tidied_once(spark):
+    """A path is split and walked in one place of the plan, and not again for each segment."""
+    links = spark.createDataFrame([("../../news/7",)], "c string")
+    base = urls.url_parts(F.lit("https://e.org/category/news/"))
+    plan = links.select(urls.resolve_url(F.col("c"), base).alias("r"))._jdf.queryExecution().analyzed().toString().lower()
+    # One more is the split of the link into its parts.
+    assert (plan.count("split("), plan.count("aggregate(")) == (2, 1)
+
+
+def test_a_first_date_takes_the_rest_along_in_one_search(ask):
+    lines = ["a  May 4, 2026 b\n c June 5 d", "no date", "May 4", " x, Sunday,  May 4\n", ""]
+    assert ask(lines, lambda c: dates.drop_first_long_date(c)) == ["a b c June 5 d", "no date", "", "x,", ""]
+    plan = []
+    ask(["a"], lambda c: plan.append(str(dates.drop_first_long_date(c))) or c)
+    assert ".*?" not in plan[0]
+
+
 def test_odd_dates_read_by_their_words(spark):
     cases = {
         "July 4": "2026-07-04",

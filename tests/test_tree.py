@@ -160,3 +160,13 @@ def test_a_run_of_plain_tags_takes_no_call_per_tag(monkeypatch):
     assert len(tree_read["nodes"]) == 101 and tree_read["runs"] == ["t", "u"] * 50
     assert dict(tree_read["nodes"][1]["attrs"]) == {"class": "c"}
     assert page[tree_read["nodes"][2]["html_pos"] - 1 :].startswith("<a href")
+
+
+def test_an_element_of_text_alone_is_read_at_once():
+    for page in ("<li>one two</li>", '<a href="/x"></a>', "b <h2 class='card'>c\n</h2>"):
+        assert tree.PLAIN.match(page).end() == len(page)
+    (page,) = read("<ul><li>a  b</li><li></li>c</ul><template><p>d</p></template><svg><p>e</p></svg><rt>f</rt><br>g</br>")
+    assert [(n["tag"], n["end_id"], n["run_n"]) for n in page["nodes"]] == [
+        ("ul", 3, 2), ("li", 2, 1), ("li", 3, 0), ("template", 5, 0), ("p", 5, 0), ("rt", 6, 0), ("br", 7, 0),
+    ]
+    assert page["runs"] == ["a b", "c", "g"]
